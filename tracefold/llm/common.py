@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 CHUNK_CHARS = 1 << 21
 WORD_SPACE = "\x20\x09-\x0D"
@@ -25,6 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet, whatever the case."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def every(df: DataFrame) -> list[Column]:
+    """All columns, also those with dots in their names."""
+    return [df[f"`{x}`"] for x in df.columns]
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is configured, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -160,7 +173,18 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        out = mix(out + words[j : j + n]) * _MULTIPLIER + np.uint64(j + 1)
-    return mix(out)
+    prefix = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * powers(len(words)), out=prefix[1:])
+    return mix((prefix[k:] - prefix[:-k]) * powers(n, inverse=True) + np.uint64(k))
+
+
+def portions(texts: list[str], most_chars: int = 2 * CHUNK_CHARS) -> Iterator[slice]:
+    """Slices of the texts of about most_chars each; a longer text is one of its own."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > most_chars:
+            yield slice(begin, i)
+            begin, size = i, 0
+        size += len(text)
+    if begin < len(texts):
+        yield slice(begin, len(texts))
