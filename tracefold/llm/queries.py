@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import audio, jaccard, packing, substring, token_counts, token_shards
+from tracefold.llm import audio, jaccard, packing, substring, token_counts, token_shards, toxicity
 from tracefold.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.expand_media(audio.store_payloads(table(spark, sf_dir, "documents")), keep_pcm=False)
 
@@ -71,7 +75,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op4_token_counts, op7_media_columns, op8_packing, op9_substring_dedup, op10_token_shards)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op4_token_counts, op6_toxicity, op7_media_columns, op8_packing, op9_substring_dedup, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
