@@ -1,7 +1,7 @@
 """Toxicity scores: gradient-boosted trees over dense features of the text, with isotonic calibration.
 
 1. From labelled rows (a sample of at most `most_rows`, by a hash of the id) two folds come: trees and calibration.
-2. The lexicon is learned from the first fold: words and word beginnings of 4 to 6 letters that occur in many toxic and
+2. The lexicon is learned from the first fold: words and word beginnings of 4 to 8 letters that occur in many toxic and
    next to no clean texts; at most MOST_TERMS of them, so it can be broadcast at any input size.
 3. Features of every whole text, in numpy over code points: lexicon densities (plain and of disguised spellings), hits
    near second-person words, capitals, punctuation, obfuscation and repetition rates.
@@ -33,7 +33,7 @@ MOST_ROWS = 20_000
 MOST_TERMS = 2_000
 THRESHOLD = 0.3
 NEAR = 4
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine deiner ihr euch euer tu te toi ton ta tes vous votre vos ti tú tus usted ustedes vosotros os".split()
 FEATURES = (
     "words", "hits_share", "hits", "weight_share", "near_second", "second_share", "disguised_hits", "capitals", "shouted", "exclamations", "questions", "punctuation", "obfuscated", "repeated",
@@ -106,7 +106,8 @@ def learn_lexicon(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     counts = rows.select("text", "label").mapInArrow(count, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    kept = counts.where((F.col("term") != 0) & (F.col("toxic") >= max(4, n_toxic // 150)) & (F.col("clean") * 20 <= F.col("toxic")))
+    support = max(4, min(6, n_toxic // 10), n_toxic // 100)  # fewer documents make chance terms of any class
+    kept = counts.where((F.col("term") != 0) & (F.col("toxic") >= support) & (F.col("clean") * 20 <= F.col("toxic")))
     got = kept.select("term", weight.alias("weight"), "toxic").where("weight > 2").orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).toPandas()
     keys = got["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
