@@ -33,10 +33,11 @@ MOST_ROWS = 20_000
 MOST_TERMS = 2_000
 THRESHOLD = 0.3
 NEAR = 4
+STRONG = 3.5
 BEGINNINGS = (4, 5, 6, 7, 8)
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine deiner ihr euch euer tu te toi ton ta tes vous votre vos ti tú tus usted ustedes vosotros os".split()
 FEATURES = (
-    "words", "hits_share", "hits", "weight_share", "near_second", "second_share", "disguised_hits", "capitals", "shouted", "exclamations", "questions", "punctuation", "obfuscated", "repeated",
+    "words", "hits_share", "hits", "weight_share", "near_second", "second_share", "disguised_hits", "capitals", "shouted", "exclamations", "questions", "punctuation", "obfuscated", "repeated", "strong", "strong_share",
 )
 _SAFE = re.compile(r"\w ")
 _DISGUISE = dict(zip("013457@$", "oieastas", strict=True))
@@ -106,8 +107,8 @@ def learn_lexicon(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     counts = rows.select("text", "label").mapInArrow(count, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    support = max(4, min(6, n_toxic // 10), n_toxic // 100)  # fewer documents make chance terms of any class
-    kept = counts.where((F.col("term") != 0) & (F.col("toxic") >= support) & (F.col("clean") * 20 <= F.col("toxic")))
+    support = max(4, n_toxic // 150)
+    kept = counts.where((F.col("term") != 0) & (F.col("toxic") >= support) & ((F.col("clean") * 20 <= F.col("toxic")) | (F.col("toxic") >= 2 * support)))
     got = kept.select("term", weight.alias("weight"), "toxic").where("weight > 2").orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).toPandas()
     keys = got["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -126,7 +127,7 @@ def text_features(texts: list[str], keys: np.ndarray, weights: np.ndarray) -> np
     """A row of FEATURES for each text."""
     n = len(texts)
     second = np.sort(np.concatenate([slice_hashes(codepoints(w), np.zeros(1, dtype=np.int64), np.array([len(w)])) for w in SECOND_PERSON]))
-    sums = {k: np.zeros(n) for k in ("chars", "words", "hits", "weight", "near", "second", "disguised", "letters", "capitals", "shouted", "exclamations", "questions", "punctuation", "obfuscated", "repeated")}
+    sums = {k: np.zeros(n) for k in ("chars", "words", "hits", "weight", "near", "second", "disguised", "letters", "capitals", "shouted", "exclamations", "questions", "punctuation", "obfuscated", "repeated", "strong")}
     for joined, owner, lengths in chunks(texts, _SAFE):
         if not joined:
             continue
@@ -159,13 +160,14 @@ def text_features(texts: list[str], keys: np.ndarray, weights: np.ndarray) -> np
         sums["chars"] += np.bincount(owner, weights=lengths, minlength=n)
         sums["words"] += np.bincount(doc, minlength=n)
         sums["weight"] += np.bincount(doc, weights=weight, minlength=n)
-        for name, mask in (("hits", hit), ("near", near), ("second", you), ("disguised", hit & odd), ("shouted", shouted), ("obfuscated", odd)):
+        for name, mask in (("hits", hit), ("near", near), ("second", you), ("disguised", hit & odd), ("strong", weight > STRONG), ("shouted", shouted), ("obfuscated", odd)):
             sums[name] += np.bincount(doc[mask], minlength=n)
     words, chars, some = np.maximum(sums["words"], 1), np.maximum(sums["chars"], 1), np.maximum(sums["letters"], 1)
     return np.stack(
         [
             np.log1p(sums["words"]), sums["hits"] / words, np.log1p(sums["hits"]), sums["weight"] / words, sums["near"] / words, sums["second"] / words, np.log1p(sums["disguised"]),
             sums["capitals"] / some, sums["shouted"] / words, sums["exclamations"] / chars, sums["questions"] / chars, sums["punctuation"] / chars, sums["obfuscated"] / words, sums["repeated"] / chars,
+            np.log1p(sums["strong"]), sums["strong"] / words,
         ],
         axis=1,
     )
