@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import audio, jaccard, packing, substring, token_counts, token_shards, toxicity
+from tracefold.llm import audio, jaccard, licenses, packing, substring, token_counts, token_shards, toxicity
 from tracefold.llm.common import table
 
 
@@ -34,6 +34,10 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 """
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -75,8 +79,8 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op4_token_counts, op6_toxicity, op7_media_columns, op8_packing, op9_substring_dedup, op10_token_shards)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_license_scans, op4_token_counts, op6_toxicity, op7_media_columns, op8_packing, op9_substring_dedup, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op3_license_scans": licenses.scan_sql(), "op9_substring_dedup": OP9_SQL}
