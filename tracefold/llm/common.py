@@ -96,13 +96,19 @@ def codepoint_hashes() -> np.ndarray:
     return _cached["cp"]
 
 
-def slice_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def prefix_sums(cp: np.ndarray) -> np.ndarray:
+    prefix = np.zeros(len(cp) + 1, dtype=np.uint64)
+    np.cumsum(codepoint_hashes()[cp] * powers(len(cp)), out=prefix[1:])
+    return prefix
+
+
+def slice_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of cp[start:end] for each pair, from one prefix sum of a polynomial modulo 2**64.
 
     Coefficients are random 64-bit values of the code points. Distinct slices collide with a chance of about 2**-64.
     """
-    prefix = np.zeros(len(cp) + 1, dtype=np.uint64)
-    np.cumsum(codepoint_hashes()[cp] * powers(len(cp)), out=prefix[1:])
+    if prefix is None:
+        prefix = prefix_sums(cp)
     return mix((prefix[ends] - prefix[starts]) * powers(len(cp) + 1, inverse=True)[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -110,18 +116,19 @@ def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def chunks(texts: list[str], safe: re.Pattern) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Texts joined into strings of about CHUNK_CHARS: (string, index of each text's part, length of each part).
+def chunks(texts: list[str], safe: re.Pattern, most: int | None = None) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Texts joined into strings of about `most` characters, CHUNK_CHARS if not given: (string, index of each text's part, length of each part).
 
     A longer text is cut where `safe` matches, at the match's start + 1, or stays whole if it never matches.
     """
+    most = most or CHUNK_CHARS
     part: list[str] = []
     owner: list[int] = []
     size = 0
     for i, text in enumerate(texts):
         at = 0
-        while len(text) - at > CHUNK_CHARS:
-            found = safe.search(text, at + CHUNK_CHARS // 2)
+        while len(text) - at > most:
+            found = safe.search(text, at + most // 2)
             if not found:
                 break
             part.append(text[at : found.start() + 1])
@@ -131,7 +138,7 @@ def chunks(texts: list[str], safe: re.Pattern) -> Iterator[tuple[str, np.ndarray
         part.append(text[at:] if at else text)
         owner.append(i)
         size += len(part[-1])
-        if size >= CHUNK_CHARS:
+        if size >= most:
             yield "".join(part), np.array(owner), np.array([len(x) for x in part])
             part, owner, size = [], [], 0
     if part:

@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import audio, jaccard, licenses, mtree, packing, substring, token_counts, token_shards, toxicity
+from tracefold.llm import audio, jaccard, licenses, mtree, packing, sentencepieces, substring, token_counts, token_shards, toxicity
 from tracefold.llm.common import table
 
 
@@ -62,6 +62,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op5_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document: pieces drawn, a hash of their ids, a digest of the decoded text, and whether that is the text."""
+    encoded = sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    decoded = sentencepieces.decode(encoded)
+    return decoded.select(
+        "doc_id",
+        F.size("pieces").cast("long").alias("n_pieces"),
+        F.xxhash64("pieces").alias("pieces_hash"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -98,7 +111,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op3_license_scans, op4_token_counts, op6_toxicity, op7_media_columns, op8_packing, op9_substring_dedup, op10_token_shards)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op3_license_scans, op4_token_counts, op5_sentencepiece_sampling, op6_toxicity, op7_media_columns, op8_packing, op9_substring_dedup, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tracefold.llm.common import chunks, codepoints, scratch, slice_hashes
+from tracefold.llm.common import chunks, codepoints, prefix_sums, scratch, slice_hashes
 
 MOST_ROWS = 20_000
 MOST_TERMS = 2_000
@@ -78,9 +78,10 @@ def _words(cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _terms(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of each word and of its beginnings (0 where the word is no longer), a column each."""
-    out = [slice_hashes(cp, starts, ends)]
+    prefix = prefix_sums(cp)
+    out = [slice_hashes(cp, starts, ends, prefix)]
     for n in BEGINNINGS:
-        out.append(np.where(ends - starts > n, slice_hashes(cp, starts, np.minimum(ends, starts + n)) + np.uint64(n), 0))
+        out.append(np.where(ends - starts > n, slice_hashes(cp, starts, np.minimum(ends, starts + n), prefix) + np.uint64(n), 0))
     return np.stack(out, axis=1)
 
 
