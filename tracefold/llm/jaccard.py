@@ -1,20 +1,23 @@
 """N-gram Jaccard join: a grouped prefix join on sets of word shingles, to components of linked documents.
 
-A set's shingles are ordered by (frequent or not, frequency, hash); two sets of similarity t share a shingle among the
-first n - ceil(t n) + 1 of each, and a good part of those prefixes. Frequent shingles (those that repeat within a
-stretch of text, at most `most_frequent` of them, the most frequent ones) come last and so out of nearly all prefixes.
-Any order gives the same links; this one keeps the posting lists short.
-
-1. Documents with one set are one vertex (the digest of the set). Vertices with the same prefix and size are one group.
-2. Groups meet at shared prefix shingles. Rounds of leaders: in each posting list and size class every group meets the
-   list's leader only, which is linear; the pairs that share enough of their prefixes are expanded to members and
-   verified on whole sets, and each member meets its group's least member. Links found contract to components.
-3. The last round meets all pairs of a list that are of different components and of fitting sizes, so no link between
-   components is lost; pairs inside a component are redundant, and a group of near copies costs no square.
+A set's shingles are ordered by (frequent or not, frequency, hash). If two sets have similarity t or more, they share at
+least SHARED shingles (all, if they are smaller) among the first n - ceil(t n) + SHARED of each. Frequent shingles
+(those that repeat within a stretch of text, at most `most_frequent` of them, the most frequent ones) come last and so
+out of nearly all prefixes. Any order gives the same links; this one keeps the posting lists short.
+
+1. Documents with one set are one vertex. Vertices with the same prefix and size are one group.
+2. Groups meet at shared prefix shingles. In a round of leaders every group meets only the leader of each posting list
+   and size band, and every member its group's leader, which is linear; pairs that share enough of their prefixes are
+   verified on whole sets. Links found contract to components. There is no such round if the pairs are few anyway (up to
+   PAIRS_PER_POSTING for each posting), and another one while the last has halved the pairs left.
+3. The last round meets all groups of a list, unless all their members are of one component, expands the pairs of
+   groups that share enough to members of different components, and verifies them. So no link between components is lost,
+   and a group of near copies costs no square.
 4. Documents get the least id of their component.
 
-Only vertices that share enough prefix shingles with others have their sets kept, so the tables follow the near copies.
-Shingles are told apart by 64-bit hashes, sets by 128 bits.
+Whole sets are made only for vertices of a pair to verify; a bitmap of at most BITMAP_BITS bits, broadcast, keeps other
+texts from being read into sets (if it fills up, more texts are, with the same result).
+Shingles and sets are told apart by 64-bit hashes: two of 10^9 different sets are confused with a chance of about 3 percent.
 
 Texts that are null or without words have an empty set, link with nothing, and are their own component. Texts of fewer
 words than the shingle are one shingle. Null ids take no part in the least id of a component, and a component of null ids
@@ -31,31 +34,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import gram_hashes, mix, portions, scratch, word_hashes
+from tracefold.llm.common import bound_batches, gram_hashes, mix, portions, scratch, word_hashes
 from tracefold.llm.components import components
 
 MOST_FREQUENT = 1_000_000
-LEADER_ROUNDS = 3
+MOST_ROUNDS = 6
+PAIRS_PER_POSTING = 8
+STRETCH = 1 << 23  # characters within which a repeated shingle counts as frequent
+SHARED = 4
+BITMAP_BITS = 1 << 24
+CONTENT_BYTES = 6
 
 
-def shingle_sets(texts: list[str], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def shingle_sets(texts: list[str], k: int, most: int = STRETCH // 4) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, shingles, bounds) of stretches of texts: sorted distinct hashes of each text."""
-    for part in portions(texts):
+    for part in portions(texts, most):
         words, counts = word_hashes(texts[part], lower=True)
-        doc = np.repeat(np.arange(len(counts)), counts)
         grams = gram_hashes(words, k)
-        owner = doc[: len(grams)]
-        inside = owner == doc[k - 1 :] if len(grams) else np.zeros(0, dtype=bool)
-        starts = np.cumsum(counts) - counts
-        short = np.flatnonzero((counts > 0) & (counts < k))
-        whole = np.array([mix(np.array([gram_hashes(words[starts[i] : starts[i] + counts[i]], int(counts[i]))[0]], dtype=np.uint64))[0] for i in short], dtype=np.uint64)
-        values, owner = np.concatenate([grams[inside], whole]), np.concatenate([owner[inside], short])
-        order = np.lexsort((values, owner))
-        values, owner = values[order], owner[order]
-        new = np.ones(len(values), dtype=bool)
-        new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-        values, owner = values[new], owner[new]
-        yield part.start, values, np.searchsorted(owner, np.arange(len(counts) + 1))
+        ends = np.cumsum(counts).tolist()
+        sets, at = [], 0
+        for end in ends:
+            n = end - at
+            if n >= k:
+                values = np.sort(grams[at : end - k + 1])
+                new = np.ones(len(values), dtype=bool)
+                np.not_equal(values[1:], values[:-1], out=new[1:])
+                sets.append(values[new])
+            elif n:
+                sets.append(mix(gram_hashes(words[at:end], n)))
+            else:
+                sets.append(grams[:0])
+            at = end
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+        yield part.start, np.concatenate(sets) if sets else grams[:0], bounds
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,166 +74,201 @@ def frequent_shingles(docs: DataFrame, text_col: str, k: int, most: int) -> tupl
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, values, _ in shingle_sets([x or "" for x in batch.column(0).to_pylist()], k):
+            for _, values, _ in shingle_sets([x or "" for x in batch.column(0).to_pylist()], k, STRETCH):
                 keys, n = np.unique(values, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
 
     counts = docs.select(text_col).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    counts = scratch(counts.where("n > 2"), "shingles")
+    counts = scratch(counts, "shingles")
     step = F.floor(F.log2("n") * 8).cast("int")
     kept, least = 0, 1 << 30
     for row in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most 64 * 8 rows
         if kept + row["count"] > most:
             break
         kept, least = kept + row["count"], row["step"]
-    got = counts.where(step >= least).toPandas()  # at most `most` rows of 16 bytes
-    keys, n = got["shingle"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    got = counts.where(step >= least).toArrow()  # at most `most` rows of 16 bytes
+    keys, n = (got[c].to_numpy().astype(np.int64) for c in ("shingle", "n"))
+    keys = keys.view(np.uint64)
     order = np.argsort(keys)
     ranks = np.empty(len(keys), dtype=np.uint32)
     ranks[np.lexsort((keys, n))] = np.arange(1, len(keys) + 1, dtype=np.uint32)
     return keys[order], ranks[order]
 
 
-def _digests(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit sums over each set; empty sets give 0."""
-    out = []
-    for salt in (1, 2):
-        prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(mix(values + np.uint64(salt * 0x5851F42D4C957F2D)), out=prefix[1:])
-        out.append(mix(prefix[bounds[1:]] - prefix[bounds[:-1]]))
+def _digests(values: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit digest of each set, by its sum and size."""
+    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(mix(values + np.uint64(salt)), out=prefix[1:])
+    return mix(mix(prefix[bounds[1:]] - prefix[bounds[:-1]]) + np.diff(bounds).astype(np.uint64))
+
+
+def _ranks(values: np.ndarray, keys: np.ndarray, ranks: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """The rank of each frequent shingle, 0 for others; the bitmap of the keys' low bits spares most lookups."""
+    out = np.zeros(len(values), dtype=np.uint32)
+    maybe = np.flatnonzero(bitmap[values & np.uint64(len(bitmap) - 1)])
+    if len(maybe):
+        at = np.minimum(np.searchsorted(keys, values[maybe]), len(keys) - 1)
+        out[maybe] = np.where(keys[at] == values[maybe], ranks[at], 0)
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: Fraction | float = Fraction(4, 5), most_frequent: int = MOST_FREQUENT, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: Fraction | float = Fraction(4, 5), most_frequent: int = MOST_FREQUENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs; documents link at |A and B| >= similarity |A or B|."""
     ratio = Fraction(similarity).limit_denominator(1000)
     num, den = ratio.numerator, ratio.denominator
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, k, most_frequent))
+    bound_batches(docs)
+    keys, ranks = frequent_shingles(docs, text_col, k, most_frequent)
+    shared = docs.sparkSession.sparkContext.broadcast((keys, ranks))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks = shared.value
+        bitmap = np.zeros(1 << 24, dtype=bool)
+        bitmap[keys & np.uint64(len(bitmap) - 1)] = True
         for batch in batches:
             for first, values, bounds in shingle_sets([x or "" for x in batch.column(1).to_pylist()], k):
                 sizes = np.diff(bounds)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                rank = np.zeros(len(values), dtype=np.uint32)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-                    rank = np.where(keys[at] == values, ranks[at], 0).astype(np.uint32)
-                ordered = values[np.lexsort((values, rank, owner))]
-                length = np.where(sizes > 0, sizes - -(-sizes * num // den) + 1, 0)
-                taken = np.arange(len(values)) - np.repeat(bounds[:-1], sizes) < np.repeat(length, sizes)
-                chosen = ordered[taken]
-                offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                one, two = _digests(values, bounds)
-                group = _digests(chosen, offsets)[0] ^ mix(sizes.astype(np.uint64))
-                rows = batch.column(0).slice(first, len(sizes))
+                least = -(-sizes * num // den)  # ceil(t n): what a partner shares at least
+                length = np.where(sizes > 0, sizes - least + np.minimum(SHARED, least), 0)
+                rank = _ranks(values, keys, ranks, bitmap)
+                chosen = []
+                for a, b, p in zip(bounds[:-1].tolist(), bounds[1:].tolist(), length.tolist(), strict=True):
+                    common = rank[a:b]
+                    got = values[a:b][common == 0][:p]
+                    if len(got) < p:
+                        often = np.flatnonzero(common)
+                        got = np.concatenate([got, values[a:b][often[np.argsort(common[often])[: p - len(got)]]]])
+                    chosen.append(got)
+                prefix = np.concatenate(chosen) if chosen else values[:0]
+                offsets = np.concatenate([[0], np.cumsum(length)])
+                group = _digests(prefix, offsets, 3) ^ mix(sizes.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [rows, pa.array(sizes, pa.int64()), *(pa.array(x.view(np.int64)) for x in (one, two, group)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(chosen.view(np.int64)))],
-                    ["doc_id", "n", "one", "two", "group", "prefix"],
-                )
+                    [
+                        batch.column(0).slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(_digests(values, bounds, 1).view(np.int64)), pa.array(group.view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(prefix.view(np.int64))),
+                    ],
+                    ["doc_id", "n", "v", "group", "prefix"],
+                )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    vertex = F.struct("one", "two").alias("v")
-    found = rows.mapInArrow(prefixes, f"doc_id {id_type}, n long, one long, two long, `group` long, prefix array<long>")
-    # one row per set; the documents of a set join it again at the end
-    per_set = found.groupBy("one", "two", "n").agg(F.min("doc_id").alias("doc_id"), F.first("group").alias("group"), F.first("prefix").alias("prefix"))
-    sets = scratch(per_set.where("n > 0").select(vertex, "n", "doc_id", "group", "prefix"), "sets")
-    membership = scratch(found.select("doc_id", "n", vertex), "membership")
-
-    # groups of one prefix and size, and the postings that at least two groups share
-    groups = sets.groupBy("group").agg(F.min("v").alias("head"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = groups.select("group", "n", F.posexplode("prefix").alias("i", "shingle"))
-    postings = postings.withColumn("lists", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("lists > 1").drop("lists", "i")
-    # O >= ceil(t (n1 + n2) / (1 + t)); beyond its prefix a set of size n has at most ceil(t n) - 1 more to share
-    enough = F.expr(f"c + ceil({num} * greatest(n, m) / {den}) - 1 >= {num} * (n + m) / {num + den}")
-    least = F.expr(f"c + ceil({num} * n / {den}) - 1 >= {num} * (n + ceil({num} * n / {den})) / {num + den}")
-    postings = scratch(postings, "postings")
-    able = postings.groupBy("group", "n").agg(F.count(F.lit(1)).alias("c")).where(least).select("group")
-    heads = groups.select("group", "head", "members")
-    lone = heads.where("members > 1").select("group")
-    live = scratch(able.union(lone).distinct(), "live")
-    members = scratch(sets.join(live, "group", "left_semi").select("v", "n", "group", "doc_id"), "members")
-    lists = scratch(postings.join(live, "group", "left_semi"), "lists")
-
-    # whole sets of the members only
+    found = scratch(rows.mapInArrow(prefixes, f"doc_id {id_type}, n long, v long, `group` long, prefix array<long>"), "prefixes")
+    some = found.where("n > 0")
+    vertices = scratch(some.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("group").alias("group")), "vertices")
+    groups = some.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    postings = groups.select("group", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("shingle"))
+    lists = scratch(postings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("c > 1").drop("c"), "lists")
+    links = labels = None
+    few, before = PAIRS_PER_POSTING * lists.count() + 1_000_000, float("inf")
+    for turn in range(MOST_ROUNDS + 1):
+        state = vertices if labels is None else vertices.join(labels, "v", "left")
+        state = state.select("v", "n", "group", (F.col("v") if labels is None else F.coalesce("component", "v")).alias("component"))
+        state = scratch(state, "state")
+        spread = scratch(state.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")), "spread")
+        left = _pairs_left(lists, spread)
+        last = turn == MOST_ROUNDS or left <= few or left > before / 2
+        before = left
+        pairs = (_all_pairs if last else _leader_pairs)(lists, state, spread, num, den, turn)
+        new = scratch(_verified(scratch(pairs.distinct(), "pairs"), vertices, rows, k, num, den), "verified")
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            labels = components(links)
+        if last:
+            break
+    return _labelled(found.select("doc_id", "n", "v"), labels)
+
+
+def _pairs_left(lists: DataFrame, spread: DataFrame) -> int:
+    """Pairs that the lists and groups hold of groups, and of members, not known to be of one component."""
+    at = lists.join(spread, "group").groupBy("shingle", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("one")).agg(F.count(F.lit(1)).alias("c"))
+    per = at.groupBy("shingle").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("one").isNotNull(), F.col("c") * F.col("c")).otherwise(F.col("c"))).alias("same"))
+    between = per.agg(F.sum((F.col("c") * F.col("c") - F.col("same")) / 2)).collect()[0][0] or 0
+    inside = spread.where("lo <> hi").agg(F.sum(F.col("members") * F.col("members") / 2.0)).collect()[0][0] or 0
+    return between + inside
+
+
+def _sharing(num: int, den: int) -> str:
+    """Of a pair with c prefix shingles in common and sizes n, m: it may still reach the similarity."""
+    part = lambda x: f"ceil({num} * {x} / {den})"
+    beyond = lambda x: f"({part(x)} - least({SHARED}, {part(x)}))"
+    return f"c >= least({SHARED}, {part('n')}, {part('m')}) and (c + greatest({beyond('n')}, {beyond('m')})) * {num + den} >= {num} * (n + m)"
+
+
+def _leader_pairs(lists: DataFrame, state: DataFrame, spread: DataFrame, num: int, den: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of vertices of different components: members with their group's leader, groups with their lists' leader."""
+    open_groups = spread.where("lo <> hi").select("group")
+    members = state.join(open_groups, "group", "left_semi")
+    first = members.groupBy("group").agg(F.min_by(F.struct("v", "component"), F.xxhash64("v", F.lit(turn))).alias("x")).select("group", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"))
+    inside = members.join(first, "group").where("of_a <> component").select("a", F.col("v").alias("b"))
+    stand = state.groupBy("group", "component").agg(F.min("v").alias("v"))
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).cast("int").alias("band")
+    at = lists.join(stand, "group").select("shingle", band, "n", "v", "component")
+    lead = at.groupBy("shingle", "band").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "component", "n")).alias("x"))
+    lead = lead.select("shingle", "band", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"), F.col("x.n").alias("m"))
+    met = at.withColumnRenamed("v", "b").join(lead, ["shingle", "band"]).where(f"of_a <> component and {den} * least(n, m) >= {num} * greatest(n, m)")
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(_sharing(num, den))
+    return inside.union(counted.groupBy("b").agg(F.max_by("a", "c").alias("a")).select("a", "b"))
+
+
+def _all_pairs(lists: DataFrame, state: DataFrame, spread: DataFrame, num: int, den: int, turn: int) -> DataFrame:
+    """All pairs (a, b) of vertices of different components that share enough prefix shingles."""
+    members = state.select("group", "v", "component")
+    open_groups = spread.where("lo <> hi").select("group")
+    other = members.select("group", F.col("v").alias("a"), F.col("component").alias("of_a"))
+    inside = members.join(open_groups, "group", "left_semi").join(other, "group").where("of_a < component").select("a", F.col("v").alias("b"))
+    at = lists.join(spread.select("group", "lo", "hi"), "group")
+    apart = at.groupBy("shingle").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y").select("shingle")
+    at = scratch(at.join(apart, "shingle", "left_semi"), "apart")
+    left = at.select("shingle", F.col("group").alias("g"), F.col("n").alias("m"), F.col("lo").alias("lo_g"), F.col("hi").alias("hi_g"))
+    met = at.join(left, "shingle").where(f"`group` < g and {den} * least(n, m) >= {num} * greatest(n, m) and not (lo = hi and lo_g = hi_g and lo = lo_g)")
+    counted = met.groupBy("group", "g").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(_sharing(num, den))
+    expanded = counted.select("group", "g").join(members, "group").join(other.withColumnRenamed("group", "g"), "g").where("component <> of_a")
+    return inside.union(expanded.select("a", F.col("v").alias("b")))
+
+
+def _verified(pairs: DataFrame, vertices: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) those whose whole sets are similar enough."""
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, values, bounds in shingle_sets([x or "" for x in batch.column(0).to_pylist()], k):
-                one, two = _digests(values, bounds)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (one, two)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))], ["one", "two", "shingles"])
-
-    wanted = members.select(F.col("doc_id").alias("wanted")).distinct()
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
-    contents = texts.mapInArrow(whole, "one long, two long, shingles array<long>").select(vertex, "shingles")
-    contents = scratch(contents.join(members.select("v"), "v", "left_semi").dropDuplicates(["v"]), "contents")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) those whose whole sets are similar enough."""
-
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                left, right = batch.column(2), batch.column(3)
-                keep = []
-                for i in range(batch.num_rows):
-                    x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(den * both >= num * (len(x) + len(y) - both))
-                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-        left = contents.select(F.col("v").alias("a"), F.col("shingles").alias("x"))
-        right = contents.select(F.col("v").alias("b"), F.col("shingles").alias("y"))
-        kind = "struct<one:bigint,two:bigint>"
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, f"a {kind}, b {kind}")
-
-    links = None
-    labels = members.select("v", F.col("v").alias("component"))
-    for turn in range(leader_rounds + 1):
-        state = scratch(members.join(labels, "v", "left").select("v", "n", "group", F.coalesce("component", "v").alias("component")), "state")
-        # within a group every member meets its least member, or in later rounds that of another component
-        inner = state.select("group", F.col("v").alias("b"), F.col("component").alias("of_b"))
-        by_priority = F.struct(F.xxhash64("v", F.lit(turn)), "v", "component")
-        if turn < leader_rounds:
-            first = state.groupBy("group").agg(F.min(by_priority).alias("x")).select("group", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"))
-            pairs = inner.join(first, "group").where("of_a <> of_b").select("a", "b")
-        else:
-            other = state.select("group", F.col("v").alias("a"), F.col("component").alias("of_a"))
-            several = state.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("group")
-            pairs = inner.join(several, "group", "left_semi").join(other, "group").where("of_a < of_b").select("a", "b")
-        # between groups: one vertex stands for each component of a group in the leaders' rounds, all in the last
-        at = lists.join(state.select("group", "v", "component"), "group")
-        if turn < leader_rounds:
-            band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).alias("band")
-            stand = state.groupBy("group", "component").agg(F.min("v").alias("v"))
-            at = lists.join(stand, "group").select("shingle", "group", "n", band, "v", "component")
-            lead = at.groupBy("shingle", "band").agg(F.min(F.struct(F.xxhash64("group", F.lit(turn)), "v", "component", "n")).alias("x"))
-            lead = lead.select("shingle", "band", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"), F.col("x.n").alias("m"))
-            met = at.withColumnRenamed("v", "b").join(lead, ["shingle", "band"]).where(f"of_a <> component and {den} * least(n, m) >= {num} * greatest(n, m)")
-            counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(enough)
-            best = counted.groupBy("b").agg(F.max_by("a", "c").alias("a"))
-            pairs = pairs.union(best.select("a", "b"))
-        else:
-            several = at.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-            at = scratch(at.join(several, "shingle", "left_semi"), "apart")
-            other = at.select("shingle", F.col("v").alias("a"), F.col("n").alias("m"), F.col("component").alias("of_a"))
-            met = at.withColumnRenamed("v", "b").join(other, "shingle").where(f"of_a < component and {den} * least(n, m) >= {num} * greatest(n, m)")
-            counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(enough)
-            pairs = pairs.union(counted.select("a", "b"))
-        new = scratch(verified(pairs.distinct()), "verified")
-        if new.isEmpty():
-            continue
-        links = new if links is None else links.union(new)
-        labels = components(links)
-
-    return _labelled(membership, labels, id_type)
-
-
-def _labelled(membership: DataFrame, labels: DataFrame, id_type: str) -> DataFrame:
+                raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, 8 - CONTENT_BYTES :].tobytes()
+                content = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * CONTENT_BYTES).astype(np.int32).tobytes()), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(values, bounds, 1).view(np.int64)), content], ["v", "content"])
+
+    def values_of(content: bytes) -> np.ndarray:
+        out = np.zeros((len(content) // CONTENT_BYTES, 8), dtype=np.uint8)
+        out[:, :CONTENT_BYTES] = np.frombuffer(content, dtype=np.uint8).reshape(-1, CONTENT_BYTES)
+        return out.view(np.uint64)[:, 0]
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = values_of(x.as_py()), values_of(y.as_py())
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(den * both >= num * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+    wanted = scratch(vertices.join(wanted, "v", "left_semi").select("v", "doc_id"), "wanted")
+    word = F.expr(f"cast(pmod(xxhash64(doc_id), {BITMAP_BITS}) div 64 as int)")
+    bitmap = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))")).alias("bits"))
+    near = rows.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.expr("(shiftright(bits, cast(pmod(xxhash64(doc_id), 64) as int)) & 1L) = 1"))
+    contents = near.select("text").mapInArrow(whole, "v long, content binary")
+    contents = contents.join(wanted.select("v"), "v", "left_semi").groupBy("v").agg(F.first("content").alias("content"))
+    left = contents.select(F.col("v").alias("a"), F.col("content").alias("x"))
+    right = contents.select(F.col("v").alias("b"), F.col("content").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def _labelled(membership: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The least document id of each document's component."""
-    per_set = membership.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("least"))
-    named = per_set.join(labels, "v", "left").select("v", "least", F.coalesce("component", "v").alias("component"))
-    name = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = named.join(name, "component").select("v", "component_id")
-    joined = membership.join(by_set, (membership["v"] == by_set["v"]) & (membership["n"] > 0), "left")
+    named = membership.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("least"))
+    if labels is None:
+        by_set = named.select("v", F.col("least").alias("component_id"))
+    else:
+        named = named.join(labels, "v", "left").select("v", "least", F.coalesce("component", "v").alias("component"))
+        name = named.groupBy("component").agg(F.min("least").alias("component_id"))
+        by_set = named.join(name, "component").select("v", "component_id")
+    joined = membership.join(by_set.withColumnRenamed("v", "of"), (F.col("v") == F.col("of")) & (F.col("n") > 0), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
