@@ -23,7 +23,7 @@ def test_ids_are_the_librarys(tokenizer):
 
 
 def test_long_texts_are_cut_safely(tokenizer, monkeypatch):
-    monkeypatch.setattr(common, "CHUNK_CHARS", 50)
+    monkeypatch.setattr(pieces, "STRETCH", 50)
     text = "It's a long text, isn't it?  Yes\nwe'll see 123 things. " * 40
     assert pieces.encode([text], pieces.default_tokenizer())[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 

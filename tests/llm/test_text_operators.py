@@ -138,6 +138,9 @@ def test_sentencepieces(spark):
     one = sentencepieces.encode(df)
     decoded = sentencepieces.decode(one).select("doc_id", "text", "pieces", "decoded", "row").collect()
     assert all(r.decoded == (r.text or "") and r.row == "clash" for r in decoded)
+    trips = sentencepieces.round_trips(df).collect()
+    assert all(r.lossless for r in trips)
+    assert Counter((r.doc_id, r.n_pieces, r.ids_crc32, r.decoded_sha256) for r in trips) == Counter((r.doc_id, len(r.pieces), crc(r.pieces), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in decoded)
     again = sentencepieces.encode(df.repartition(2))
     key = lambda x: Counter((r.doc_id, r.text, tuple(r.pieces)) for r in x.select("doc_id", "text", "pieces").collect())
     assert key(one) == key(again) != key(sentencepieces.encode(df, seed=5))

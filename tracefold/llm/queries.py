@@ -64,15 +64,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document: pieces drawn, a hash of their ids, a digest of the decoded text, and whether that is the text."""
-    encoded = sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    decoded = sentencepieces.decode(encoded)
-    return decoded.select(
-        "doc_id",
-        F.size("pieces").cast("long").alias("n_pieces"),
-        F.xxhash64("pieces").alias("pieces_hash"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
-    )
+    return sentencepieces.round_trips(table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,9 @@ an empty table gives no rows; other columns are kept.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tracefold.llm.common import chunks, codepoints, fresh, mix, prefix_sums, ranges, slice_hashes
+from tracefold.llm.common import bound_batches, chunks, codepoints, fresh, mix, portions, powers, prefix_sums, ranges, slice_hashes
 
 UNIT = 64
 ALPHA = 1.0
-STRETCH = 1 << 22  # characters whose distinct units share one lattice pass
+STRETCH = 1 << 21  # characters whose distinct units share one lattice pass
 _SAFE = re.compile(r"[^ ] [^ ]")
 _models: dict = {}
 
@@ -47,7 +49,7 @@ class Model:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
         self.byte_ids = np.full(256, -1, dtype=np.int32)
-        keys, ids, weights = [], [], []
+        keys, sizes, ids, weights = [], [], [], []
         raw: list[bytes] = []
         ranks = min((sp.get_score(i) for i in range(size)), default=0.0) < -200
         for i in range(size):
@@ -61,17 +63,19 @@ class Model:
             if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or " " in text[1:] or not text or len(text) > UNIT:
                 continue
             cp = codepoints(text)
-            keys.append(slice_hashes(cp, np.zeros(1, dtype=np.int64), np.array([len(cp)]))[0])
+            keys.append(prefix_sums(cp)[-1])
+            sizes.append(len(cp))
             ids.append(i)
             weights.append(-np.log(2.0 - sp.get_score(i)) if ranks else sp.get_score(i))
         if (self.byte_ids < 0).any():
             raise ValueError(f"{path} has no byte pieces, so decoding couldn't be lossless")
         order = np.argsort(np.array(keys, dtype=np.uint64))
-        self.keys = np.array(keys, dtype=np.uint64)[order]
+        self.raw_keys = np.array(keys, dtype=np.uint64)[order]
+        self.sizes = np.array(sizes)[order]
         self.ids = np.array(ids, dtype=np.int32)[order]
         self.weights = np.array(weights)[order]
         self.bitmap = np.zeros(1 << 21, dtype=bool)
-        self.bitmap[self.keys & np.uint64(len(self.bitmap) - 1)] = True
+        self.bitmap[(self.raw_keys >> np.uint64(43)).astype(np.int64)] = True  # by the high 21 bits
         self.longest = max((len(sp.id_to_piece(int(i))) for i in ids), default=1)
         self.fallback = min(weights) - 2.0
         self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -92,25 +96,44 @@ def _lattice(m: Model, cp: np.ndarray, prefix: np.ndarray, starts: np.ndarray, l
     base = np.cumsum(lengths + 1) - (lengths + 1)
     place = ranges(np.zeros(len(lengths), dtype=np.int64), lengths + 1)
     at = np.repeat(starts, lengths + 1) + place  # the character after the state
-    parts: list[tuple[np.ndarray, ...]] = []
-    ends = np.flatnonzero(place >= 1)
+    by_place = np.argsort(place.astype(np.uint8), kind="stable").astype(np.int32)
+    rank = np.empty(len(place), dtype=np.int32)
+    rank[by_place] = np.arange(len(place), dtype=np.int32)
+    raw = prefix[at]  # one lookup for each place; differences are hashes of what lies between
+    scale = powers(len(cp) + 1, inverse=True)[at]
+    ranks: list[np.ndarray] = []
+    backs: list[np.ndarray] = []
+    rows: list[np.ndarray] = []
+    before = np.concatenate([[0], np.cumsum(np.bincount(place))])  # states with a lesser place
     for n in range(1, min(m.longest, int(lengths.max(initial=1))) + 1):
-        ends = ends[place[ends] >= n]
-        hashes = slice_hashes(cp, at[ends] - n, at[ends], prefix)
-        maybe = np.flatnonzero(m.bitmap[hashes & np.uint64(len(m.bitmap) - 1)])
-        row = np.minimum(np.searchsorted(m.keys, hashes[maybe]), len(m.keys) - 1)
-        hit = m.keys[row] == hashes[maybe]
+        first = int(before[min(n, len(before) - 1)])
+        ends = by_place[first:]
+        if not len(ends):
+            break
+        hashes = (raw[ends] - raw[ends - n]) * scale[ends - n]
+        maybe = np.flatnonzero(m.bitmap[(hashes >> np.uint64(43)).astype(np.int64)])
+        row = np.minimum(np.searchsorted(m.raw_keys, hashes[maybe]), len(m.raw_keys) - 1)
+        hit = (m.raw_keys[row] == hashes[maybe]) & (m.sizes[row] == n)
         found, row = maybe[hit], row[hit]
-        parts.append((ends[found], np.full(len(found), n), alpha * m.weights[row], m.ids[row]))
+        ranks.append((found + first).astype(np.int32))
+        backs.append(np.full(len(found), n, dtype=np.int32))
+        rows.append(row.astype(np.int32))
         if n == 1:
             lacks = np.ones(len(ends), dtype=bool)
             lacks[found] = False
-            missing = ends[lacks]
-            points = cp[at[missing] - 1].astype(np.int64)
-            parts.append((missing, np.ones(len(missing), dtype=np.int64), alpha * m.fallback * _utf8_lengths(points), (-1 - points).astype(np.int32)))
-    state, back, weight, code = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    order = np.argsort(place[state] * np.int64(len(place)) + state, kind="stable")
-    state, back, weight, code = state[order], back[order], weight[order], code[order]
+            missing = np.flatnonzero(lacks)
+            ranks.append((missing + first).astype(np.int32))
+            backs.append(np.ones(len(missing), dtype=np.int32))
+            rows.append(np.full(len(missing), -1, dtype=np.int32))
+    edge_rank, back, row = np.concatenate(ranks), np.concatenate(backs), np.concatenate(rows)
+    order = np.argsort(edge_rank, kind="stable")  # a merge of the sorted parts
+    state, back, row = by_place[edge_rank[order]], back[order], row[order]
+    weight, code = alpha * m.weights[row], m.ids[row]
+    missing = np.flatnonzero(row < 0)
+    if len(missing):
+        points = cp[at[state[missing]] - 1].astype(np.int64)
+        weight[missing] = alpha * m.fallback * _utf8_lengths(points)
+        code[missing] = (-1 - points).astype(np.int32)
     forward = np.zeros(len(place))
     head = np.flatnonzero(np.diff(state, prepend=-1))
     edge_start = np.zeros(len(place), dtype=np.int64)
@@ -201,9 +224,19 @@ def sample_pieces(texts: list[str], row_keys: np.ndarray, path: str, seed: int =
     return np.concatenate([x for x, _ in found]), np.sum([x for _, x in found], axis=0)
 
 
+def decode_ids(ids: np.ndarray, counts: np.ndarray, path: str) -> list[bytes]:
+    """The UTF-8 text of each run of ids, without the space put before it."""
+    m = model(path)
+    lengths = m.raw_lengths[ids]
+    raw = m.raw[ranges(m.raw_starts[ids], lengths)].tobytes()
+    ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)].tolist()
+    return [raw[a + 1 : b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def encode(docs: DataFrame, model_path: str | None = None, key_col: str = "doc_id", text_col: str = "text", name: str = "pieces", seed: int = 0, alpha: float = ALPHA) -> DataFrame:
     """docs with an array of piece ids as the last column."""
     path = model_path or default_model()
+    bound_batches(docs)
     columns, where = docs.columns, docs.columns.index(text_col)
     key = fresh(docs, "piece_key")
 
@@ -223,16 +256,37 @@ def decode(pieces: DataFrame, model_path: str | None = None, pieces_col: str = "
     columns, where = pieces.columns, pieces.columns.index(pieces_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
         for batch in batches:
             lists = batch.column(where)
-            ids = lists.flatten().to_numpy()
             counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            lengths = m.raw_lengths[ids]
-            raw = m.raw[ranges(m.raw_starts[ids], lengths)].tobytes()
-            ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)].tolist()
-            valid = lists.is_valid().to_pylist()
-            texts = [raw[a:b].decode()[1:] if ok else None for a, b, ok in zip([0, *ends[:-1]], ends, valid, strict=True)]
+            texts = [x.decode() if ok else None for x, ok in zip(decode_ids(lists.flatten().to_numpy(), counts, path), lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*columns, name])
 
     return pieces.mapInArrow(run, StructType([*pieces.schema.fields, StructField(name, StringType())]))
+
+
+def round_trips(docs: DataFrame, model_path: str | None = None, key_col: str = "doc_id", text_col: str = "text", seed: int = 0, alpha: float = ALPHA) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32, decoded_sha256 and lossless: each text encoded, decoded and compared, in one pass."""
+    path = model_path or default_model()
+    bound_batches(docs)
+    id_type = docs.schema[key_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for part in portions(texts, STRETCH):
+                own = texts[part]
+                ids, counts = sample_pieces(own, batch.column(2).to_numpy()[part].view(np.uint64), path, seed, alpha)
+                ends = np.cumsum(counts)
+                raw = ids.astype("<u4").tobytes()
+                back = decode_ids(ids, counts, path)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": batch.column(0).slice(part.start, len(own)), "n_pieces": pa.array(counts, pa.int64()),
+                        "ids_crc32": pa.array([zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)], pa.int64()),
+                        "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back], "lossless": [x == t.encode() for x, t in zip(back, own, strict=True)],
+                    }
+                )
+
+    rows = docs.select(F.col(f"`{key_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{key_col}`")).alias("key"))
+    return rows.mapInArrow(run, f"doc_id {id_type}, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean")
