@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import numbers as N
 from tracefold.functions import text as T
-from tracefold.operators import alerts, api, flows, history, login, metrics, profiling, retrieval, split, tabular
+from tracefold.operators import alerts, api, findings, flows, history, login, metrics, profiling, retrieval, split, tabular
 from tracefold.sources import readers, sinks
 from tracefold.streaming import access_log
 
@@ -292,3 +292,15 @@ def test_sources_and_sinks(spark, tmp_path):
     assert one.count() == df.where("shard_id = 2").count() and "PartitionFilters: [isnotnull(shard_id" in one._jdf.queryExecution().executedPlan().toString()
     sinks.report(spark, {"a": 1}, str(tmp_path / "r"))
     assert readers.manifest(spark, str(tmp_path / "r")) == {"a": 1}
+
+
+def test_findings(spark):
+    columns = "y_pred int, predicted_attack_type string, suspicious_request_got_2xx int, suspicious_request_got_4xx int, request_has_authorization int, method string, y_score double, nearest_benign_similarity double"
+    rows = [(0, "Benign", 0, 0, 1, "GET", 0.0, 1.0), (1, "XSS", 1, 0, 1, "GET", 0.5, 0.5), (1, "XSS", 0, 1, 1, "GET", 0.5, 0.5), (1, "XSS", 0, 0, 1, "GET", 0.5, 0.5), (1, "Unknown", 0, 0, 0, "GET", 0.5, 0.5), (1, "Unknown", 0, 0, 1, "POST", 0.5, 0.5)]
+    df = findings.with_explanation(findings.with_finding(spark.createDataFrame(rows, columns).coalesce(1)))
+    got = df.collect()
+    assert [r.security_finding for r in got] == ["no_static_security_anomaly", "possible_xss_exposure", "attack_attempt_blocked_by_client_error", "attempted_xss_exposure", "authorization_context_absent", "body_content_type_absent"]
+    assert got[0].explanation.startswith("nearest benign similarity=1.000") and "signals=authorization header present, suspicious request accepted" in got[1].explanation
+    probes = spark.createDataFrame([("a", "attack", "XSS", 1, "XSS"), ("a", "benign", "Benign", 0, "Benign"), ("a", "attack", "XSS", 1, "RCE"), ("b", "attack", "XSS", 0, "Benign")], "goal string, label_expected string, attack_type_expected string, y_pred int, predicted_attack_type string")
+    a, b = findings.probe_summary(probes, "goal").orderBy("goal").collect()
+    assert (a.rows, a.binary_pass_rate, b.strict_pass_rate) == (3, 1.0, 0.0) and abs(a.strict_pass_rate - 2 / 3) < 1e-9
