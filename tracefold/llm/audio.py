@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.llm.common import bound_batches
+
 UNIT = 64
 RATE, RESAMPLED_RATE = 8000, 16000
 FORMS = {"mulaw": 7, "alaw": 6, "adpcm": 17}  # WAV format tags
@@ -131,6 +133,7 @@ def features_of(form: str, pcm: np.ndarray) -> str:
 def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and the WAV file of each text: its UTF-8 bytes, filled with zeros to a positive multiple of 64."""
     forms = list(FORMS)
+    bound_batches(docs)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 19
 WORD_SPACE = "\x20\x09-\x0D"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _cached: dict[str, object] = {}
@@ -25,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(df: DataFrame, most_bytes: int = 1 << 23) -> None:
+    """Keeps the Arrow batches that a task holds at once to a size, whatever the length of the texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    now = conf.get(name)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > most_bytes:
+        conf.set(name, f"{most_bytes}b")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet, whatever the case."""
     taken = {x.lower() for x in df.columns}
@@ -82,7 +91,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     key = f"powers{inverse}"
     if key not in _cached or len(_cached[key]) < n:
         base = pow(int(_MULTIPLIER), -1, 1 << 64) if inverse else int(_MULTIPLIER)
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = (n + n // 8 >> 16) + 1 << 16
         factors = np.full(size, base, dtype=np.uint64)
         factors[0] = 1
         _cached[key] = np.multiply.accumulate(factors)
@@ -185,7 +194,7 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix((prefix[k:] - prefix[:-k]) * powers(n, inverse=True) + np.uint64(k))
 
 
-def portions(texts: list[str], most_chars: int = 2 * CHUNK_CHARS) -> Iterator[slice]:
+def portions(texts: list[str], most_chars: int) -> Iterator[slice]:
     """Slices of the texts of about most_chars each; a longer text is one of its own."""
     begin = size = 0
     for i, text in enumerate(texts):

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.llm.common import bound_batches
 from tracefold.llm.pieces import END_ID, default_tokenizer, encode
 
 SEQUENCE = 1024
@@ -62,6 +63,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, group_docs: int = GROUP_DOCS) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = tokenizer or default_tokenizer()
+    bound_batches(docs)
     groups = max(1, math.ceil(docs.count() / group_docs))
     id_type = docs.schema[id_col].dataType.simpleString()
 

@@ -18,6 +18,7 @@ import numpy as np
 from tracefold.llm.common import chunks, codepoints, ranges, slice_hashes
 
 MOST_KEPT = 1_000_000
+STRETCH = 1 << 21  # characters whose distinct pre-tokens are looked up together
 END_ID = 0
 _SAFE = re.compile(r"[A-Za-z.,] [A-Za-z]")
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
@@ -145,7 +146,7 @@ def plain_parts(texts: list[str], table: PieceTable) -> tuple[list[str], list[in
 
 def pretokens(texts: list[str]):
     """(string, starts, ends, hashes, index of the text of each pre-token) of chunks of the texts."""
-    for joined, owner, lengths in chunks(texts, _SAFE):
+    for joined, owner, lengths in chunks(texts, _SAFE, STRETCH):
         if not joined:
             continue
         cp = codepoints(joined)

@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import fresh, gram_hashes, mix, portions, word_hashes
+from tracefold.llm.common import bound_batches, fresh, gram_hashes, mix, portions, word_hashes
 
 WINDOW = 20
 GRAM = 5
 HASH_BYTES = 6
+STRETCH = 1 << 22  # characters within which a repeat becomes a flag at once
 MOST_WINDOWS = 64  # in a row: the bits of a long
 
 
@@ -89,12 +90,13 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     """doc_id, tie (a hash of the text) and for each document that repeats anything its runs of windows:
     array of (start, n, bits), where n > 0 is that many windows from start on and n = 0 those of the bits set."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    bound_batches(docs)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch.column(2).to_pylist()]
             ids = batch.column(0).to_pylist()
-            for part in portions(texts):
+            for part in portions(texts, STRETCH):
                 if (got := _window_rows(texts[part], ids[part], window)) is None:
                     continue
                 doc, start, length, anchor, stored, flag_doc, flag_start, flag_length = got

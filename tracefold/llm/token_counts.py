@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import codepoints, scratch, slice_hashes
+from tracefold.llm.common import bound_batches, codepoints, scratch, slice_hashes
 from tracefold.llm.pieces import default_tokenizer, piece_table, plain_parts, pretokens
 
 MOST_BROADCAST = 500_000
@@ -78,11 +78,12 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, id_col: str = "d
     """(doc_id, n_bytes, n_tokens) for every row of docs."""
     path = tokenizer or default_tokenizer()
     spark = docs.sparkSession
+    bound_batches(docs)
     counts = scratch(frequent_pretokens(docs, text_col), "pretokens")
-    frequent = most_frequent(counts, most_broadcast).mapInArrow(_pieces_of(path), "hash long, pieces long").toPandas()
-    keys = frequent["hash"].to_numpy(np.int64).view(np.uint64)
+    frequent = most_frequent(counts, most_broadcast).mapInArrow(_pieces_of(path), "hash long, pieces long").toArrow()
+    keys = frequent["hash"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order], frequent["pieces"].to_numpy(np.int64)[order].astype(np.uint32)))
+    shared = spark.sparkContext.broadcast((keys[order], frequent["pieces"].to_numpy()[order].astype(np.uint32)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(path)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import mix, scratch, scratch_dir
+from tracefold.llm.common import bound_batches, mix, scratch, scratch_dir
 from tracefold.llm.pieces import END_ID, default_tokenizer, encode, piece_table
 
 BLOCK_BYTES = 1 << 16
@@ -179,6 +179,7 @@ class ShardReader:
 def write_shards(docs: DataFrame, directory: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
     """Writes the shards and returns their table: shard (in key order), path, n_docs, n_tokens."""
     path = tokenizer or default_tokenizer()
+    bound_batches(docs)
     shards = max(1, math.ceil(docs.count() / docs_per_shard))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

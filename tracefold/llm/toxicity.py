@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tracefold.llm.common import chunks, codepoints, prefix_sums, scratch, slice_hashes
+from tracefold.llm.common import bound_batches, chunks, codepoints, prefix_sums, scratch, slice_hashes
 
 MOST_ROWS = 20_000
 MOST_TERMS = 2_000
@@ -177,20 +177,22 @@ def text_features(texts: list[str], keys: np.ndarray, weights: np.ndarray) -> np
 def with_features(docs: DataFrame, lexicon: tuple[np.ndarray, np.ndarray], text_col: str, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs and last `features`, a vector."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    bound_batches(docs)
     kept = docs.select(*(F.col(f"`{c}`") for c in keep))
     name = "features"
     while name in {c.lower() for c in keep}:
         name += "_"
-    where = len(keep)
+    where = keep.index(text_col) if text_col in keep else len(keep)
+    count = len(keep)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = text_features([x or "" for x in batch.column(where).to_pylist()], *shared.value)
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * len(FEATURES)), pa.array(made.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(where)), vectors], [*keep, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(count)), vectors], [*keep, name])
 
     schema = StructType([*kept.schema.fields, StructField(name, ArrayType(DoubleType()))])
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").alias(f"{name}_text"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), *([] if text_col in keep else [F.col(f"`{text_col}`").alias(f"{name}_text")]))
     return rows.mapInArrow(features, schema).withColumn(name, array_to_vector(name))
 
 
@@ -221,21 +223,21 @@ class ToxicityModel:
         scored = self.trees.transform(made.where("fold = 1")).select("label", vector_to_array("probability")[1].alias("raw"))
         self.calibration = IsotonicRegression(featuresCol="raw", labelCol="label").fit(scored) if not scored.isEmpty() else None
 
-    def score(self, docs: DataFrame, text_col: str = "text", name: str = "score") -> DataFrame:
-        """docs without the text but with the score as its last column."""
-        keep = [c for c in docs.columns if c != text_col]
+    def score(self, docs: DataFrame, text_col: str = "text", name: str = "score", keep_text: bool = False) -> DataFrame:
+        """docs, without the text unless keep_text, with the score as its last column."""
+        keep = [c for c in docs.columns if keep_text or c != text_col]
         if self.constant is not None:
             return docs.select(*(F.col(f"`{c}`") for c in keep), F.lit(float(self.constant)).alias(name))
         got = with_features(docs, self.lexicon, text_col, keep)
         vector = got.columns[-1]
         model = self.trees.copy().setFeaturesCol(vector)
-        model.setPredictionCol("toxicity_tree_class").setRawPredictionCol("toxicity_tree_raw").setProbabilityCol("toxicity_tree_probability")
-        got = model.transform(got).withColumn("toxicity_raw", vector_to_array("toxicity_tree_probability")[1])
-        if self.calibration is None:
-            value = F.col("toxicity_raw")
-        else:
-            got = self.calibration.copy().setFeaturesCol("toxicity_raw").setPredictionCol("toxicity_even").transform(got)
-            value = 0.999 * F.col("toxicity_even") + 0.001 * F.col("toxicity_raw")
+        raw, even, chance = (f"{vector}_{x}" for x in ("raw", "even", "chance"))
+        model.setPredictionCol(f"{vector}_class").setRawPredictionCol(f"{vector}_sums").setProbabilityCol(chance)
+        got = model.transform(got).withColumn(raw, vector_to_array(chance)[1])
+        value = F.col(raw)
+        if self.calibration is not None:
+            got = self.calibration.copy().setFeaturesCol(raw).setPredictionCol(even).transform(got)
+            value = 0.999 * F.col(even) + 0.001 * F.col(raw)
         return got.select(*(F.col(f"`{c}`") for c in keep), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)).alias(name))
 
 
@@ -250,8 +252,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows scored at the threshold or above."""
     model = ToxicityModel(docs, labels, id_col, text_col)
-    copy = "toxicity_text"
-    while copy in {c.lower() for c in docs.columns}:
-        copy += "_"
-    got = model.score(docs.withColumn(copy, F.col(f"`{text_col}`")), text_col=copy, name="toxicity_score")
+    got = model.score(docs, text_col=text_col, name="toxicity_score", keep_text=True)
     return got.where(F.col("toxicity_score") < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
