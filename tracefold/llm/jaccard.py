@@ -6,8 +6,8 @@ least SHARED shingles (all, if they are smaller) among the first n - ceil(t n) +
 out of nearly all prefixes. Any order gives the same links; this one keeps the posting lists short.
 
 1. Documents with one set are one vertex. Vertices with the same prefix and size are one group.
-2. Groups meet at shared prefix shingles. In a round of leaders every group meets only the leader of each posting list
-   and size band, and every member its group's leader, which is linear; pairs that share enough of their prefixes are
+2. Groups meet at shared prefix shingles. In a round of leaders every group meets only LEADERS of each posting list
+   and size band, and every member those of its group, which is linear; pairs that share enough of their prefixes are
    verified on whole sets. Links found contract to components. There is no such round if the pairs are few anyway (up to
    PAIRS_PER_POSTING for each posting), and another one while the last has halved the pairs left.
 3. The last round meets all groups of a list, unless all their members are of one component, expands the pairs of
@@ -38,7 +38,8 @@ from tracefold.llm.common import bound_batches, gram_hashes, mix, portions, scra
 from tracefold.llm.components import components
 
 MOST_FREQUENT = 1_000_000
-MOST_ROUNDS = 6
+MOST_ROUNDS = 4
+LEADERS = 3  # of each posting list in a round
 PAIRS_PER_POSTING = 8
 STRETCH = 1 << 23  # characters within which a repeated shingle counts as frequent
 SHARED = 4
@@ -195,18 +196,22 @@ def _sharing(num: int, den: int) -> str:
 
 def _leader_pairs(lists: DataFrame, state: DataFrame, spread: DataFrame, num: int, den: int, turn: int) -> DataFrame:
     """Pairs (a, b) of vertices of different components: members with their group's leader, groups with their lists' leader."""
+    seeds = [LEADERS * turn + i for i in range(LEADERS)]
+    leaders = lambda key, row: F.array_distinct(F.array(*(F.min_by(row, F.xxhash64(key, F.lit(s))) for s in seeds)))
     open_groups = spread.where("lo <> hi").select("group")
     members = state.join(open_groups, "group", "left_semi")
-    first = members.groupBy("group").agg(F.min_by(F.struct("v", "component"), F.xxhash64("v", F.lit(turn))).alias("x")).select("group", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"))
+    first = members.groupBy("group").agg(leaders("v", F.struct("v", "component")).alias("x")).select("group", F.explode("x").alias("x")).select("group", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"))
     inside = members.join(first, "group").where("of_a <> component").select("a", F.col("v").alias("b"))
     stand = state.groupBy("group", "component").agg(F.min("v").alias("v"))
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).cast("int").alias("band")
     at = lists.join(stand, "group").select("shingle", band, "n", "v", "component")
-    lead = at.groupBy("shingle", "band").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "component", "n")).alias("x"))
+    lead = at.groupBy("shingle", "band").agg(leaders("v", F.struct("v", "component", "n")).alias("x"), F.count(F.lit(1)).alias("members")).where("members > 1").select("shingle", "band", F.explode("x").alias("x"))
     lead = lead.select("shingle", "band", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"), F.col("x.n").alias("m"))
     met = at.withColumnRenamed("v", "b").join(lead, ["shingle", "band"]).where(f"of_a <> component and {den} * least(n, m) >= {num} * greatest(n, m)")
     counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(_sharing(num, den))
-    return inside.union(counted.groupBy("b").agg(F.max_by("a", "c").alias("a")).select("a", "b"))
+    # of a vertex's leaders, at most a few for each of its lists, those that share most
+    best = counted.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "a")), asc=False), 1, LEADERS).alias("x")).select("b", F.explode("x").alias("x"))
+    return inside.union(best.select(F.col("x.a").alias("a"), "b"))
 
 
 def _all_pairs(lists: DataFrame, state: DataFrame, spread: DataFrame, num: int, den: int, turn: int) -> DataFrame:
