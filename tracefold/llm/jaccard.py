@@ -13,6 +13,10 @@ out of nearly all prefixes. Any order gives the same links; this one keeps the p
 3. The last round meets all groups of a list, unless all their members are of one component, expands the pairs of
    groups that share enough to members of different components, and verifies them. So no link between components is lost,
    and a group of near copies costs no square.
+   Joins of pairs hold the signatures of both sides against each other: SIGNATURE bits with the parity of the shingles that
+   fall on each. Signatures of sets that differ in d shingles differ in d bits at most, so a pair whose signatures differ in
+   more than the similarity allows is no link and leaves the join as no row. A group of several members has none, its
+   members do.
 4. Documents get the least id of their component.
 
 Whole sets are made only for vertices of a pair to verify; a bitmap of at most BITMAP_BITS bits, broadcast, keeps other
@@ -45,6 +49,7 @@ STRETCH = 1 << 23  # characters within which a repeated shingle counts as freque
 SHARED = 4
 BITMAP_BITS = 1 << 24
 CONTENT_BYTES = 6
+SIGNATURE = 256  # bits; a multiple of 64
 
 
 def shingle_sets(texts: list[str], k: int, most: int = STRETCH // 4) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -103,6 +108,19 @@ def _digests(values: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
     return mix(mix(prefix[bounds[1:]] - prefix[bounds[:-1]]) + np.diff(bounds).astype(np.uint64))
 
 
+def _signatures(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """For each set the parity of its shingles on SIGNATURE bits, as an array of longs."""
+    out = np.zeros((len(bounds) - 1, SIGNATURE // 64), dtype=np.int64)
+    for a in range(0, len(out), 4096):  # bounded, however many short texts there are
+        b = min(a + 4096, len(out))
+        owner = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+        bit = (values[bounds[a] : bounds[b]] >> np.uint64(32)).astype(np.int64) % SIGNATURE
+        odd = (np.bincount(owner * SIGNATURE + bit, minlength=(b - a) * SIGNATURE) & 1).astype(np.uint8)
+        out[a:b] = np.packbits(odd, bitorder="little").view("<i8").reshape(b - a, -1)
+    offsets = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+
+
 def _ranks(values: np.ndarray, keys: np.ndarray, ranks: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     """The rank of each frequent shingle, 0 for others; the bitmap of the keys' low bits spares most lookups."""
     out = np.zeros(len(values), dtype=np.uint32)
@@ -146,15 +164,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(_digests(values, bounds, 1).view(np.int64)), pa.array(group.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(prefix.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(prefix.view(np.int64))), _signatures(values, bounds),
                     ],
-                    ["doc_id", "n", "v", "group", "prefix"],
+                    ["doc_id", "n", "v", "group", "prefix", "bits"],
                 )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = scratch(rows.mapInArrow(prefixes, f"doc_id {id_type}, n long, v long, `group` long, prefix array<long>"), "prefixes")
+    found = scratch(rows.mapInArrow(prefixes, f"doc_id {id_type}, n long, v long, `group` long, prefix array<long>, bits array<long>"), "prefixes")
     some = found.where("n > 0")
-    vertices = scratch(some.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("group").alias("group")), "vertices")
+    vertices = scratch(some.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("group").alias("group"), F.first("bits").alias("bits")), "vertices")
     groups = some.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = groups.select("group", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("shingle"))
     lists = scratch(postings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("c > 1").drop("c"), "lists")
@@ -162,9 +180,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few, before = PAIRS_PER_POSTING * lists.count() + 1_000_000, float("inf")
     for turn in range(MOST_ROUNDS + 1):
         state = vertices if labels is None else vertices.join(labels, "v", "left")
-        state = state.select("v", "n", "group", (F.col("v") if labels is None else F.coalesce("component", "v")).alias("component"))
+        state = state.select("v", "n", "group", "bits", (F.col("v") if labels is None else F.coalesce("component", "v")).alias("component"))
         state = scratch(state, "state")
-        spread = scratch(state.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")), "spread")
+        spread = state.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), F.first("bits").alias("bits"))
+        spread = scratch(spread.withColumn("bits", F.when(F.col("members") == 1, F.col("bits"))), "spread")
         left = _pairs_left(lists, spread)
         last = turn == MOST_ROUNDS or left <= few or left > before / 2
         before = left
@@ -194,20 +213,27 @@ def _sharing(num: int, den: int) -> str:
     return f"c >= least({SHARED}, {part('n')}, {part('m')}) and (c + greatest({beyond('n')}, {beyond('m')})) * {num + den} >= {num} * (n + m)"
 
 
+def _near(x: str, y: str, total: str, num: int, den: int) -> str:
+    """Signatures x and y differ in no more bits than sets of so many shingles in total may differ; true without one of them."""
+    differ = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(SIGNATURE // 64))
+    return f"({x} is null or {y} is null or ({differ}) * {num + den} <= ({total}) * {den - num})"
+
+
 def _leader_pairs(lists: DataFrame, state: DataFrame, spread: DataFrame, num: int, den: int, turn: int) -> DataFrame:
     """Pairs (a, b) of vertices of different components: members with their group's leader, groups with their lists' leader."""
     seeds = [LEADERS * turn + i for i in range(LEADERS)]
     leaders = lambda key, row: F.array_distinct(F.array(*(F.min_by(row, F.xxhash64(key, F.lit(s))) for s in seeds)))
     open_groups = spread.where("lo <> hi").select("group")
     members = state.join(open_groups, "group", "left_semi")
-    first = members.groupBy("group").agg(leaders("v", F.struct("v", "component")).alias("x")).select("group", F.explode("x").alias("x")).select("group", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"))
-    inside = members.join(first, "group").where("of_a <> component").select("a", F.col("v").alias("b"))
-    stand = state.groupBy("group", "component").agg(F.min("v").alias("v"))
+    first = members.groupBy("group").agg(leaders("v", F.struct("v", "component", "bits")).alias("x")).select("group", F.explode("x").alias("x"))
+    first = first.select("group", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"), F.col("x.bits").alias("bits_a"))
+    inside = members.join(first, "group").where(f"of_a <> component and {_near('bits', 'bits_a', '2 * n', num, den)}").select("a", F.col("v").alias("b"))
+    stand = state.groupBy("group", "component").agg(F.min_by(F.struct("v", "bits"), "v").alias("x")).select("group", "component", "x.v", "x.bits")
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).cast("int").alias("band")
-    at = lists.join(stand, "group").select("shingle", band, "n", "v", "component")
-    lead = at.groupBy("shingle", "band").agg(leaders("v", F.struct("v", "component", "n")).alias("x"), F.count(F.lit(1)).alias("members")).where("members > 1").select("shingle", "band", F.explode("x").alias("x"))
-    lead = lead.select("shingle", "band", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"), F.col("x.n").alias("m"))
-    met = at.withColumnRenamed("v", "b").join(lead, ["shingle", "band"]).where(f"of_a <> component and {den} * least(n, m) >= {num} * greatest(n, m)")
+    at = lists.join(stand, "group").select("shingle", band, "n", "v", "component", "bits")
+    lead = at.groupBy("shingle", "band").agg(leaders("v", F.struct("v", "component", "n", "bits")).alias("x"), F.count(F.lit(1)).alias("members")).where("members > 1").select("shingle", "band", F.explode("x").alias("x"))
+    lead = lead.select("shingle", "band", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"), F.col("x.n").alias("m"), F.col("x.bits").alias("bits_a"))
+    met = at.withColumnRenamed("v", "b").join(lead, ["shingle", "band"]).where(f"of_a <> component and {den} * least(n, m) >= {num} * greatest(n, m) and {_near('bits', 'bits_a', 'n + m', num, den)}")
     counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(_sharing(num, den))
     # of a vertex's leaders, at most a few for each of its lists, those that share most
     best = counted.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "a")), asc=False), 1, LEADERS).alias("x")).select("b", F.explode("x").alias("x"))
@@ -216,17 +242,18 @@ def _leader_pairs(lists: DataFrame, state: DataFrame, spread: DataFrame, num: in
 
 def _all_pairs(lists: DataFrame, state: DataFrame, spread: DataFrame, num: int, den: int, turn: int) -> DataFrame:
     """All pairs (a, b) of vertices of different components that share enough prefix shingles."""
-    members = state.select("group", "v", "component")
+    members = state.select("group", "v", "component", "n", "bits")
     open_groups = spread.where("lo <> hi").select("group")
-    other = members.select("group", F.col("v").alias("a"), F.col("component").alias("of_a"))
-    inside = members.join(open_groups, "group", "left_semi").join(other, "group").where("of_a < component").select("a", F.col("v").alias("b"))
-    at = lists.join(spread.select("group", "lo", "hi"), "group")
+    other = members.select("group", F.col("v").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("m"), F.col("bits").alias("bits_a"))
+    near = _near("bits", "bits_a", "n + m", num, den)
+    inside = members.join(open_groups, "group", "left_semi").join(other, "group").where(f"of_a < component and {near}").select("a", F.col("v").alias("b"))
+    at = lists.join(spread.select("group", "lo", "hi", "bits"), "group")
     apart = at.groupBy("shingle").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y").select("shingle")
     at = scratch(at.join(apart, "shingle", "left_semi"), "apart")
-    left = at.select("shingle", F.col("group").alias("g"), F.col("n").alias("m"), F.col("lo").alias("lo_g"), F.col("hi").alias("hi_g"))
-    met = at.join(left, "shingle").where(f"`group` < g and {den} * least(n, m) >= {num} * greatest(n, m) and not (lo = hi and lo_g = hi_g and lo = lo_g)")
+    left = at.select("shingle", F.col("group").alias("g"), F.col("n").alias("m"), F.col("lo").alias("lo_g"), F.col("hi").alias("hi_g"), F.col("bits").alias("bits_a"))
+    met = at.join(left, "shingle").where(f"`group` < g and {den} * least(n, m) >= {num} * greatest(n, m) and not (lo = hi and lo_g = hi_g and lo = lo_g) and {near}")
     counted = met.groupBy("group", "g").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(_sharing(num, den))
-    expanded = counted.select("group", "g").join(members, "group").join(other.withColumnRenamed("group", "g"), "g").where("component <> of_a")
+    expanded = counted.select("group", "g").join(members, "group").join(other.withColumnRenamed("group", "g"), "g").where(f"component <> of_a and {near}")
     return inside.union(expanded.select("a", F.col("v").alias("b")))
 
 
