@@ -15,8 +15,8 @@ out of nearly all prefixes. Any order gives the same links; this one keeps the p
    and a group of near copies costs no square.
    Joins of pairs hold the signatures of both sides against each other: SIGNATURE bits with the parity of the shingles that
    fall on each. Signatures of sets that differ in d shingles differ in d bits at most, so a pair whose signatures differ in
-   more than the similarity allows is no link and leaves the join as no row. A group of several members has none, its
-   members do.
+   more than the similarity allows is no link and leaves the join as no row. A group of several members has none (its
+   members do), nor has one in a list of at most SHORT groups.
 4. Documents get the least id of their component.
 
 Whole sets are made only for vertices of a pair to verify; a bitmap of at most BITMAP_BITS bits, broadcast, keeps other
@@ -50,6 +50,7 @@ SHARED = 4
 BITMAP_BITS = 1 << 24
 CONTENT_BYTES = 6
 SIGNATURE = 256  # bits; a multiple of 64
+SHORT = 16  # a posting list of no more groups goes without signatures, which saves disk and costs few pairs
 
 
 def shingle_sets(texts: list[str], k: int, most: int = STRETCH // 4) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -175,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vertices = scratch(some.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("group").alias("group"), F.first("bits").alias("bits")), "vertices")
     groups = some.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = groups.select("group", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("shingle"))
-    lists = scratch(postings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("c > 1").drop("c"), "lists")
+    lists = scratch(postings.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("met > 1").withColumn("long", F.col("met") > SHORT).drop("met"), "lists")
     links = labels = None
     few, before = PAIRS_PER_POSTING * lists.count() + 1_000_000, float("inf")
     for turn in range(MOST_ROUNDS + 1):
@@ -230,7 +231,8 @@ def _leader_pairs(lists: DataFrame, state: DataFrame, spread: DataFrame, num: in
     inside = members.join(first, "group").where(f"of_a <> component and {_near('bits', 'bits_a', '2 * n', num, den)}").select("a", F.col("v").alias("b"))
     stand = state.groupBy("group", "component").agg(F.min_by(F.struct("v", "bits"), "v").alias("x")).select("group", "component", "x.v", "x.bits")
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).cast("int").alias("band")
-    at = lists.join(stand, "group").select("shingle", band, "n", "v", "component", "bits")
+    signature = F.when(F.col("long"), F.col("bits")).alias("bits")
+    at = lists.join(stand, "group").select("shingle", band, "n", "v", "component", signature)
     lead = at.groupBy("shingle", "band").agg(leaders("v", F.struct("v", "component", "n", "bits")).alias("x"), F.count(F.lit(1)).alias("members")).where("members > 1").select("shingle", "band", F.explode("x").alias("x"))
     lead = lead.select("shingle", "band", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"), F.col("x.n").alias("m"), F.col("x.bits").alias("bits_a"))
     met = at.withColumnRenamed("v", "b").join(lead, ["shingle", "band"]).where(f"of_a <> component and {den} * least(n, m) >= {num} * greatest(n, m) and {_near('bits', 'bits_a', 'n + m', num, den)}")
@@ -247,7 +249,7 @@ def _all_pairs(lists: DataFrame, state: DataFrame, spread: DataFrame, num: int,
     other = members.select("group", F.col("v").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("m"), F.col("bits").alias("bits_a"))
     near = _near("bits", "bits_a", "n + m", num, den)
     inside = members.join(open_groups, "group", "left_semi").join(other, "group").where(f"of_a < component and {near}").select("a", F.col("v").alias("b"))
-    at = lists.join(spread.select("group", "lo", "hi", "bits"), "group")
+    at = lists.join(spread.select("group", "lo", "hi", "bits"), "group").select("shingle", "group", "n", "lo", "hi", F.when(F.col("long"), F.col("bits")).alias("bits"))
     apart = at.groupBy("shingle").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y").select("shingle")
     at = scratch(at.join(apart, "shingle", "left_semi"), "apart")
     left = at.select("shingle", F.col("group").alias("g"), F.col("n").alias("m"), F.col("lo").alias("lo_g"), F.col("hi").alias("hi_g"), F.col("bits").alias("bits_a"))
