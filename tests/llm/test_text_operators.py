@@ -201,11 +201,25 @@ def jaccard_by_hand(rows, k, t):
 def test_near_duplicates(spark, monkeypatch, k, t, pairs):
     if not pairs:  # rounds of leaders even where there are few pairs
         monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", -1_000_000)
+        monkeypatch.setattr(jaccard, "SHORT", 0)  # signatures in all lists
     df = documents(spark)
     got = Counter(map(tuple, jaccard.near_duplicates(df, k=k, similarity=t, most_frequent=50).collect()))
     assert got == jaccard_by_hand(rows_of(df), k, t)
 
 
+def test_signatures_differ_in_no_more_bits_than_sets_in_shingles():
+    words = [f"w{i}" for i in range(60)]
+    texts = ["", "one", " ".join(words), " ".join(words[:30] + ["new"] + words[31:]), " ".join(words[:10] * 200), " ".join(f"x{i}" for i in range(3000))]
+    ((_, values, bounds),) = jaccard.shingle_sets(texts, 3)
+    sets = [set(values[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    bits = [sum((x & (1 << 64) - 1) << 64 * i for i, x in enumerate(row)) for row in jaccard._signatures(values, bounds).to_pylist()]
+    assert bits[0] == 0
+    for x, p in zip(sets, bits, strict=True):
+        for y, q in zip(sets, bits, strict=True):
+            assert (p ^ q).bit_count() <= len(x ^ y)
+    assert len(sets[2] ^ sets[3]) == 6 and (bits[2] ^ bits[3]).bit_count() in (2, 4, 6)
+
+
 def test_substring(spark):
     df = documents(spark)
     rows = rows_of(df)
