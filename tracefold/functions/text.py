@@ -173,9 +173,14 @@ def decoded(c: Column, rounds: int = 3) -> Column:
     return c
 
 
+def canonical_text(c: Column) -> Column:
+    """Decoded up to three times, lookups and comments undone."""
+    return F.regexp_replace(deobfuscate(decoded(F.coalesce(c, F.lit("")))), r"(?d)/\*.*?\*/", " ")
+
+
 def canonical(c: Column) -> Column:
-    """Decoded up to three times, lookups and comments undone, and once more without white space."""
-    out = F.regexp_replace(deobfuscate(decoded(F.coalesce(c, F.lit("")))), r"(?d)/\*.*?\*/", " ")
+    """Canonical text, and once more without white space."""
+    out = canonical_text(c)
     return F.concat(out, F.lit(" "), F.regexp_replace(out, r"(?U)\s+", ""))
 
 

@@ -150,10 +150,95 @@ def without_hints(df: DataFrame) -> DataFrame:
     return df.withColumns({"semantic_tokens": F.array().cast("array<string>")} | {c: F.lit(0) for c in hints})
 
 
-def bag(df: DataFrame) -> DataFrame:
-    """df with `bag`: weighted tokens of meaning, signals and text."""
-    signals = F.filter(F.array(*(F.when(F.col(c) > 0, F.lit(c)) for c in SIGNALS if c in df.columns)), lambda x: x.isNotNull())
-    return df.withColumn("bag", F.concat(weighted(F.col("semantic_tokens"), 8), weighted(signals, 6), weighted(T.lexical_tokens(F.lower("request_text")), 1, 256)))
+# Families of payloads and weights of tokens; everything else counts once.
+FAMILIES = {
+    "payload_sql": r"(?i)(?:\bunion\b\s+\bselect\b|\bselect\b.+\bfrom\b|\bor\b\s+['\"]?\w+['\"]?\s*=\s*['\"]?\w+['\"]?|\bor\b\s+1\s*=\s*1|--|/\*)",
+    "payload_traversal": r"(?i)(?:\.\./|\.\.\\|%2e%2e|/etc/passwd|windows\\win\.ini)",
+    "payload_xss": r"(?i)(?:<script|<svg|java\s*script\s*:|javascript\s*:|onerror\s*=|onload\s*=|alert\s*\(|confirm\s*\()",
+    "payload_log4j": T.LOG4J,
+    "payload_rce": T.RCE,
+    "payload_log_forging": T.LOG_FORGING,
+}
+FAMILY_WEIGHT, IMPACT_WEIGHT = 8, 4
+SEMANTIC_WEIGHTS = {"attack_sql": 10, "attack_log_forging": 10, "attack_traversal": 8, "attack_xss": 8, "attack_log4j": 8, "attack_rce": 8}
+IMPACTS = [f"suspicious_request_got_{k}xx" for k in (2, 4, 5)] + [f"{k}_request_got_2xx" for k in ("sql", "traversal", "xss", "log4j", "rce", "log_forging", "auth_or_cookie")]
+REQUEST_FLAGS = [
+    *(f"request_method_is_{m.lower()}" for m in METHODS), "request_method_is_uncommon", "request_host_is_ip", *(f"request_path_has_template_{k}" for k in ("num", "hex", "token")),
+    *(f"request_has_{k}" for k in ("cookie", "authorization", "forwarded_for", "content_type", "json_content_type")), "parse_status_ok", "path_percent_decoded", "body_percent_decoded", "body_multiline", *SIGNALS,
+]
+RESPONSE_FLAGS = [
+    *(f"response_status_is_{k}xx" for k in (2, 3, 4, 5)), "response_has_error_keyword", "response_is_json_like", "response_has_body", "response_content_type_is_json",
+    "response_contains_log4j", "response_header_contains_log4j", "response_body_contains_log4j", *IMPACTS,
+]
+FLAG_WEIGHTS = {k: 6 for k in SIGNALS} | {"request_contains_log_forging": 8} | {k: 3 for k in IMPACTS if not k.startswith(("suspicious", "auth"))}
+# Names of the fields in tokens, and the columns that hold them here.
+PAYLOAD_FIELDS = {"path": "path_normalized", "request_body": "body_normalized", "body_raw": "request_body", "body_normalized": "body_normalized", "request_header_values": "request_header_values", "user_agent": "user_agent"}
+MOST_PAYLOAD_TOKENS = 256
+
+
+def context_tokens() -> Column:
+    path, template, query = (F.lower(F.coalesce(c, F.lit(""))) for c in ("path_normalized", "path_template", "query_string"))
+    rules = {
+        "docs": path.startswith("/docs/") | template.contains("/docs/"), "search": path.contains("/search") | query.contains("q="), "static": path.startswith("/static/"),
+        "auth": path.contains("/login") | path.contains("auth") | path.contains("profile"), "api": path.startswith("/api/"),
+    }
+    return F.filter(F.array(*(F.when(rule, F.lit(f"context:{k}")) for k, rule in rules.items())), lambda x: x.isNotNull())
+
+
+def payload_tokens(most: int = MOST_PAYLOAD_TOKENS) -> Column:
+    """Families of the whole payload, then the words of each query value and field, 32 a value; `most` of all of these in order."""
+    headers = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("headers_filtered"))))
+    parts = [F.col(c) for c in ("path_normalized", "url", "query_string", "body_normalized", "request_body", "body_normalized", "request_header_values")] + [headers, F.col("user_agent")]
+    payload = T.canonical_text(F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " "))
+    families = F.flatten(F.array(*(F.array_repeat(F.lit(f"family:{k}"), F.when(payload.rlike(T.java(p)), FAMILY_WEIGHT).otherwise(0)) for k, p in FAMILIES.items())))
+
+    def words(prefix: Column, value: Column) -> Column:
+        found = T.lexical_tokens(F.lower(T.canonical_text(value)))
+        return F.flatten(F.transform(found, lambda t: F.array(F.concat(prefix, t), F.concat(F.lit("payload_token:"), t))))
+
+    def of_pair(pair: Column) -> Column:
+        key = F.lower(T.unquote(F.regexp_extract(pair, "^([^=]*)", 1)))
+        return words(F.concat(F.lit("query_value:"), key, F.lit(":")), T.unquote(F.regexp_extract(pair, "^[^=]*=?([\\s\\S]*)$", 1)))
+
+    values = F.flatten(F.transform(F.filter(F.split(F.coalesce("query_string", F.lit("")), "&"), lambda x: x != ""), of_pair))
+    fields = [words(F.lit(f"{name}:"), F.col(c)) for name, c in PAYLOAD_FIELDS.items()]
+    return F.slice(F.concat(families, values, *fields), 1, most)
+
+
+def response_tokens() -> Column:
+    """What came of the request: class of the status, outcome, impacts; needs impact_features."""
+    status = F.col("status_code")
+    outcome = F.when(status.between(200, 299), "outcome:accepted").when(status.between(400, 499), "outcome:blocked").when(status.between(500, 599), "outcome:errored")
+    family = F.when(status.between(200, 599), F.concat(F.lit("response_status_family:"), F.floor(status / 100).cast("string"), F.lit("xx")))
+    impacts = (F.when(F.col(c) == 1, F.array_repeat(F.lit(f"impact:{c}"), IMPACT_WEIGHT)) for c in IMPACTS)
+    return F.flatten(F.filter(F.array(F.array(family), F.array(outcome), *impacts), lambda x: x.isNotNull()))
+
+
+def bag(df: DataFrame, response_context: bool = False) -> DataFrame:
+    """df with `bag`: weighted tokens of fields, contexts, payloads, meaning and flags; with the answer's too if `response_context`.
+
+    df: normalized rows with request_features; with features() for the answer's. Flags whose columns are missing count as not set.
+    """
+    c = F.col
+    single = [F.when(T.strip(c(k)) != "", F.concat(F.lit(f"{k}:"), F.lower(T.strip(c(k))))) for k in ("method", "host", "path_template", "content_type")]
+    names = {"query_key_set": c("query_key_set"), "request_header_names": F.array_sort(F.map_keys("request_headers"))}
+    prefixed = lambda k, a: F.transform(a, lambda x: F.concat(F.lit(f"{k}:"), x))
+    lists = [prefixed(k, T.tokens(F.lower(F.array_join(v, " ")))) for k, v in names.items()]
+    plain = [F.array(*single), *lists, context_tokens(), payload_tokens()]
+    derived = {"parse_status_ok": N.flag(~c("method").isin("", "UNKNOWN"))} | {k: c(f"normalization_flags.{k}") for k in ("path_percent_decoded", "body_percent_decoded", "body_multiline")}
+    flags = REQUEST_FLAGS
+    if response_context:
+        plain.append(response_tokens())
+        flags = flags + RESPONSE_FLAGS
+        answer = F.coalesce(c("response_headers")["content-type"], c("content_type"))
+        derived["response_content_type_is_json"] = F.lower(answer).contains("json").cast("int")
+    value = {k: c(k) if k in df.columns else derived[k] for k in flags if k in df.columns or k in derived}
+    token = lambda t, w: F.struct(t.alias("token"), w.cast("double").alias("weight"))
+    known = F.create_map(*(F.lit(x) for kv in SEMANTIC_WEIGHTS.items() for x in kv))
+    semantic = F.transform("semantic_tokens", lambda t: token(t, F.coalesce(known[t], F.lit(1))))
+    flagged = F.filter(F.array(*(F.when(v == 1, token(F.lit(f"flag:{k}"), F.lit(FLAG_WEIGHTS.get(k, 1)))) for k, v in value.items())), lambda x: x.isNotNull())
+    words = F.filter(F.concat(*plain), lambda x: x.isNotNull())
+    return df.withColumn("bag", F.concat(weighted(words, 1), semantic, flagged))
 
 
 def leaks(df: DataFrame, allowed: tuple[str, ...] = ("response_status_is_2xx", "response_status_is_4xx", "response_status_is_5xx")) -> list[str]:
