@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracefold.functions import numbers as N
 from tracefold.functions import text as T
 from tracefold.operators import alerts, api, findings, flows, history, login, metrics, profiling, retrieval, split, tabular
+from tracefold.plans import catalogue
 from tracefold.sources import readers, sinks
 from tracefold.streaming import access_log
 
@@ -301,6 +302,14 @@ def test_bag_sees_the_whole_request(spark, tmp_path):
     assert len(payload) == 256 and {sum(t.startswith(f"query_value:k{i}:") for t in payload) for i in range(4)} == {32} and "query_value:k0:w0x32" not in payload and not any(t.startswith("query_value:k4:") for t in payload)
 
 
+def test_hashed_vectors_take_whole_documents(spark, tmp_path):
+    spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(500))), (2, "a b1 b1"), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: r for r in catalogue.QUERIES["hashed_vectors"](spark, str(tmp_path)).collect()}
+    want = spark.createDataFrame([(f"w{i}",) for i in range(500)], "t string").select(F.count_distinct(F.pmod(F.xxhash64("t"), F.lit(2048)))).collect()[0][0]
+    assert got[1].buckets == want > 400 and got[2].buckets == 1 and set(got) == {1, 2}
+    assert {len(r.tokens.split()) for r in catalogue.QUERIES["lexical_tokens"](spark, str(tmp_path)).where("doc_id = 1").collect()} == {32}
+
+
 def test_tabular(spark):
     df = spark.range(200).select((F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2 + F.rand(1)).alias("a"), F.rand(2).alias("b"), F.lit("t").alias("name"))
     assert tabular.resolve(df, metadata=["y"]) == ["a", "b"] and tabular.resolve(df, {"x": ["b", "name"]}, use=["x"], include=["a", "b"]) == ["b", "a"]

@@ -255,7 +255,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda x: x != "")
 
 
-def lexical_tokens(c: Column, most: int = 32, length: int = 48) -> Column:
-    """The first names, numbers and runs of signs, each cut to a length."""
+def lexical_tokens(c: Column, most: int | None = 32, length: int = 48) -> Column:
+    """Names, numbers and runs of signs, each cut to a length: the first `most`, or all if None.
+
+    The default is of a single value of a request; a document needs None.
+    """
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[a-zA-Z_][a-zA-Z0-9_]{1,40}|[0-9]+|[./\\$\{}:;|&`<>()='\"-]+"), F.lit(0))
-    return F.slice(F.transform(found, lambda x: F.left(x, F.lit(length))), 1, most)
+    cut = F.transform(found, lambda x: F.left(x, F.lit(length)))
+    return cut if most is None else F.slice(cut, 1, most)

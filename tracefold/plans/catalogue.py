@@ -433,7 +433,8 @@ def knn_vote(spark, sf_dir):
 
 @query()
 def hashed_vectors(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", retrieval.weighted(T.lexical_tokens(F.col("text")), 1).alias("bag"))
+    """Buckets and norm of each whole document's vector."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", retrieval.weighted(T.lexical_tokens(F.col("text"), None), 1).alias("bag"))
     return retrieval.hashed(docs, "doc_id", "bag").groupBy("id").agg(F.count(F.lit(1)).alias("buckets"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("norm"))
 
 
@@ -493,6 +494,7 @@ def value_shapes(spark, sf_dir):
 
 @query()
 def lexical_tokens(spark, sf_dir):
+    """Operator F33 as it is applied to one value of a request: the first 32 tokens, of at most 48 characters."""
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.lexical_tokens(F.col("text")), " ").alias("tokens"))
 
 
