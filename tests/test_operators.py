@@ -310,6 +310,21 @@ def test_hashed_vectors_take_whole_documents(spark, tmp_path):
     assert {len(r.tokens.split()) for r in catalogue.QUERIES["lexical_tokens"](spark, str(tmp_path)).where("doc_id = 1").collect()} == {32}
 
 
+def test_dense_rows_meet_all_references_in_blocks(spark):
+    draw = random.Random(3)
+    vectors = [[draw.gauss(0, 1) for _ in range(8)] for _ in range(90)] + [[1.0] * 8] * 30
+    refs = retrieval.dense(spark.createDataFrame([*enumerate(vectors), (500, None), (501, [float("nan")] * 8)], "n long, e array<float>"), "n", "e")
+    assert refs.count() == 120
+    rows = refs.where("id % 10 = 0")
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    vectors = [r.v for r in refs.orderBy("id").collect()]
+    want = {(i, j) for i in range(0, 120, 10) for j in sorted((j for j in range(120) if j != i), key=lambda j: (-round(cosine(vectors[i], vectors[j]), 12), j))[:7]}
+    for block in (5, 1000):
+        assert {(r.id, r.ref) for r in retrieval.nearest(rows, refs, 7, others=True, block=block).collect()} == want
+    own = retrieval.nearest(rows, refs, 1).collect()
+    assert len(own) == 12 and all(abs(r.similarity - 1) < 1e-9 for r in own)
+
+
 def test_tabular(spark):
     df = spark.range(200).select((F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2 + F.rand(1)).alias("a"), F.rand(2).alias("b"), F.lit("t").alias("name"))
     assert tabular.resolve(df, metadata=["y"]) == ["a", "b"] and tabular.resolve(df, {"x": ["b", "name"]}, use=["x"], include=["a", "b"]) == ["b", "a"]

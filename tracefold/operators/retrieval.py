@@ -1,10 +1,15 @@
 """Scores by retrieval: hashed token vectors, nearest benign reference, votes of the nearest attacks.
 
-Vectors are sparse rows (id, bucket, weight). Products are joins on the bucket, so neither side is ever a matrix in one place.
+Token vectors are sparse rows (id, bucket, weight). Their products are joins on the bucket, so neither side is ever a matrix in one place.
+Dense vectors, which would meet in every bucket, are rows (id, v) and multiplied in blocks inside tasks.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +37,60 @@ def similarities(rows: DataFrame, refs: DataFrame, on: list[str] | None = None)
     return rows.join(other, ["bucket", *on]).groupBy("id", "ref").agg(F.sum(F.col("weight") * F.col("w")).alias("similarity"))
 
 
+BLOCK = 16_384
+
+
+def dense(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v) of the rows whose vector is there and all finite."""
+    finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.where(F.col(id_col).isNotNull() & F.coalesce(finite, F.lit(False))).select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
+
+
+def _unit(vectors: pd.Series, width: int) -> np.ndarray:
+    out = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1.0)
+
+
+def nearest(rows: DataFrame, refs: DataFrame, k: int, others: bool = False, block: int = BLOCK) -> DataFrame:
+    """(id, ref, similarity): of each row the k references of the largest cosine, ties (to 12 digits) to the smaller ref.
+
+    rows, refs: as of `dense`, ids unique. `others`: a row is no reference of itself. Every row meets every reference, in tasks of a block
+    of each; only the k best of a block leave a task.
+    """
+    a, b = (max(1, math.ceil(x.count() / block)) for x in (rows, refs))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, ref {refs.schema['id'].dataType.simpleString()}, similarity double"
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            width = max(left["v"].map(len).max(), right["v"].map(len).max())
+            x, y, ids, names = _unit(left["v"], width), _unit(right["v"], width), left["id"].to_numpy(), right["ref"].to_numpy()
+            for start in range(0, len(x), 256):
+                for i, s in zip(ids[start : start + 256], np.round(x[start : start + 256] @ y.T, 12), strict=True):
+                    at = np.flatnonzero(names != i) if others else np.arange(len(names))
+                    if len(at) > k:
+                        least = np.partition(s[at], len(at) - k)[len(at) - k]
+                        at = at[s[at] >= least]
+                    at = at[np.lexsort((names[at], -s[at]))[:k]]
+                    out.append(pd.DataFrame({"id": i, "ref": names[at], "similarity": s[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "ref": [], "similarity": []}).astype({"id": left["id"].dtype, "ref": right["ref"].dtype})
+
+    left = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(a)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b"))
+    right = refs.select(F.col("id").alias("ref"), "v", F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("a"), F.pmod(F.xxhash64("id"), F.lit(b)).cast("int").alias("b"))
+    pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, schema)
+    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "ref")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+
+
+def scores(ids: DataFrame, best: DataFrame, none: bool = False) -> DataFrame:
+    """(id, nearest_benign_similarity, y_score) from best (id, s); `none`: there are no references."""
+    got = ids.join(best, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("nearest_benign_similarity"))
+    return got.withColumn("y_score", F.lit(1.0) if none else F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("nearest_benign_similarity"))))
+
+
 def nearest_benign(ids: DataFrame, rows: DataFrame, refs: DataFrame, keys: DataFrame, ref_keys: DataFrame) -> DataFrame:
     """(id, nearest_benign_similarity, y_score): against benign references of the same endpoint, against all if it has none.
 
@@ -41,10 +100,7 @@ def nearest_benign(ids: DataFrame, rows: DataFrame, refs: DataFrame, keys: DataF
     same = similarities(rows.join(known, "id"), refs.join(ref_keys, "id"), ["endpoint_key"])
     rest = similarities(rows.join(known, "id", "left_anti"), refs)
     best = same.unionByName(rest).groupBy("id").agg(F.max("similarity").alias("s"))
-    none = ref_keys.limit(1).isEmpty()
-    got = ids.join(best, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("nearest_benign_similarity"))
-    score = F.lit(1.0) if none else F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("nearest_benign_similarity")))
-    return got.withColumn("y_score", score)
+    return scores(ids, best, ref_keys.limit(1).isEmpty())
 
 
 def votes(pairs: DataFrame, types: DataFrame, k: int = 15) -> DataFrame:

@@ -399,11 +399,15 @@ def balanced_sample(spark, sf_dir):
     return split.balanced_sample(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", 100, "vec_id")
 
 
-def _sparse(df: DataFrame) -> DataFrame:
-    """Unit vectors as sparse rows."""
-    flat = df.select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("bucket", "x")).select("id", "bucket", F.col("x").cast("double").alias("weight"))
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id")))
-    return flat.withColumn("weight", F.col("weight") / norm)
+def _nearest_score(rows: DataFrame, refs: DataFrame, others: bool = False) -> DataFrame:
+    x = retrieval.dense(rows, "vec_id", "embedding")
+    best = retrieval.nearest(x, retrieval.dense(refs, "vec_id", "embedding"), 1, others).select("id", F.col("similarity").alias("s"))
+    return retrieval.scores(x.select("id"), best).select("id", r6("nearest_benign_similarity"), r6("y_score"))
+
+
+def _vote(rows: DataFrame, refs: DataFrame, others: bool = False) -> DataFrame:
+    pairs = retrieval.nearest(retrieval.dense(rows, "vec_id", "embedding"), retrieval.dense(refs, "vec_id", "embedding"), 15, others)
+    return retrieval.votes(pairs, refs.select(F.col("vec_id").alias("ref"), F.col("label").cast("string").alias("attack_type"))).select("id", "predicted_attack_type", r6("attack_similarity"))
 
 
 _V = """v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT * FROM v WHERE label = 9), b AS (SELECT * FROM v WHERE label < 5),
@@ -412,12 +416,9 @@ p AS (SELECT q.id, b.id AS ref, b.label, list_cosine_similarity(q.e, b.e) AS s F
 
 @query(f"WITH {_V} SELECT id, round(max(s), 6) AS nearest_benign_similarity, round(least(1, greatest(0, 1 - max(s))), 6) AS y_score FROM p GROUP BY id")
 def nearest_reference_score(spark, sf_dir):
+    """Rows of one label against references of five others; nearest_reference_score_all takes the whole table."""
     df = table(spark, sf_dir, "embeddings")
-    rows, refs = df.where("label = 9"), df.where("label < 5")
-    key = F.lit("all").alias("endpoint_key")
-    ids = rows.select(F.col("vec_id").alias("id"))
-    got = retrieval.nearest_benign(ids, _sparse(rows), _sparse(refs), ids.select("id", key), refs.select(F.col("vec_id").alias("id"), key))
-    return got.select("id", r6("nearest_benign_similarity"), r6("y_score"))
+    return _nearest_score(df.where("label = 9"), df.where("label < 5"))
 
 
 @query(
@@ -425,10 +426,30 @@ def nearest_reference_score(spark, sf_dir):
     SELECT id, type AS predicted_attack_type, round(score, 6) AS attack_similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, type) AS n FROM t) WHERE n = 1"""
 )
 def knn_vote(spark, sf_dir):
+    """Rows of one label against references of five others; knn_vote_all takes the whole table."""
     df = table(spark, sf_dir, "embeddings")
-    rows, refs = df.where("label = 9"), df.where("label < 5")
-    pairs = retrieval.similarities(_sparse(rows), _sparse(refs))
-    return retrieval.votes(pairs, refs.select(F.col("vec_id").alias("ref"), F.col("label").cast("string").alias("attack_type"))).select("id", "predicted_attack_type", r6("attack_similarity"))
+    return _vote(df.where("label = 9"), df.where("label < 5"))
+
+
+_ALL = """v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+p AS (SELECT q.id, b.id AS ref, b.label, list_cosine_similarity(q.e, b.e) AS s FROM v q JOIN v b ON q.id % 100 = 0 AND q.id <> b.id)"""
+
+
+@query(f"WITH {_ALL} SELECT id, round(max(s), 6) AS nearest_benign_similarity, round(least(1, greatest(0, 1 - max(s))), 6) AS y_score FROM p GROUP BY id")
+def nearest_reference_score_all(spark, sf_dir):
+    """The query set (vec_id divisible by 100) against all other rows."""
+    df = table(spark, sf_dir, "embeddings")
+    return _nearest_score(df.where("vec_id % 100 = 0"), df, others=True)
+
+
+@query(
+    f"""WITH {_ALL}, k AS (SELECT id, label, s, row_number() OVER (PARTITION BY id ORDER BY s DESC, ref) AS r FROM p), t AS (SELECT id, CAST(label AS VARCHAR) AS type, sum(greatest(s, 0)) AS score FROM k WHERE r <= 15 GROUP BY ALL)
+    SELECT id, type AS predicted_attack_type, round(score, 6) AS attack_similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, type) AS n FROM t) WHERE n = 1"""
+)
+def knn_vote_all(spark, sf_dir):
+    """The query set (vec_id divisible by 100) against all other rows."""
+    df = table(spark, sf_dir, "embeddings")
+    return _vote(df.where("vec_id % 100 = 0"), df, others=True)
 
 
 @query()
