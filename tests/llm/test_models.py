@@ -34,6 +34,20 @@ def test_top_k(spark, n, dim, tree):
     assert mtree.top_k(df.limit(0), df, k=5).count() == 0
 
 
+def test_top_k_of_more_lengths_than_pivots(spark):
+    draw = random.Random(5)
+    rows = [(n * 3 + i, [draw.uniform(-1, 1) for _ in range(n)]) for n in range(1, 301) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    asked = df.where("vec_id % 3 = 0").unionByName(spark.createDataFrame([(5000, [0.5] * 400)], df.schema))
+    got = mtree.top_k(df, asked, k=2, most_pivots=4, tree_size=2)
+    by = {r.vec_id: [int(np.floor(1024 * x)) for x in r.embedding] for r in df.collect()}
+    want = set()
+    for n in range(1, 301):
+        scores = sorted((-sum(a * b for a, b in zip(by[3 * n], by[3 * n + i], strict=True)), 3 * n + i) for i in (1, 2))
+        want |= {(3 * n, rank, i, -s) for rank, (s, i) in enumerate(scores, 1)}
+    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
+
+
 def test_a_tree_skips_most_of_clustered_data():
     rng = np.random.default_rng(1)
     vectors = (rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] * 1000 + rng.normal(size=(4000, 16))).astype(np.int64)

@@ -5,7 +5,7 @@ sqrt(M^2 - |v|^2) and a query 0; then the distance is sqrt(|q|^2 + M^2 - 2 q.v),
 the largest inner product, and the triangle inequality holds.
 
 1. At most `most_pivots` vectors (by a hash of the id; the sample is bounded and documented by that parameter) are
-   pivots. Every vector goes to its nearest pivot; a pivot's vectors are dealt to trees of about `tree_size`, so many
+   pivots; a length without one has the origin as its pivot. Every vector goes to its nearest pivot; a pivot's vectors are dealt to trees of about `tree_size`, so many
    equal vectors make more trees and no larger ones.
 2. A task builds each tree as pages: a routing vector, covering radius, distance to the parent's routing vector, and
    entries with their distances to the routing vector. Pages are a table in the shared folder.
@@ -167,7 +167,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     m2 = int(size["m2"])
     wanted = min(most_pivots, max(1, math.ceil(size["n"] / tree_size)))
-    # pivots of every length, so that each vector has one
+    # rows as pivots for at most so many lengths; any other length has the origin as its one pivot, which needs no row here
     seeds = points.select(F.size("v").alias("dim"), "v", F.xxhash64("id").alias("h"))
     chosen = seeds.orderBy("h").limit(wanted).union(seeds.groupBy("dim").agg(F.min_by("v", "h").alias("v"), F.min("h").alias("h")).select("dim", "v", "h").limit(most_pivots)).select("v").collect()
     pivots: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -175,16 +175,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         numbers, rows = pivots.get(len(v), (np.zeros(0, dtype=np.int32), np.zeros((0, len(v)), dtype=np.int64)))
         pivots[len(v)] = (np.append(numbers, np.int32(number)), np.vstack([rows, v]))
     centres = {d: (numbers, _augment(rows, m2)) for d, (numbers, rows) in pivots.items()}
+    more = len(chosen)
+
+    def centres_of(dim: int) -> tuple[np.ndarray, np.ndarray]:
+        return centres[dim] if dim in centres else (np.array([more + dim], dtype=np.int32), np.zeros((1, dim + 1)))
 
     def assign(batches):
         for batch in batches:
             lengths = batch.column(1).value_lengths().to_numpy()
             for dim in np.unique(lengths).tolist():
-                if dim not in centres:
-                    continue
                 part = batch.filter(pa.array(lengths == dim))
                 x = _augment(_matrix(part.column(1), dim), m2)
-                numbers, c = centres[dim]
+                numbers, c = centres_of(dim)
                 square = (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)
                 to = square.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(numbers[to]), pa.array(_distances(x, c[to]))], ["id", "v", "pivot", "distance"])
@@ -193,14 +195,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     stats = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius")).collect()  # a row per pivot
     radius = {r["pivot"]: r["radius"] for r in stats}
     trees = {r["pivot"]: math.ceil(r["n"] / tree_size) for r in stats}
-    tree_count = F.create_map(*(F.lit(x).cast("int") for p in trees.items() for x in p))
+
+    def per_pivot_count(counts: dict[int, int]):
+        many = [F.lit(x).cast("int") for p in counts.items() if p[1] > 1 for x in p]
+        return F.coalesce(F.create_map(*many)[F.col("pivot")], F.lit(1)) if many else F.lit(1)
+
+    tree_count = per_pivot_count(trees)
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
         pages = pd.DataFrame(build_pages(rows["id"].to_numpy(np.int64), np.stack(rows["v"].to_numpy()).astype(np.int64), m2))
         return pages.assign(pivot=key[0], tree=key[1])[[x.split()[0] for x in PAGE_SCHEMA.split(", ")]]
 
-    dealt = placed.withColumn("tree", F.pmod(F.xxhash64("id"), tree_count[F.col("pivot")]).cast("int"))
+    dealt = placed.withColumn("tree", F.pmod(F.xxhash64("id"), tree_count).cast("int"))
     pages = scratch(dealt.groupBy("pivot", "tree").applyInPandas(build, PAGE_SCHEMA), "pages")
 
     slack = 1e-7 * (1 + math.sqrt(m2))
@@ -214,11 +221,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
                 bounds = batch.column(2).to_pylist()
                 out: dict[str, list] = {"query_id": [], "v": [], "bound": [], "pivot": []}
                 for i, q in enumerate(vectors.to_pylist()):
-                    if len(q) not in centres:
-                        continue
-                    numbers, c = centres[len(q)]
+                    numbers, c = centres_of(len(q))
                     d = _distances(c, np.append(np.array(q, dtype=np.float64), 0.0))
                     used = np.array([p in radius for p in numbers.tolist()])
+                    if not used.any():  # no vector has this length
+                        continue
                     if first:
                         to = numbers[np.where(used, d, np.inf).argmin()][None]
                     else:
@@ -245,11 +252,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         blocks = {p: math.ceil(n / query_block) for p, n in per_pivot.items()}
         if not blocks:
             return spark.createDataFrame([], "query_id long, vec_id long, score long")
-        block_count = F.create_map(*(F.lit(x).cast("int") for p in blocks.items() for x in p))
-        block = F.pmod(F.xxhash64("query_id"), block_count[F.col("pivot")]).cast("int").alias("block")
-        of = F.array(F.pmod(F.xxhash64("query_id", F.lit(1)), tree_count[F.col("pivot")]).cast("int")) if one_tree else F.sequence(F.lit(0), tree_count[F.col("pivot")] - 1)
+        block_count = per_pivot_count(blocks)
+        block = F.pmod(F.xxhash64("query_id"), block_count).cast("int").alias("block")
+        of = F.array(F.pmod(F.xxhash64("query_id", F.lit(1)), tree_count).cast("int")) if one_tree else F.sequence(F.lit(0), tree_count - 1)
         left = sent.select("query_id", "v", "bound", "pivot", F.explode(of).alias("tree"), block)
-        right = pages.where(F.col("pivot").isin(list(blocks))).select(*(x.split()[0] for x in PAGE_SCHEMA.split(", ")), F.explode(F.sequence(F.lit(0), block_count[F.col("pivot")] - 1)).alias("block"))
+        right = pages.where(F.col("pivot").isin(list(blocks))).select(*(x.split()[0] for x in PAGE_SCHEMA.split(", ")), F.explode(F.sequence(F.lit(0), block_count - 1)).alias("block"))
         key = ["pivot", "tree", "block"]
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score long")
 
