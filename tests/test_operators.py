@@ -325,6 +325,20 @@ def test_dense_rows_meet_all_references_in_blocks(spark):
     assert len(own) == 12 and all(abs(r.similarity - 1) < 1e-9 for r in own)
 
 
+def test_tail_reads_lines_longer_than_its_bound(tmp_path):
+    from tracefold.sources.tail import TailReader
+
+    log = tmp_path / "log"
+    log.write_bytes(b"short\n" + b"x" * 95 + b"\nafter\n" + b"y" * 50)
+    reader, at, got = TailReader(str(log), 10), {"at": 0}, []
+    for _ in range(6):
+        rows, to = reader.read(at)
+        rows = list(rows)
+        assert rows == list(reader.readBetweenOffsets(at, to))
+        got, at = got + [x for (x,) in rows], to
+    assert got == ["short", "x" * 95, "after"] and at["at"] == 6 + 96 + 6
+
+
 def test_tabular(spark):
     df = spark.range(200).select((F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2 + F.rand(1)).alias("a"), F.rand(2).alias("b"), F.lit("t").alias("name"))
     assert tabular.resolve(df, metadata=["y"]) == ["a", "b"] and tabular.resolve(df, {"x": ["b", "name"]}, use=["x"], include=["a", "b"]) == ["b", "a"]

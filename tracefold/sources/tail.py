@@ -21,6 +21,8 @@ class TailReader(SimpleDataSourceStreamReader):
         with open(self.path, "rb") as file:
             file.seek(at)
             raw = file.read(end - at)
+            while raw and b"\n" not in raw[-(end - at) :] and (more := file.read(end - at)):  # a line longer than the bound is read to its end
+                raw += more
         whole = raw[: raw.rfind(b"\n") + 1]  # a line still being written waits
         return [(x.decode("utf-8", "replace"),) for x in whole.splitlines() if x.strip()], at + len(whole)
 
