@@ -1,20 +1,21 @@
 """What several operators share: tables, scratch tables, and hashing of code points in numpy.
 
-Scratch tables are Parquet under ``spark.checkpoint.dir`` (a folder every executor and the driver reach),
-in a folder of the application's own. They stand where a result is used twice or lineage must be cut, so a lost
-executor costs a re-read and no recomputation. ``drop_scratch`` removes those of this application.
+Scratch tables are those of `tracefold.storage`: Parquet under ``spark.checkpoint.dir``, a folder that every executor and the
+driver reach. ``storage.dropped_at_the_end`` removes them when a result has been written.
 """
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from tracefold.storage import dropped  # noqa: F401
+from tracefold.storage import shared_dir as scratch_dir  # noqa: F401
+from tracefold.storage import written as scratch  # noqa: F401
+
 CHUNK_CHARS = 1 << 19
 WORD_SPACE = "\x20\x09-\x0D"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -47,27 +48,6 @@ def every(df: DataFrame) -> list[Column]:
     return [df[f"`{x}`"] for x in df.columns]
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = _cached.setdefault("root", tempfile.mkdtemp(prefix="tracefold-"))
-    return f"{root.rstrip('/')}/tracefold-{spark.sparkContext.applicationId}"
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Writes df under the shared folder and reads it back with its own schema."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of start, start + 1, ... of each length."""
     ends = np.cumsum(lengths)

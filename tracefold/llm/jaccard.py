@@ -13,15 +13,18 @@ out of nearly all prefixes. Any order gives the same links; this one keeps the p
 3. The last round meets all groups of a list, unless all their members are of one component, expands the pairs of
    groups that share enough to members of different components, and verifies them. So no link between components is lost,
    and a group of near copies costs no square.
-   Joins of pairs hold the signatures of both sides against each other: SIGNATURE bits with the parity of the shingles that
-   fall on each. Signatures of sets that differ in d shingles differ in d bits at most, so a pair whose signatures differ in
-   more than the similarity allows is no link and leaves the join as no row. A group of several members has none (its
-   members do), nor has one in a list of at most SHORT groups.
+   A pair of groups leaves the join of lists about once, however many shingles they share, and only if it may be a link:
+   - at the first shingle that both share, what follows in either set must still reach the similarity (positions);
+   - a row is dropped if the EARLIER prefix shingles before it already meet, as the pair leaves at one of those;
+   - signatures, SIGNATURE bits with the parity of the shingles that fall on each, of sets that differ in d shingles differ
+     in d bits at most. A group of several members has the signature of one and the radius of the others around it.
+   The pairs left count what their prefixes share before any member is expanded.
 4. Documents get the least id of their component.
 
 Whole sets are made only for vertices of a pair to verify; a bitmap of at most BITMAP_BITS bits, broadcast, keeps other
 texts from being read into sets (if it fills up, more texts are, with the same result).
-Shingles and sets are told apart by 64-bit hashes: two of 10^9 different sets are confused with a chance of about 3 percent.
+Shingles are told apart by 64-bit hashes. So are sets and groups at first; the few whose digests meet by chance, seen by a second
+digest, go by that instead.
 
 Texts that are null or without words have an empty set, link with nothing, and are their own component. Texts of fewer
 words than the shingle are one shingle. Null ids take no part in the least id of a component, and a component of null ids
@@ -30,7 +33,7 @@ alone has null. Repeated rows are copies of one another. An empty table gives no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import bound_batches, gram_hashes, mix, portions, scratch, word_hashes
+from tracefold.llm.common import bound_batches, dropped, gram_hashes, mix, portions, scratch, word_hashes
 from tracefold.llm.components import components
 
 MOST_FREQUENT = 1_000_000
@@ -48,9 +51,9 @@ PAIRS_PER_POSTING = 8
 STRETCH = 1 << 23  # characters within which a repeated shingle counts as frequent
 SHARED = 4
 BITMAP_BITS = 1 << 24
-CONTENT_BYTES = 6
 SIGNATURE = 256  # bits; a multiple of 64
-SHORT = 16  # a posting list of no more groups goes without signatures, which saves disk and costs few pairs
+BITS = [f"b{i}" for i in range(SIGNATURE // 64)]
+EARLIER = ["p0", "p1"]  # of a posting, the prefix shingles just before it
 
 
 def shingle_sets(texts: list[str], k: int, most: int = STRETCH // 4) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -109,17 +112,16 @@ def _digests(values: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
     return mix(mix(prefix[bounds[1:]] - prefix[bounds[:-1]]) + np.diff(bounds).astype(np.uint64))
 
 
-def _signatures(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """For each set the parity of its shingles on SIGNATURE bits, as an array of longs."""
-    out = np.zeros((len(bounds) - 1, SIGNATURE // 64), dtype=np.int64)
+def _signatures(values: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """For each set the parity of its shingles on SIGNATURE bits, a column for each 64 of them."""
+    out = np.zeros((len(bounds) - 1, len(BITS)), dtype=np.int64)
     for a in range(0, len(out), 4096):  # bounded, however many short texts there are
         b = min(a + 4096, len(out))
         owner = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
         bit = (values[bounds[a] : bounds[b]] >> np.uint64(32)).astype(np.int64) % SIGNATURE
         odd = (np.bincount(owner * SIGNATURE + bit, minlength=(b - a) * SIGNATURE) & 1).astype(np.uint8)
         out[a:b] = np.packbits(odd, bitorder="little").view("<i8").reshape(b - a, -1)
-    offsets = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+    return [pa.array(np.ascontiguousarray(x)) for x in out.T]
 
 
 def _ranks(values: np.ndarray, keys: np.ndarray, ranks: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
@@ -165,31 +167,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(_digests(values, bounds, 1).view(np.int64)), pa.array(group.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(prefix.view(np.int64))), _signatures(values, bounds),
+                        pa.array(_digests(values, bounds, 2).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(prefix.view(np.int64))), *_signatures(values, bounds),
                     ],
-                    ["doc_id", "n", "v", "group", "prefix", "bits"],
+                    ["doc_id", "n", "v", "group", "second", "prefix", *BITS],
                 )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = scratch(rows.mapInArrow(prefixes, f"doc_id {id_type}, n long, v long, `group` long, prefix array<long>, bits array<long>"), "prefixes")
+    found = scratch(rows.mapInArrow(prefixes, f"doc_id {id_type}, n long, v long, `group` long, second long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS)), "prefixes")
+    of_set = _told_apart(found, "v", "second")
+    of_group = _told_apart(found, "group", "n", "get(prefix, 0)", "get(prefix, size(prefix) - 1)")
+    found = of_group(of_set(found)).drop("second")
     some = found.where("n > 0")
-    vertices = scratch(some.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("group").alias("group"), F.first("bits").alias("bits")), "vertices")
-    groups = some.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = groups.select("group", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("shingle"))
-    lists = scratch(postings.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("met > 1").withColumn("long", F.col("met") > SHORT).drop("met"), "lists")
+    vertices = scratch(some.groupBy("v").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "group", *BITS))), "vertices")
+    groups = some.groupBy("group").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
+    earlier = [F.get("prefix", F.col("i") - 1 - k).alias(p) for k, p in enumerate(EARLIER)]
+    postings = groups.select("group", "n", "prefix", F.posexplode("prefix").alias("i", "shingle")).select("group", "n", "i", "shingle", *earlier)
+    met = F.count(F.lit(1)).over(Window.partitionBy("shingle"))
+    lists = scratch(postings.withColumn("met", met).where("met > 1").drop("met"), "lists")
     links = labels = None
     few, before = PAIRS_PER_POSTING * lists.count() + 1_000_000, float("inf")
     for turn in range(MOST_ROUNDS + 1):
         state = vertices if labels is None else vertices.join(labels, "v", "left")
-        state = state.select("v", "n", "group", "bits", (F.col("v") if labels is None else F.coalesce("component", "v")).alias("component"))
+        state = state.select("v", "n", "group", *BITS, (F.col("v") if labels is None else F.coalesce("component", "v")).alias("component"))
         state = scratch(state, "state")
-        spread = state.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), F.first("bits").alias("bits"))
-        spread = scratch(spread.withColumn("bits", F.when(F.col("members") == 1, F.col("bits"))), "spread")
+        spread = scratch(_spread(state), "spread")
         left = _pairs_left(lists, spread)
         last = turn == MOST_ROUNDS or left <= few or left > before / 2
         before = left
-        pairs = (_all_pairs if last else _leader_pairs)(lists, state, spread, num, den, turn)
-        new = scratch(_verified(scratch(pairs.distinct(), "pairs"), vertices, rows, k, num, den), "verified")
+        made = _all_pairs(lists, some, state, spread, num, den, labels is None) if last else _leader_pairs(lists, state, spread, num, den, turn)
+        pairs = scratch(made.distinct(), "pairs")
+        dropped(state, spread)
+        if last:
+            dropped(lists)
+        new = scratch(_verified(pairs, vertices, rows, of_set, k, num, den), "verified")
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             labels = components(links)
@@ -198,6 +208,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _labelled(found.select("doc_id", "n", "v"), labels)
 
 
+def _told_apart(rows: DataFrame, key: str, *by: str) -> Callable[[DataFrame], DataFrame]:
+    """Gives rows another key, a hash of key and `by`, where the key stands for several values of `by`."""
+    other = F.xxhash64(F.col(key), *map(F.expr, by))
+    mixed = rows.where("n > 0").groupBy(key).agg(F.min(other).alias("lo"), F.max(other).alias("hi")).where("lo <> hi")
+    keys = [r[0] for r in mixed.select(key).collect()]  # chance meetings of 64-bit digests: about ten of 2 * 10^10 documents
+    return lambda rows: rows.withColumn(key, F.when(F.col(key).isin(keys), other).otherwise(F.col(key))) if keys else rows
+
+
+def _differing(x: list[str], y: list[str]) -> str:
+    return "(" + " + ".join(f"bit_count({a} ^ {b})" for a, b in zip(x, y, strict=True)) + ")"
+
+
+def _spread(state: DataFrame) -> DataFrame:
+    """Of each group: least and largest component, members, and a signature with the radius of its members around it."""
+    one = F.struct(*(F.col(b) for b in BITS))
+    spread = state.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), F.min_by(one, "v").alias("x"))
+    spread = spread.select("group", "lo", "hi", "members", *(F.col(f"x.{b}").alias(b) for b in BITS))
+    centre = spread.where("members > 1").select("group", *(F.col(b).alias(f"c{b}") for b in BITS))
+    around = state.join(centre, "group").groupBy("group").agg(F.max(F.expr(_differing(BITS, [f"c{b}" for b in BITS]))).alias("radius"))
+    return spread.join(around, "group", "left").withColumn("radius", F.coalesce("radius", F.lit(0)).cast("int"))
+
+
 def _pairs_left(lists: DataFrame, spread: DataFrame) -> int:
     """Pairs that the lists and groups hold of groups, and of members, not known to be of one component."""
     at = lists.join(spread, "group").groupBy("shingle", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("one")).agg(F.count(F.lit(1)).alias("c"))
@@ -214,81 +246,101 @@ def _sharing(num: int, den: int) -> str:
     return f"c >= least({SHARED}, {part('n')}, {part('m')}) and (c + greatest({beyond('n')}, {beyond('m')})) * {num + den} >= {num} * (n + m)"
 
 
-def _near(x: str, y: str, total: str, num: int, den: int) -> str:
-    """Signatures x and y differ in no more bits than sets of so many shingles in total may differ; true without one of them."""
-    differ = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(SIGNATURE // 64))
-    return f"({x} is null or {y} is null or ({differ}) * {num + den} <= ({total}) * {den - num})"
+def _near(x: list[str], y: list[str], total: str, num: int, den: int, slack: str = "0") -> str:
+    """Signatures x and y differ in no more bits, beyond the slack, than sets of so many shingles in total may differ."""
+    return f"(({_differing(x, y)} - {slack}) * {num + den} <= ({total}) * {den - num})"
 
 
 def _leader_pairs(lists: DataFrame, state: DataFrame, spread: DataFrame, num: int, den: int, turn: int) -> DataFrame:
     """Pairs (a, b) of vertices of different components: members with their group's leader, groups with their lists' leader."""
     seeds = [LEADERS * turn + i for i in range(LEADERS)]
     leaders = lambda key, row: F.array_distinct(F.array(*(F.min_by(row, F.xxhash64(key, F.lit(s))) for s in seeds)))
+    theirs = [f"{b}_a" for b in BITS]
+    bits_a = [F.col(f"x.{b}").alias(t) for b, t in zip(BITS, theirs, strict=True)]
     open_groups = spread.where("lo <> hi").select("group")
     members = state.join(open_groups, "group", "left_semi")
-    first = members.groupBy("group").agg(leaders("v", F.struct("v", "component", "bits")).alias("x")).select("group", F.explode("x").alias("x"))
-    first = first.select("group", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"), F.col("x.bits").alias("bits_a"))
-    inside = members.join(first, "group").where(f"of_a <> component and {_near('bits', 'bits_a', '2 * n', num, den)}").select("a", F.col("v").alias("b"))
-    stand = state.groupBy("group", "component").agg(F.min_by(F.struct("v", "bits"), "v").alias("x")).select("group", "component", "x.v", "x.bits")
+    first = members.groupBy("group").agg(leaders("v", F.struct("v", "component", *BITS)).alias("x")).select("group", F.explode("x").alias("x"))
+    first = first.select("group", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"), *bits_a)
+    inside = members.join(first, "group").where(f"of_a <> component and {_near(BITS, theirs, '2 * n', num, den)}").select("a", F.col("v").alias("b"))
+    stand = state.groupBy("group", "component").agg(F.min_by(F.struct("v", *BITS), "v").alias("x")).select("group", "component", "x.*")
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).cast("int").alias("band")
-    signature = F.when(F.col("long"), F.col("bits")).alias("bits")
-    at = lists.join(stand, "group").select("shingle", band, "n", "v", "component", signature)
-    lead = at.groupBy("shingle", "band").agg(leaders("v", F.struct("v", "component", "n", "bits")).alias("x"), F.count(F.lit(1)).alias("members")).where("members > 1").select("shingle", "band", F.explode("x").alias("x"))
-    lead = lead.select("shingle", "band", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"), F.col("x.n").alias("m"), F.col("x.bits").alias("bits_a"))
-    met = at.withColumnRenamed("v", "b").join(lead, ["shingle", "band"]).where(f"of_a <> component and {den} * least(n, m) >= {num} * greatest(n, m) and {_near('bits', 'bits_a', 'n + m', num, den)}")
+    at = lists.join(stand, "group").select("shingle", band, "n", "v", "component", *BITS)
+    lead = at.groupBy("shingle", "band").agg(leaders("v", F.struct("v", "component", "n", *BITS)).alias("x"), F.count(F.lit(1)).alias("members")).where("members > 1").select("shingle", "band", F.explode("x").alias("x"))
+    lead = lead.select("shingle", "band", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"), F.col("x.n").alias("m"), *bits_a)
+    met = at.withColumnRenamed("v", "b").join(lead, ["shingle", "band"]).where(f"of_a <> component and {den} * least(n, m) >= {num} * greatest(n, m) and {_near(BITS, theirs, 'n + m', num, den)}")
     counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(_sharing(num, den))
     # of a vertex's leaders, at most a few for each of its lists, those that share most
     best = counted.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "a")), asc=False), 1, LEADERS).alias("x")).select("b", F.explode("x").alias("x"))
     return inside.union(best.select(F.col("x.a").alias("a"), "b"))
 
 
-def _all_pairs(lists: DataFrame, state: DataFrame, spread: DataFrame, num: int, den: int, turn: int) -> DataFrame:
+def _group_pairs(lists: DataFrame, found: DataFrame, spread: DataFrame, num: int, den: int, all_apart: bool) -> DataFrame:
+    """Pairs (group, g) that share enough of their prefixes, with members of different components."""
+    at = lists.where(f"i <= n - ceil({num} * n / {den})").join(spread, "group")  # a first shared shingle stands no later
+    at = at.select("shingle", "group", "n", "i", "lo", "hi", "radius", *EARLIER, *BITS)
+    if not all_apart:
+        apart = at.groupBy("shingle").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y").select("shingle")
+        at = at.join(apart, "shingle", "left_semi")
+    at = scratch(at, "at")
+    x, y = (at.select(*(F.col(c).alias(f"{side}_{c}") for c in at.columns)) for side in "xy")  # alike, so they share an exchange
+    of = lambda side, names: [f"{side}_{c}" for c in names]
+    seen = " or ".join(f"{p} in ({', '.join(of('y', EARLIER))})" for p in of("x", EARLIER))
+    met = x.join(y, F.col("x_shingle") == F.col("y_shingle")).where(
+        f"x_group < y_group and {den} * least(x_n, y_n) >= {num} * greatest(x_n, y_n) and least(x_n - x_i, y_n - y_i) * {num + den} >= {num} * (x_n + y_n)"
+        f" and not (x_lo = x_hi and y_lo = y_hi and x_lo = y_lo) and not coalesce({seen}, false) and {_near(of('x', BITS), of('y', BITS), 'x_n + y_n', num, den, '(x_radius + y_radius)')}"
+    )
+    met = scratch(met.select(F.col("x_group").alias("group"), F.col("y_group").alias("g"), F.col("x_n").alias("n"), F.col("y_n").alias("m")).distinct(), "met")
+    dropped(at)
+    named = scratch(met.select("group").union(met.select("g")).distinct(), "named")
+    near = _maybe(found.select("group", "prefix"), named, "group").join(named, "group", "left_semi")
+    held = scratch(near.groupBy("group").agg(F.first("prefix").alias("prefix")), "held")
+    other = held.select(F.col("group").alias("g"), F.col("prefix").alias("prefix_g"))
+    shared = met.join(held, "group").join(other, "g").withColumn("c", F.size(F.array_intersect("prefix", "prefix_g")))
+    return shared.where(_sharing(num, den)).select("group", "g")
+
+
+def _all_pairs(lists: DataFrame, found: DataFrame, state: DataFrame, spread: DataFrame, num: int, den: int, all_apart: bool) -> DataFrame:
     """All pairs (a, b) of vertices of different components that share enough prefix shingles."""
-    members = state.select("group", "v", "component", "n", "bits")
+    theirs = [f"{b}_a" for b in BITS]
+    members = state.select("group", "v", "component", "n", *BITS)
     open_groups = spread.where("lo <> hi").select("group")
-    other = members.select("group", F.col("v").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("m"), F.col("bits").alias("bits_a"))
-    near = _near("bits", "bits_a", "n + m", num, den)
+    other = members.select("group", F.col("v").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("m"), *(F.col(b).alias(t) for b, t in zip(BITS, theirs, strict=True)))
+    near = _near(BITS, theirs, "n + m", num, den)
     inside = members.join(open_groups, "group", "left_semi").join(other, "group").where(f"of_a < component and {near}").select("a", F.col("v").alias("b"))
-    at = lists.join(spread.select("group", "lo", "hi", "bits"), "group").select("shingle", "group", "n", "lo", "hi", F.when(F.col("long"), F.col("bits")).alias("bits"))
-    apart = at.groupBy("shingle").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y").select("shingle")
-    at = scratch(at.join(apart, "shingle", "left_semi"), "apart")
-    left = at.select("shingle", F.col("group").alias("g"), F.col("n").alias("m"), F.col("lo").alias("lo_g"), F.col("hi").alias("hi_g"), F.col("bits").alias("bits_a"))
-    met = at.join(left, "shingle").where(f"`group` < g and {den} * least(n, m) >= {num} * greatest(n, m) and not (lo = hi and lo_g = hi_g and lo = lo_g) and {near}")
-    counted = met.groupBy("group", "g").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(_sharing(num, den))
-    expanded = counted.select("group", "g").join(members, "group").join(other.withColumnRenamed("group", "g"), "g").where(f"component <> of_a and {near}")
+    pairs = _group_pairs(lists, found, spread, num, den, all_apart)
+    expanded = pairs.join(members, "group").join(other.withColumnRenamed("group", "g"), "g").where(f"component <> of_a and {near}")
     return inside.union(expanded.select("a", F.col("v").alias("b")))
 
 
-def _verified(pairs: DataFrame, vertices: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _maybe(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is wanted, and some more: a bitmap of hashes, of at most BITMAP_BITS bits, is broadcast."""
+    word, bit = f"cast(pmod(xxhash64({key}), {BITMAP_BITS}) div 64 as int)", f"cast(pmod(xxhash64({key}), 64) as int)"
+    bitmap = wanted.groupBy(F.expr(word).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("wanted_bits"))
+    return rows.withColumn("word", F.expr(word)).join(F.broadcast(bitmap), "word").where(f"(shiftright(wanted_bits, {bit}) & 1L) = 1").drop("word", "wanted_bits")
+
+
+def _verified(pairs: DataFrame, vertices: DataFrame, rows: DataFrame, of_set: Callable[[DataFrame], DataFrame], k: int, num: int, den: int) -> DataFrame:
     """Of pairs (a, b) those whose whole sets are similar enough."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, values, bounds in shingle_sets([x or "" for x in batch.column(0).to_pylist()], k):
-                raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, 8 - CONTENT_BYTES :].tobytes()
-                content = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * CONTENT_BYTES).astype(np.int32).tobytes()), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([pa.array(_digests(values, bounds, 1).view(np.int64)), content], ["v", "content"])
-
-    def values_of(content: bytes) -> np.ndarray:
-        out = np.zeros((len(content) // CONTENT_BYTES, 8), dtype=np.uint8)
-        out[:, :CONTENT_BYTES] = np.frombuffer(content, dtype=np.uint8).reshape(-1, CONTENT_BYTES)
-        return out.view(np.uint64)[:, 0]
+                content = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(values, bounds, 1).view(np.int64)), pa.array(_digests(values, bounds, 2).view(np.int64)), content], ["v", "second", "content"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = values_of(x.as_py()), values_of(y.as_py())
+                x, y = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
     wanted = scratch(vertices.join(wanted, "v", "left_semi").select("v", "doc_id"), "wanted")
-    word = F.expr(f"cast(pmod(xxhash64(doc_id), {BITMAP_BITS}) div 64 as int)")
-    bitmap = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))")).alias("bits"))
-    near = rows.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.expr("(shiftright(bits, cast(pmod(xxhash64(doc_id), 64) as int)) & 1L) = 1"))
-    contents = near.select("text").mapInArrow(whole, "v long, content binary")
+    near = _maybe(rows, wanted, "doc_id")
+    contents = of_set(near.select("text").mapInArrow(whole, "v long, second long, content binary"))
     contents = contents.join(wanted.select("v"), "v", "left_semi").groupBy("v").agg(F.first("content").alias("content"))
     left = contents.select(F.col("v").alias("a"), F.col("content").alias("x"))
     right = contents.select(F.col("v").alias("b"), F.col("content").alias("y"))
