@@ -24,17 +24,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 5-word shingles at a similarity of 0.8, the document of the least id.
+    """Of each group linked by 5-word shingles at a similarity of 0.8, the row of the least id, then of the least hash of the text.
 
-    Documents without words are kept, as are those whose id is null. Of rows with one id one stays, the least text.
+    Rows count by id and text, so different texts under one id are documents of their own, and null ids, which come last,
+    are as others. Documents without words are kept. Of rows with one id and text one stays.
     """
-    kept = jaccard.near_duplicates(docs.select("doc_id", "text"), k=5, similarity=Fraction(4, 5))
-    name = fresh(docs, "kept_id")
-    kept = kept.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    left = docs.join(kept, docs["doc_id"] == kept[name], "left_semi")
-    # the join has dealt by id already, so one row of each id costs no further shuffle
-    one = left.groupBy("doc_id").agg(F.min_by(F.struct(*every(left)), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return one.unionByName(docs.where("doc_id is null"))
+    i, h, key = (fresh(docs, x) for x in ("kept_id", "kept_hash", "kept_key"))
+    text = F.xxhash64("text")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), text.alias("hash"))
+    kept = jaccard.near_duplicates(docs.select(row.alias(key), "text"), id_col=key, k=5, similarity=Fraction(4, 5))
+    kept = kept.where("doc_id = component_id").select(F.col("doc_id.id").alias(i), F.col("doc_id.hash").alias(h)).distinct()
+    left = docs.withColumn(key, text).join(kept, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(key) == F.col(h)), "left_semi")
+    return left.groupBy("doc_id", key).agg(F.first(F.struct(*every(docs))).alias(i)).select(f"{i}.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
