@@ -5,19 +5,23 @@ sqrt(M^2 - |v|^2) and a query 0; then the distance is sqrt(|q|^2 + M^2 - 2 q.v),
 the largest inner product, and the triangle inequality holds.
 
 1. At most `most_pivots` vectors (by a hash of the id; the sample is bounded and documented by that parameter) are
-   pivots; a length without one has the origin as its pivot. Every vector goes to its nearest pivot; a pivot's vectors are dealt to trees of about `tree_size`, so many
-   equal vectors make more trees and no larger ones.
+   pivots; a length without one has the origin as its pivot. Every vector goes to its nearest pivot, and of that to one of
+   at most RINGS rings by its distance (at approximate quantiles). A ring's vectors are dealt to trees of about
+   `tree_size`, so many equal vectors make more trees and no larger ones.
 2. A task builds each tree as pages: a routing vector, covering radius, distance to the parent's routing vector, and
    entries with their distances to the routing vector. Pages are a table in the shared folder.
-3. Queries meet one tree of their nearest pivot, which gives each a bound (its k-th best). Then they meet every tree
-   of each pivot whose radius lets it beat the bound, in blocks of at most `query_block` queries for a copy of a tree.
+3. Queries meet one tree of the ring of their nearest pivot that is nearest to them, which gives each a bound (its k-th
+   best). Then they meet the trees of each ring whose least and largest distance from the pivot let it beat the bound, in
+   blocks of at most `query_block` queries for a copy of a tree.
    Within a tree pages come off a heap by their least possible distance; entries whose stored distance rules them out
    (|d(q, parent) - d(entry, parent)| - radius beyond the bound) are skipped without a distance of their own.
 4. The k best of each query over its trees are kept.
 
-Exact for any data: all bounds are proven, and none is a cap. Vectors that are null, hold null or non-finite components, or have no id take no
-part. Vectors are compared with those of the same length only. Rows that repeat an id are candidates each, but not
-of a query of that id; of repeated query rows the least vector is the query. An empty table gives no rows.
+Exact for any data: all bounds are proven, and none is a cap. Vectors that are null, hold null or non-finite components, or
+have no id take no part. Vectors are compared with those of the same length only, empty ones too (score 0), and may be as
+long as they like. Components beyond 2^62 / 1024 in size count as that, and scores beyond a long as its end; sums that may
+leave a long are made of Python's integers. Rows that repeat an id are candidates each, but not of a query of that id; of
+repeated query rows the least vector is the query. Other columns, whatever their names, play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,22 +43,35 @@ TREE_SIZE = 4096
 PAGE = 128
 FAN_OUT = 32
 QUERY_BLOCK = 4096
-PAGE_SCHEMA = "pivot int, tree int, node int, parent int, leaf boolean, radius double, parent_distance double, routing binary, children binary, ids binary, vectors binary, distances binary"
+RINGS = 64
+LARGEST = 1 << 62
+LONG = (1 << 63) - 1
+PAGE_SCHEMA = "cell int, tree int, node int, parent int, leaf boolean, radius double, parent_distance double, routing binary, children binary, ids binary, vectors binary, distances binary"
 
 
 def integers(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the rows that take part; v is array<long>."""
     sound = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform(vector_col, lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
+    bounded = lambda x: F.least(F.lit(float(LARGEST)), F.greatest(F.lit(-float(LARGEST)), x))
+    whole = F.transform(vector_col, lambda x: F.floor(bounded(x.cast("double") * SCALE)).cast("long"))
     return vectors.where(sound & F.coalesce(finite, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(), dtype=np.int64).reshape(-1, dim)
+    return np.asarray(column.flatten().to_numpy(), dtype=np.int64).reshape(len(column), dim)
 
 
-def _augment(v: np.ndarray, m2: int) -> np.ndarray:
+def products(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with q; those beyond a long are its end."""
+    largest = [int(np.abs(x).max(initial=0)) for x in (vectors, q)]
+    if largest[0] * largest[1] * max(1, len(q)) <= LONG:
+        return vectors @ q
+    exact = vectors.astype(object) @ q.astype(object)
+    return np.array([max(-LONG - 1, min(LONG, int(x))) for x in exact], dtype=np.int64)
+
+
+def _augment(v: np.ndarray, m2: float) -> np.ndarray:
     f = v.astype(np.float64)
     return np.column_stack([f, np.sqrt(np.maximum(m2 - (f * f).sum(axis=1), 0.0))])
 
@@ -63,7 +80,7 @@ def _distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((points - to) ** 2).sum(axis=1), 0.0))
 
 
-def build_pages(ids: np.ndarray, vectors: np.ndarray, m2: int) -> list[dict]:
+def build_pages(ids: np.ndarray, vectors: np.ndarray, m2: float) -> list[dict]:
     """Pages of an M-tree over the vectors, the root first. Entries of a page lie within its radius of its routing vector."""
     points = _augment(vectors, m2)
     pages: list[dict] = []
@@ -96,13 +113,13 @@ def build_pages(ids: np.ndarray, vectors: np.ndarray, m2: int) -> list[dict]:
 class Tree:
     """A tree read from its pages; `search` visits pages best first."""
 
-    def __init__(self, pages: pd.DataFrame, m2: int):
+    def __init__(self, pages: pd.DataFrame, m2: float):
         self.m2, self.nodes = m2, {}
         for p in pages.itertuples():
             ids = np.frombuffer(p.ids, dtype=np.int64)
             self.nodes[p.node] = (
                 p.leaf, p.radius, p.parent_distance, np.frombuffer(p.routing), np.frombuffer(p.children, dtype=np.int32), ids,
-                np.frombuffer(p.vectors, dtype=np.int64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0), dtype=np.int64), np.frombuffer(p.distances),
+                np.frombuffer(p.vectors, dtype=np.int64).reshape(len(ids), len(p.routing) // 8 - 1), np.frombuffer(p.distances),
             )
         for n, (leaf, *_, children, _, _, _) in self.nodes.items():
             if not leaf:
@@ -114,9 +131,9 @@ class Tree:
     def search(self, query_id: int, q: np.ndarray, k: int, score: int | None) -> list[tuple[int, int]]:
         """The k best (score, id), ties to the smaller id, of scores at least `score` if given."""
         point = np.append(q.astype(np.float64), 0.0)
-        q2 = int((q * q).sum())
+        q2 = sum(x * x for x in q.tolist())
         best: list[tuple[int, int]] = []  # a heap of (score, -id), its least first
-        far = lambda s: math.sqrt(max(0, q2 + self.m2 - 2 * s)) + self.slack
+        far = lambda s: math.sqrt(max(0, q2 + self.m2 - 2 * s)) + self.slack if s > -LONG - 1 else math.inf
         bound = far(score) if score is not None else math.inf
         root = self.nodes[0]
         d = float(_distances(root[3][None], point)[0])
@@ -130,7 +147,7 @@ class Tree:
                 ids, vectors, distances = page[5], page[6], page[7]
                 near = np.abs(d - distances) <= bound
                 near &= ids != query_id
-                ids, scores = ids[near], vectors[near] @ q
+                ids, scores = ids[near], products(vectors[near], q)
                 self.computed += len(ids)
                 if len(ids) > k:  # no entry below the k-th score of the page can be among the best
                     keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -160,12 +177,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     """(query_id, rank, vec_id, score): of each query's row in `queries` the k vectors of the highest scores, all if fewer."""
     points = integers(vectors, id_col, vector_col)
     asked = integers(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     size = points.agg(F.max(norm).alias("m2"), F.count(F.lit(1)).alias("n")).collect()[0]
     spark = vectors.sparkSession
     if not size["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    m2 = int(size["m2"])
+    m2 = size["m2"] * (1 + 1e-12)
     wanted = min(most_pivots, max(1, math.ceil(size["n"] / tree_size)))
     # rows as pivots for at most so many lengths; any other length has the origin as its one pivot, which needs no row here
     seeds = points.select(F.size("v").alias("dim"), "v", F.xxhash64("id").alias("h"))
@@ -192,49 +209,55 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(numbers[to]), pa.array(_distances(x, c[to]))], ["id", "v", "pivot", "distance"])
 
     placed = scratch(points.mapInArrow(assign, "id long, v array<long>, pivot int, distance double"), "placed")
-    stats = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius")).collect()  # a row per pivot
-    radius = {r["pivot"]: r["radius"] for r in stats}
-    trees = {r["pivot"]: math.ceil(r["n"] / tree_size) for r in stats}
-
-    def per_pivot_count(counts: dict[int, int]):
-        many = [F.lit(x).cast("int") for p in counts.items() if p[1] > 1 for x in p]
-        return F.coalesce(F.create_map(*many)[F.col("pivot")], F.lit(1)) if many else F.lit(1)
-
-    tree_count = per_pivot_count(trees)
+    shares = [i / RINGS for i in range(1, RINGS)]
+    cuts = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("distance", shares, 1000).alias("cuts"))
+    few = F.least(F.lit(RINGS), F.ceil(F.col("n") / tree_size)).cast("int")  # rings, each of about a tree at least
+    each = F.transform(F.sequence(F.lit(1), few), lambda i: F.get("cuts", F.floor(i * RINGS / few).cast("int") - 1))
+    cuts = F.broadcast(cuts.select("pivot", F.filter(F.slice(each, 1, few - 1), lambda x: x.isNotNull()).alias("cuts")))  # a row per pivot
+    ringed = placed.join(cuts, "pivot").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("distance")))).drop("cuts", "distance")
+    ringed = ringed.withColumn("cell", (F.col("pivot") * RINGS + F.col("ring")).cast("int"))
+    spans = placed.join(cuts, "pivot").groupBy("pivot", F.size(F.filter("cuts", lambda c: c < F.col("distance"))).alias("ring"))
+    spans = spans.agg(F.count(F.lit(1)).alias("n"), F.min("distance").alias("lo"), F.max("distance").alias("hi")).collect()  # RINGS rows a pivot at most
+    rings: dict[int, tuple[np.ndarray, ...]] = {}
+    for pivot in {r["pivot"] for r in spans}:
+        own = [r for r in spans if r["pivot"] == pivot]
+        rings[pivot] = (np.array([pivot * RINGS + r["ring"] for r in own], dtype=np.int32), np.array([r["lo"] for r in own]), np.array([r["hi"] for r in own]))
+    trees = spark.createDataFrame([(r["pivot"] * RINGS + r["ring"], math.ceil(r["n"] / tree_size)) for r in spans], "cell int, trees int")
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
         pages = pd.DataFrame(build_pages(rows["id"].to_numpy(np.int64), np.stack(rows["v"].to_numpy()).astype(np.int64), m2))
-        return pages.assign(pivot=key[0], tree=key[1])[[x.split()[0] for x in PAGE_SCHEMA.split(", ")]]
+        return pages.assign(cell=key[0], tree=key[1])[[x.split()[0] for x in PAGE_SCHEMA.split(", ")]]
 
-    dealt = placed.withColumn("tree", F.pmod(F.xxhash64("id"), tree_count).cast("int"))
-    pages = scratch(dealt.groupBy("pivot", "tree").applyInPandas(build, PAGE_SCHEMA), "pages")
+    dealt = ringed.join(F.broadcast(trees), "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id"), "trees").cast("int").alias("tree"))
+    pages = scratch(dealt.groupBy("cell", "tree").applyInPandas(build, PAGE_SCHEMA), "pages")
 
     slack = 1e-7 * (1 + math.sqrt(m2))
 
     def route(first: bool):
-        """Queries to one tree of the nearest pivot, or to every pivot that may hold better than their bound."""
+        """Queries to the ring nearest to them of the nearest pivot, or to every ring that may hold better than their bound."""
 
         def run(batches):
             for batch in batches:
                 ids, vectors = batch.column(0).to_numpy(), batch.column(1)
                 bounds = batch.column(2).to_pylist()
-                out: dict[str, list] = {"query_id": [], "v": [], "bound": [], "pivot": []}
+                out: dict[str, list] = {"query_id": [], "v": [], "bound": [], "cell": []}
                 for i, q in enumerate(vectors.to_pylist()):
                     numbers, c = centres_of(len(q))
                     d = _distances(c, np.append(np.array(q, dtype=np.float64), 0.0))
-                    used = np.array([p in radius for p in numbers.tolist()])
-                    if not used.any():  # no vector has this length
+                    used = [(x, rings[p]) for x, p in zip(d.tolist(), numbers.tolist(), strict=True) if p in rings]
+                    if not used:  # no vector has this length
                         continue
                     if first:
-                        to = numbers[np.where(used, d, np.inf).argmin()][None]
+                        x, (cells, lo, hi) = min(used, key=lambda u: u[0])
+                        to = [int(cells[np.maximum(x - hi, lo - x).argmin()])]
                     else:
-                        far = math.inf if bounds[i] is None else math.sqrt(max(0, sum(x * x for x in q) + m2 - 2 * bounds[i])) + slack
-                        to = numbers[used & (d - np.array([radius.get(p, 0.0) for p in numbers.tolist()]) <= far)]
-                    for p in to.tolist():
+                        far = math.inf if bounds[i] is None or bounds[i] < -LONG else math.sqrt(max(0, sum(x * x for x in q) + m2 - 2 * bounds[i])) + slack
+                        to = [p for x, (cells, lo, hi) in used for p in cells[np.maximum(x - hi, lo - x) <= far].tolist()]
+                    for p in to:
                         for k_, v_ in zip(out, (int(ids[i]), q, bounds[i], p), strict=True):
                             out[k_].append(v_)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("query_id", pa.int64()), ("v", pa.list_(pa.int64())), ("bound", pa.int64()), ("pivot", pa.int32())]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("query_id", pa.int64()), ("v", pa.list_(pa.int64())), ("bound", pa.int64()), ("cell", pa.int32())]))
 
         return run
 
@@ -248,19 +271,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     def searched(sent: DataFrame, one_tree: bool) -> DataFrame:
-        per_pivot = {r["pivot"]: r["count"] for r in sent.groupBy("pivot").count().collect()}  # a row per pivot
-        blocks = {p: math.ceil(n / query_block) for p, n in per_pivot.items()}
-        if not blocks:
-            return spark.createDataFrame([], "query_id long, vec_id long, score long")
-        block_count = per_pivot_count(blocks)
-        block = F.pmod(F.xxhash64("query_id"), block_count).cast("int").alias("block")
-        of = F.array(F.pmod(F.xxhash64("query_id", F.lit(1)), tree_count).cast("int")) if one_tree else F.sequence(F.lit(0), tree_count - 1)
-        left = sent.select("query_id", "v", "bound", "pivot", F.explode(of).alias("tree"), block)
-        right = pages.where(F.col("pivot").isin(list(blocks))).select(*(x.split()[0] for x in PAGE_SCHEMA.split(", ")), F.explode(F.sequence(F.lit(0), block_count - 1)).alias("block"))
-        key = ["pivot", "tree", "block"]
+        blocks = sent.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("blocks"))
+        of = F.broadcast(blocks.join(trees, "cell"))  # a row per ring
+        tree = F.array(F.pmod(F.xxhash64("query_id", F.lit(1)), "trees").cast("int")) if one_tree else F.sequence(F.lit(0), F.col("trees") - 1)
+        left = sent.join(of, "cell").select("query_id", "v", "bound", "cell", F.explode(tree).alias("tree"), F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"))
+        right = pages.join(of.drop("trees"), "cell").select(*(x.split()[0] for x in PAGE_SCHEMA.split(", ")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        key = ["cell", "tree", "block"]
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score long")
 
-    kind = "query_id long, v array<long>, bound long, pivot int"
+    kind = "query_id long, v array<long>, bound long, cell int"
     start = asked.select("id", "v", F.lit(None).cast("long").alias("bound"))
     near = scratch(searched(scratch(start.mapInArrow(route(True), kind), "near"), True), "first")
     bounds = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
