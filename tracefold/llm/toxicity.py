@@ -2,15 +2,16 @@
 
 1. From labelled rows (a sample of at most `most_rows`, by a hash of the id) two folds come: trees and calibration.
 2. The lexicon is learned from the first fold: words and word beginnings of 4 to 8 letters that occur in many toxic and
-   next to no clean texts; at most MOST_TERMS of them, so it can be broadcast at any input size.
+   next to no clean texts. It is no larger than the terms of those at most `most_rows` texts, whatever the input, so it is broadcast.
 3. Features of every whole text, in numpy over code points: lexicon densities (plain and of disguised spellings), hits
    near second-person words, capitals, punctuation, obfuscation and repetition rates.
 4. Spark ML fits boosted trees on the first fold and an isotonic regression of their probability on the second.
    The score is the calibrated value, with a thousandth of the trees' probability to order what it makes equal.
 
-Only the text enters a score. Null and empty texts have all features 0. Rows without a label, and labels other than 0
+Only the text enters a score, and nothing of the texts beside it in a batch: windows and repeats end with the text (and, in one of
+over CHUNK_CHARS characters, at the space where it is cut). Null and empty texts have all features 0. Rows without a label, and labels other than 0
 and 1, train nothing. With labels of a single class, or none, every score is that class's share (0 without labels).
-Repeated rows get equal scores; null ids count as not held out; an empty table gives no rows.
+Repeated rows and rows of one id get scores by their own texts; other columns, also of names used here, play no part; null ids count as not held out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from tracefold.llm.common import bound_batches, chunks, codepoints, prefix_sums, scratch, slice_hashes
 
 MOST_ROWS = 20_000
-MOST_TERMS = 2_000
 THRESHOLD = 0.3
 NEAR = 4
 STRONG = 3.5
@@ -91,6 +91,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = np.array(batch.column(1).to_pylist(), dtype=np.int64)
+            last, before = -1, np.zeros(0, dtype=np.uint64)  # a text cut into chunks counts its terms once
             for joined, owner, lengths in chunks([(x or "").lower() for x in batch.column(0).to_pylist()], _SAFE):
                 bounds = np.concatenate([[0], np.cumsum(lengths)])
                 cp = _plain()[codepoints(joined)]
@@ -98,6 +99,12 @@ def learn_lexicon(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 terms = _terms(cp, starts, ends)
                 doc = np.repeat(owner[np.searchsorted(bounds, starts, side="right") - 1][:, None], terms.shape[1], axis=1)
                 pairs = np.unique(np.stack([terms.ravel(), doc.ravel().astype(np.uint64)]), axis=1)
+                if len(owner) and owner[0] == last:
+                    pairs = pairs[:, (pairs[1] != last) | ~np.isin(pairs[0], before)]
+                if len(owner):
+                    own = pairs[0][pairs[1] == owner[-1]]
+                    before = np.concatenate([before, own]) if owner[-1] == last else own
+                    last = int(owner[-1])
                 keys, inverse = np.unique(pairs[0], return_inverse=True)
                 toxic = labels[pairs[1].astype(np.int64)]
                 a = np.bincount(inverse, weights=toxic, minlength=len(keys)).astype(np.int64)
@@ -110,7 +117,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     support = max(4, n_toxic // 150)
     kept = counts.where((F.col("term") != 0) & (F.col("toxic") >= support) & ((F.col("clean") * 20 <= F.col("toxic")) | (F.col("toxic") >= 2 * support)))
-    got = kept.select("term", weight.alias("weight"), "toxic").where("weight > 2").orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).toPandas()
+    got = kept.select("term", weight.alias("weight"), "toxic").where("weight > 2").toPandas()
     keys = got["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], got["weight"].to_numpy(float)[order]
@@ -139,7 +146,8 @@ def text_features(texts: list[str], keys: np.ndarray, weights: np.ndarray) -> np
         letters = _letters()[raw]
         plain = _plain()[small]
         starts, ends = _words(raw, bounds)
-        doc = owner[np.searchsorted(bounds, starts, side="right") - 1]
+        part = np.searchsorted(bounds, starts, side="right") - 1
+        doc = owner[part]
         weight = _lookup(_terms(plain, starts, ends), keys, weights)
         hit = weight > 0
         prefix = np.concatenate([[0], np.cumsum(~letters)])
@@ -148,13 +156,15 @@ def text_features(texts: list[str], keys: np.ndarray, weights: np.ndarray) -> np
         you = second[np.minimum(np.searchsorted(second, words), len(second) - 1)] == words
         seen = np.concatenate([[0], np.cumsum(you)])
         at = np.arange(len(words))
-        near = hit & (seen[np.minimum(at + NEAR + 1, len(words))] > seen[np.maximum(at - NEAR, 0)])
+        low, high = np.searchsorted(part, part), np.searchsorted(part, part, side="right")  # the words of the same text
+        near = hit & (seen[np.minimum(at + NEAR + 1, high)] > seen[np.maximum(at - NEAR, low)])
         upper = letters & (raw != small)
         ups = np.concatenate([[0], np.cumsum(upper)])
         shouted = (ends - starts > 2) & (ups[ends] - ups[starts] == ends - starts)
         per_char = np.repeat(owner, lengths)
         same = np.zeros(len(raw), dtype=bool)
-        same[2:] = letters[2:] & (small[2:] == small[1:-1]) & (small[2:] == small[:-2])
+        since = np.arange(len(raw)) - np.repeat(bounds[:-1], lengths)
+        same[2:] = letters[2:] & (small[2:] == small[1:-1]) & (small[2:] == small[:-2]) & (since[2:] >= 2)
         sign = ~letters & (raw > 32) & ~((raw >= 48) & (raw <= 57))
         for name, mask in (("letters", letters), ("capitals", upper), ("exclamations", raw == 33), ("questions", raw == 63), ("punctuation", sign), ("repeated", same)):
             sums[name] += np.bincount(per_char[mask], minlength=n)
