@@ -8,7 +8,8 @@
    times pieces is then summed by row.
 
 Pre-tokens are matched by a 64-bit hash in step 1 and by their text in step 2.
-Null texts count as empty; repeated rows and ids each keep their own result; an empty table gives no rows.
+Null texts count as empty; repeated rows and ids each keep their own result; texts of any length are counted whole, in chunks;
+other columns, also of names used here, play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,22 +27,38 @@ from tracefold.llm.pieces import default_tokenizer, piece_table, plain_parts, pr
 
 MOST_BROADCAST = 500_000
 HISTOGRAM_STEPS = 8
+STRETCH = 1 << 23  # characters within which a pre-token that repeats counts as frequent; other rows come once per stretch at most
+FLUSH = 1_000_000
 
 
 def frequent_pretokens(docs: DataFrame, text_col: str) -> DataFrame:
     """(piece, n) of pre-tokens that occur at least twice in some stretch of text."""
 
+    def repeats(held: list) -> Iterator[tuple[str, int]]:
+        hashes = np.concatenate([x[3] for x in held])
+        part = np.repeat(np.arange(len(held)), [len(x[3]) for x in held])
+        at = np.concatenate([np.arange(len(x[3])) for x in held])
+        _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+        first, counts = first[counts > 1], counts[counts > 1]
+        for p, i, n in zip(part[first].tolist(), at[first].tolist(), counts.tolist(), strict=True):
+            joined, starts, ends, _ = held[p]
+            yield joined[starts[i] : ends[i]], n
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        flush = 1_000_000
+        held, size = [], 0
         for batch in batches:
             for joined, starts, ends, hashes, _ in pretokens([x for x in batch.column(0).to_pylist() if x]):
-                _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-                for i, n in zip(first[counts > 1].tolist(), counts[counts > 1].tolist(), strict=True):
-                    seen[joined[starts[i] : ends[i]]] += n
-                if len(seen) >= flush:
+                held.append((joined, starts, ends, hashes))
+                size += len(joined)
+                if size >= STRETCH:
+                    seen.update(dict(repeats(held)))
+                    held, size = [], 0
+                if len(seen) >= FLUSH:
                     yield pa.RecordBatch.from_pydict({"piece": list(seen), "n": list(seen.values())})
                     seen.clear()
+        if held:
+            seen.update(dict(repeats(held)))
         if seen:
             yield pa.RecordBatch.from_pydict({"piece": list(seen), "n": list(seen.values())})
 
