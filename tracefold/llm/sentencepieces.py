@@ -1,17 +1,19 @@
 """Sampled SentencePiece segmentations by forward filtering and backward sampling, and their decoding.
 
-A text with a space before it is cut into units: a space and what follows up to the next one, of at most UNIT
-characters. Over a unit's characters the pieces of the model form a lattice, with byte pieces for characters it lacks. The
-forward pass sums, in logarithms, the weights of all segmentations of each beginning, once per distinct unit; the
-backward pass draws one segmentation per occurrence from its end, with numbers that are a hash of (seed, row key, place of
-the unit, step). So the same row gets the same pieces on any cluster and partitioning, and no state is kept.
-Both passes run in numpy over all units of a stretch of text at once.
-
-Weights are `alpha` times the log-probability of a piece; the scores of a BPE model are ranks, and count as -log(2 + rank).
-Units don't overlap, so pieces with a space inside aren't used. A literal U+2581 goes to byte pieces, which keeps decoding lossless.
+A text with a space before it is cut into units where no piece can lie across: before each space that follows another
+character. A unit is any number of spaces and what follows up to the next one, of any length. Over a unit's characters the pieces of
+the model form a lattice, with byte pieces for characters it lacks. The forward pass sums, in logarithms, the weights of
+all segmentations of each beginning, once per distinct unit; the backward pass draws one segmentation per occurrence from its
+end, with numbers that are a hash of (seed, row key, place of the unit, step). So the same row gets the same pieces on any
+cluster and partitioning, and no state is kept. Both passes run in numpy over all units of a stretch of text at once; they take
+a step for each character of the longest unit, so text without spaces costs time in proportion to its length, and nothing else.
+
+Weights are `alpha` times the log-probability of a piece. The default model was made by byte-pair encoding: its scores are ranks
+and no probabilities, so they count as -log(2 + rank), Zipf's rule. Pieces with a space after another character would lie
+across units and aren't used; the default model has none. A literal U+2581 goes to byte pieces, which keeps decoding lossless.
 
 Null texts are empty and have the one unit of a lone space; null keys count as one key; repeated rows get the same pieces;
-an empty table gives no rows; other columns are kept.
+an empty table gives no rows; other columns are kept, also those of names used here.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from tracefold.llm.common import bound_batches, chunks, codepoints, fresh, mix, portions, powers, prefix_sums, ranges, slice_hashes
 
-UNIT = 64
 ALPHA = 1.0
 STRETCH = 1 << 21  # characters whose distinct units share one lattice pass
-_SAFE = re.compile(r"[^ ] [^ ]")
+_SAFE = re.compile(r"[^ ] ")
+_ACROSS = re.compile(r"[^ ] ")
 _models: dict = {}
 
 
@@ -60,7 +62,7 @@ class Model:
                 continue
             text = piece.replace("▁", " ")
             raw.append(text.encode())
-            if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or " " in text[1:] or not text or len(text) > UNIT:
+            if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or not text or _ACROSS.search(text):
                 continue
             cp = codepoints(text)
             keys.append(prefix_sums(cp)[-1])
@@ -96,7 +98,8 @@ def _lattice(m: Model, cp: np.ndarray, prefix: np.ndarray, starts: np.ndarray, l
     base = np.cumsum(lengths + 1) - (lengths + 1)
     place = ranges(np.zeros(len(lengths), dtype=np.int64), lengths + 1)
     at = np.repeat(starts, lengths + 1) + place  # the character after the state
-    by_place = np.argsort(place.astype(np.uint8), kind="stable").astype(np.int32)
+    kind = next(t for t in (np.uint8, np.uint16, np.int64) if lengths.max(initial=0) <= np.iinfo(t).max)  # small kinds sort by digits
+    by_place = np.argsort(place.astype(kind), kind="stable").astype(np.int32)
     rank = np.empty(len(place), dtype=np.int32)
     rank[by_place] = np.arange(len(place), dtype=np.int32)
     raw = prefix[at]  # one lookup for each place; differences are hashes of what lies between
@@ -183,10 +186,9 @@ def sample_pieces(texts: list[str], row_keys: np.ndarray, path: str, seed: int =
         cp = codepoints(joined)
         bounds = np.concatenate([[0], np.cumsum(parts)])
         first = cp == 32
+        first[1:] &= cp[:-1] != 32
         first[bounds[:-1]] = True
-        begin = np.flatnonzero(first)
-        since = ranges(np.zeros(len(begin), dtype=np.int64), np.diff(np.append(begin, len(cp))))
-        starts = np.flatnonzero(since % UNIT == 0)
+        starts = np.flatnonzero(first)
         lengths = np.diff(np.append(starts, len(cp)))
         part = np.searchsorted(bounds, starts, side="right") - 1
         text = owner[part]
