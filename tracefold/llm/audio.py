@@ -1,11 +1,11 @@
 """Telephony audio columns: bytes in mu-law, A-law or ADPCM form, expanded to 16-bit PCM and resampled.
 
-`store_payloads` keeps each text's bytes as the samples of a WAV file (mu-law and A-law: a byte a sample; IMA ADPCM:
+`store_audio` writes both as tables. `store_payloads` keeps each text's bytes as the samples of a WAV file (mu-law and A-law: a byte a sample; IMA ADPCM:
 two 4-bit samples a byte, in blocks of 64 bytes behind a 4-byte block header); `expand_media` reads the stored files
-back and gives PCM, resampled PCM or features of it. mu-law and A-law expand by tables of 256 values; ADPCM decodes one
+back and gives resampled PCM, `pcm_features` what the stored PCM holds. mu-law and A-law expand by tables of 256 values; ADPCM decodes one
 step of all blocks of a batch at a time, so the loop is as long as a block and not as the audio.
 
-Null texts are empty (64 zero bytes are stored); repeated rows keep their own, equal values; an empty table gives no
+Null texts are empty (64 zero bytes are stored); texts of any length are one file each; repeated rows keep their own, equal values; an empty table gives no
 rows; other columns play no part. The form of a payload follows from its bytes, so equal texts give equal files.
 """
 
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tracefold.llm.common import bound_batches
 
@@ -176,29 +177,47 @@ def decoded(files: list[bytes]) -> Iterator[tuple[int, str, bytes, np.ndarray]]:
     yield from together()
 
 
-def expand_media(media: DataFrame, keep_pcm: bool = True) -> DataFrame:
-    """Reads the stored files back: digests, features, and with keep_pcm the resampled PCM (int16, little-endian)."""
+def expand_media(media: DataFrame) -> DataFrame:
+    """Reads the stored files back: digests, form and resampled PCM (int16, little-endian)."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files = batch.column(2).to_pylist()
             out: list = [None] * len(files)
             for i, form, payload, pcm in decoded(files):
-                pcm = resample(pcm, RESAMPLED_RATE // RATE, 1)
                 out[i] = {
                     "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]),
-                    "media_bytes": len(files[i]), "media_sha256": hashlib.sha256(files[i]).hexdigest(), "feature": features_of(form, pcm), **({"pcm": pcm.astype("<i2").tobytes()} if keep_pcm else {}),
+                    "media_bytes": len(files[i]), "media_sha256": hashlib.sha256(files[i]).hexdigest(), "form": form, "pcm": resample(pcm, RESAMPLED_RATE // RATE, 1).astype("<i2").tobytes(),
                 }
             made = pa.Table.from_pylist(out, schema=schema)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(x.combine_chunks() for x in made.columns)], ["doc_id", "n_bytes", *made.column_names])
 
-    names = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"} | ({"pcm": "binary"} if keep_pcm else {})
+    names = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "form": "string", "pcm": "binary"}
     schema = pa.schema([(k, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[v]) for k, v in names.items()])
     id_type = media.schema["doc_id"].dataType.simpleString()
+    bound_batches(media)
     return media.mapInArrow(expand, f"doc_id {id_type}, n_bytes long, " + ", ".join(f"{k} {v}" for k, v in names.items()))
 
 
-def store_pcm(docs: DataFrame, path: str, **columns: str) -> None:
-    """Writes files and resampled PCM of all texts as Parquet."""
-    media = store_payloads(docs, **columns)
-    expand_media(media).write.parquet(path)
+def pcm_features(expanded: DataFrame) -> DataFrame:
+    """Reads stored PCM back: the other columns, and `feature` instead of the PCM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            form, pcm = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            made = [features_of(f, np.frombuffer(p, dtype="<i2")) for f, p in zip(form, pcm, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(made, pa.string())], [*batch.schema.names[:-2], "feature"])
+
+    bound_batches(expanded)
+    kept = expanded.drop("form", "pcm")
+    return expanded.select(*kept.columns, "form", "pcm").mapInArrow(run, StructType([*kept.schema.fields, StructField("feature", StringType())]))
+
+
+def store_audio(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the audio files of all texts and their resampled PCM as Parquet under a path, and reads the PCM's table back."""
+    spark = docs.sparkSession
+    media = store_payloads(docs, id_col, text_col)
+    media.write.option("compression", "zstd").parquet(f"{path}/media")
+    expanded = expand_media(spark.read.schema(media.schema).parquet(f"{path}/media"))
+    expanded.write.option("compression", "zstd").parquet(f"{path}/pcm")
+    return spark.read.schema(expanded.schema).parquet(f"{path}/pcm")

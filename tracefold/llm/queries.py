@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from fractions import Fraction
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.llm import audio, jaccard, licenses, mtree, packing, sentencepieces, substring, token_counts, token_shards, toxicity
-from tracefold.llm.common import table
+from tracefold.llm.common import scratch_dir, table
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.expand_media(audio.store_payloads(table(spark, sf_dir, "documents")), keep_pcm=False)
+    """Files and resampled PCM go to the shared folder; digests are of the files and features of the PCM that is read back."""
+    return audio.pcm_features(audio.store_audio(table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/audio-{uuid.uuid4().hex}"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
