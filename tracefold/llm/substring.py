@@ -1,21 +1,25 @@
-"""Substring dedup: the words of every repeat of a passage, in the manner of a relative Lempel-Ziv parse.
+"""Substring dedup: duplicate spans by a relative Lempel-Ziv parse of every document against all earlier text.
 
-The reference is all text that comes earlier (smaller id, or same document and earlier start), indexed in blocks by
-anchor: the least hash of the 5-word grams of a window of `window` words. Equal windows have equal anchors, so all
-earlier copies of a window stand in its anchor's block, and runs of windows with one anchor travel as one row.
+The reference is all text that comes earlier (smaller id, or same document and earlier start). It is indexed in blocks by
+anchor: the least hash of the 5-word grams of a window of `window` words. Equal windows have equal anchors, so all copies of a
+window stand in one block, and a document meets those blocks only that its own anchors name, and not every block.
 
-1. Each task drops to a flag every window that comes earlier within its own stretch of text, so a passage that a third of
-   all documents share meets others once per stretch and not once per document.
-2. The other windows go to their anchor's partition. Anchors seen once have no factor. For the rest a window is part of
-   a factor if its least (id, start) is not its own.
-3. Factors are the runs of such windows. A greedy parse looks up the next factor where the last one ended and would pass
-   over windows that lie across two factors; every window is looked up here, so those count as well.
+1. Anchors that stand at one place only have no copy. A first pass counts the places of each anchor, and a bitmap of at most
+   BITMAP_BITS bits, broadcast, tells a second pass which windows may have a copy (if it fills up, more windows do, with the
+   same result).
+2. In the second pass a task looks up each window in the index of its own stretch of text; what is found there travels as one
+   factor, so a passage that a third of all documents share meets others once per stretch and not once per document.
+   The other windows are looked up in the index of all blocks: the first place of each (anchor, window hash) by a partial
+   aggregate, joined back.
+3. Each document is parsed greedily: a factor starts at the first window found and is as long as the following windows continue
+   in the same source. Windows that lie across the end of a factor are checked as well: each that is found starts a further
+   factor, which overlaps the one before. The words of all factors are the duplicate spans.
 
-Windows are told apart by 48 bits of hash within a 64-bit anchor.
+Windows are told apart by two hashes of 64 bits. Texts of any length are factored whole.
 
 Null texts and texts of fewer words than the window have no windows and stay whole. Null ids come last. Rows that share
 an id are one document: of their windows those with the smaller start come first, and equal starts leave each other alone.
-Repeated rows get equal results. An empty table gives no rows.
+Repeated rows get equal results. Other columns, also of names used here, are kept or play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,16 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import bound_batches, fresh, gram_hashes, mix, portions, word_hashes
+from tracefold.llm.common import bound_batches, fresh, gram_hashes, portions, scratch, word_hashes
 
 WINDOW = 20
 GRAM = 5
-HASH_BYTES = 6
-STRETCH = 1 << 22  # characters within which a repeat becomes a flag at once
-MOST_WINDOWS = 64  # in a row: the bits of a long
+STRETCH = 1 << 22  # characters within which a repeat becomes a factor at once
+MOST_WINDOWS = 64  # in a row of windows with one anchor
+BITMAP_BITS = 1 << 26
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -58,8 +62,8 @@ def runs(keys: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.nd
     return begin, np.diff(np.append(begin, len(at)))
 
 
-def _window_rows(texts: list[str], ids: list, window: int) -> tuple[np.ndarray, ...] | None:
-    """Of one stretch of texts: (text, start, length, anchor, window hashes or None) of runs, and the same of flags."""
+def _windows(texts: list[str], window: int) -> tuple[np.ndarray, ...] | None:
+    """Of one stretch of texts: text and place of each word, hash and anchor of the window that starts there, and which of these lie in one text."""
     words, counts = word_hashes(texts, lower=False)
     if len(words) < window:
         return None
@@ -67,84 +71,157 @@ def _window_rows(texts: list[str], ids: list, window: int) -> tuple[np.ndarray,
     start = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
     hashes = gram_hashes(words, window)
     anchors = sliding_min(gram_hashes(words, GRAM), window - GRAM + 1)
-    doc, start, last = doc[: len(hashes)], start[: len(hashes)], doc[window - 1 :]
-    at = np.flatnonzero(doc == last)
-    if not len(at):
+    at = np.flatnonzero(doc[: len(hashes)] == doc[window - 1 :])
+    return (doc, start, hashes, anchors, at) if len(at) else None
+
+
+def _places(texts: list[str], window: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(anchor, places) of one stretch: neighbouring windows of one anchor are one place, or several if a window among them repeats."""
+    if (got := _windows(texts, window)) is None:
+        return None
+    _, _, hashes, anchors, at = got
+    begin, _ = runs(anchors[at], at, 1 << 30)
+    again = np.zeros(len(hashes), dtype=bool)
+    for shift in range(1, min(window, len(hashes))):
+        again[shift:] |= hashes[shift:] == hashes[:-shift]
+    return np.unique(np.concatenate([anchors[at[begin]], anchors[at[again[at]]]]), return_counts=True)
+
+
+def _window_rows(texts: list[str], ids: list, window: int, bitmap: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """Of one stretch: (text, start, length, anchor, window hashes) of runs to look up elsewhere, and factors (text, start, length, text and start of the source)."""
+    if (got := _windows(texts, window)) is None:
         return None
+    doc, start, hashes, anchors, at = got
+    at = at[_hit(bitmap, anchors[at])]
     rank = {x: i for i, x in enumerate(sorted({x for x in ids if x is not None}))}
     ranks = np.array([rank.get(x, len(rank)) for x in ids], dtype=np.int64)
     order = at[np.lexsort((start[at], ranks[doc[at]], hashes[at]))]
     head = np.ones(len(order), dtype=bool)
     head[1:] = hashes[order[1:]] != hashes[order[:-1]]
     first = np.repeat(order[head], np.diff(np.append(np.flatnonzero(head), len(order))))
-    later = np.zeros(len(hashes), dtype=bool)
-    later[order] = (ranks[doc[order]] > ranks[doc[first]]) | (start[order] > start[first])
-    new, old = at[~later[at]], at[later[at]]
+    source = np.full(len(hashes), -1, dtype=np.int64)
+    source[order] = np.where((ranks[doc[order]] > ranks[doc[first]]) | (start[order] > start[first]), first, -1)
+    new, old = at[source[at] < 0], at[source[at] >= 0]
     begin, length = runs(anchors[new], new, MOST_WINDOWS)
-    stored = np.ascontiguousarray(hashes[new]).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
-    flag_begin, flag_length = runs(doc[old], old, 1 << 30)
-    return doc[new][begin], start[new][begin], length, anchors[new][begin], stored, doc[old][flag_begin], start[old][flag_begin], flag_length
+    known, known_length = runs(source[old] - old, old, 1 << 30)
+    of = source[old][known]
+    return doc[new][begin], start[new][begin], length, anchors[new][begin], hashes[new], doc[old][known], start[old][known], known_length, doc[of], start[of]
 
 
-def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, tie (a hash of the text) and for each document that repeats anything its runs of windows:
-    array of (start, n, bits), where n > 0 is that many windows from start on and n = 0 those of the bits set."""
+def _hit(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    bit = (anchors % np.uint64(len(bitmap) * 64)).astype(np.int64)
+    return (bitmap[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def _shared_anchors(rows: DataFrame, window: int) -> np.ndarray:
+    """A bitmap of the anchors that stand at several places."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column(0).to_pylist()]
+            for part in portions(texts, STRETCH):
+                if got := _places(texts[part], window):
+                    yield pa.RecordBatch.from_arrays([pa.array(got[0].view(np.int64)), pa.array(got[1].astype(np.int64))], ["anchor", "places"])
+
+    counts = rows.select("text").mapInArrow(places, "anchor long, places long").groupBy("anchor").agg(F.sum("places").alias("places"))
+    # pmod of the anchor as an unsigned number: BITMAP_BITS is a power of two, so the low bits
+    bit = F.col("anchor").bitwiseAND(F.lit(BITMAP_BITS - 1))
+    words = counts.where("places > 1").groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(anchor & 63 as int))")).alias("bits"))
+    got = words.toArrow()  # at most BITMAP_BITS / 64 rows of 16 bytes
+    out = np.zeros(BITMAP_BITS // 64, dtype=np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _lookups(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """doc_id, tie (a hash of the text) and, for each document that repeats anything, `found`: an array of (start, n, source, source_start),
+    n windows from start on that stand at the same places from source_start on in an earlier document or place."""
     id_type = docs.schema[id_col].dataType.simpleString()
     bound_batches(docs)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie"), F.col(f"`{text_col}`").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(_shared_anchors(rows, window))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch.column(2).to_pylist()]
             ids = batch.column(0).to_pylist()
             for part in portions(texts, STRETCH):
-                if (got := _window_rows(texts[part], ids[part], window)) is None:
+                if (got := _window_rows(texts[part], ids[part], window, shared.value)) is None:
                     continue
-                doc, start, length, anchor, stored, flag_doc, flag_start, flag_length = got
-                offsets = pa.array(np.concatenate([[0], np.cumsum(length) * HASH_BYTES]).astype(np.int32))
-                binary = pa.Array.from_buffers(pa.binary(), len(length), [None, offsets.buffers()[1], pa.py_buffer(stored.tobytes())])
-                own = mix(flag_doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + flag_start.astype(np.uint64))
-                rows = pa.array(np.concatenate([doc, flag_doc]) + part.start)
+                doc, start, length, anchor, hashes, known_doc, known_start, known_length, source, source_start = got
+                none = len(known_doc)
+                offsets = np.concatenate([[0], np.cumsum(length), np.full(none, length.sum())]).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
+                rows = pa.array(np.concatenate([doc, known_doc]) + part.start)
+                sources = pa.array(np.concatenate([np.zeros(len(doc), dtype=np.int64), source]) + part.start)
+                elsewhere = np.concatenate([np.ones(len(doc), dtype=bool), np.zeros(none, dtype=bool)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([anchor, own]).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate([start, flag_start]).astype(np.int32)),
-                        pa.array(np.concatenate([length, flag_length]).astype(np.int32)), pa.concat_arrays([binary, pa.nulls(len(flag_doc), pa.binary())]),
+                        pa.array(np.concatenate([anchor.view(np.int64), np.zeros(none, dtype=np.int64)])), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate([start, known_start]).astype(np.int32)),
+                        pa.array(np.concatenate([length, known_length]).astype(np.int32)), values, pa.array(elsewhere), batch.column(0).take(sources), pa.array(np.concatenate([np.zeros(len(doc)), source_start]).astype(np.int32)),
                     ],
-                    ["anchor", "doc_id", "tie", "start", "n", "hashes"],
+                    ["anchor", "doc_id", "tie", "start", "n", "hashes", "elsewhere", "source", "source_start"],
                 )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.hash(text_col).alias("tie"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(windows, f"anchor long, doc_id {id_type}, tie int, start int, n int, hashes binary")
-    shared = found.withColumn("of_anchor", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("of_anchor > 1 or hashes is null")
-    each = shared.select("anchor", "doc_id", "tie", "start", "n", F.col("hashes").isNull().alias("known"), F.explode(F.expr("sequence(0, if(hashes is null, 0, n - 1))")).alias("i"), "hashes")
-    each = each.withColumn("hash", F.expr(f"substring(hashes, i * {HASH_BYTES} + 1, {HASH_BYTES})")).drop("hashes")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", (F.col("start") + F.col("i")).alias("at"))
-    later = each.withColumn("place", place).withColumn("first", F.min("place").over(Window.partitionBy("anchor", "hash"))).where("known or first < place")
-    bits = later.groupBy("anchor", "doc_id", "tie", "start", "n", "known").agg(F.expr("bit_or(shiftleft(1L, i))").alias("bits"))
-    run = F.struct("start", F.when(F.col("known"), F.col("n")).otherwise(0).alias("n"), "bits")
-    return bits.groupBy("doc_id", "tie").agg(F.collect_list(run).alias("runs"))  # as long as the document at most
+    kind = f"anchor long, doc_id {id_type}, tie long, start int, n int, hashes array<long>, elsewhere boolean, source {id_type}, source_start int"
+    found = scratch(rows.mapInArrow(windows, kind), "windows")
+    each = found.where("elsewhere").select("anchor", "doc_id", "tie", "start", F.posexplode("hashes").alias("i", "hash"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), (F.col("start") + F.col("i")).alias("at"))
+    each = each.select("anchor", "hash", "doc_id", "tie", place.alias("place"))
+    first = each.groupBy("anchor", "hash").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    later = each.join(first, ["anchor", "hash"]).where("first < place")
+    later = later.select("doc_id", "tie", F.col("place.at").alias("start"), F.lit(1).alias("n"), F.col("first.id").alias("source"), F.col("first.at").alias("source_start"))
+    known = found.where("not elsewhere").select("doc_id", "tie", "start", "n", "source", "source_start")
+    run = F.struct("start", "n", "source", "source_start")
+    return known.union(later).groupBy("doc_id", "tie").agg(F.collect_list(run).alias("found"))  # as long as the document at most
 
 
-def removed_words(runs_of: list[dict], n_words: int, window: int) -> np.ndarray:
-    """True for each word that a flagged window covers."""
+def parse(found: list[dict], window: int = WINDOW) -> list[tuple[int, int, object, int]]:
+    """Factors (start, words, source, start in the source) of one document, greedily from the left."""
+    out: list[tuple[int, int, object, int]] = []
+    end = 0  # of the windows of the last factor
+    for x in sorted(found, key=lambda x: (x["start"], -x["n"])):
+        start, n, source, at = x["start"], x["n"], x["source"], x["source_start"]
+        if out and start <= end and (source, at - start) == (out[-1][2], out[-1][3] - out[-1][0]):
+            end = max(end, start + n)  # the source goes on
+            out[-1] = (out[-1][0], end - out[-1][0] + window - 1, *out[-1][2:])
+        elif not out or start + n > end:  # a window across the end of the factor, or beyond it
+            skip = max(0, end - start) if out else 0
+            out.append((start + skip, n - skip + window - 1, source, at + skip))
+            end = start + n
+    return out
+
+
+def removed_words(found: list[dict], n_words: int, window: int) -> np.ndarray:
+    """True for each word of a factor."""
     delta = np.zeros(n_words + 1, dtype=np.int64)
-    for run in runs_of:
-        start, n, bits = run["start"], run["n"], run["bits"]
-        if n:
-            delta[start] += 1
-            delta[start + n + window - 1] -= 1
-        else:
-            for i in range(MOST_WINDOWS):
-                if bits >> i & 1:
-                    delta[start + i] += 1
-                    delta[start + i + window] -= 1
+    for start, words, _, _ in parse(found, window):
+        delta[start] += 1
+        delta[start + words] -= 1
     return np.cumsum(delta[:-1]) > 0
 
 
 def _with_factors(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """All columns of docs, and last the runs of each."""
+    """All columns of docs, and last what was found of each."""
     i, t, r = (fresh(docs, x) for x in ("factor_id", "factor_tie", "factor_runs"))
-    found = factors(docs, id_col, text_col, window).select(F.col("doc_id").alias(i), F.col("tie").alias(t), F.col("runs").alias(r))
-    return docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.hash(F.col(f"`{text_col}`")) == F.col(t)), "left").drop(i, t)
+    found = _lookups(docs, id_col, text_col, window).select(F.col("doc_id").alias(i), F.col("tie").alias(t), F.col("found").alias(r))
+    return docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(t)), "left").drop(i, t)
+
+
+def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """doc_id, start, n_words, source, source_start: the factors of every document, in words from 0. Rows of one id and text share theirs."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [parse(x, window) for x in batch.column(1).to_pylist()]
+            rows = pa.array(np.repeat(np.arange(len(made)), [len(x) for x in made]))
+            flat = [y for x in made for y in x]
+            columns = [pa.array([y[k] for y in flat], t) for k, t in ((0, pa.int32()), (1, pa.int32()), (2, batch.column(0).type), (3, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *columns], ["doc_id", "start", "n_words", "source", "source_start"])
+
+    found = _lookups(docs, id_col, text_col, window).select("doc_id", "found")
+    return found.mapInArrow(run, f"doc_id {id_type}, start int, n_words int, source {id_type}, source_start int")
 
 
 def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
