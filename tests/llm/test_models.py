@@ -134,15 +134,16 @@ def test_pipeline_stages(spark):
     kept = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert kept.columns == docs.columns
     rows = [(r.doc_id, r.text) for r in kept.collect()]
-    sets = [shingles(t, 5) for i, t in rows if i is not None]
+    before = sorted({(r.doc_id, r.text) for r in docs.collect()}, key=lambda x: (x[0] is None, x[0] or 0))
+    sets = [shingles(t, 5) for _, t in before]
+    group = list(range(len(before)))
     for i, a in enumerate(sets):
-        for b in sets[:i]:
-            assert not a or not b or len(a & b) < 0.8 * len(a | b)
-    before = [(r.doc_id, r.text) for r in docs.collect()]
-    for doc, text in before:  # who goes has a partner with a smaller id, or shares its id with one who stays
-        if doc is not None and doc not in {i for i, _ in rows}:
-            own = shingles(text, 5)
-            assert any(i is not None and i != doc and own and len(own & shingles(t, 5)) >= 0.8 * len(own | shingles(t, 5)) for i, t in before)
+        for j, b in enumerate(sets[:i]):
+            if a and b and len(a & b) >= 0.8 * len(a | b):
+                group = [group[j] if x == group[i] else x for x in group]
+    want = Counter(before[i][0] for i, g in enumerate(group) if g not in group[:i])  # the least id of each group
+    assert Counter(i for i, _ in rows) == want and len(set(rows)) == len(rows) and set(rows) <= set(before)
+    assert {(4010, "shared id first"), (4010, "shared id second one"), (None, None), (4000, None)} <= set(rows)
     cut = corpus_pipeline.cut_repeats(spark, kept, "")
     assert cut.columns == docs.columns and cut.count() == len(rows) and cut.where("n_chars <> length(text)").count() == 0
     packed = corpus_pipeline.pack_sequences(spark, cut, "")

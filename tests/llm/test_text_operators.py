@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -99,9 +100,11 @@ def test_shard_blocks_share_prefixes(tmp_path):
     assert all(reader.get(i)[0].tolist() == list(range((i + 100) % 7)) for i in range(-100, 400, 13)) and reader.get(400) == []
 
 
-def test_audio_round_trip(spark):
+def test_audio_round_trip(spark, tmp_path):
     df = documents(spark)
-    got = audio.expand_media(audio.store_payloads(df)).collect()
+    stored = audio.store_audio(df, str(tmp_path / "audio"))
+    assert {p.name for p in (tmp_path / "audio").iterdir()} == {"media", "pcm"}
+    got = audio.pcm_features(stored).collect()
     want = Counter()
     for i, t in rows_of(df):
         raw = (t or "").encode()
@@ -109,7 +112,23 @@ def test_audio_round_trip(spark):
         want[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
     assert {r.feature.split(";")[0] for r in got} == set(audio.FORMS)
-    assert all(len(r.pcm) == 2 * int(re.search(r"samples=(\d+)", r.feature)[1]) for r in got)
+    held = {(r.doc_id, r.media_sha256): r for r in stored.collect()}
+    for r in got:  # features by hand from what is stored
+        pcm = np.frombuffer(held[r.doc_id, r.media_sha256].pcm, dtype="<i2").astype(int).tolist()
+        rms = int((sum(x * x for x in pcm) / len(pcm)) ** 0.5)
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:], strict=False))
+        assert r.feature == f"{held[r.doc_id, r.media_sha256].form};samples={len(pcm)};rms={rms};peak={max(map(abs, pcm))};crossings={crossings}"
+
+
+def test_resampling_is_a_sum_over_neighbours():
+    rng = np.random.default_rng(1)
+    pcm = rng.integers(-20000, 20000, 50).astype(np.int16)
+    taps = [np.sinc(k - audio.TAPS // 2 + 0.5) * (0.54 - 0.46 * np.cos(2 * np.pi * k / audio.TAPS)) for k in range(audio.TAPS)]
+    padded = [0] * (audio.TAPS // 2) + pcm.tolist() + [0] * (audio.TAPS // 2)
+    got = audio.resample(pcm, 2, 1)
+    for i in range(50):
+        want = sum(t / sum(taps) * padded[i + audio.TAPS - 1 - k] for k, t in enumerate(taps))
+        assert abs(got[2 * i + 1] - max(-32768, min(32767, want))) <= 1 and got[2 * i] == pcm[i]
 
 
 def test_audio_tables_and_adpcm():
@@ -173,6 +192,45 @@ def test_sampled_segmentations_follow_their_weights():
         assert abs(seen[k] / n - w / total) < 0.015
 
 
+@pytest.mark.parametrize("text", ["thenwithoutanyspace" * 9, "a" + " " * 40 + "b", "x" * 70 + "yz"])
+def test_segmentations_of_long_units(text):
+    """How often a piece ends at each character, against sums over all segmentations; beyond 64 characters and in runs of spaces."""
+    import math
+
+    import sentencepiece
+
+    path = sentencepieces.default_model()
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = {sp.id_to_piece(i).replace("▁", " "): -math.log(2 - sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    full = f" {text}"
+    longest = max(map(len, pieces))
+
+    def sums(t):
+        out = [1.0] + [0.0] * len(t)
+        for e in range(1, len(t) + 1):
+            out[e] = sum(out[s] * math.exp(0.3 * pieces[t[s:e]]) for s in range(max(0, e - longest), e) if t[s:e] in pieces)
+        return out
+
+    fore = sums(full)
+    back = [1.0] + [0.0] * len(full)  # of the ends of the text
+    for n in range(1, len(full) + 1):
+        s = len(full) - n
+        back[n] = sum(back[n - k] * math.exp(0.3 * pieces[full[s : s + k]]) for k in range(1, min(longest, n) + 1) if full[s : s + k] in pieces)
+    want = [fore[i] * back[len(full) - i] / fore[-1] for i in range(len(full) + 1)]
+    n = 3000
+    ids, counts = sentencepieces.sample_pieces([text] * n, np.arange(n, dtype=np.uint64), path, alpha=0.3)
+    seen = np.zeros(len(full) + 1)
+    ends = np.cumsum(counts)
+    for e, c in zip(ends, counts, strict=True):
+        at = 0
+        for i in ids[e - c : e].tolist():
+            at += len(sp.id_to_piece(i))
+            seen[at] += 1
+    got = seen / n
+    got[0] = 1
+    assert max(abs(g - w) for g, w in zip(got, want, strict=True)) < 0.06
+
+
 def jaccard_by_hand(rows, k, t):
     sets = []
     for _, text in rows:
@@ -201,18 +259,40 @@ def jaccard_by_hand(rows, k, t):
 def test_near_duplicates(spark, monkeypatch, k, t, pairs):
     if not pairs:  # rounds of leaders even where there are few pairs
         monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", -1_000_000)
-        monkeypatch.setattr(jaccard, "SHORT", 0)  # signatures in all lists
     df = documents(spark)
     got = Counter(map(tuple, jaccard.near_duplicates(df, k=k, similarity=t, most_frequent=50).collect()))
     assert got == jaccard_by_hand(rows_of(df), k, t)
 
 
+def test_a_family_around_the_threshold(spark):
+    """Copies of one text with a few words changed each: their lists are long, and about half of the pairs are links."""
+    random.seed(5)
+    base = [f"w{random.randrange(5000)}" for _ in range(150)]
+    rows = [(4, None)]
+    for i in range(60):
+        own = list(base)
+        for at in random.sample(range(150), random.randint(1, 5)):
+            own[at] = f"n{random.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for k, t in ((3, Fraction(9, 10)), (5, Fraction(4, 5))):
+        want = jaccard_by_hand(rows, k, t)
+        assert Counter(map(tuple, jaccard.near_duplicates(df, k=k, similarity=t).collect())) == want
+        assert 2 < len({c for _, _, c in want}) < 50
+
+
+def test_keys_that_stand_for_several_values_are_told_apart(spark):
+    df = spark.createDataFrame([(1, 7, 1), (1, 7, 1), (1, 7, 2), (1, 8, 3), (0, 7, 9)], "n int, v long, second long")
+    got = [r.v for r in jaccard._told_apart(df, "v", "second")(df).where("n > 0").orderBy("second").collect()]
+    assert got[0] == got[1] and len(set(got)) == 3 and got[3] == 8 and 7 not in got
+
+
 def test_signatures_differ_in_no_more_bits_than_sets_in_shingles():
     words = [f"w{i}" for i in range(60)]
     texts = ["", "one", " ".join(words), " ".join(words[:30] + ["new"] + words[31:]), " ".join(words[:10] * 200), " ".join(f"x{i}" for i in range(3000))]
     ((_, values, bounds),) = jaccard.shingle_sets(texts, 3)
     sets = [set(values[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    bits = [sum((x & (1 << 64) - 1) << 64 * i for i, x in enumerate(row)) for row in jaccard._signatures(values, bounds).to_pylist()]
+    bits = [sum((x & (1 << 64) - 1) << 64 * i for i, x in enumerate(row)) for row in zip(*(x.to_pylist() for x in jaccard._signatures(values, bounds)), strict=True)]
     assert bits[0] == 0
     for x, p in zip(sets, bits, strict=True):
         for y, q in zip(sets, bits, strict=True):
@@ -242,6 +322,28 @@ def test_substring(spark):
     assert sum(n for _, _, n, _ in want.elements()) > 500
     cut = substring.remove_repeats(df)
     assert cut.columns == df.columns and cut.count() == len(rows)
+    words = {doc: words_of(text) for doc, text in rows}
+    made = substring.factors(df).where("doc_id is not null and source is not null and doc_id < 4009").collect()
+    for x in made:  # each is a copy of what stands at its source
+        assert (x.source, x.source_start) < (x.doc_id, x.start) and x.n_words >= 20
+        assert words[x.doc_id][x.start : x.start + x.n_words] == words[x.source][x.source_start : x.source_start + x.n_words]
+    assert {x.doc_id for x in made} >= set(range(1000, 1010)) & {d for (d, _, n, _) in want if n}
+
+
+def test_factors_are_greedy_and_checked_at_their_ends():
+    row = lambda start, n, source, at: {"start": start, "n": n, "source": source, "source_start": at}
+    assert substring.parse([]) == []
+    assert substring.parse([row(5, 1, 1, 9), row(3, 1, 1, 7), row(4, 1, 1, 8)]) == [(3, 22, 1, 7)]
+    assert substring.parse([row(3, 4, 1, 7), row(7, 1, 2, 0), row(30, 1, 1, 34)]) == [(3, 23, 1, 7), (7, 20, 2, 0), (30, 20, 1, 34)]
+    assert substring.parse([row(3, 4, 1, 7), row(5, 4, 2, 0)]) == [(3, 23, 1, 7), (7, 21, 2, 2)]
+
+
+def test_substring_of_long_and_periodic_texts(spark):
+    random.seed(3)
+    long = [f"v{random.randrange(10**6)}" for _ in range(90_000)]  # over a chunk of characters
+    rows = [(1, " ".join(long)), (2, " ".join(long[70_000:70_060])), (3, "same " * 21), (4, "a b c " * 9), (5, " ".join(long[:19])), (6, " ".join([*long[89_950:], *long[:50]]))]
+    got = {r.doc_id: r.n_removed for r in substring.dedup_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {1: 0, 2: 60, 3: 20, 4: 24, 5: 0, 6: 100}
 
 
 def test_licenses(spark):
@@ -259,7 +361,7 @@ def test_empty_tables(spark):
     assert token_counts.count_tokens(df).count() == 0
     assert packing.pack(df).count() == 0
     assert token_shards.read_shards(token_shards.write_shards(df, token_shards.shards_directory(df))).count() == 0
-    assert audio.expand_media(audio.store_payloads(df)).count() == 0
+    assert audio.pcm_features(audio.expand_media(audio.store_payloads(df))).count() == 0
     assert sentencepieces.decode(sentencepieces.encode(df)).count() == 0
     assert jaccard.near_duplicates(df).count() == 0
     assert substring.dedup_digests(df).count() == 0
