@@ -101,3 +101,14 @@ def range_bucket(max_abs: Column, least: Column) -> Column:
     for high, name in RANGES:
         out = out.when(max_abs <= high, F.lit(name))
     return out.otherwise(F.lit("range_gt_1e6"))
+
+
+# Upper ends of orders of magnitude.
+MAGNITUDES = ((1.0, "10^0_or_less"), (10.0, "10^1"), (100.0, "10^2"), (1e3, "10^3"), (1e4, "10^4"), (1e5, "10^5"), (1e6, "10^6"))
+
+
+def magnitude_group(max_abs: Column) -> Column:
+    out = F.when(max_abs <= MAGNITUDES[0][0], F.lit(MAGNITUDES[0][1]))
+    for high, name in MAGNITUDES[1:]:
+        out = out.when(max_abs <= high, F.lit(name))
+    return out.otherwise(F.lit("gt_10^6"))

@@ -51,13 +51,13 @@ def _seconds(now: Column, then: Column) -> Column:
 
 
 def gaps(df: DataFrame, h: History) -> DataFrame:
-    """Seconds since the last event, success and failure (0 without one), their logarithm and bin, and whether there is a past."""
-    timed, us, ok = h.timed(df), F.col("_us"), F.col(h.outcome)
+    """Seconds since the last event, success and failure (anything but a success; 0 without one), their logarithm and bin, and whether there is a past."""
+    timed, us, ok = h.timed(df), F.col("_us"), F.coalesce(F.col(h.outcome) == 1, F.lit(False))
     past = h.rows().rowsBetween(Window.unboundedPreceding, -1)
     last = {
         "login": F.lag(us).over(h.rows()),
-        "success": F.last(F.when(ok == 1, us), ignorenulls=True).over(past),
-        "failure": F.last(F.when(ok != 1, us), ignorenulls=True).over(past),
+        "success": F.last(F.when(ok, us), ignorenulls=True).over(past),
+        "failure": F.last(F.when(~ok, us), ignorenulls=True).over(past),
     }
     out = timed.withColumns({"has_prior_login": (F.row_number().over(h.rows()) > 1).cast("int")} | {f"seconds_since_prev_{k}": _seconds(us, c) for k, c in last.items()})
     return out.withColumns({f"seconds_since_prev_{k}_{kind}": f(F.col(f"seconds_since_prev_{k}")) for k in last for kind, f in (("log", N.log1p), ("bin", N.gap_bin))}).drop("_us")
@@ -67,7 +67,7 @@ def streaks(df: DataFrame, h: History) -> DataFrame:
     """Lengths of the runs of successes and of failures (anything else) that end just before the row."""
     timed = h.timed(df).withColumn("_rn", F.row_number().over(h.rows()))
     past = h.rows().rowsBetween(Window.unboundedPreceding, -1)
-    ok = F.col(h.outcome) == 1
+    ok = F.coalesce(F.col(h.outcome) == 1, F.lit(False))
     since = lambda breaks: F.col("_rn") - 1 - F.coalesce(F.last(F.when(breaks, F.col("_rn")), ignorenulls=True).over(past), F.lit(0))
     out = timed.withColumns({"prior_success_streak": since(~ok), "prior_failure_streak": since(ok)})
     return out.withColumns({f"{k}_{kind}": f(F.col(k)) for k in ("prior_success_streak", "prior_failure_streak") for kind, f in (("log", N.log1p), ("bin", N.count_bin))}).drop("_us", "_rn")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracefold.operators.quantiles import quantiles
+
 THRESHOLDS = tuple(round(0.05 * i, 2) for i in range(1, 20))
 
 
@@ -76,13 +78,52 @@ def missed_types(report: DataFrame, truth: str, least_recall: float = 0.5) -> Da
 
 
 def risk_summary(df: DataFrame, score: str, alert: Column) -> DataFrame:
-    p = F.percentile(score, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    return df.agg(F.avg(score).alias("mean"), p.alias("p"), F.avg(alert.cast("double")).alias("alert_rate")).select("mean", F.col("p")[0].alias("median"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("p95"), "alert_rate")
+    """One row: mean, median, p90 and p95 of the scores, and the share of alerts. Nulls without rows."""
+    p = quantiles(df, [score], (0.5, 0.9, 0.95))[score]
+    names = dict(zip(("median", "p90", "p95"), p, strict=True))
+    return df.agg(F.avg(score).alias("mean"), *(F.lit(v).cast("double").alias(k) for k, v in names.items()), F.avg(alert.cast("double")).alias("alert_rate"))
 
 
 def alert_threshold(df: DataFrame, score: str, rate: float) -> DataFrame:
     """The score that the given share of rows lies above; 1 without rows."""
-    return df.agg(F.coalesce(F.percentile(score, F.lit(1 - rate)), F.lit(1.0)).alias("threshold"))
+    found = quantiles(df, [score], [1 - rate])[score][0]
+    return df.sparkSession.createDataFrame([(1.0 if found is None else float(found),)], "threshold double")
+
+
+def alert_precision(df: DataFrame, label: str, alert: Column) -> DataFrame:
+    """One row: the share of positive labels among alerts; null without alerts."""
+    return df.agg(F.avg(F.when(alert, F.col(label).cast("double"))).alias("alert_precision"), F.count_if(alert).alias("alerts"))
+
+
+def _attacks(df: DataFrame, truth: str, predicted_type: str, flag: str, benign: str) -> DataFrame:
+    kind = F.coalesce(F.col(truth), F.lit(benign))
+    right = F.coalesce(F.col(predicted_type) == kind, F.lit(False))
+    return df.where(kind != benign).select(kind.alias("attack_type"), right.alias("right"), (right & F.coalesce(F.col(flag) == 1, F.lit(False))).alias("strict"))
+
+
+def attack_type_accuracy(df: DataFrame, truth: str, predicted_type: str, flag: str = "y_pred", benign: str = "Benign") -> DataFrame:
+    """One row over the rows of attacks: their number, the share with the right type, and of those that are flagged too; nulls without attacks."""
+    share = lambda c, n: F.avg(F.col(c).cast("double")).alias(n)
+    return _attacks(df, truth, predicted_type, flag, benign).agg(F.count(F.lit(1)).alias("attack_rows"), share("right", "attack_type_accuracy"), share("strict", "strict_attack_accuracy"))
+
+
+def attack_types(df: DataFrame, truth: str, predicted_type: str, flag: str = "y_pred", benign: str = "Benign") -> DataFrame:
+    """The same for each type of attack."""
+    return _attacks(df, truth, predicted_type, flag, benign).groupBy("attack_type").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("right").alias("type_correct"), F.avg(F.col("right").cast("double")).alias("type_accuracy"), F.count_if("strict").alias("strict_correct")
+    )
+
+
+def reference_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> dict[str, float]:
+    """Rates against a column that may not be there; none unless it is there and holds 0 and 1 only."""
+    if label not in df.columns:
+        return {}
+    value = F.col(label).try_cast("double")
+    known = df.where(F.col(label).isNotNull())
+    odd = known.where(~F.coalesce(value.isin(0.0, 1.0), F.lit(False))).limit(1)
+    if not odd.isEmpty() or known.isEmpty():
+        return {}
+    return confusion(known.withColumn(label, value.cast("int")), label, score, threshold).collect()[0].asDict()
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

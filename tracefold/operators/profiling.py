@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.functions import numbers as N
+from tracefold.operators.quantiles import distinct_counts, of_counts, quantiles
 
 # Words in a column's name and the group they stand for, in order.
 GROUP_WORDS = (
@@ -43,21 +44,35 @@ def recommendation(name: Column, group: Column, low: Column, high: Column, p95:
     )
 
 
-def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A row per column: counts, ratios, exact quantiles, moments, scale and recommendation. One shuffle by column name."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), N.number(F.col(f"`{c}`").cast("string")).alias("x")) for c in columns)))
-    long = df.select(pairs.alias("p")).select("p.*")
-    p = F.percentile("x", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+SHARES = (0.25, 0.5, 0.75, 0.95, 0.99)
+
+
+def profile(df: DataFrame, columns: Sequence[str], most_distinct: int | None = None) -> DataFrame:
+    """A row per column: counts, ratios, exact quantiles, moments, scale and recommendation.
+
+    most_distinct: a column with more values has the unique_count 0 and unique_count_is_approximate, for rules that expect a cap.
+    Counts and moments are partial aggregates, and quantiles come from sorted ranges, so no task holds a column.
+    """
+    texts = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), N.number(F.col(f"`{c}`").cast("string")).alias("x")) for c in columns)))
+    long = df.select(texts.alias("p")).select("p.*")
     stats = long.groupBy("column_name").agg(
-        F.count("x").alias("non_null_count"), F.avg(F.col("x").isNull().cast("double")).alias("missing_ratio"), F.avg((F.col("x") == 0).cast("double")).alias("zero_ratio"), F.avg((F.col("x") < 0).cast("double")).alias("negative_ratio"),
-        F.count_distinct("x").alias("unique_count"), F.min("x").alias("min"), p.alias("p"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
+        F.count(F.lit(1)).alias("total_rows"), F.count("x").alias("non_null_count"), F.avg(F.col("x").isNull().cast("double")).alias("missing_ratio"), F.avg((F.col("x") == 0).cast("double")).alias("zero_ratio"),
+        F.avg((F.col("x") < 0).cast("double")).alias("negative_ratio"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
     )
-    stats = stats.withColumns({"p50": F.col("p")[0], "p95": F.col("p")[1], "p99": F.col("p")[2]}).drop("p")
-    stats = stats.withColumns({"max_abs_reference": F.greatest(F.abs("min"), F.abs("p99"), F.abs("max")), "semantic_group": semantic_group(F.col("column_name"))})
+    counts = distinct_counts(long)
+    unique = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
+    stats = stats.join(F.broadcast(unique), "column_name", "left").join(F.broadcast(of_counts(counts, SHARES).drop("n")), "column_name", "left")  # a row per column
+    stats = stats.withColumns({f"p{round(100 * q)}": F.col("p")[i] for i, q in enumerate(SHARES)} | {"unique_count": F.coalesce("unique_count", F.lit(0))}).drop("p")
+    if most_distinct is not None:
+        over = F.col("unique_count") > most_distinct
+        stats = stats.withColumns({"unique_count_is_approximate": over | (F.col("non_null_count") == 0), "unique_count": F.when(over, 0).otherwise(F.col("unique_count"))})
+    stats = stats.withColumns({"convertible_ratio": F.col("non_null_count") / F.greatest("total_rows", F.lit(1)), "max_abs_reference": F.greatest(F.abs("min"), F.abs("p99"), F.abs("max")), "semantic_group": semantic_group(F.col("column_name"))})
+    empty = F.col("non_null_count") == 0
     return stats.withColumns(
         {
-            "range_bucket": F.when(F.col("non_null_count") == 0, "all_missing").otherwise(N.range_bucket(F.col("max_abs_reference"), F.col("min"))),
-            "transform_recommendation": F.when(F.col("non_null_count") == 0, "drop_or_investigate").otherwise(recommendation(F.col("column_name"), F.col("semantic_group"), F.col("min"), F.col("max"), F.col("p95"), F.col("p99"), F.col("unique_count"))),
+            "range_bucket": F.when(empty, "all_missing").otherwise(N.range_bucket(F.col("max_abs_reference"), F.col("min"))),
+            "magnitude_group": F.when(empty, "all_missing").otherwise(N.magnitude_group(F.col("max_abs_reference"))),
+            "transform_recommendation": F.when(empty, "drop_or_investigate").otherwise(recommendation(F.col("column_name"), F.col("semantic_group"), F.col("min"), F.col("max"), F.col("p95"), F.col("p99"), F.col("unique_count"))),
         }
     )
 
@@ -80,8 +95,8 @@ def _scaled(df: DataFrame, made: dict[str, Column]) -> DataFrame:
 
 def clip_log_zscore(df: DataFrame, columns: Sequence[str], quantile: float = 0.99) -> DataFrame:
     """z-scores of log1p of values clipped to [0, quantile]."""
-    row = df.agg(*(F.percentile(c, F.lit(quantile)).alias(c) for c in columns)).collect()[0]
-    return _scaled(df, {f"{c}_z": F.log1p(N.clip(F.col(c).cast("double"), 0.0, max(0.0, row[c] or 0.0))) for c in columns})
+    high = {c: max(0.0, p[0] or 0.0) for c, p in quantiles(df, columns, [quantile]).items()}
+    return _scaled(df, {f"{c}_z": F.log1p(N.clip(F.col(c).cast("double"), 0.0, high[c])) for c in columns})
 
 
 def zscore(df: DataFrame, columns: Sequence[str], low: float | None = None, high: float | None = None) -> DataFrame:
@@ -101,10 +116,9 @@ def presence(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def robust_profile(df: DataFrame, columns: Sequence[str], least_scale: float = 1e-6) -> dict[str, tuple[float, float]]:
     """(median, interquartile range) of each column; a range below the least is 1."""
-    row = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns)).collect()[0]
     out = {}
-    for c in columns:
-        low, mid, high = row[c] or (0.0, 0.0, 0.0)
+    for c, found in quantiles(df, columns, (0.25, 0.5, 0.75)).items():
+        low, mid, high = (x or 0.0 for x in found)
         out[c] = (mid, high - low if high - low >= least_scale else 1.0)
     return out
 

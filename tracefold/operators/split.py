@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions.numbers import shard
+from tracefold.storage import written
 
 RATIOS = (0.75, 0.08, 0.17)
 
@@ -16,11 +17,23 @@ def shards(df: DataFrame, key: str, n: int = 256) -> DataFrame:
     return df.withColumn("shard_id", shard(F.col(key), n))
 
 
+def numbered_in_order(df: DataFrame, order: Sequence[Column], number: str = "_rn", rows: str = "_n") -> DataFrame:
+    """df with each row's number from 1 in a total order and the number of rows, without a task that sees all of them."""
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))  # a row per range
+    w = Window.orderBy("_part")
+    before, whole = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"), F.sum("_size").over(whole).alias(rows))
+    return ranged.withColumn("_part", part).join(F.broadcast(base), "_part").withColumn(number, F.col("_base") + at + 1).drop("_id", "_part", "_base")
+
+
 def by_time(df: DataFrame, time: str, sequence: str, ratios: Sequence[float] = RATIOS, within: str | None = None) -> DataFrame:
     """df with `split`: the first floor(n r) rows in time are train, the next val, the rest test; undated rows come last.
 
     within: rows are split for each value of that column; else over all. The overall split numbers rows from sorted
-    ranges and the sizes of the ranges before, so it needs no single task.
+    ranges and the sizes of the ranges before, so it needs no single task; the ranges are written once and read twice, so both
+    readings see the same ones.
     """
     if abs(sum(ratios) - 1) > 1e-6:
         raise ValueError("ratios must add up to 1")
@@ -29,13 +42,7 @@ def by_time(df: DataFrame, time: str, sequence: str, ratios: Sequence[float] = R
         w = Window.partitionBy(within)
         numbered = df.withColumns({"_rn": F.row_number().over(w.orderBy(*order)), "_n": F.count(F.lit(1)).over(w)})
     else:
-        ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-        part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-        ranged = ranged.withColumns({"_part": part, "_at": at})
-        sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))  # a row per range
-        w = Window.orderBy("_part")
-        base = sizes.select("_part", F.coalesce(F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
-        numbered = ranged.join(F.broadcast(base), "_part").withColumn("_rn", F.col("_base") + F.col("_at") + 1).drop("_id", "_part", "_at", "_base")
+        numbered = numbered_in_order(df, order)
     first = F.floor(F.col("_n").cast("double") * float(ratios[0]))
     second = first + F.floor(F.col("_n").cast("double") * float(ratios[1]))
     return numbered.withColumn("split", F.when(F.col("_rn") <= first, "train").when(F.col("_rn") <= second, "val").otherwise("test")).drop("_rn", "_n")
@@ -51,6 +58,37 @@ def boundaries(split: DataFrame, time: str) -> DataFrame:
     return split.groupBy("split").agg(F.min(time).alias("first_time"), F.max(time).alias("last_time"), F.count(F.lit(1)).alias("rows"))
 
 
+def split_info(split: DataFrame, time: str) -> DataFrame:
+    """One row: train_end, val_end, test_start (the end of val), test_end and the rows of each split.
+
+    An empty train or val split ends where the one before does, and at the last time of all if there is none before.
+    """
+    last = lambda *names: F.max(F.when(F.col("split").isin(*names), F.col(time)))
+    out = split.agg(
+        F.coalesce(last("train"), F.max(time)).alias("train_end"),
+        F.coalesce(last("train", "val"), F.max(time)).alias("val_end"),
+        F.max(time).alias("test_end"),
+        *(F.count_if(F.col("split") == s).alias(f"{s}_records") for s in ("train", "val", "test")),
+    )
+    return out.withColumn("test_start", F.col("val_end")).select("train_end", "val_end", "test_start", "test_end", "train_records", "val_records", "test_records")
+
+
+def in_time_order(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows sorted over all by the columns, nulls last: ranges of the first column, each sorted."""
+    return df.orderBy(*(F.col(c).asc_nulls_last() for c in columns))
+
+
+def first_in_time(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """The first n rows by the columns, nulls last; every task keeps n rows at most."""
+    return in_time_order(df, *columns).limit(n)
+
+
+def sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """n rows by a hash of (key, seed): the same ones in every run."""
+    name = "_order"
+    return df.withColumn(name, F.xxhash64(F.col(key), F.lit(seed))).orderBy(name, key).limit(n).drop(name)
+
+
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key in a stated order."""
     w = Window.partitionBy(*key).orderBy(*order)
@@ -58,10 +96,10 @@ def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def balanced_sample(df: DataFrame, group: str, n: int, order: str) -> DataFrame:
-    """n rows: max(n / groups, 1) of each group by the order column, then others by it."""
+    """n rows: max(n / groups, 1) of each group by the order column, then others by it. Tasks pass on only rows that may stay."""
     groups = df.select(group).distinct().count()
     quota = max(n // max(groups, 1), 1)
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_rn") <= n)
     return ranked.orderBy((F.col("_rn") > quota).cast("int"), order).limit(n).drop("_rn")
 
 
