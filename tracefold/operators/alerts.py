@@ -23,39 +23,52 @@ TEXTS = {
     "Log Forging": ("Log integrity misconfiguration", "Log-control characters reached request handling.", "Use structured logging and sanitize newline/control characters."),
 }
 EVIDENCE = {"LOG4J": "log4j", "Directory Traversal": "traversal", "XSS": "xss", "RCE": "rce", "Log Forging": "log_forging", "SQL Injection": "sql_keywords"}
+ACTION = "Block or step-up matching requests, alert the API owner, and open a root-cause fix ticket."
 EVENT_SCHEMA = (
     "event_timestamp string, method string, host string, path string, path_template string, query string, client_ip string, user_agent string, content_type string, status_code int, response_body_size int, "
     "request_has_authorization boolean, request_has_cookie boolean"
 )
 
 
+def _once(value: Column, made) -> Column:
+    """made(value), with the value computed once however often it is used: a lambda's argument isn't copied into its body."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
 def with_signal(events: DataFrame, name: str = "security_finding") -> DataFrame:
     """events with the attack type of the first rule that holds, or null.
 
-    Rules look at the request's text as it is, decoded, deobfuscated and compact; each stage is a column, so that none is
-    computed once per rule.
+    Rules look at the request's text as it is, decoded, deobfuscated and compact; each stage is computed once.
     """
     have = lambda c: F.coalesce(F.col(c), F.lit("")) if c in events.columns else F.lit("")
-    df = events.withColumn("_raw", F.concat_ws(" ", *(have(c) for c in ("path", "path_template", "query", "user_agent", "content_type"))))
-    df = df.withColumns({"_plain": T.decoded(F.col("_raw")), "_query": T.decoded(have("query"))})
-    df = df.withColumn("_clear", T.deobfuscate(F.col("_plain")))
-    compact = F.regexp_replace(F.regexp_replace("_clear", r"(?d)/\*.*?\*/", ""), r"(?U)\s+", "")
-    df = df.withColumn("_text", F.concat_ws(" ", "_raw", "_plain", "_clear", compact))
-    hit = lambda pattern: F.col("_text").rlike(T.java(pattern))
-    path, low = have("path"), F.lower("_query")
-    docs = path.startswith("/docs/") & ~F.col("_query").rlike(T.java(DOCS_EXCEPTION))
-    has_cookie = F.coalesce(F.col("request_has_cookie"), F.lit(False)) if "request_has_cookie" in events.columns else F.lit(False)
-    cookie = has_cookie & ((path == "/cookielogin") | path.startswith("/login/") | low.contains("role=admin") | low.contains("next=/admin"))
-    found = (
-        F.when(hit(LOG4J), "LOG4J")
-        .when(hit(TRAVERSAL), "Directory Traversal")
-        .when(hit(XSS), "XSS")
-        .when(hit(RCE), "RCE")
-        .when(hit(T.LOG_FORGING), "Log Forging")
-        .when(hit(SQL), F.when(~docs, "SQL Injection"))
-        .when(cookie, "Cookie Injection")
-    )
-    return df.withColumn(name, found).drop("_raw", "_plain", "_query", "_clear", "_text")
+    path = have("path")
+    has_cookie = F.coalesce(F.col("request_has_cookie").cast("boolean"), F.lit(False)) if "request_has_cookie" in events.columns else F.lit(False)
+
+    def rules(text: Column) -> Column:
+        hit = lambda pattern: text.rlike(T.java(pattern))
+        return _once(T.decoded(have("query")), lambda query: first_rule(hit, query))
+
+    def first_rule(hit, query: Column) -> Column:
+        docs = path.startswith("/docs/") & ~query.rlike(T.java(DOCS_EXCEPTION))
+        low = F.lower(query)
+        cookie = has_cookie & ((path == "/cookielogin") | path.startswith("/login/") | low.contains("role=admin") | low.contains("next=/admin"))
+        return (
+            F.when(hit(LOG4J), "LOG4J")
+            .when(hit(TRAVERSAL), "Directory Traversal")
+            .when(hit(XSS), "XSS")
+            .when(hit(RCE), "RCE")
+            .when(hit(T.LOG_FORGING), "Log Forging")
+            .when(hit(SQL), F.when(~docs, "SQL Injection"))
+            .when(cookie, "Cookie Injection")
+        )
+
+    def with_compact(raw: Column, plain: Column, clear: Column) -> Column:
+        compact = F.regexp_replace(F.regexp_replace(clear, r"(?d)/\*.*?\*/", ""), r"(?U)\s+", "")
+        return _once(F.concat_ws(" ", raw, plain, clear, compact), rules)
+
+    raw = F.concat_ws(" ", *(have(c) for c in ("path", "path_template", "query", "user_agent", "content_type")))
+    found = _once(raw, lambda r: _once(T.decoded(r), lambda plain: _once(T.deobfuscate(plain), lambda clear: with_compact(r, plain, clear))))
+    return events.withColumn(name, found)
 
 
 def outcome(status: Column) -> Column:
@@ -81,18 +94,11 @@ def alerts(events: DataFrame, predictions: str | None = None) -> DataFrame:
     names = F.element_at(F.create_map(*(F.lit(x) for k, v in EVIDENCE.items() for x in (k, f"request_contains_{v}"))), kind)
     header = F.when((kind == "LOG4J") & F.coalesce("user_agent", F.lit("")).rlike(T.java(LOG4J)), "request_header_contains_log4j")
     seen = F.when(kind == "Cookie Injection", "request_has_cookie").otherwise(names)
+    model = F.col("model_prediction") if "model_prediction" in events.columns else F.lit('{"mode":"fallback_rules"}')
     status = F.concat(F.lit("response_status_is_"), F.floor(F.col("status_code") / 100).cast("string"), F.lit("xx"))
     got = F.concat(F.lit("suspicious_request_got_"), F.when(accepted, "2xx").when(blocked, "4xx").when(result == "errored", "5xx").otherwise("other"))
     return df.select(
         F.col("event_timestamp").alias("timestamp"), severity.alias("severity"), title.alias("title"), F.col("client_ip").alias("source_ip"), F.concat_ws(" ", "method", "path").alias("endpoint"), "status_code", "security_finding",
         F.concat(F.col("path"), F.lit(" "), result, F.lit(" suspicious "), kind, F.lit(" shaped input with HTTP "), F.col("status_code").cast("string"), F.lit(".")).alias("summary"),
-        cause.alias("root_cause"), F.filter(F.array(seen, header, status, got), lambda x: x.isNotNull()).alias("evidence"), fix.alias("recommended_fix"),
+        cause.alias("root_cause"), F.filter(F.array(seen, header, status, got), lambda x: x.isNotNull()).alias("evidence"), fix.alias("recommended_fix"), model.alias("model"), F.lit(ACTION).alias("zero_trust_action"),
     )
-
-
-def score_cases(cases: DataFrame) -> DataFrame:
-    """Cases with label_expected and attack_type_expected: whether the rules found what was expected, and how they failed."""
-    found = with_signal(cases, "found")
-    attack, hit = F.col("label_expected") == "attack", F.col("found").isNotNull()
-    failure = F.when(attack & ~hit, "missed_attack").when(~attack & hit, "false_alert").when(attack & (F.col("found") != F.col("attack_type_expected")), "wrong_type").otherwise("none")
-    return found.withColumns({"passed": (attack == hit).cast("int"), "failure_type": failure})

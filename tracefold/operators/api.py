@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracefold.functions import numbers as N
 from tracefold.functions import text as T
 from tracefold.operators.retrieval import weighted
+from tracefold.operators.split import keep_first
 
 # Kept headers, attack labels, methods.
 HEADERS = ("accept", "authorization", "content-encoding", "content-length", "content-type", "cookie", "host", "user-agent", "x-forwarded-for", "x-requested-with")
@@ -18,12 +19,17 @@ SIGNALS = [f"request_contains_{k}" for k in T.PATTERNS] + ["request_header_conta
 
 
 def _headers(c: Column) -> Column:
+    """Names in lower case; of names that differ in case only the last one stays."""
     pairs = F.transform(F.map_entries(F.coalesce(c, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(T.strip(e["key"])).alias("key"), F.coalesce(e["value"], F.lit("")).alias("value")))
-    return F.map_from_entries(pairs)
+    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
 
 
 def normalize(raw: DataFrame, validation: tuple[str, ...] = ("_val", "validation")) -> DataFrame:
-    """One row per event of (request, response, source_file); the first row of an event id stays."""
+    """One row per event of (request, response, source_file). With a record_index, as `readers.api_json` gives it, events get an
+    event_id of file and index, and the first row of each stays."""
+    if "record_index" in raw.columns:
+        raw = keep_first(raw.withColumn("event_id", F.concat_ws(":", F.regexp_replace("source_file", r"\.[^.]*$", ""), F.col("record_index").cast("string"))), ["event_id"], ["source_file", "record_index"])
     r, s = "request", "response"
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     df = raw.withColumns({"request_headers": _headers(F.col(f"{r}.headers")), "response_headers": _headers(F.col(f"{s}.headers")), "method": F.upper(text(f"{r}.method")), "url": text(f"{r}.url"), "request_body": text(f"{r}.body"), "response_body": text(f"{s}.body")})
@@ -54,6 +60,7 @@ def semantic_tokens() -> Column:
     kind = F.when(low.contains("json"), "content_type:json").when(low.contains("xml"), "content_type:xml").when(low.contains("form"), "content_type:form").when(low != "", "content_type:other")
     text = F.lower(F.concat_ws(" ", "path_template", F.array_join(F.transform("query_pairs", lambda p: F.concat(p["k"], F.lit("="), p["v"])), " "), "body_normalized"))
     patterns = {"attack_sql": T.SQL} | {f"attack_{new}": dict(T.SHAPES)[old] for new, old in (("traversal", "traversal"), ("xss", "script"), ("log4j", "lookup"), ("rce", "command"), ("log_forging", "newline"))}
+    patterns["attack_traversal"] = r"\.\./|\.\.\\"  # no encoded dots here: the body is decoded already
     prefixed = lambda p, a: F.transform(a, lambda x: F.concat(F.lit(p), x))
     single = F.array(
         F.concat(F.lit("method:"), F.lower("method")), F.concat(F.lit("host_is_ip:"), T.host_is_ip(c("host")).cast("string")), F.concat(F.lit("path_depth:"), T.path_depth(c("path_template")).cast("string")), kind,
@@ -68,9 +75,13 @@ def pattern_flags(text: Column, prefix: str) -> dict[str, Column]:
     return {f"{prefix}_contains_{k}": T.contains(scan, p) for k, p in T.PATTERNS.items()}
 
 
+# Names of the counts of patterns.
+COUNT_NAMES = {"sql_keywords": "sql_keyword", "traversal": "traversal_token", "xss": "xss_token", "log4j": "log4j_token", "rce": "rce_token", "log_forging": "newline_token"}
+
+
 def pattern_counts(text: Column, prefix: str) -> dict[str, Column]:
     scan = T.canonical(text)
-    return {f"{prefix}_{k}_count": T.occurrences(scan, p) for k, p in T.PATTERNS.items()}
+    return {f"{prefix}_{COUNT_NAMES[k]}_count": T.occurrences(scan, p) for k, p in T.PATTERNS.items()}
 
 
 def contexts(path: Column, query: Column) -> dict[str, Column]:
@@ -115,6 +126,8 @@ def response_features(df: DataFrame) -> DataFrame:
     c = F.col
     scan = F.concat_ws(" ", "response_body", "response_header_values")
     status = {f"response_status_is_{k}xx": N.flag(c("status_code").between(100 * k, 100 * k + 99)) for k in (2, 3, 4, 5)}
+    kind = F.lower(F.coalesce(c("response_headers")["content-type"], c("content_type")))
+    status |= {"response_content_type_is_json": F.coalesce(kind.contains("json"), F.lit(False)).cast("int")}
     out = df.withColumns(status | {"response_body_length": F.length("response_body"), "response_has_error_keyword": F.lower("response_body").rlike(RESPONSE_WORDS).cast("int"), "response_is_json_like": c("response_body").rlike(r"^[{\[]").cast("int"), "response_has_body": N.flag(F.length("response_body") > 0), "response_header_contains_log4j": T.contains(c("response_header_values"), T.LOG4J), "response_body_contains_log4j": T.contains(c("response_body"), T.LOG4J)})
     flags = pattern_flags(scan, "response") | {"response_contains_log_forging": T.contains(c("response_text"), T.LOG_FORGING)}
     out = out.withColumns(flags)
