@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import numbers as N
 from tracefold.functions import text as T
+from tracefold.operators.split import numbered_in_order
 
 NETWORK_KEYS = ("dst_port", "protocol", "timestamp", "flow_duration", "tot_fwd_pkts", "tot_bwd_pkts", "totlen_fwd_pkts", "totlen_bwd_pkts", "label")
 NETWORK_DEFAULTS = (
@@ -108,22 +109,90 @@ def normalize_https(df: DataFrame, view: str = "flows", label_mode: str = "binar
     return df.withColumn("target_label", target)
 
 
-def rate_with_fallback(df: DataFrame, given: str, total: Column, duration: Column, name: str, scope: str | None = None) -> DataFrame:
-    """log1p of the given rate if any row of the scope (the table, or each value of a column) has one, else of total / duration."""
+def rate_with_fallback(df: DataFrame, given: str, total: Column, duration: Column, name: str, scope: str | None = None, used: bool | None = None) -> DataFrame:
+    """log1p of the given rate if any row of the scope (the table, or each value of a column) has one, else of total / duration.
+
+    used: whether the table has one, if that is known already.
+    """
     own, computed = N.log1p(F.col(given)), F.log1p(F.greatest(N.ratio(total, duration), F.lit(0.0)))
     if scope:
         use = F.max(F.col(given) != 0).over(Window.partitionBy(scope))
         return df.withColumn(name, N.finite(F.when(use, own).otherwise(F.when(duration != 0, computed))))
-    used = not df.where(F.col(given) != 0).limit(1).isEmpty()
+    if used is None:
+        used = rates_used(df, [given])[given]
     return df.withColumn(name, N.finite(own if used else F.when(duration != 0, computed)))
 
 
+def rates_used(df: DataFrame, names: list[str]) -> dict[str, bool]:
+    """Whether any row has a rate other than 0, for all of them in one pass."""
+    row = df.agg(*(F.coalesce(F.max(F.col(n) != 0), F.lit(False)).alias(n) for n in names)).collect()[0]
+    return row.asDict()
+
+
 def https_features(df: DataFrame, scope: str | None = None) -> DataFrame:
     df = with_defaults(df, HTTPS_DEFAULTS)
     c = F.col
     size, packets = c("bytes") + c("bytes_rev"), c("packets") + c("packets_rev")
     df = df.withColumns({"total_bytes": size, "total_packets": packets, "bytes_per_packet": N.finite(N.ratio(size, packets)), "bytes_ratio_rev_to_fwd": N.finite(N.ratio(c("bytes_rev"), c("bytes"))), "packets_ratio_rev_to_fwd": N.finite(N.ratio(c("packets_rev"), c("packets")))})
+    used = {} if scope else rates_used(df, ["bytes_per_sec", "packets_per_sec", "roundtrips_per_sec"])
     for given, total, name in (("bytes_per_sec", size, "bytes_per_second_log1p"), ("packets_per_sec", packets, "packets_per_second_log1p"), ("roundtrips_per_sec", c("roundtrips"), "roundtrips_per_second_log1p")):
-        df = rate_with_fallback(df, given, total, c("duration"), name, scope)
+        df = rate_with_fallback(df, given, total, c("duration"), name, scope, used.get(given))
     text = lambda x: F.coalesce(c(x), F.lit("")) if x in df.columns else F.lit("")
     return df.withColumns({"duration_log1p": N.log1p(c("duration")), "is_tcp": N.flag(c("protocol") == 6), "is_tls_port": N.flag(c("dst_port") == 443), "has_tls_sni": N.flag(text("tls_sni") != ""), "has_tls_ja3": N.flag(text("tls_ja3") != ""), "is_benign_scenario": N.flag(text("scenario").startswith("backbone_capture_"))})
+
+
+HTTPS_FEATURES = [
+    "total_bytes", "total_packets", "bytes_per_packet", "bytes_ratio_rev_to_fwd", "packets_ratio_rev_to_fwd", "bytes_per_second_log1p", "packets_per_second_log1p", "duration_log1p", "roundtrips_per_second_log1p",
+    "is_tcp", "is_tls_port", "has_tls_sni", "has_tls_ja3", "is_benign_scenario",
+]
+HTTPS_FIRST = [
+    "event_id", "source_file", "input_view", "event_timestamp", "time_first", "time_last", "duration", "service_key", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "tls_sni", "tls_ja3", "scenario",
+    "attack_tool", "target_app", "attack_label_raw", "label_binary", "label_known", "target_label",
+]
+NETWORK_FIRST = ["event_id", "source_file", "event_timestamp", "dst_port", "protocol", "protocol_token", "port_token", "transport_token", "attack_label_raw", "attack_family", "label_binary", "label_known", "target_label"]
+
+
+def in_front(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns that df has, in that order, then the rest."""
+    first = [c for c in names if c in df.columns]
+    return df.select(*(F.col(f"`{c}`") for c in [*first, *(c for c in df.columns if c not in first)]))
+
+
+def annotated_https(normalized: DataFrame, file: str) -> DataFrame:
+    """Normalised HTTPS flows in order of time and service, with source_file and an event_id of the file and the place in that order."""
+    order = [F.col("event_timestamp").asc_nulls_last(), F.col("service_key").asc_nulls_last(), F.xxhash64("src_ip", "dst_ip", "time_first", "time_last", "bytes")]
+    df = numbered_in_order(normalized, order, "_rn", "_n")
+    stem = file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    df = df.withColumns({"source_file": F.lit(file.rsplit("/", 1)[-1]), "event_id": F.concat_ws(":", F.lit(stem), (F.col("_rn") - 1).cast("string"))}).drop("_rn", "_n")
+    return in_front(df, HTTPS_FIRST)
+
+
+def transport_context(df: DataFrame) -> DataFrame:
+    """Coarse indicators of protocol and port; a missing protocol is none of the known ones, a missing port is invalid."""
+    protocol, port = F.coalesce(F.col("protocol"), F.lit(0)), F.coalesce(F.col("dst_port"), F.lit(-1))
+    made = {
+        "is_tcp": protocol == 6, "is_udp": protocol == 17, "is_icmp": protocol == 1, "is_other_protocol": ~protocol.isin(1, 6, 17),
+        "is_system_port": port.between(0, 1023), "is_registered_port": port.between(1024, 49151), "is_dynamic_port": port >= 49152, "is_invalid_port": port < 0,
+    }
+    return df.withColumns({k: v.cast("byte") for k, v in made.items()})
+
+
+def rolling(df: DataFrame, entity: str, time: str, hours: tuple[float, ...] = (0.01, 0.1, 1.0), label: str = "label_binary", protocol: str = "protocol") -> DataFrame:
+    """Of each flow, over the entity's flows in the hours before it (not at its own time): their number, share of attacks, and entropy of tcp, udp, icmp and others.
+
+    Running sums over one exchange by entity; no list of a range is kept.
+    """
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    out = df.where(F.col(time).isNotNull()).withColumn("_us", us)
+    kinds = [F.coalesce(F.col(protocol) == k, F.lit(False)) for k in (6, 17, 1)]
+    kinds.append(~(kinds[0] | kinds[1] | kinds[2]))
+    made, done = {}, {}
+    for h in hours:
+        w = Window.partitionBy(entity).orderBy("_us").rangeBetween(-round(h * 3_600_000_000), -1)
+        name = f"{h:g}h".replace(".", "_")
+        made |= {f"flow_count_{name}": F.count(F.lit(1)).over(w), f"_a{name}": F.count(F.when(F.col(label) == 1, 1)).over(w)} | {f"_k{i}{name}": F.count(F.when(k, 1)).over(w) for i, k in enumerate(kinds)}
+        n = F.col(f"flow_count_{name}")
+        share = [F.coalesce(N.ratio(F.col(f"_k{i}{name}").cast("double"), n), F.lit(0.0)) for i in range(len(kinds))]
+        part = [F.when(p > 0, -p * F.log2(p)).otherwise(0.0) for p in share]
+        done |= {f"attack_rate_{name}": F.coalesce(N.ratio(F.col(f"_a{name}").cast("double"), n), F.lit(0.0)), f"protocol_entropy_{name}": sum(part[1:], part[0])}
+    return out.withColumns(made).withColumns(done).drop("_us", *(c for c in made if c.startswith("_")))

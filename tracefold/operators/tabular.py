@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -28,11 +28,33 @@ def matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(clean)
 
 
-def fit(df: DataFrame, columns: Sequence[str], label: str, balanced: bool = True, l2: float = 1e-4):
-    rows = matrix(df, columns)
+def require_binary(df: DataFrame, label: str) -> None:
+    """Raises unless every label is 0 or 1."""
+    value = F.col(label).try_cast("double")
+    if not df.where(~F.coalesce(value.isin(0.0, 1.0), F.lit(False))).limit(1).isEmpty():
+        raise ValueError(f"{label} must hold 0 and 1 only")
+
+
+def fit(df: DataFrame, columns: Sequence[str], label: str, balanced: bool = True, l2: float = 1e-4) -> LogisticRegressionModel:
+    """A logistic model of the columns; balanced: both classes weigh the same."""
+    require_binary(df, label)
+    rows, weight = matrix(df, columns), None
     if balanced:
-        rows = rows.join(F.broadcast(class_weights(df, label)), label)  # a row per class
-    return LogisticRegression(labelCol=label, weightCol="weight" if balanced else None, regParam=l2, maxIter=50).fit(rows) if balanced else LogisticRegression(labelCol=label, regParam=l2, maxIter=50).fit(rows)
+        weight = "weight"
+        while weight in df.columns:
+            weight += "_"
+        weights = class_weights(df, label).select(label, F.col("weight").alias(weight))
+        rows = rows.join(F.broadcast(weights), label)  # a row per class
+    model = LogisticRegression(labelCol=label, regParam=l2, maxIter=50)
+    return (model.setWeightCol(weight) if weight else model).fit(rows)
+
+
+def save(model: LogisticRegressionModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> LogisticRegressionModel:
+    return LogisticRegressionModel.load(path)
 
 
 def score(model, df: DataFrame, columns: Sequence[str], name: str = "y_score") -> DataFrame:
