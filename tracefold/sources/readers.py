@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HTTP = "struct<headers: map<string, string>, method: string, url: string, body: string, Attack_Tag: string>"
@@ -13,9 +13,30 @@ REPLY = "struct<status: string, headers: map<string, string>, status_code: strin
 HTTPS_FILES = {"flows": "flows.csv", "aggregated_flows": "aggregated_flows.csv", "samples": "samples.csv"}
 
 
-def csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """All columns as text; quotes may hold line breaks."""
-    return spark.read.options(header=True, inferSchema=False, multiLine=True, escape='"').csv(path)
+def csv(spark: SparkSession, path: str | Sequence[str], breaks_in_quotes: bool = False) -> DataFrame:
+    """All columns as text. breaks_in_quotes: quoted values may hold line breaks; a file is then read by one task, else it splits."""
+    return spark.read.options(header=True, inferSchema=False, multiLine=breaks_in_quotes, escape='"').csv(path)
+
+
+def csv_stream(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """The files of a folder, as they come, a few at a time; all columns as text."""
+    return spark.readStream.options(header=True, maxFilesPerTrigger=8).schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
+
+
+def numbered(df: DataFrame, name: str = "record_index") -> DataFrame:
+    """A table just read, with its file's name and each row's number in its file from 0, whatever the splits.
+
+    A split's rows follow each other in one task; the rows of the splits before, a row per split, are broadcast.
+    """
+    at = df.select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    splits = at.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    return at.join(F.broadcast(splits), ["_file", "_block"]).withColumn(name, F.col("_id") - F.col("_first") + F.col("_before")).drop("_file", "_block", "_id", "_first", "_before")
+
+
+def _stem(file_name: str) -> Column:
+    return F.regexp_replace(file_name, r"\.[^.]*$", "")
 
 
 def any_table(spark: SparkSession, path: str) -> DataFrame:
@@ -47,19 +68,40 @@ def _names(spark: SparkSession, path: str) -> list[str]:
 
 
 def network_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Flows with their file and a row id that doesn't depend on partitions."""
-    df = csv(spark, path)
-    return df.withColumns({"source_file": F.col("_metadata.file_name"), "event_id": F.concat_ws(":", F.regexp_replace("_metadata.file_name", r"\.[^.]*$", ""), F.monotonically_increasing_id().cast("string"))})
+    """Flows with their file and an id of file and row number."""
+    df = numbered(csv(spark, path))
+    return df.withColumn("event_id", F.concat_ws(":", _stem("source_file"), F.col("record_index").cast("string"))).drop("record_index")
 
 
 def https_csv(spark: SparkSession, folder_path: str, view: str = "flows") -> DataFrame:
-    return csv(spark, f"{folder_path}/{HTTPS_FILES[view]}")
+    """The file of a view; FileNotFoundError if the folder has none."""
+    if HTTPS_FILES[view] not in _names(spark, folder_path):
+        raise FileNotFoundError(f"{folder_path} has no {HTTPS_FILES[view]}")
+    return csv(spark, f"{folder_path}/{HTTPS_FILES[view]}").withColumn("source_file", F.lit(HTTPS_FILES[view]))
 
 
 def api_json(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Events of JSON arrays of {request, response}, with the file they come from."""
-    df = spark.read.schema(f"request {HTTP}, response {REPLY}").json(path, multiLine=True)
-    return df.withColumn("source_file", F.col("_metadata.file_name"))
+    """Events of JSON arrays of {request, response}, with the file they come from and their index in it; other JSON is refused."""
+    for p in [path] if isinstance(path, str) else path:
+        _require_arrays(spark, p)
+    return numbered(spark.read.schema(f"request {HTTP}, response {REPLY}").json(path, multiLine=True))
+
+
+def _require_arrays(spark: SparkSession, path: str) -> None:
+    """Looks at the first characters of each file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    for status in fs.globStatus(root) or []:
+        for file in fs.listStatus(status.getPath()):
+            if file.isFile() and not file.getPath().getName().startswith(("_", ".")):
+                stream = fs.open(file.getPath())
+                try:
+                    first = next((chr(x) for x in iter(stream.read, -1) if not chr(x).isspace() and x not in (0xEF, 0xBB, 0xBF)), "")
+                finally:
+                    stream.close()
+                if first != "[":
+                    raise ValueError(f"expected a list in {file.getPath().getName()}")
 
 
 def archive_7z(spark: SparkSession, path: str) -> DataFrame:
@@ -67,15 +109,26 @@ def archive_7z(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Lines of JSON; blank lines are left out; rows without an event_id get the file's name and the line's offset order."""
-    df = spark.read.schema(schema).json(path)
-    if "event_id" not in df.columns:
-        df = df.withColumn("event_id", F.concat_ws(":", F.col("_metadata.file_name"), F.monotonically_increasing_id().cast("string")))
-    return df
+    """Lines of JSON; blank lines are left out; rows without an event_id get file:line, lines from 1 with blank ones counted."""
+    lines = numbered(spark.read.text(path)).where(F.trim("value") != "")
+    made = F.concat_ws(":", "source_file", (F.col("record_index") + 1).cast("string"))
+    df = lines.select(F.from_json("value", schema).alias("e"), made.alias("_line")).select("e.*", "_line")
+    own = F.coalesce(F.col("event_id"), F.col("_line")) if "event_id" in df.columns else F.col("_line")
+    return df.withColumn("event_id", own).drop("_line")
+
+
+def profile_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A column profile as `sinks.profile` writes it."""
+    numbers = [f"{c} double" for c in ("missing_ratio", "zero_ratio", "negative_ratio", "convertible_ratio", "min", "p25", "p50", "p75", "p95", "p99", "max", "mean", "std", "max_abs_reference")]
+    kinds = dict(x.split() for x in ["total_rows long", "non_null_count long", "unique_count long", "unique_count_is_approximate boolean", *numbers])
+    df = spark.read.options(header=True, inferSchema=False, escape='"').csv(path)
+    return df.withColumns({c: F.col(c).cast(kinds[c]) for c in df.columns if c in kinds})
 
 
 def split(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One split of a table written by `sinks.splits`; only its files are read."""
+    """One split of a table written by `sinks.splits`; only its files are read. FileNotFoundError if it has none."""
+    if f"split={name}" not in _names(spark, path):
+        raise FileNotFoundError(f"{path} has no split {name}")
     return spark.read.parquet(path).where(F.col("split") == name)
 
 
