@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tracefold.plans import catalogue
+from tracefold.plans import catalogue, catalogue_more  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
