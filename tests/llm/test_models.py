@@ -124,6 +124,52 @@ def test_features_by_hand():
     assert not toxicity.text_features([""], keys, np.array([5.0])).any()
 
 
+def features_by_hand(text, weights):
+    disguise = dict(zip("013457@$", "oieastas", strict=True))
+    small = text.lower()
+    words, at = [], 0
+    solid = lambda x: x.isalpha() or x in "0123456789@$"
+    while at < len(text):
+        end = at
+        while end < len(text) and solid(text[end]):
+            end += 1
+        if any(x.isalpha() for x in text[at:end]):
+            words.append((at, end))
+        at = max(end, at + 1)
+    weight = [weights.get("".join(disguise.get(x, x) for x in small[a:b]), 0.0) for a, b in words]
+    you = [small[a:b] in toxicity.SECOND_PERSON for a, b in words]
+    odd = [any(not x.isalpha() for x in text[a:b]) for a, b in words]
+    hit = [w > 0 for w in weight]
+    upper = [x.isalpha() and x != y for x, y in zip(text, small, strict=True)]
+    n, chars, letters = max(1, len(words)), max(1, len(text)), max(1, sum(x.isalpha() for x in text))
+    near = sum(h and any(you[max(0, i - 4) : i + 5]) for i, h in enumerate(hit))
+    strong = sum(w > toxicity.STRONG for w in weight)
+    return [
+        np.log1p(len(words)), sum(hit) / n, np.log1p(sum(hit)), sum(weight) / n, near / n, sum(you) / n, np.log1p(sum(h and o for h, o in zip(hit, odd, strict=True))), sum(upper) / letters,
+        sum(b - a > 2 and all(upper[a:b]) for a, b in words) / n, text.count("!") / chars, text.count("?") / chars, sum(not x.isalpha() and ord(x) > 32 and x not in "0123456789" for x in text) / chars,
+        sum(odd) / n, sum(small[i].isalpha() and small[i] == small[i - 1] == small[i - 2] for i in range(2, len(text))) / chars, np.log1p(strong), strong / n,
+    ]
+
+
+def test_features_by_hand_in_any_batch():
+    from tracefold.llm.common import codepoints, slice_hashes
+
+    weights = {"grubber": 5.0, "toad": 3.0, "straße": 2.5}
+    hashes = {w: slice_hashes(codepoints(w), np.zeros(1, dtype=np.int64), np.array([len(w)]))[0] for w in weights}
+    keys = np.array(sorted(hashes.values()), dtype=np.uint64)
+    values = np.array([weights[w] for w in sorted(hashes, key=hashes.get)])
+    random.seed(2)
+    parts = ["you", "are", "Grubber", "t0ad", "TOAD", "Straße", "aaa", "!!", "??", "x1y", "so", "a", "ti", "vous", "SHOUT", "12", "é", "..."]
+    texts = ["", "grubber aa", "are you ", "aa b", "aaa", "a", "you", *(" ".join(random.choice(parts) for _ in range(random.randrange(30))) for _ in range(300)), "grubber", "you", "grubber", ("toad and more " * 50_000)]
+    want = np.array([features_by_hand(t, weights) for t in texts])
+    for _ in range(3):
+        order = list(range(len(texts)))
+        random.shuffle(order)
+        got = toxicity.text_features([texts[i] for i in order], keys, values)
+        assert np.allclose(got, want[order], atol=1e-12)
+        assert (got[[order.index(i) for i, t in enumerate(texts) if t == "grubber"]] == got[order.index(texts.index("grubber"))]).all()
+
+
 def shingles(text, k):
     w = [x for x in re.split("[\x20\x09-\x0d]+", (text or "").lower()) if x]
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
