@@ -28,7 +28,8 @@ digest, go by that instead.
 
 Texts that are null or without words have an empty set, link with nothing, and are their own component. Texts of fewer
 words than the shingle are one shingle. Null ids take no part in the least id of a component, and a component of null ids
-alone has null. Repeated rows are copies of one another. An empty table gives no rows.
+alone has null. Repeated rows are copies of one another, and different texts under one id are documents of that id each. Texts of any
+length are whole sets; a stretch of them is in memory at once. Other columns, also of names used here, play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations

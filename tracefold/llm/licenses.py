@@ -10,8 +10,9 @@ the template's, so equal hashes of other words do no harm.
 The templates are a fixed table of a few hundred rows and are broadcast. After the join only matches are shuffled, by
 text, beside one row per text that keeps texts without matches.
 
-Null texts are empty: no words, places null, labels empty, score 0. Repeated rows and null ids keep a row each. An empty
-table gives no rows.
+Null texts are empty: no words, places null, labels empty, score 0. Texts of any length are scanned whole, each in the rows of
+its own words. Repeated rows, rows of one id and null ids keep a row each; of places that tie, the first and last are given. Other
+columns, also of names used here, play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ average, dealt to a group by a hash of their row, are packed by one task. Groups
 padding of the last sequences of each group (well under one sequence in a hundred) is the price of no shared state.
 
 Null texts are empty documents (the end id alone); repeated ids and rows are packed each on their own;
-an empty table gives no rows; other columns play no part.
+texts of any length are cut whole, a full sequence at a time; ties of size go by place in the group; an empty table gives no rows;
+other columns, also of names used here, play no part.
 """
 
 from __future__ import annotations

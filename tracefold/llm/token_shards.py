@@ -11,7 +11,8 @@ A task writes under a name of its own, and only names of tasks that ended are in
 runs twice does no harm. Files go through Arrow's filesystems (local, HDFS, S3) to the shared folder.
 
 Null texts are empty documents; null ids sort first; repeated ids are entries of their own, in the order of their
-texts; an empty table gives no rows; other columns play no part.
+texts; a long text is one entry, whole in memory while it is written; an empty table gives no rows; other columns, also of names
+used here, play no part.
 """
 
 from __future__ import annotations
