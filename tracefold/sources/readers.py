@@ -13,8 +13,8 @@ REPLY = "struct<status: string, headers: map<string, string>, status_code: strin
 HTTPS_FILES = {"flows": "flows.csv", "aggregated_flows": "aggregated_flows.csv", "samples": "samples.csv"}
 
 
-def csv(spark: SparkSession, path: str | Sequence[str], breaks_in_quotes: bool = False) -> DataFrame:
-    """All columns as text. breaks_in_quotes: quoted values may hold line breaks; a file is then read by one task, else it splits."""
+def csv(spark: SparkSession, path: str | Sequence[str], breaks_in_quotes: bool = True) -> DataFrame:
+    """All columns as text. breaks_in_quotes: quoted values may hold line breaks; a file is then read by one task. Large files without any split if told so."""
     return spark.read.options(header=True, inferSchema=False, multiLine=breaks_in_quotes, escape='"').csv(path)
 
 
@@ -68,8 +68,8 @@ def _names(spark: SparkSession, path: str) -> list[str]:
 
 
 def network_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Flows with their file and an id of file and row number."""
-    df = numbered(csv(spark, path))
+    """Flows with their file and an id of file and row number. Flow files are numbers and short labels, so they split at lines."""
+    df = numbered(csv(spark, path, breaks_in_quotes=False))
     return df.withColumn("event_id", F.concat_ws(":", _stem("source_file"), F.col("record_index").cast("string"))).drop("record_index")
 
 
@@ -77,7 +77,7 @@ def https_csv(spark: SparkSession, folder_path: str, view: str = "flows") -> Dat
     """The file of a view; FileNotFoundError if the folder has none."""
     if HTTPS_FILES[view] not in _names(spark, folder_path):
         raise FileNotFoundError(f"{folder_path} has no {HTTPS_FILES[view]}")
-    return csv(spark, f"{folder_path}/{HTTPS_FILES[view]}").withColumn("source_file", F.lit(HTTPS_FILES[view]))
+    return csv(spark, f"{folder_path}/{HTTPS_FILES[view]}", breaks_in_quotes=False).withColumn("source_file", F.lit(HTTPS_FILES[view]))
 
 
 def api_json(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
