@@ -48,6 +48,20 @@ def test_top_k_of_more_lengths_than_pivots(spark):
     assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
 
 
+def test_top_k_of_empty_and_large_vectors(spark):
+    """Empty vectors meet each other with score 0; sums beyond a long count as its end, ties to the smaller id."""
+    rows = [(0, []), (1, []), (2, []), (10, [4e6, 0.0]), (11, [4e6, 1.0]), (12, [4e6, 4e6]), (13, [-4e6, 0.0]), (14, [1e300, 1.0]), (15, [1.0, 2.0]), (16, None), (17, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in mtree.top_k(df, df.where("vec_id in (0, 10, 15)"), k=3).collect()}
+    end = (1 << 63) - 1
+    whole = {i: [int(np.floor(max(-(2.0**62), min(2.0**62, 1024.0 * x)))) for x in v] for i, v in rows if i in range(10, 16)}
+    want = {(0, 1, 1, 0), (0, 2, 2, 0)}
+    for q in (10, 15):
+        found = sorted((-max(-end - 1, min(end, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q)[:3]
+        want |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(found)}
+    assert got == want and any(s == end for *_, s in got)
+
+
 def test_a_tree_skips_most_of_clustered_data():
     rng = np.random.default_rng(1)
     vectors = (rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] * 1000 + rng.normal(size=(4000, 16))).astype(np.int64)
