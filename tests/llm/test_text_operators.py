@@ -331,8 +331,10 @@ def test_substring(spark):
 
 
 def test_factors_are_greedy_and_checked_at_their_ends():
-    row = lambda start, n, source, at: {"start": start, "n": n, "source": source, "source_start": at}
+    row = lambda start, n, source, at: {"start": start, "n": n, "bits": 0, "source": source, "shift": at - start}
     assert substring.parse([]) == []
+    bits = {"start": 10, "n": 0, "bits": 0b1011_0110 - (1 << 63), "source": 4, "shift": -5}
+    assert substring._spans([bits]) == [(11, 2, 4, -5), (14, 2, 4, -5), (17, 1, 4, -5), (73, 1, 4, -5)]
     assert substring.parse([row(5, 1, 1, 9), row(3, 1, 1, 7), row(4, 1, 1, 8)]) == [(3, 22, 1, 7)]
     assert substring.parse([row(3, 4, 1, 7), row(7, 1, 2, 0), row(30, 1, 1, 34)]) == [(3, 23, 1, 7), (7, 20, 2, 0), (30, 20, 1, 34)]
     assert substring.parse([row(3, 4, 1, 7), row(5, 4, 2, 0)]) == [(3, 23, 1, 7), (7, 21, 2, 2)]

@@ -9,8 +9,8 @@ window stand in one block, and a document meets those blocks only that its own a
    same result).
 2. In the second pass a task looks up each window in the index of its own stretch of text; what is found there travels as one
    factor, so a passage that a third of all documents share meets others once per stretch and not once per document.
-   The other windows are looked up in the index of all blocks: the first place of each (anchor, window hash) by a partial
-   aggregate, joined back.
+   The other windows go to the block of their anchor, runs of neighbours as one row, and are looked up there: a window that stands
+   earlier is part of a factor. A block gets each window once per stretch at most.
 3. Each document is parsed greedily: a factor starts at the first window found and is as long as the following windows continue
    in the same source. Windows that lie across the end of a factor are checked as well: each that is found starts a further
    factor, which overlaps the one before. The words of all factors are the duplicate spans.
@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import bound_batches, fresh, gram_hashes, portions, scratch, word_hashes
+from tracefold.llm.common import bound_batches, fresh, gram_hashes, mix, portions, word_hashes
 
 WINDOW = 20
 GRAM = 5
@@ -134,8 +134,8 @@ def _shared_anchors(rows: DataFrame, window: int) -> np.ndarray:
 
 
 def _lookups(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """doc_id, tie (a hash of the text) and, for each document that repeats anything, `found`: an array of (start, n, source, source_start),
-    n windows from start on that stand at the same places from source_start on in an earlier document or place."""
+    """doc_id, tie (a hash of the text) and, for each document that repeats anything, `found`: an array of (start, n, bits, source, shift):
+    n windows from start on, or if n is 0 those of the bits set, that stand in an earlier document or place, shift words further on."""
     id_type = docs.schema[id_col].dataType.simpleString()
     bound_batches(docs)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie"), F.col(f"`{text_col}`").alias("text"))
@@ -155,39 +155,53 @@ def _lookups(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFr
                 rows = pa.array(np.concatenate([doc, known_doc]) + part.start)
                 sources = pa.array(np.concatenate([np.zeros(len(doc), dtype=np.int64), source]) + part.start)
                 elsewhere = np.concatenate([np.ones(len(doc), dtype=bool), np.zeros(none, dtype=bool)])
+                own = mix(known_doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + known_start.astype(np.uint64))  # needs no block, so any will do
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([anchor.view(np.int64), np.zeros(none, dtype=np.int64)])), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate([start, known_start]).astype(np.int32)),
-                        pa.array(np.concatenate([length, known_length]).astype(np.int32)), values, pa.array(elsewhere), batch.column(0).take(sources), pa.array(np.concatenate([np.zeros(len(doc)), source_start]).astype(np.int32)),
+                        pa.array(np.concatenate([anchor, own]).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate([start, known_start]).astype(np.int32)),
+                        pa.array(np.concatenate([length, known_length]).astype(np.int32)), values, pa.array(elsewhere), batch.column(0).take(sources), pa.array(np.concatenate([np.zeros(len(doc)), source_start - known_start]).astype(np.int32)),
                     ],
-                    ["anchor", "doc_id", "tie", "start", "n", "hashes", "elsewhere", "source", "source_start"],
+                    ["anchor", "doc_id", "tie", "start", "n", "hashes", "elsewhere", "source", "shift"],
                 )
 
-    kind = f"anchor long, doc_id {id_type}, tie long, start int, n int, hashes array<long>, elsewhere boolean, source {id_type}, source_start int"
-    found = scratch(rows.mapInArrow(windows, kind), "windows")
-    each = found.where("elsewhere").select("anchor", "doc_id", "tie", "start", F.posexplode("hashes").alias("i", "hash"))
+    kind = f"anchor long, doc_id {id_type}, tie long, start int, n int, hashes array<long>, elsewhere boolean, source {id_type}, shift int"
+    blocks = rows.mapInArrow(windows, kind).repartition("anchor")  # what follows needs no further exchange by window
+    each = blocks.select("anchor", "doc_id", "tie", "start", "n", "elsewhere", "source", "shift", F.posexplode_outer("hashes").alias("i", "hash")).withColumn("i", F.coalesce("i", F.lit(0)))
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), (F.col("start") + F.col("i")).alias("at"))
-    each = each.select("anchor", "hash", "doc_id", "tie", place.alias("place"))
-    first = each.groupBy("anchor", "hash").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    later = each.join(first, ["anchor", "hash"]).where("first < place")
-    later = later.select("doc_id", "tie", F.col("place.at").alias("start"), F.lit(1).alias("n"), F.col("first.id").alias("source"), F.col("first.at").alias("source_start"))
-    known = found.where("not elsewhere").select("doc_id", "tie", "start", "n", "source", "source_start")
-    run = F.struct("start", "n", "source", "source_start")
-    return known.union(later).groupBy("doc_id", "tie").agg(F.collect_list(run).alias("found"))  # as long as the document at most
+    each = each.withColumn("place", place).withColumn("first", F.min("place").over(Window.partitionBy("anchor", "hash"))).where("not elsewhere or first < place")
+    each = each.withColumns({"source": F.when(F.col("elsewhere"), F.col("first.id")).otherwise(F.col("source")), "shift": F.when(F.col("elsewhere"), F.col("first.at") - F.col("place.at")).otherwise(F.col("shift"))})
+    runs_of = each.groupBy("anchor", "doc_id", "tie", "start", "n", "elsewhere", "source", "shift").agg(F.expr("bit_or(shiftleft(1L, i))").alias("bits"))
+    run = F.struct("start", F.when(F.col("elsewhere"), 0).otherwise(F.col("n")).alias("n"), "bits", "source", "shift")
+    return runs_of.groupBy("doc_id", "tie").agg(F.collect_list(run).alias("found"))  # as long as the document at most
+
+
+def _spans(found: list[dict]) -> list[tuple[int, int, object, int]]:
+    """(start, windows, source, shift) of what was found, from the left."""
+    out = []
+    for x in found:
+        start, n, bits = x["start"], x["n"], x["bits"] & (1 << MOST_WINDOWS) - 1
+        if n:
+            out.append((start, n, x["source"], x["shift"]))
+            continue
+        while bits:
+            low = (bits & -bits).bit_length() - 1
+            length = (~(bits >> low) & (bits >> low) + 1).bit_length() - 1  # of the ones from there on
+            out.append((start + low, length, x["source"], x["shift"]))
+            bits &= ~(((1 << length) - 1) << low)
+    return sorted(out, key=lambda x: (x[0], -x[1]))
 
 
 def parse(found: list[dict], window: int = WINDOW) -> list[tuple[int, int, object, int]]:
     """Factors (start, words, source, start in the source) of one document, greedily from the left."""
     out: list[tuple[int, int, object, int]] = []
     end = 0  # of the windows of the last factor
-    for x in sorted(found, key=lambda x: (x["start"], -x["n"])):
-        start, n, source, at = x["start"], x["n"], x["source"], x["source_start"]
-        if out and start <= end and (source, at - start) == (out[-1][2], out[-1][3] - out[-1][0]):
+    for start, n, source, shift in _spans(found):
+        if out and start <= end and (source, shift) == (out[-1][2], out[-1][3] - out[-1][0]):
             end = max(end, start + n)  # the source goes on
             out[-1] = (out[-1][0], end - out[-1][0] + window - 1, *out[-1][2:])
         elif not out or start + n > end:  # a window across the end of the factor, or beyond it
             skip = max(0, end - start) if out else 0
-            out.append((start + skip, n - skip + window - 1, source, at + skip))
+            out.append((start + skip, n - skip + window - 1, source, start + skip + shift))
             end = start + n
     return out
 
