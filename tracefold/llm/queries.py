@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import audio, jaccard, licenses, mtree, packing, sentencepieces, substring, token_counts, token_shards, toxicity
+from tracefold.llm import audio, ballmeans, divergence, jaccard, licenses, mtree, orderhash, packing, sentencepieces, substring, token_counts, token_shards, toxicity
 from tracefold.llm.common import scratch_dir, table
 
 
@@ -104,9 +104,76 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_shards(token_shards.write_shards(docs, token_shards.shards_directory(docs)))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN l USING (lang)),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, k.c AS lc, l.n AS ln, g.v,
+    1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (coalesce(n.n, 0)::HUGEINT + g.v) AS p
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+q AS (SELECT *, 1 + (1000000000::HUGEINT * (lc + 1)) // (ln::HUGEINT + v) AS q FROM p WHERE c > 0),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM q WHERE p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ballmeans.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    steps = []
+    for r in range(6):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, q, cluster, distance FROM (
+    SELECT v.vec_id, v.q, c.cluster, list_sum(list_transform(list_zip(v.q, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance FROM v, c{r} c
+  ) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1
+)""")
+        if r < 5:
+            steps.append(f"""m{r} AS (
+  SELECT cluster, list(((s - (((s % n) + n) % n)) // n)::BIGINT ORDER BY i) AS c FROM (
+    SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(q) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY cluster, i
+  ) GROUP BY cluster
+),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster))""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha) - 1 AS cluster, q AS c FROM (SELECT sha256('2:' || vec_id) AS sha, q FROM v ORDER BY sha LIMIT 40)),
+{", ".join(steps)},
+i AS (SELECT cluster, sum(distance) AS own FROM a5 GROUP BY cluster)
+SELECT vec_id, CAST(a5.cluster AS INTEGER) AS cluster, distance, CAST(i.own AS BIGINT) AS cluster_inertia, CAST((SELECT sum(distance) FROM a5) AS BIGINT) AS inertia,
+  sha256(array_to_string(c5.c, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON c5.cluster = a5.cluster JOIN i ON i.cluster = a5.cluster
+"""
+
+
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.fingerprints_of_edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op3_license_scans, op4_token_counts, op5_sentencepiece_sampling, op6_toxicity, op7_media_columns, op8_packing, op9_substring_dedup, op10_token_shards)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op3_license_scans, op4_token_counts, op5_sentencepiece_sampling, op6_toxicity, op7_media_columns, op8_packing, op9_substring_dedup, op10_token_shards, op11_source_divergence, op12_ball_kmeans, op13_order_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op3_license_scans": licenses.scan_sql(), "op9_substring_dedup": OP9_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op3_license_scans": licenses.scan_sql(), "op9_substring_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL, "op12_ball_kmeans": _op12_sql()}
