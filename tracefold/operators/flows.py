@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import numbers as N
 from tracefold.functions import text as T
+from tracefold.names import fresh
+from tracefold.operators.ranges import over_ranges
 from tracefold.operators.split import numbered_in_order
 
 NETWORK_KEYS = ("dst_port", "protocol", "timestamp", "flow_duration", "tot_fwd_pkts", "tot_bwd_pkts", "totlen_fwd_pkts", "totlen_bwd_pkts", "label")
@@ -160,10 +162,12 @@ def in_front(df: DataFrame, names: list[str]) -> DataFrame:
 
 def annotated_https(normalized: DataFrame, file: str) -> DataFrame:
     """Normalised HTTPS flows in order of time and service, with source_file and an event_id of the file and the place in that order."""
-    order = [F.col("event_timestamp").asc_nulls_last(), F.col("service_key").asc_nulls_last(), F.xxhash64("src_ip", "dst_ip", "time_first", "time_last", "bytes")]
-    df = numbered_in_order(normalized, order, "_rn", "_n")
+    ties = F.xxhash64(*(F.col(f"`{c}`") for c in sorted(normalized.columns)))  # of all columns, so only equal rows may swap
+    order = [F.col("event_timestamp").asc_nulls_last(), F.col("service_key").asc_nulls_last(), ties]
+    rn, n = fresh(normalized, "_rn"), fresh(normalized, "_n")
+    df = numbered_in_order(normalized, order, rn, n)
     stem = file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    df = df.withColumns({"source_file": F.lit(file.rsplit("/", 1)[-1]), "event_id": F.concat_ws(":", F.lit(stem), (F.col("_rn") - 1).cast("string"))}).drop("_rn", "_n")
+    df = df.withColumns({"source_file": F.lit(file.rsplit("/", 1)[-1]), "event_id": F.concat_ws(":", F.lit(stem), (F.col(rn) - 1).cast("string"))}).drop(rn, n)
     return in_front(df, HTTPS_FIRST)
 
 
@@ -180,19 +184,20 @@ def transport_context(df: DataFrame) -> DataFrame:
 def rolling(df: DataFrame, entity: str, time: str, hours: tuple[float, ...] = (0.01, 0.1, 1.0), label: str = "label_binary", protocol: str = "protocol") -> DataFrame:
     """Of each flow, over the entity's flows in the hours before it (not at its own time): their number, share of attacks, and entropy of tcp, udp, icmp and others.
 
-    Running sums over one exchange by entity; no list of a range is kept.
+    Running sums over one exchange by entity (see `ranges`). Flows without a time are kept: they count nowhere and have zeros.
     """
-    us = F.unix_micros(F.col(time).cast("timestamp"))
-    out = df.where(F.col(time).isNotNull()).withColumn("_us", us)
     kinds = [F.coalesce(F.col(protocol) == k, F.lit(False)) for k in (6, 17, 1)]
     kinds.append(~(kinds[0] | kinds[1] | kinds[2]))
-    made, done = {}, {}
-    for h in hours:
-        w = Window.partitionBy(entity).orderBy("_us").rangeBetween(-round(h * 3_600_000_000), -1)
-        name = f"{h:g}h".replace(".", "_")
-        made |= {f"flow_count_{name}": F.count(F.lit(1)).over(w), f"_a{name}": F.count(F.when(F.col(label) == 1, 1)).over(w)} | {f"_k{i}{name}": F.count(F.when(k, 1)).over(w) for i, k in enumerate(kinds)}
-        n = F.col(f"flow_count_{name}")
-        share = [F.coalesce(N.ratio(F.col(f"_k{i}{name}").cast("double"), n), F.lit(0.0)) for i in range(len(kinds))]
+    own = "_"
+    while any(c.lower().startswith((f"{own}attacks", f"{own}kind")) for c in df.columns):
+        own += "_"
+    suffixes = {f"_{h:g}h".replace(".", "_"): round(h * 3_600_000_000) for h in hours}
+    totals = {"flow_count": F.lit(1), f"{own}attacks": N.flag(F.col(label) == 1)} | {f"{own}kind{i}": k.cast("int") for i, k in enumerate(kinds)}
+    out = over_ranges(df, entity, F.unix_micros(F.col(time).cast("timestamp")), suffixes, totals)
+    done = {}
+    for s in suffixes:
+        n = F.col(f"flow_count{s}")
+        share = [F.coalesce(N.ratio(F.col(f"{own}kind{i}{s}").cast("double"), n), F.lit(0.0)) for i in range(len(kinds))]
         part = [F.when(p > 0, -p * F.log2(p)).otherwise(0.0) for p in share]
-        done |= {f"attack_rate_{name}": F.coalesce(N.ratio(F.col(f"_a{name}").cast("double"), n), F.lit(0.0)), f"protocol_entropy_{name}": sum(part[1:], part[0])}
-    return out.withColumns(made).withColumns(done).drop("_us", *(c for c in made if c.startswith("_")))
+        done |= {f"attack_rate{s}": F.coalesce(N.ratio(F.col(f"{own}attacks{s}").cast("double"), n), F.lit(0.0)), f"protocol_entropy{s}": sum(part[1:], part[0])}
+    return out.withColumns(done).drop(*(f"{t}{s}" for t in totals if t != "flow_count" for s in suffixes))

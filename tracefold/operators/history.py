@@ -1,7 +1,8 @@
 """Strictly past behaviour of each entity as window functions over one shuffle by entity.
 
 Two kinds of past: by position (all earlier rows in the order of time and a tie-breaking sequence) and by time (a range
-of whole days that ends just before the row's own time, so rows of the same time don't count).
+of whole days that ends just before the row's own time, so rows of the same time don't count). Rows without an entity or
+a time have no past and are left out of every result here.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tracefold.functions import numbers as N
+from tracefold.names import fresh
+from tracefold.operators.ranges import over_ranges
 
 DAY = 86_400_000_000
 
@@ -33,17 +36,16 @@ class History:
     def micros(self) -> Column:
         return F.unix_micros(F.col(self.time).cast("timestamp"))
 
-    def rows(self) -> WindowSpec:
-        return Window.partitionBy(self.entity).orderBy("_us", self.sequence)
+    def rows(self, us: str) -> WindowSpec:
+        return Window.partitionBy(self.entity).orderBy(us, self.sequence)
 
-    def range(self, days: int) -> WindowSpec:
-        return Window.partitionBy(self.entity).orderBy("_us").rangeBetween(-days * DAY, -1)
+    def of_value(self, column: str, us: str) -> WindowSpec:
+        return Window.partitionBy(self.entity, column).orderBy(us, self.sequence)
 
-    def of_value(self, column: str) -> WindowSpec:
-        return Window.partitionBy(self.entity, column).orderBy("_us", self.sequence)
-
-    def timed(self, df: DataFrame) -> DataFrame:
-        return df.where(F.col(self.entity).isNotNull() & F.col(self.time).isNotNull()).withColumn("_us", self.micros())
+    def timed(self, df: DataFrame) -> tuple[DataFrame, str]:
+        """Rows with an entity and a time, and the name of a new column with the time in microseconds."""
+        us = fresh(df, "_us")
+        return df.where(F.col(self.entity).isNotNull() & F.col(self.time).isNotNull()).withColumn(us, self.micros()), us
 
 
 def _seconds(now: Column, then: Column) -> Column:
@@ -52,80 +54,92 @@ def _seconds(now: Column, then: Column) -> Column:
 
 def gaps(df: DataFrame, h: History) -> DataFrame:
     """Seconds since the last event, success and failure (anything but a success; 0 without one), their logarithm and bin, and whether there is a past."""
-    timed, us, ok = h.timed(df), F.col("_us"), F.coalesce(F.col(h.outcome) == 1, F.lit(False))
-    past = h.rows().rowsBetween(Window.unboundedPreceding, -1)
+    timed, name = h.timed(df)
+    us, ok = F.col(name), F.coalesce(F.col(h.outcome) == 1, F.lit(False))
+    rows = h.rows(name)
+    past = rows.rowsBetween(Window.unboundedPreceding, -1)
     last = {
-        "login": F.lag(us).over(h.rows()),
+        "login": F.lag(us).over(rows),
         "success": F.last(F.when(ok, us), ignorenulls=True).over(past),
         "failure": F.last(F.when(~ok, us), ignorenulls=True).over(past),
     }
-    out = timed.withColumns({"has_prior_login": (F.row_number().over(h.rows()) > 1).cast("int")} | {f"seconds_since_prev_{k}": _seconds(us, c) for k, c in last.items()})
-    return out.withColumns({f"seconds_since_prev_{k}_{kind}": f(F.col(f"seconds_since_prev_{k}")) for k in last for kind, f in (("log", N.log1p), ("bin", N.gap_bin))}).drop("_us")
+    out = timed.withColumns({"has_prior_login": (F.row_number().over(rows) > 1).cast("int")} | {f"seconds_since_prev_{k}": _seconds(us, c) for k, c in last.items()})
+    return out.withColumns({f"seconds_since_prev_{k}_{kind}": f(F.col(f"seconds_since_prev_{k}")) for k in last for kind, f in (("log", N.log1p), ("bin", N.gap_bin))}).drop(name)
 
 
 def streaks(df: DataFrame, h: History) -> DataFrame:
     """Lengths of the runs of successes and of failures (anything else) that end just before the row."""
-    timed = h.timed(df).withColumn("_rn", F.row_number().over(h.rows()))
-    past = h.rows().rowsBetween(Window.unboundedPreceding, -1)
+    timed, us = h.timed(df)
+    rn, rows = fresh(timed, "_rn"), h.rows(us)
+    timed = timed.withColumn(rn, F.row_number().over(rows))
+    past = rows.rowsBetween(Window.unboundedPreceding, -1)
     ok = F.coalesce(F.col(h.outcome) == 1, F.lit(False))
-    since = lambda breaks: F.col("_rn") - 1 - F.coalesce(F.last(F.when(breaks, F.col("_rn")), ignorenulls=True).over(past), F.lit(0))
+    since = lambda breaks: F.col(rn) - 1 - F.coalesce(F.last(F.when(breaks, F.col(rn)), ignorenulls=True).over(past), F.lit(0))
     out = timed.withColumns({"prior_success_streak": since(~ok), "prior_failure_streak": since(ok)})
-    return out.withColumns({f"{k}_{kind}": f(F.col(k)) for k in ("prior_success_streak", "prior_failure_streak") for kind, f in (("log", N.log1p), ("bin", N.count_bin))}).drop("_us", "_rn")
+    return out.withColumns({f"{k}_{kind}": f(F.col(k)) for k in ("prior_success_streak", "prior_failure_streak") for kind, f in (("log", N.log1p), ("bin", N.count_bin))}).drop(us, rn)
 
 
 def novelty(df: DataFrame, h: History, columns: Sequence[str] | None = None) -> DataFrame:
     """Whether the row holds the entity's first occurrence of a value."""
-    timed = h.timed(df)
-    return timed.withColumns({f"is_new_{c}": (F.row_number().over(h.of_value(c)) == 1).cast("int") for c in columns or h.novelty}).drop("_us")
+    timed, us = h.timed(df)
+    return timed.withColumns({f"is_new_{c}": (F.row_number().over(h.of_value(c, us)) == 1).cast("int") for c in columns or h.novelty}).drop(us)
 
 
 def continuity(df: DataFrame, h: History, columns: Sequence[str] | None = None) -> DataFrame:
     """Whether a value is that of the row before."""
-    timed = h.timed(df)
-    return timed.withColumns({f"prev_login_same_{c}": N.flag(F.col(c) == F.lag(c).over(h.rows())) for c in columns or h.novelty}).drop("_us")
+    timed, us = h.timed(df)
+    return timed.withColumns({f"prev_login_same_{c}": N.flag(F.col(c) == F.lag(c).over(h.rows(us))) for c in columns or h.novelty}).drop(us)
 
 
 def prior_rates(df: DataFrame, h: History, names: dict[str, str] | None = None) -> DataFrame:
     """How many, and what share, of the earlier rows hold the row's value."""
-    timed = h.timed(df).withColumn("_rn", F.row_number().over(h.rows()) - 1)
+    timed, us = h.timed(df)
+    rn = fresh(timed, "_rn")
+    timed = timed.withColumn(rn, F.row_number().over(h.rows(us)) - 1)
     names = names or h.priors
-    out = timed.withColumns({f"{p}_count": F.row_number().over(h.of_value(c)) - 1 for c, p in names.items()})
-    out = out.withColumns({f"{p}_rate": F.coalesce(N.ratio(F.col(f"{p}_count"), F.col("_rn")), F.lit(0.0)) for p in names.values()})
+    out = timed.withColumns({f"{p}_count": F.row_number().over(h.of_value(c, us)) - 1 for c, p in names.items()})
+    out = out.withColumns({f"{p}_rate": F.coalesce(N.ratio(F.col(f"{p}_count"), F.col(rn)), F.lit(0.0)) for p in names.values()})
     more = {}
     for p in names.values():
         more |= {f"{p}_count_log": N.log1p(F.col(f"{p}_count")), f"{p}_count_bin": N.count_bin(F.col(f"{p}_count")), f"{p}_rate_bin": N.rate_bin(F.col(f"{p}_rate"))}
-    return out.withColumns(more).drop("_us", "_rn")
-
-
-def rolling_counts(df: DataFrame, h: History) -> DataFrame:
-    """Counts and rates of events, successes (1) and failures (0) in each range of days."""
-    timed, ok = h.timed(df), F.col(h.outcome)
-    counts, rest = {}, {}
+    return out.withColumns(more).drop(us, rn)
+
+
+def rolling(df: DataFrame, h: History, counts: bool = True, columns: Sequence[str] | None = None, cut_days: float | None = None) -> DataFrame:
+    """Over each range of days: counts and rates of events, successes (1) and failures (0); distinct values and entropy of columns.
+
+    Linear in the events of an entity, with no list of a range (see `ranges`). cut_days: entities are cut into pieces of so many days, so one with a large
+    share of all rows is shared among tasks; the result is the same.
+    """
+    columns = h.diversity if columns is None else columns
+    timed, us = h.timed(df)
+    ok = F.col(h.outcome)
+    named = {{"context_token": "context_tokens"}.get(c, f"{c}s"): c for c in columns}
+    totals = {"login_count": F.lit(1), "success_count": N.flag(ok == 1), "failure_count": N.flag(ok == 0)} if counts else {}
+    spans = {f"_window{d}": round(d * DAY) for d in h.days}
+    out = over_ranges(timed, h.entity, F.col(us), spans, totals, named, round(cut_days * DAY) if cut_days else None).drop(us)
+    rates, rest = {}, {}
     for d in h.days:
-        w = h.range(d)
-        counts |= {f"login_count_window{d}": F.count(F.lit(1)).over(w), f"success_count_window{d}": F.count(F.when(ok == 1, 1)).over(w), f"failure_count_window{d}": F.count(F.when(ok == 0, 1)).over(w)}
-        for k in ("login", "success", "failure"):
+        for k in ("login", "success", "failure") if counts else ():
             n = F.col(f"{k}_count_window{d}")
             rest |= {f"log_{k}_count_window{d}": N.log1p(n), f"{k}_count_bin_window{d}": N.count_bin(n)}
-        for k in ("success", "failure"):
-            rate = F.coalesce(N.ratio(F.col(f"{k}_count_window{d}"), F.col(f"login_count_window{d}")), F.lit(0.0))
-            rest |= {f"{k}_rate_window{d}": rate, f"{k}_rate_bin_window{d}": N.rate_bin(rate)}
-    return timed.withColumns(counts).withColumns(rest).drop("_us")
-
-
-def rolling_diversity(df: DataFrame, h: History, columns: Sequence[str] | None = None) -> DataFrame:
-    """Distinct values and entropy of columns in each range of days. A range holds an entity's own rows only."""
-    timed, columns = h.timed(df), columns or h.diversity
-    lists = {f"_{c}_{d}": F.collect_list(c).over(h.range(d)) for c in columns for d in h.days}
-    out, rest, bins = timed.withColumns(lists), {}, {}
-    for c in columns:
-        name = {"context_token": "context_tokens"}.get(c, f"{c}s")
-        for d in h.days:
-            values = F.col(f"_{c}_{d}")
-            rest |= {f"unique_{name}_window{d}": F.size(F.array_distinct(values)), f"entropy_{name}_window{d}": N.list_entropy(values)}
+        for k in ("success", "failure") if counts else ():
+            rates[f"{k}_rate_window{d}"] = F.coalesce(N.ratio(F.col(f"{k}_count_window{d}"), F.col(f"login_count_window{d}")), F.lit(0.0))
+            rest[f"{k}_rate_bin_window{d}"] = N.rate_bin(F.col(f"{k}_rate_window{d}"))
+        for name in named:
             unique, entropy = F.col(f"unique_{name}_window{d}"), F.col(f"entropy_{name}_window{d}")
-            bins |= {f"log_unique_{name}_window{d}": N.log1p(unique), f"unique_{name}_bin_window{d}": N.count_bin(unique), f"entropy_{name}_bin_window{d}": N.entropy_bin(entropy)}
-    return out.withColumns(rest).withColumns(bins).drop("_us", *lists)
+            rest |= {f"log_unique_{name}_window{d}": N.log1p(unique), f"unique_{name}_bin_window{d}": N.count_bin(unique), f"entropy_{name}_bin_window{d}": N.entropy_bin(entropy)}
+    return out.withColumns(rates).withColumns(rest)
+
+
+def rolling_counts(df: DataFrame, h: History, cut_days: float | None = None) -> DataFrame:
+    """Counts and rates of events, successes (1) and failures (0) in each range of days."""
+    return rolling(df, h, columns=(), cut_days=cut_days)
+
+
+def rolling_diversity(df: DataFrame, h: History, columns: Sequence[str] | None = None, cut_days: float | None = None) -> DataFrame:
+    """Distinct values and entropy of columns in each range of days."""
+    return rolling(df, h, False, columns, cut_days)
 
 
 def calendar(df: DataFrame, h: History) -> DataFrame:
@@ -134,16 +148,18 @@ def calendar(df: DataFrame, h: History) -> DataFrame:
 
 
 def inclusive_count(df: DataFrame, h: History, days: int, name: str) -> DataFrame:
-    """Rows in the range that ends with the row's own time, itself included."""
-    w = Window.partitionBy(h.entity).orderBy("_us").rangeBetween(-days * DAY, 0)
-    return h.timed(df).withColumn(name, F.count(F.lit(1)).over(w)).drop("_us")
+    """Rows in the range that ends with the row's own time, itself included: those of `ranges` and those of the same time."""
+    timed, us = h.timed(df)
+    before = fresh(timed, "_before")
+    out = over_ranges(timed, h.entity, F.col(us), {"": round(days * DAY)}, {before: F.lit(1)})
+    return out.withColumn(name, F.col(before) + F.count(F.lit(1)).over(Window.partitionBy(h.entity, us))).drop(us, before)
 
 
-def features(df: DataFrame, h: History | None = None) -> DataFrame:
-    """All behavioural features; one exchange by entity serves every step."""
+def features(df: DataFrame, h: History | None = None, cut_days: float | None = None) -> DataFrame:
+    """All behavioural features; one exchange by entity serves every step (with cut_days the rolling ones take their own)."""
     h = h or History()
-    df = df.repartition(h.entity)
-    for step in (calendar, gaps, streaks, novelty, continuity, prior_rates, rolling_counts, rolling_diversity):
+    df = rolling(df, h, cut_days=cut_days)
+    for step in (calendar, gaps, streaks, novelty, continuity, prior_rates):
         df = step(df, h)
     level = sum((F.col(c) != "unknown").cast("int") for c in ("country", "region", "city") if c in df.columns)
     aliases = {f"current_{k}_prior_{x}": F.col(f"current_{t}_prior_{x}") for k, t in (("ip", "ip_token"), ("device", "device_token"), ("country", "geo_token")) for x in ("count", "rate")}

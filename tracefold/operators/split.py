@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions.numbers import shard
+from tracefold.names import fresh
 from tracefold.storage import written
 
 RATIOS = (0.75, 0.08, 0.17)
@@ -18,18 +19,27 @@ def shards(df: DataFrame, key: str, n: int = 256) -> DataFrame:
 
 
 def numbered_in_order(df: DataFrame, order: Sequence[Column], number: str = "_rn", rows: str = "_n") -> DataFrame:
-    """df with each row's number from 1 in a total order and the number of rows, without a task that sees all of them."""
-    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ranges")
-    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))  # a row per range
-    w = Window.orderBy("_part")
+    """df with each row's number from 1 in a total order and the number of rows, without a task that sees all of them.
+
+    The two names must be new; no other column of df, whatever its name, is touched.
+    """
+    if clash := {number.lower(), rows.lower()} & {c.lower() for c in df.columns}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at_name = fresh(df, "_at")
+    ranged = written(spread.withColumn(at_name, F.monotonically_increasing_id()), "ranges")
+    part_name, base_name = (fresh(ranged, x) for x in ("_part", "_base"))
+    part, at = F.shiftright(at_name, 33), F.col(at_name).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias(part_name)).agg(F.count(F.lit(1)).alias("size"))  # a row per range
+    w = Window.orderBy(part_name)
     before, whole = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    base = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"), F.sum("_size").over(whole).alias(rows))
-    return ranged.withColumn("_part", part).join(F.broadcast(base), "_part").withColumn(number, F.col("_base") + at + 1).drop("_id", "_part", "_base")
+    base = sizes.select(part_name, F.coalesce(F.sum("size").over(before), F.lit(0)).alias(base_name), F.sum("size").over(whole).alias(rows))
+    placed = ranged.withColumn(part_name, part).join(F.broadcast(base), part_name)
+    return placed.select(*(F.col(f"`{c}`") for c in df.columns), F.col(rows), (F.col(base_name) + at + 1).alias(number))
 
 
 def by_time(df: DataFrame, time: str, sequence: str, ratios: Sequence[float] = RATIOS, within: str | None = None) -> DataFrame:
-    """df with `split`: the first floor(n r) rows in time are train, the next val, the rest test; undated rows come last.
+    """df with `split`: the first floor(n r) rows in time are train, the next val, the rest test; undated rows come last. A column `split` is replaced.
 
     within: rows are split for each value of that column; else over all. The overall split numbers rows from sorted
     ranges and the sizes of the ranges before, so it needs no single task; the ranges are written once and read twice, so both
@@ -38,14 +48,15 @@ def by_time(df: DataFrame, time: str, sequence: str, ratios: Sequence[float] = R
     if abs(sum(ratios) - 1) > 1e-6:
         raise ValueError("ratios must add up to 1")
     order = [F.col(time).asc_nulls_last(), F.col(sequence)]
+    rn, n = fresh(df, "_rn"), fresh(df, "_n")
     if within:
         w = Window.partitionBy(within)
-        numbered = df.withColumns({"_rn": F.row_number().over(w.orderBy(*order)), "_n": F.count(F.lit(1)).over(w)})
+        numbered = df.withColumns({rn: F.row_number().over(w.orderBy(*order)), n: F.count(F.lit(1)).over(w)})
     else:
-        numbered = numbered_in_order(df, order)
-    first = F.floor(F.col("_n").cast("double") * float(ratios[0]))
-    second = first + F.floor(F.col("_n").cast("double") * float(ratios[1]))
-    return numbered.withColumn("split", F.when(F.col("_rn") <= first, "train").when(F.col("_rn") <= second, "val").otherwise("test")).drop("_rn", "_n")
+        numbered = numbered_in_order(df, order, rn, n)
+    first = F.floor(F.col(n).cast("double") * float(ratios[0]))
+    second = first + F.floor(F.col(n).cast("double") * float(ratios[1]))
+    return numbered.withColumn("split", F.when(F.col(rn) <= first, "train").when(F.col(rn) <= second, "val").otherwise("test")).drop(rn, n)
 
 
 def split_stats(split: DataFrame, within: str) -> DataFrame:
@@ -84,23 +95,24 @@ def first_in_time(df: DataFrame, n: int, *columns: str) -> DataFrame:
 
 
 def sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """n rows by a hash of (key, seed): the same ones in every run."""
-    name = "_order"
+    """n rows by a hash of (key, seed): the same ones in every run; every task passes on n rows at most."""
+    name = fresh(df, "_order")
     return df.withColumn(name, F.xxhash64(F.col(key), F.lit(seed))).orderBy(name, key).limit(n).drop(name)
 
 
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key in a stated order."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    name = fresh(df, "_rn")
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(name) == 1).drop(name)
 
 
 def balanced_sample(df: DataFrame, group: str, n: int, order: str) -> DataFrame:
     """n rows: max(n / groups, 1) of each group by the order column, then others by it. Tasks pass on only rows that may stay."""
     groups = df.select(group).distinct().count()
     quota = max(n // max(groups, 1), 1)
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_rn") <= n)
-    return ranked.orderBy((F.col("_rn") > quota).cast("int"), order).limit(n).drop("_rn")
+    name = fresh(df, "_rn")
+    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col(name) <= n)
+    return ranked.orderBy((F.col(name) > quota).cast("int"), order).limit(n).drop(name)
 
 
 def hold_out(df: DataFrame, column: str, values: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -130,13 +130,73 @@ def inclusive_rolling_count(spark, sf_dir):
     return history.inclusive_count(logins(spark, sf_dir), H, 7, "events_7d").select("event_id", "events_7d")
 
 
-@query()
+DRESSED = {"ip": "props", "ip_token": "props"} | dict.fromkeys(("device", "country", "region", "city", "device_token", "geo_token", "context_token"), "event_type")
+
+
+def _login_sql() -> str:
+    """All 159 features: positions, ranges by self-join, bins."""
+    h = history.History()
+    b6 = lambda x: f"round({x}, 6) + 0.0"
+    log1p = lambda x: b6(f"ln(1 + greatest({x}, 0))")
+    out: dict[str, str] = {"has_prior_login": "CAST(rn > 1 AS INTEGER)"}
+    for k in ("login", "success", "failure"):
+        gap = f"coalesce((us - last_{k}) / 1e6, 0)"
+        out |= {f"seconds_since_prev_{k}": b6(gap), f"seconds_since_prev_{k}_log": log1p(gap), f"seconds_since_prev_{k}_bin": _bins(gap, N.GAP_EDGES, ">=")}
+    out |= {"hour_of_day": "CAST(hour(ts) AS INTEGER)", "day_of_week": "CAST(isodow(ts) - 1 AS INTEGER)", "is_weekend": "CAST(isodow(ts) >= 6 AS INTEGER)"}
+    for k in ("success", "failure"):
+        n = f"(rn - 1 - {k}_broken)"
+        out |= {f"prior_{k}_streak": f"CAST({n} AS INTEGER)", f"prior_{k}_streak_log": log1p(n), f"prior_{k}_streak_bin": _bins(n, N.COUNT_EDGES, ">=")}
+    for c in h.novelty:
+        out |= {f"is_new_{c}": f"CAST(nth_{DRESSED[c]} = 1 AS INTEGER)", f"prev_login_same_{c}": f"CAST(coalesce({DRESSED[c]} = last_{DRESSED[c]}, false) AS INTEGER)"}
+    for c, p in h.priors.items():
+        n, rate = f"(nth_{DRESSED[c]} - 1)", f"(CASE WHEN rn = 1 THEN 0 ELSE (nth_{DRESSED[c]} - 1) / CAST(rn - 1 AS DOUBLE) END)"
+        out |= {f"{p}_count": f"CAST({n} AS INTEGER)", f"{p}_count_log": log1p(n), f"{p}_count_bin": _bins(n, N.COUNT_EDGES, ">="), f"{p}_rate": b6(rate), f"{p}_rate_bin": _bins(rate, N.RATE_EDGES, ">")}
+    out["geo_resolution_level"] = "CAST(3 * CAST(event_type <> 'unknown' AS INTEGER) AS INTEGER)"
+    for k, t in (("ip", "ip_token"), ("device", "device_token"), ("country", "geo_token")):
+        out |= {f"current_{k}_prior_{x}": out[f"current_{t}_prior_{x}"] for x in ("count", "rate")}
+    for d in h.days:
+        total = f"coalesce(login_{d}, 0)"
+        for k in ("login", "success", "failure"):
+            n = f"coalesce({k}_{d}, 0)"
+            out |= {f"{k}_count_window{d}": f"CAST({n} AS BIGINT)", f"log_{k}_count_window{d}": log1p(n), f"{k}_count_bin_window{d}": _bins(n, N.COUNT_EDGES, ">=")}
+        for k in ("success", "failure"):
+            rate = f"(CASE WHEN {total} = 0 THEN 0 ELSE {k}_{d} / CAST({total} AS DOUBLE) END)"
+            out |= {f"{k}_rate_window{d}": b6(rate), f"{k}_rate_bin_window{d}": _bins(rate, N.RATE_EDGES, ">")}
+        for c in h.diversity:
+            name = {"context_token": "context_tokens"}.get(c, f"{c}s")
+            u, e = f"coalesce(u_{DRESSED[c]}_{d}, 0)", f"coalesce(h_{DRESSED[c]}_{d}, 0)"
+            out |= {f"unique_{name}_window{d}": f"CAST({u} AS INTEGER)", f"log_unique_{name}_window{d}": log1p(u), f"unique_{name}_bin_window{d}": _bins(u, N.COUNT_EDGES, ">=")}
+            out |= {f"entropy_{name}_window{d}": b6(e), f"entropy_{name}_bin_window{d}": _bins(e, N.ENTROPY_EDGES, ">=")}
+    # a single value's entropy is just below 0, which its bin tells
+    spread = "\n".join(
+        f"""c_{v} AS (SELECT event_id, d, {v} AS v, count(*) AS n FROM pairs WHERE {v} IS NOT NULL GROUP BY ALL),
+    t_{v} AS (SELECT event_id, d, count(*) AS u, sum(n) AS total FROM c_{v} GROUP BY ALL),
+    h_{v} AS (SELECT event_id, {", ".join(f"max(u) FILTER (WHERE d = {d}) AS u_{v}_{d}, max(h) FILTER (WHERE d = {d}) AS h_{v}_{d}" for d in h.days)} FROM
+      (SELECT c.event_id, c.d, any_value(u) AS u, -sum(n / CAST(total AS DOUBLE) * log2(n / CAST(total AS DOUBLE) + 1e-10)) AS h FROM c_{v} c JOIN t_{v} t ON c.event_id = t.event_id AND c.d = t.d GROUP BY ALL) GROUP BY event_id),"""
+        for v in ("props", "event_type")
+    )
+    return f"""WITH e AS (SELECT *, epoch_us(ts) AS us, CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS ok FROM events),
+    r AS (SELECT *, row_number() OVER o AS rn, lag(us) OVER o AS last_login, lag(props) OVER o AS last_props, lag(event_type) OVER o AS last_event_type,
+      last_value(CASE WHEN ok = 1 THEN us END IGNORE NULLS) OVER p AS last_success, last_value(CASE WHEN ok <> 1 THEN us END IGNORE NULLS) OVER p AS last_failure,
+      row_number() OVER (PARTITION BY user_id, props ORDER BY ts, event_id) AS nth_props, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth_event_type
+      FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id), p AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    s AS (SELECT *, coalesce(max(CASE WHEN ok <> 1 THEN rn END) OVER p, 0) AS success_broken, coalesce(max(CASE WHEN ok = 1 THEN rn END) OVER p, 0) AS failure_broken
+      FROM r WINDOW p AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    pairs AS (SELECT a.event_id, w.d, b.ok, b.props, b.event_type FROM e a CROSS JOIN (VALUES (1), (7), (30)) w(d) JOIN e b ON a.user_id = b.user_id AND b.ts < a.ts AND b.ts >= a.ts - to_days(w.d)),
+    {spread}
+    counts AS (SELECT event_id, {", ".join(f"count(*) FILTER (WHERE d = {d}) AS login_{d}, count(*) FILTER (WHERE d = {d} AND ok = 1) AS success_{d}, count(*) FILTER (WHERE d = {d} AND ok = 0) AS failure_{d}" for d in h.days)} FROM pairs GROUP BY event_id)
+    SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, {", ".join(f"{x} AS {name}" for name, x in out.items())}
+    FROM s LEFT JOIN counts USING (event_id) LEFT JOIN h_props USING (event_id) LEFT JOIN h_event_type USING (event_id)"""
+
+
+@query(_login_sql())
 def login_features(spark, sf_dir):
-    """All behavioural features over events dressed as logins."""
+    """All behavioural features over events dressed as logins; doubles to six digits."""
     df = table(spark, sf_dir, "events")
-    c = {"ip": "props", "device": "event_type", "country": "event_type", "region": "event_type", "city": "event_type", "ip_token": "event_type", "device_token": "event_type", "geo_token": "event_type", "context_token": "event_type"}
-    df = df.select("event_id", F.col("user_id").cast("string").alias("user_id"), F.col("ts").alias("login_timestamp"), (F.col("event_type") != "error").cast("int").alias("login_successful"), *(F.col(v).alias(k) for k, v in c.items()))
-    return history.features(df)
+    df = df.select("event_id", F.col("user_id").cast("string").alias("user_id"), F.col("ts").alias("login_timestamp"), (F.col("event_type") != "error").cast("int").alias("login_successful"), *(F.col(v).alias(k) for k, v in DRESSED.items()))
+    out = history.features(df)
+    kinds, names = dict(out.dtypes), [c for block in history.blocks().values() for c in block]
+    return out.select("event_id", "user_id", *((F.round(F.col(c), 6) + 0.0).alias(c) if kinds[c] == "double" else F.col(c) for c in names))
 
 
 _split_sql = "CASE WHEN rn <= floor(n * CAST(0.75 AS DOUBLE)) THEN 'train' WHEN rn <= floor(n * CAST(0.75 AS DOUBLE)) + floor(n * CAST(0.08 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split"

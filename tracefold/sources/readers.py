@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracefold.names import fresh
+
 HTTP = "struct<headers: map<string, string>, method: string, url: string, body: string, Attack_Tag: string>"
 REPLY = "struct<status: string, headers: map<string, string>, status_code: string, body: string>"
 HTTPS_FILES = {"flows": "flows.csv", "aggregated_flows": "aggregated_flows.csv", "samples": "samples.csv"}
@@ -28,11 +30,13 @@ def numbered(df: DataFrame, name: str = "record_index") -> DataFrame:
 
     A split's rows follow each other in one task; the rows of the splits before, a row per split, are broadcast.
     """
-    at = df.select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    splits = at.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    return at.join(F.broadcast(splits), ["_file", "_block"]).withColumn(name, F.col("_id") - F.col("_first") + F.col("_before")).drop("_file", "_block", "_id", "_first", "_before")
+    file, block, at_name = (fresh(df, x) for x in ("_file", "_block", "_at"))
+    at = df.select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias(file), F.col("_metadata.file_block_start").alias(block), F.monotonically_increasing_id().alias(at_name))
+    first, rows, earlier = (fresh(at, x) for x in ("_first", "_rows", "_before"))
+    splits = at.groupBy(file, block).agg(F.min(at_name).alias(first), F.count(F.lit(1)).alias(rows))
+    before = Window.partitionBy(file).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn(earlier, F.coalesce(F.sum(rows).over(before), F.lit(0))).drop(rows)
+    return at.join(F.broadcast(splits), [file, block]).withColumn(name, F.col(at_name) - F.col(first) + F.col(earlier)).drop(file, block, at_name, first, earlier)
 
 
 def _stem(file_name: str) -> Column:
