@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.functions import text as T
-from tracefold.operators import columns, detection, flows, metrics, profiling, quantiles, risk, split
+from tracefold.operators import columns, detection, flows, metrics, profiling, quantiles, retrieval, risk, split
 from tracefold.plans.catalogue import _split_sql, query, r6, table
 
 
@@ -193,3 +193,32 @@ _SQL_PLAIN = T.SQL.replace(r"(?<!\*)/\*", r"(?:^|[^*])/\*").replace("'", "''")
 @query(f"SELECT page_id, CASE WHEN regexp_matches(url, '{_SQL_PLAIN}') THEN 1 ELSE 0 END AS url_sql, CASE WHEN regexp_matches(html, '{_SQL_PLAIN}') THEN 1 ELSE 0 END AS html_sql FROM pages")
 def sql_pattern(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", *(T.contains(F.col(c), T.SQL).alias(f"{c}_sql") for c in ("url", "html")))
+
+
+_BUCKET = "CAST(('0x' || left(md5(w), 8)) AS BIGINT) % 2048"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id AS id, lang || '/' || source AS endpoint, source, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents),
+    b AS (SELECT id, {_BUCKET} AS b, CAST(count(*) AS DOUBLE) AS w FROM (SELECT id, unnest(t) AS w FROM d) GROUP BY ALL),
+    v AS MATERIALIZED (SELECT id, b, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM b),
+    r AS (SELECT d.id, endpoint, source, toxic FROM d JOIN labels ON labels.doc_id = d.id WHERE toxic IS NOT NULL),
+    s AS MATERIALIZED (SELECT x.id, y.id AS ref, sum(x.w * y.w) AS s FROM v x JOIN v y ON x.b = y.b JOIN r ON r.id = y.id GROUP BY x.id, y.id),
+    known AS (SELECT DISTINCT endpoint FROM r WHERE toxic = 0),
+    n AS (SELECT s.id, max(s.s) AS s FROM s JOIN d ON d.id = s.id JOIN r ON r.id = s.ref LEFT JOIN known k ON k.endpoint = d.endpoint WHERE r.toxic = 0 AND (k.endpoint IS NULL OR r.endpoint = d.endpoint) GROUP BY s.id),
+    y AS (SELECT d.id, coalesce(n.s, 0) AS near, least(1, greatest(0, 1 - coalesce(n.s, 0))) AS y FROM d LEFT JOIN n ON n.id = d.id),
+    top AS (SELECT s.id, r.source, s.s FROM s JOIN r ON r.id = s.ref JOIN y ON y.id = s.id WHERE r.toxic = 1 AND y.y >= 0.3 QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY round(s.s, 12) DESC, s.ref) <= 15),
+    c AS (SELECT id, source, sum(s) AS s FROM top GROUP BY ALL),
+    f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(s, 12) DESC, source) = 1)
+    SELECT y.id, round(near, 6) + 0.0 AS nearest_benign_similarity, round(y, 6) + 0.0 AS y_score, CAST(y >= 0.3 AS INTEGER) AS y_pred,
+    CASE WHEN y < 0.3 THEN 'Benign' ELSE coalesce(f.source, 'Unknown') END AS predicted_attack_type, round(CASE WHEN y < 0.3 THEN 0 ELSE coalesce(f.s, 0) END, 6) + 0.0 AS attack_similarity
+    FROM y LEFT JOIN f ON f.id = y.id"""
+)
+def retrieval_scores(spark, sf_dir):
+    """Every document against all labelled ones: toxic ones as attacks of a type, their language and source as endpoint."""
+    words = F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+"), lambda x: x != "")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "lang", "source").alias("endpoint_key"), "source", retrieval.weighted(words, 1).alias("bag"))
+    labels = table(spark, sf_dir, "labels").where("toxic is not null").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label_binary"))
+    known = docs.join(labels, "id").withColumn("attack_type", F.col("source"))
+    scored = retrieval.RetrievalModel.fit(known, threshold=0.3, by="md5").predict(docs)
+    return scored.select("id", *((F.round(c, 6) + 0.0).alias(c) for c in ("nearest_benign_similarity", "y_score")), "y_pred", "predicted_attack_type", (F.round("attack_similarity", 6) + 0.0).alias("attack_similarity"))
