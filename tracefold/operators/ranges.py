@@ -27,7 +27,7 @@ SMOOTHING = 1e-10  # fixed value: added to a share inside its logarithm
 def _terms(n: Column) -> tuple[Column, Column]:
     """n log2 n as whole number and 2^-40ths."""
     g = F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    return F.floor(g), F.round((g - F.floor(g)) * F.lit(_FRACTION)).cast("long")
+    return F.floor(g), F.floor((g - F.floor(g)) * F.lit(_FRACTION) + 0.5)
 
 
 def entropy(n: Column, distinct: Column, whole: Column, fraction: Column) -> Column:
@@ -59,47 +59,49 @@ def over_ranges(df: DataFrame, entity: str, micros: Column, spans: Mapping[str,
     )
     plain = [f"t{i}" for i in range(len(totals))] + [f"v{i}" for i in range(len(diverse))]
     events = events.select("e", F.when(F.col("x.kind") == 0, F.col("row")).alias("row"), *plain, "x.kind", "x.key")
-    sign = [F.when(F.col("kind") == 0, 1).when(F.col("kind") == i + 1, -1).otherwise(0) for i in range(len(suffixes))]
+    sign = [f"case when kind = 0 then 1 when kind = {i + 1} then -1 else 0 end" for i in range(len(suffixes))]
     group = ["e"]
     if cut:
         group = ["e", "piece"]
         events = events.withColumn("piece", F.floor(F.col("key") / F.lit(cut))).repartition(*group)
 
-    def carried(by: list[str], values: dict[str, Column]) -> DataFrame:
+    def carried(by: list[str], values: dict[str, str]) -> DataFrame:
         """Of each piece, the sums of all pieces before it."""
-        sums = events.groupBy(*by, "piece").agg(*(F.sum(v).alias(k) for k, v in values.items()))
-        before = Window.partitionBy(*by).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-        return sums.select(*by, "piece", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in values))
+        sums = events.groupBy(*by, "piece").agg(*(F.expr(f"sum({v}) as {k}") for k, v in values.items()))
+        before = f"over (partition by {', '.join(by)} order by piece rows between unbounded preceding and 1 preceding)"
+        return sums.select(*by, "piece", *(F.expr(f"coalesce(sum({k}) {before}, 0) as {k}_before") for k in values))
 
+    columns = ["e", "row", *plain, "kind", "key", *group[1:]]
     for i in range(len(diverse)):
         v = f"v{i}"
-        steps = {f"x{i}_{j}": F.when(F.col(v).isNull(), 0).otherwise(s) for j, s in enumerate(sign)}
-        so_far = Window.partitionBy(*group, v).orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-        base: dict[str, Column] = dict.fromkeys(steps, F.lit(0))
+        steps = {f"x{i}_{j}": f"case when {v} is null then 0 else {s} end" for j, s in enumerate(sign)}
+        base = dict.fromkeys(steps, "0")
         if cut:
             more = carried(["e", v], steps).withColumnsRenamed({"e": "ce", v: "cv", "piece": "cp"})
             same = F.col("e").eqNullSafe(F.col("ce")) & F.col(v).eqNullSafe(F.col("cv")) & (F.col("piece") == F.col("cp"))
-            events = events.join(more, same, "left").drop("ce", "cv", "cp")
-            base = {k: F.coalesce(F.col(f"{k}_before"), F.lit(0)) for k in steps}
-        events = events.withColumns(steps).withColumns({k.replace("x", "n"): F.sum(k).over(so_far) + base[k] for k in steps})
-        changes = {}
+            events = events.join(more, same, "left")
+            base = {k: f"coalesce({k}_before, 0)" for k in steps}
+        so_far = f"over (partition by {', '.join([*group, v])} order by key, kind rows between unbounded preceding and current row)"
+        events = events.selectExpr(*columns, *(f"{x} as {k}" for k, x in steps.items()), *(f"{x} as b{k}" for k, x in base.items()))
+        events = events.selectExpr("*", *(f"sum({k}) {so_far} + b{k} as {k.replace('x', 'n')}" for k in steps))
+        changes = []
         for j in range(len(suffixes)):
             x, n = F.col(f"x{i}_{j}"), F.col(f"n{i}_{j}")
             (whole, part), (whole_was, part_was) = _terms(n), _terms(n - x)
-            changes |= {f"u{i}_{j}": (n > 0).cast("int") - (n - x > 0).cast("int"), f"w{i}_{j}": whole - whole_was, f"p{i}_{j}": part - part_was}
-        events = events.withColumns(changes).drop(*(f"n{i}_{j}" for j in range(len(suffixes))), *(f"{k}_before" for k in steps))
-
-    values = {f"s{i}_{j}": F.col(f"t{i}") * s for i in range(len(totals)) for j, s in enumerate(sign)}
-    values |= {f"{k}{i}_{j}": F.col(f"{k}{i}_{j}") for i in range(len(diverse)) for j in range(len(suffixes)) for k in "xuwp"}
-    earlier = Window.partitionBy(*group).orderBy("key").rangeBetween(Window.unboundedPreceding, -1)
-    sums = {k: F.coalesce(F.sum(v).over(earlier), F.lit(0)) for k, v in values.items()}
+            changes += [F.expr(f"cast(n{i}_{j} > 0 as int) - cast(n{i}_{j} - x{i}_{j} > 0 as int) as u{i}_{j}"), (whole - whole_was).alias(f"w{i}_{j}"), (part - part_was).alias(f"p{i}_{j}")]
+        columns += [*steps]
+        events = events.select(*columns, *changes)
+        columns += [f"{k}{i}_{j}" for j in range(len(suffixes)) for k in "uwp"]
+
+    values = {f"s{i}_{j}": f"t{i} * {s}" for i in range(len(totals)) for j, s in enumerate(sign)}
+    values |= {f"{k}{i}_{j}": f"{k}{i}_{j}" for i in range(len(diverse)) for j in range(len(suffixes)) for k in "xuwp"}
+    earlier = f"over (partition by {', '.join(group)} order by key range between unbounded preceding and 1 preceding)"
+    sums = [f"coalesce(sum({v}) {earlier}, 0) as {k}" for k, v in values.items()]
+    rows = events.selectExpr("e", "row", "kind", *group[1:], *sums).where("kind = 0")
     if cut:
         more = carried(["e"], values).withColumnsRenamed({"e": "ce", "piece": "cp"})
-        rows = events.select("e", "row", "kind", "piece", *(c.alias(k) for k, c in sums.items())).where("kind = 0")
         rows = rows.join(more, F.col("e").eqNullSafe(F.col("ce")) & (F.col("piece") == F.col("cp")), "left")
-        rows = rows.select("e", "row", *((F.col(k) + F.coalesce(F.col(f"{k}_before"), F.lit(0))).alias(k) for k in values))
-    else:
-        rows = events.select("e", "row", "kind", *(c.alias(k) for k, c in sums.items())).where("kind = 0")
+        rows = rows.selectExpr("e", "row", *(f"{k} + coalesce({k}_before, 0) as {k}" for k in values))
 
     out = [F.col("e").alias(c) if c == entity else F.col("row").getField(c).alias(c) for c in kept]
     out += [F.col(f"s{i}_{j}").alias(f"{t}{s}") for i, t in enumerate(totals) for j, s in enumerate(suffixes)]

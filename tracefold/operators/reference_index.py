@@ -70,7 +70,7 @@ class ReferenceIndex:
             return slice(a + np.searchsorted(self.place[a:z], low), a + np.searchsorted(self.place[a:z], high))
 
         for t, i in enumerate(turn):
-            if t and t % 4 == 0 and len(sums) > k:
+            if t and t % 4 == 0 and len(sums) > k and rest[t] < sums.max():
                 kth = np.partition(sums, len(sums) - k)[len(sums) - k] - 1e-9
                 if rest[t] < kth:
                     found = np.flatnonzero(sums + rest[t] >= kth)
