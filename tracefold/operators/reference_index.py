@@ -2,8 +2,8 @@
 
 The matrix is stored by bucket: of each bucket the places of the references that have it, ascending, and their weights. Places follow endpoint and id, so the
 references of one endpoint are a stretch of every list. A search takes a row's buckets from the one that can add most (the row's weight times the
-largest in the list) to the one that can add least. Once all that is left can't lift an unseen reference above the k-th best so far, no more
-lists are read: only those references that still can get there are looked up in them. The k best are exact.
+largest in the list) to the one that can add least, some at first and then twice as many each time. Once all that is left can't lift an unseen
+reference above the k-th best so far, no more lists are read: only those references that still can get there are looked up in them. The k best are exact.
 
 Only what has been counted first is collected: a matrix of more than MOST_BYTES isn't built, and the caller joins instead.
 """
@@ -16,14 +16,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_BYTES = 1 << 28  # 12 bytes a weight; the bag of a request has 256 tokens at most, a model 80,000 references of a kind
+MOST_BYTES = 1 << 28  # of WEIGHT_BYTES a weight; the bag of a request has 256 tokens at most, a model 80,000 references of a kind
+WEIGHT_BYTES = 16
 DIGITS = 12  # similarities that agree to these tie
 
 
 @dataclass
 class ReferenceIndex:
-    start: np.ndarray  # of each bucket's list, and the end of the last
-    place: np.ndarray
+    key: np.ndarray  # bucket times the number of references, plus the reference's place; ascending
     weight: np.ndarray
     largest: np.ndarray  # weight of each list
     endpoints: dict[str, tuple[int, int]]
@@ -36,14 +36,14 @@ class ReferenceIndex:
         """None if it would be too large, or if a weight is negative, for which the bounds don't hold."""
         held = vectors.join(refs.select("id"), "id", "left_semi")
         size = held.agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("least")).collect()[0]
-        if size["n"] * 12 > most_bytes or (size["least"] or 0) < 0:
+        if size["n"] * WEIGHT_BYTES > most_bytes or (size["least"] or 0) < 0:
             return None
         head = refs.select("id", "endpoint_key", "attack_type").toPandas().sort_values(["endpoint_key", "id"], na_position="first", kind="stable").reset_index(drop=True)
         got = held.select("id", "bucket", "weight").toArrow()
         place = head.reset_index().set_index("id")["index"].reindex(got["id"].to_pandas()).to_numpy()
         bucket, weight = got["bucket"].to_numpy(), got["weight"].to_numpy()
-        order = np.lexsort((place, bucket))
-        start = np.searchsorted(bucket[order], np.arange(dimension + 1))
+        key = bucket.astype(np.int64) * len(head) + place.astype(np.int64)
+        order = np.argsort(key, kind="stable")
         largest = np.zeros(dimension)
         np.maximum.at(largest, bucket, weight)
         keys = head["endpoint_key"]
@@ -52,7 +52,7 @@ class ReferenceIndex:
         names = sorted(types.unique(), key=lambda x: x.encode())
         kinds = types.map({x: i for i, x in enumerate(names)}).to_numpy(dtype=np.int32)
         turn = head["id"].rank(method="first").to_numpy(dtype=np.int64) if head["id"].dtype != object else np.argsort(np.argsort(head["id"].astype("string").str.encode("utf-8").to_numpy(), kind="stable"), kind="stable")
-        return cls(start, place[order].astype(np.int32), weight[order], largest, stretches, turn, kinds, list(names))
+        return cls(key[order], weight[order], largest, stretches, turn, kinds, list(names))
 
     def __len__(self) -> int:
         return len(self.kinds)
@@ -63,33 +63,28 @@ class ReferenceIndex:
         bound = weights * self.largest[buckets]
         turn = np.argsort(-bound, kind="stable")
         rest = np.append(np.cumsum(bound[turn][::-1])[::-1], 0.0)
-        sums, read, found = np.zeros(high - low), 0, None
-
-        def stretch(b: int) -> slice:
-            a, z = self.start[b], self.start[b + 1]
-            return slice(a + np.searchsorted(self.place[a:z], low), a + np.searchsorted(self.place[a:z], high))
-
-        for t, i in enumerate(turn):
-            if t and t % 4 == 0 and len(sums) > k and rest[t] < sums.max():
+        offset, weights = buckets[turn].astype(np.int64) * len(self), weights[turn]
+        first, last = np.searchsorted(self.key, offset + low), np.searchsorted(self.key, offset + high)
+        sums, read, t, step, found = np.zeros(high - low), 0, 0, 8, None
+        while t < len(turn):
+            if t and len(sums) > k and rest[t] < sums.max():
                 kth = np.partition(sums, len(sums) - k)[len(sums) - k] - 1e-9
                 if rest[t] < kth:
                     found = np.flatnonzero(sums + rest[t] >= kth)
-                    turn = turn[t:]
                     break
-            s = stretch(buckets[i])
-            sums[self.place[s] - low] += weights[i] * self.weight[s]
-            read += s.stop - s.start
+            some = slice(t, t + step)
+            n = last[some] - first[some]
+            at = np.arange(int(n.sum())) + np.repeat(first[some] - (np.cumsum(n) - n), n)
+            sums += np.bincount(self.key[at] - np.repeat(offset[some] + low, n), self.weight[at] * np.repeat(weights[some], n), minlength=len(sums))
+            read, t, step = read + len(at), t + step, 2 * step
         if found is None:
             found = np.flatnonzero(sums > 0)
         else:
-            for i in turn:
-                s = stretch(buckets[i])
-                listed = self.place[s] - low
-                at = np.searchsorted(listed, found)
-                there = at < len(listed)
-                there[there] = listed[at[there]] == found[there]
-                sums[found[there]] += weights[i] * self.weight[s][at[there]]
-                read += int(there.sum())
+            wanted = (offset[t:, None] + (found + low)).ravel()  # of each list left, the references that still can get there
+            at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+            more = np.where(self.key[at] == wanted, self.weight[at], 0.0).reshape(-1, len(found))
+            sums[found] += weights[t:] @ more
+            read += int((more > 0).sum())
             found = found[sums[found] > 0]
         rounded = np.round(sums[found], DIGITS)
         chosen = found[np.lexsort((self.turn[found + low], -rounded))[:k]]

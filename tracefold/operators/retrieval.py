@@ -141,9 +141,10 @@ class RetrievalModel:
 
     @classmethod
     def fit(cls, df: DataFrame, dimension: int = 2048, most: int = 80_000, threshold: float = 0.5, by: str = "xxhash64", most_bytes: int = MOST_BYTES) -> RetrievalModel:
-        order = fresh(df, "_order")
-        benign = df.where("label_binary = 0").withColumn(order, F.xxhash64("id")).orderBy(order).limit(most).drop(order)
-        attack = balanced_sample(df.where("label_binary = 1").withColumn(order, F.xxhash64("id")), "attack_type", most, order).drop(order)
+        """At most `most` references of a kind, drawn by a hash of the id; attacks evenly by type."""
+        order, drawn = fresh(df, "_order"), F.xxhash64("id") if by == "xxhash64" else F.md5(F.col("id").cast("string"))
+        benign = df.where("label_binary = 0").withColumn(order, drawn).orderBy(order).limit(most).drop(order)
+        attack = balanced_sample(df.where("label_binary = 1").withColumn(order, drawn), "attack_type", most, order).drop(order)
         chosen = written(benign.unionByName(attack).select("id", "endpoint_key", "label_binary", "attack_type", "bag"), "references")
         vectors = written(hashed(chosen, "id", "bag", dimension, by), "vectors")
         return cls(vectors, chosen.drop("bag"), dimension, threshold, by, most_bytes)

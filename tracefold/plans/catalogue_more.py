@@ -195,6 +195,7 @@ def sql_pattern(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", *(T.contains(F.col(c), T.SQL).alias(f"{c}_sql") for c in ("url", "html")))
 
 
+MOST_REFERENCES = 2000
 _BUCKET = "CAST(('0x' || left(md5(w), 8)) AS BIGINT) % 2048"
 
 
@@ -202,7 +203,10 @@ _BUCKET = "CAST(('0x' || left(md5(w), 8)) AS BIGINT) % 2048"
     f"""WITH d AS (SELECT doc_id AS id, lang || '/' || source AS endpoint, source, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents),
     b AS (SELECT id, {_BUCKET} AS b, CAST(count(*) AS DOUBLE) AS w FROM (SELECT id, unnest(t) AS w FROM d) GROUP BY ALL),
     v AS MATERIALIZED (SELECT id, b, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM b),
-    r AS (SELECT d.id, endpoint, source, toxic FROM d JOIN labels ON labels.doc_id = d.id WHERE toxic IS NOT NULL),
+    l AS (SELECT d.id, endpoint, source, toxic, md5(CAST(d.id AS VARCHAR)) AS o FROM d JOIN labels ON labels.doc_id = d.id WHERE toxic IS NOT NULL),
+    a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY o) AS rn FROM l WHERE toxic = 1),
+    r AS (SELECT id, endpoint, source, toxic FROM (SELECT * FROM l WHERE toxic = 0 ORDER BY o LIMIT {MOST_REFERENCES})
+      UNION ALL SELECT id, endpoint, source, toxic FROM (SELECT * FROM a ORDER BY CASE WHEN rn > greatest({MOST_REFERENCES} // (SELECT count(DISTINCT source) FROM a), 1) THEN 1 ELSE 0 END, o LIMIT {MOST_REFERENCES})),
     s AS MATERIALIZED (SELECT x.id, y.id AS ref, sum(x.w * y.w) AS s FROM v x JOIN v y ON x.b = y.b JOIN r ON r.id = y.id GROUP BY x.id, y.id),
     known AS (SELECT DISTINCT endpoint FROM r WHERE toxic = 0),
     n AS (SELECT s.id, max(s.s) AS s FROM s JOIN d ON d.id = s.id JOIN r ON r.id = s.ref LEFT JOIN known k ON k.endpoint = d.endpoint WHERE r.toxic = 0 AND (k.endpoint IS NULL OR r.endpoint = d.endpoint) GROUP BY s.id),
@@ -215,10 +219,10 @@ _BUCKET = "CAST(('0x' || left(md5(w), 8)) AS BIGINT) % 2048"
     FROM y LEFT JOIN f ON f.id = y.id"""
 )
 def retrieval_scores(spark, sf_dir):
-    """Every document against all labelled ones: toxic ones as attacks of a type, their language and source as endpoint."""
+    """Every document against labelled ones, at most MOST_REFERENCES of a kind: toxic ones as attacks of a type, their language and source as endpoint."""
     words = F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+"), lambda x: x != "")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "lang", "source").alias("endpoint_key"), "source", retrieval.weighted(words, 1).alias("bag"))
     labels = table(spark, sf_dir, "labels").where("toxic is not null").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label_binary"))
     known = docs.join(labels, "id").withColumn("attack_type", F.col("source"))
-    scored = retrieval.RetrievalModel.fit(known, threshold=0.3, by="md5").predict(docs)
+    scored = retrieval.RetrievalModel.fit(known, most=MOST_REFERENCES, threshold=0.3, by="md5").predict(docs)
     return scored.select("id", *((F.round(c, 6) + 0.0).alias(c) for c in ("nearest_benign_similarity", "y_score")), "y_pred", "predicted_attack_type", (F.round("attack_similarity", 6) + 0.0).alias("attack_similarity"))
