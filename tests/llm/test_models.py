@@ -123,6 +123,9 @@ def test_toxicity(spark):
     assert sum(a == b for a, b in held) / len(held) > 0.97
     clean = toxicity.keep_clean(docs.withColumn("features", F.lit("clash")), labels)
     assert clean.columns == [*docs.columns, "features"] and 700 < clean.count() < 800
+    odd = docs.withColumns({"toxicity_score": F.lit(0.9), "score": F.lit("s"), "rest": F.lit(1), "a.b": F.lit("dot"), "features_raw": F.lit(2)})
+    again = toxicity.keep_clean(odd, labels)
+    assert again.columns == odd.columns and again.count() == clean.count() and again.select("toxicity_score", "score", "rest", "`a.b`").distinct().collect() == [(0.9, "s", 1, "dot")]
     assert {r.score for r in toxicity.toxicity_scores(docs, labels.where("toxic = 0")).collect()} == {0.0}
     assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
     assert toxicity.toxicity_scores(docs, labels.limit(0)).where("score <> 0").count() == 0
@@ -190,7 +193,7 @@ def shingles(text, k):
 
 
 def test_pipeline_stages(spark):
-    docs = documents(spark).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.lit(1).alias("row"))
+    docs = documents(spark).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.lit(1).alias("row"), F.lit(2).alias("a.b"), F.lit(3).alias("rest"))
     kept = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert kept.columns == docs.columns
     rows = [(r.doc_id, r.text) for r in kept.collect()]

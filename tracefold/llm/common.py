@@ -10,8 +10,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracefold.names import every, fresh  # noqa: F401
 from tracefold.storage import dropped  # noqa: F401
 from tracefold.storage import shared_dir as scratch_dir  # noqa: F401
 from tracefold.storage import written as scratch  # noqa: F401
@@ -35,17 +37,15 @@ def bound_batches(df: DataFrame, most_bytes: int = 1 << 23) -> None:
         conf.set(name, f"{most_bytes}b")
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df does not have yet, whatever the case."""
-    taken = {x.lower() for x in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def packed(docs: DataFrame, text_col: str) -> DataFrame:
+    """(rest, text): all other columns in one struct, so that names in it, with dots or like those of an operator, meet no other."""
+    others = [docs[f"`{c}`"] for c in docs.columns if c != text_col]
+    return docs.select((F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias("rest"), docs[f"`{text_col}`"].alias("text"))
 
 
-def every(df: DataFrame) -> list[Column]:
-    """All columns, also those with dots in their names."""
-    return [df[f"`{x}`"] for x in df.columns]
+def unpacked(got: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of docs from `packed` ones."""
+    return got.select(*(F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns))
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

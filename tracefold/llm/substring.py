@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import bound_batches, fresh, gram_hashes, mix, portions, word_hashes
+from tracefold.llm.common import bound_batches, fresh, gram_hashes, mix, packed, portions, unpacked, word_hashes
 
 WINDOW = 20
 GRAM = 5
@@ -260,18 +260,17 @@ def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with the words of repeats taken out of the text, the rest joined by one space; texts without any stay as they are."""
-    columns = docs.columns
-    where = columns.index(text_col)
+    rows = packed(docs, text_col).withColumn("doc_id", F.col("rest").getField(id_col))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(where).to_pylist()
-            for i, found in enumerate(batch.column(len(columns)).to_pylist()):
+            texts = batch.column(1).to_pylist()
+            for i, found in enumerate(batch.column(2).to_pylist()):
                 if found:
                     words = texts[i].encode().split()
                     gone = removed_words(found, len(words), window)
                     texts[i] = b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x).decode()
-            arrays = [pa.array(texts, batch.column(where).type) if k == where else batch.column(k) for k in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(arrays, columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, batch.column(1).type)], ["rest", "text"])
 
-    return _with_factors(docs, id_col, text_col, window).mapInArrow(cut, docs.schema)
+    found = _with_factors(rows, "doc_id", "text", window).drop("doc_id")
+    return unpacked(found.mapInArrow(cut, rows.select("rest", "text").schema), docs, text_col)

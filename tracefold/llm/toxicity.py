@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tracefold.llm.common import bound_batches, chunks, codepoints, prefix_sums, scratch, slice_hashes
+from tracefold.llm.common import bound_batches, chunks, codepoints, packed, prefix_sums, scratch, slice_hashes, unpacked
 
 MOST_ROWS = 20_000
 THRESHOLD = 0.3
@@ -262,5 +262,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows scored at the threshold or above."""
     model = ToxicityModel(docs, labels, id_col, text_col)
-    got = model.score(docs, text_col=text_col, name="toxicity_score", keep_text=True)
-    return got.where(F.col("toxicity_score") < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
+    got = model.score(packed(docs, text_col), text_col="text", keep_text=True)  # whatever the names of docs are, they're inside a struct
+    return unpacked(got.where(F.col("score") < threshold), docs, text_col)
