@@ -330,13 +330,12 @@ def test_tail_reads_lines_longer_than_its_bound(tmp_path):
 
     log = tmp_path / "log"
     log.write_bytes(b"short\n" + b"x" * 95 + b"\nafter\n" + b"y" * 50)
-    reader, at, got = TailReader(str(log), 10), {"at": 0}, []
-    for _ in range(6):
-        rows, to = reader.read(at)
-        rows = list(rows)
-        assert rows == list(reader.readBetweenOffsets(at, to))
-        got, at = got + [x for (x,) in rows], to
-    assert got == ["short", "x" * 95, "after"] and at["at"] == 6 + 96 + 6
+    reader = TailReader(str(log), 10, 10.0, True)
+    end = reader.latestOffset()
+    parts = reader.partitions(reader.initialOffset(), end)
+    rows = [[x for batch in reader.read(p) for x in batch.column(0).to_pylist()] for p in parts]
+    assert len(parts) == 11 and [x for part in rows for x in part] == ["short", "x" * 95, "after"]
+    assert list(end.values()) == [6 + 96 + 6] and reader.partitions(end, end) == []
 
 
 def test_tabular(spark):
