@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.functions import text as T
-from tracefold.operators import columns, detection, flows, metrics, profiling, quantiles, retrieval, risk, split
+from tracefold.operators import across, columns, detection, flows, metrics, profiling, quantiles, retrieval, risk, split
 from tracefold.plans.catalogue import _split_sql, query, r6, table
+from tracefold.streaming import incidents
 
 
 @query(f"SELECT event_id, props, event_type, {_split_sql} FROM (SELECT event_id, props, event_type, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n FROM events)")
@@ -226,3 +227,64 @@ def retrieval_scores(spark, sf_dir):
     known = docs.join(labels, "id").withColumn("attack_type", F.col("source"))
     scored = retrieval.RetrievalModel.fit(known, most=MOST_REFERENCES, threshold=0.3, by="md5").predict(docs)
     return scored.select("id", *((F.round(c, 6) + 0.0).alias(c) for c in ("nearest_benign_similarity", "y_score")), "y_pred", "predicted_attack_type", (F.round("attack_similarity", 6) + 0.0).alias("attack_similarity"))
+
+
+_ORDERS = "o AS (SELECT o_orderkey, o_custkey, o_totalprice, TIMESTAMP '2024-01-01' + to_seconds(CAST((o_orderkey * 7919) % 2592000 AS INTEGER)) AS t FROM orders)"
+
+
+def _orders_of_the_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in the month of the events: a second of it for each key."""
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("o_orderkey") * 7919) % 2_592_000)
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", at.alias("t"))
+
+
+@query(
+    f"""WITH {_ORDERS}, u AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY o_custkey, t ORDER BY o_orderkey DESC) = 1)
+    SELECT e.event_id, u.o_orderkey, u.o_totalprice, CAST(epoch_us(e.ts) - epoch_us(u.t) AS BIGINT) AS us_since FROM events e ASOF LEFT JOIN u ON e.user_id = u.o_custkey AND e.ts >= u.t"""
+)
+def order_before_event(spark, sf_dir):
+    """Of every event the last order of its user at or before it."""
+    found = across.as_of(table(spark, sf_dir, "events"), _orders_of_the_month(spark, sf_dir), ["user_id"], "ts", ["o_custkey"], "t", ["o_orderkey"], cut=3 * 86_400_000_000)
+    return found.select("event_id", "o_orderkey", "o_totalprice", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros("t")).alias("us_since"))
+
+
+@query(
+    f"""WITH {_ORDERS} SELECT e.event_id, CAST(count(o.o_orderkey) AS BIGINT) AS orders_near, round(sum(o.o_totalprice), 2) AS spent_near, CAST(count(o.o_orderkey) FILTER (WHERE o.t > e.ts) AS BIGINT) AS orders_after
+    FROM events e JOIN o ON e.user_id = o.o_custkey AND o.t BETWEEN e.ts - INTERVAL 2 DAY AND e.ts + INTERVAL 1 DAY GROUP BY e.event_id"""
+)
+def orders_near_event(spark, sf_dir):
+    """Of every event that has any, the orders of its user from two days before it to one day after."""
+    day = 86_400_000_000
+    pairs = across.near(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), _orders_of_the_month(spark, sf_dir), ["user_id"], "ts", 2 * day, day, ["o_custkey"], "t")
+    after = F.count_if(F.col("t") > F.col("ts").cast("timestamp"))
+    return pairs.groupBy("event_id").agg(F.count("o_orderkey").alias("orders_near"), F.round(F.sum("o_totalprice"), 2).alias("spent_near"), after.alias("orders_after"))
+
+
+_RUNS = """e AS (SELECT CAST(user_id AS VARCHAR) AS client_ip, epoch_us(ts) AS us, event_type FROM events {where}),
+    n AS (SELECT *, CASE WHEN us - lag(us) OVER w < {gap} THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY client_ip ORDER BY us)),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY client_ip ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM n)"""
+_HALF_DAY = 43_200_000_000
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests of a source; an error is one with an attack in its query."""
+    query_text = F.when(F.col("event_type") == "error", "id=1' or 1=1").otherwise("q=books")
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("client_ip"), F.col("ts").cast("timestamp").alias("event_timestamp"), F.col("event_type").alias("path"), query_text.alias("query"))
+
+
+@query(
+    f"""WITH {_RUNS.format(where="", gap=_HALF_DAY)} SELECT client_ip, CAST(min(us) AS BIGINT) AS start_us, CAST(max(us) + {_HALF_DAY} AS BIGINT) AS end_us, CAST(count(*) AS BIGINT) AS events,
+    CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS signals, CAST(count(DISTINCT event_type) AS BIGINT) AS paths FROM r GROUP BY client_ip, run"""
+)
+def source_sessions(spark, sf_dir):
+    found = incidents.sessions(_requests(spark, sf_dir), "12 hours")
+    return found.select("client_ip", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events", "signals", "paths")
+
+
+@query(
+    f"""WITH {_RUNS.format(where="WHERE event_type = 'error'", gap=_HALF_DAY)}, c AS (SELECT client_ip, min(us) AS first_us, max(us) AS last_us, count(*) AS events FROM r GROUP BY client_ip, run)
+    SELECT client_ip, k AS kind, CAST(first_us AS BIGINT) AS first_us, CAST(last_us AS BIGINT) AS last_us, CAST(events AS BIGINT) AS events FROM c, (VALUES ('closed', 1), ('escalated', 2)) v(k, least) WHERE events >= least"""
+)
+def source_incidents(spark, sf_dir):
+    found = incidents.incidents(_requests(spark, sf_dir), "12 hours", most=2)
+    return found.select("client_ip", "kind", F.unix_micros("first_time").alias("first_us"), F.unix_micros("last_time").alias("last_us"), "events")
