@@ -52,72 +52,92 @@ def _seconds(now: Column, then: Column) -> Column:
     return F.coalesce((now - then) / 1e6, F.lit(0.0))
 
 
-def gaps(df: DataFrame, h: History) -> DataFrame:
+Late = list[dict[str, Column]]
+
+
+class _Step:
+    """What a group of features needs. `begin` finds or makes the time in microseconds; `end` adds what follows from the windows' columns and drops what was made.
+
+    Alone, a step does both. In `features` one column of the time serves all, so that windows of one order share a sort, and what follows from their
+    columns (`late`) is added after all of them, so that rows are narrow while they are sorted.
+    """
+
+    def __init__(self, df: DataFrame, h: History, us: str | None, late: Late | None):
+        self.late, self.own = late, us is None
+        self.df, self.us = h.timed(df) if us is None else (df, us)
+
+    def end(self, df: DataFrame, *following: dict[str, Column], drop: Sequence[str] = ()) -> DataFrame:
+        for i, columns in enumerate(following):
+            if self.late is None:
+                df = df.withColumns(columns)
+            else:
+                self.late[i] |= columns
+        return df.drop(*drop, *([self.us] if self.own else []))
+
+
+def gaps(df: DataFrame, h: History, us: str | None = None, late: Late | None = None) -> DataFrame:
     """Seconds since the last event, success and failure (anything but a success; 0 without one), their logarithm and bin, and whether there is a past."""
-    timed, name = h.timed(df)
-    us, ok = F.col(name), F.coalesce(F.col(h.outcome) == 1, F.lit(False))
-    rows = h.rows(name)
+    step = _Step(df, h, us, late)
+    at, ok, rows = F.col(step.us), F.coalesce(F.col(h.outcome) == 1, F.lit(False)), h.rows(step.us)
     past = rows.rowsBetween(Window.unboundedPreceding, -1)
     last = {
-        "login": F.lag(us).over(rows),
-        "success": F.last(F.when(ok, us), ignorenulls=True).over(past),
-        "failure": F.last(F.when(~ok, us), ignorenulls=True).over(past),
+        "login": F.lag(at).over(rows),
+        "success": F.last(F.when(ok, at), ignorenulls=True).over(past),
+        "failure": F.last(F.when(~ok, at), ignorenulls=True).over(past),
     }
-    out = timed.withColumns({"has_prior_login": (F.row_number().over(rows) > 1).cast("int")} | {f"seconds_since_prev_{k}": _seconds(us, c) for k, c in last.items()})
-    return out.withColumns({f"seconds_since_prev_{k}_{kind}": f(F.col(f"seconds_since_prev_{k}")) for k in last for kind, f in (("log", N.log1p), ("bin", N.gap_bin))}).drop(name)
+    out = step.df.withColumns({"has_prior_login": (F.row_number().over(rows) > 1).cast("int")} | {f"seconds_since_prev_{k}": _seconds(at, c) for k, c in last.items()})
+    return step.end(out, {f"seconds_since_prev_{k}_{kind}": f(F.col(f"seconds_since_prev_{k}")) for k in last for kind, f in (("log", N.log1p), ("bin", N.gap_bin))})
 
 
-def streaks(df: DataFrame, h: History) -> DataFrame:
+def streaks(df: DataFrame, h: History, us: str | None = None, late: Late | None = None) -> DataFrame:
     """Lengths of the runs of successes and of failures (anything else) that end just before the row."""
-    timed, us = h.timed(df)
-    rn, rows = fresh(timed, "_rn"), h.rows(us)
-    timed = timed.withColumn(rn, F.row_number().over(rows))
+    step = _Step(df, h, us, late)
+    rn, rows = fresh(step.df, "_rn"), h.rows(step.us)
+    timed = step.df.withColumn(rn, F.row_number().over(rows))
     past = rows.rowsBetween(Window.unboundedPreceding, -1)
     ok = F.coalesce(F.col(h.outcome) == 1, F.lit(False))
     since = lambda breaks: F.col(rn) - 1 - F.coalesce(F.last(F.when(breaks, F.col(rn)), ignorenulls=True).over(past), F.lit(0))
     out = timed.withColumns({"prior_success_streak": since(~ok), "prior_failure_streak": since(ok)})
-    return out.withColumns({f"{k}_{kind}": f(F.col(k)) for k in ("prior_success_streak", "prior_failure_streak") for kind, f in (("log", N.log1p), ("bin", N.count_bin))}).drop(us, rn)
+    return step.end(out, {f"{k}_{kind}": f(F.col(k)) for k in ("prior_success_streak", "prior_failure_streak") for kind, f in (("log", N.log1p), ("bin", N.count_bin))}, drop=[rn])
 
 
-def novelty(df: DataFrame, h: History, columns: Sequence[str] | None = None) -> DataFrame:
+def novelty(df: DataFrame, h: History, columns: Sequence[str] | None = None, us: str | None = None, late: Late | None = None) -> DataFrame:
     """Whether the row holds the entity's first occurrence of a value."""
-    timed, us = h.timed(df)
-    return timed.withColumns({f"is_new_{c}": (F.row_number().over(h.of_value(c, us)) == 1).cast("int") for c in columns or h.novelty}).drop(us)
+    step = _Step(df, h, us, late)
+    return step.end(step.df.withColumns({f"is_new_{c}": (F.row_number().over(h.of_value(c, step.us)) == 1).cast("int") for c in columns or h.novelty}))
 
 
-def continuity(df: DataFrame, h: History, columns: Sequence[str] | None = None) -> DataFrame:
+def continuity(df: DataFrame, h: History, columns: Sequence[str] | None = None, us: str | None = None, late: Late | None = None) -> DataFrame:
     """Whether a value is that of the row before."""
-    timed, us = h.timed(df)
-    return timed.withColumns({f"prev_login_same_{c}": N.flag(F.col(c) == F.lag(c).over(h.rows(us))) for c in columns or h.novelty}).drop(us)
+    step = _Step(df, h, us, late)
+    return step.end(step.df.withColumns({f"prev_login_same_{c}": N.flag(F.col(c) == F.lag(c).over(h.rows(step.us))) for c in columns or h.novelty}))
 
 
-def prior_rates(df: DataFrame, h: History, names: dict[str, str] | None = None) -> DataFrame:
+def prior_rates(df: DataFrame, h: History, names: dict[str, str] | None = None, us: str | None = None, late: Late | None = None) -> DataFrame:
     """How many, and what share, of the earlier rows hold the row's value."""
-    timed, us = h.timed(df)
-    rn = fresh(timed, "_rn")
-    timed = timed.withColumn(rn, F.row_number().over(h.rows(us)) - 1)
-    names = names or h.priors
-    out = timed.withColumns({f"{p}_count": F.row_number().over(h.of_value(c, us)) - 1 for c, p in names.items()})
+    step, names = _Step(df, h, us, late), names or h.priors
+    rn = fresh(step.df, "_rn")
+    out = step.df.withColumn(rn, F.row_number().over(h.rows(step.us)) - 1)
+    out = out.withColumns({f"{p}_count": F.row_number().over(h.of_value(c, step.us)) - 1 for c, p in names.items()})
     out = out.withColumns({f"{p}_rate": F.coalesce(N.ratio(F.col(f"{p}_count"), F.col(rn)), F.lit(0.0)) for p in names.values()})
     more = {}
     for p in names.values():
         more |= {f"{p}_count_log": N.log1p(F.col(f"{p}_count")), f"{p}_count_bin": N.count_bin(F.col(f"{p}_count")), f"{p}_rate_bin": N.rate_bin(F.col(f"{p}_rate"))}
-    return out.withColumns(more).drop(us, rn)
+    return step.end(out, more, drop=[rn])
 
 
-def rolling(df: DataFrame, h: History, counts: bool = True, columns: Sequence[str] | None = None, cut_days: float | None = None) -> DataFrame:
+def rolling(df: DataFrame, h: History, counts: bool = True, columns: Sequence[str] | None = None, cut_days: float | None = None, us: str | None = None, late: Late | None = None) -> DataFrame:
     """Over each range of days: counts and rates of events, successes (1) and failures (0); distinct values and entropy of columns.
 
     Linear in the events of an entity, with no list of a range (see `ranges`). cut_days: entities are cut into pieces of so many days, so one with a large
     share of all rows is shared among tasks; the result is the same.
     """
     columns = h.diversity if columns is None else columns
-    timed, us = h.timed(df)
-    ok = F.col(h.outcome)
+    step, ok = _Step(df, h, us, late), F.col(h.outcome)
     named = {{"context_token": "context_tokens"}.get(c, f"{c}s"): c for c in columns}
     totals = {"login_count": F.lit(1), "success_count": N.flag(ok == 1), "failure_count": N.flag(ok == 0)} if counts else {}
     spans = {f"_window{d}": round(d * DAY) for d in h.days}
-    out = over_ranges(timed, h.entity, F.col(us), spans, totals, named, round(cut_days * DAY) if cut_days else None).drop(us)
+    out = over_ranges(step.df, h.entity, F.col(step.us), spans, totals, named, round(cut_days * DAY) if cut_days else None)
     rates, rest = {}, {}
     for d in h.days:
         for k in ("login", "success", "failure") if counts else ():
@@ -129,7 +149,7 @@ def rolling(df: DataFrame, h: History, counts: bool = True, columns: Sequence[st
         for name in named:
             unique, entropy = F.col(f"unique_{name}_window{d}"), F.col(f"entropy_{name}_window{d}")
             rest |= {f"log_unique_{name}_window{d}": N.log1p(unique), f"unique_{name}_bin_window{d}": N.count_bin(unique), f"entropy_{name}_bin_window{d}": N.entropy_bin(entropy)}
-    return out.withColumns(rates).withColumns(rest)
+    return step.end(out, rates, rest)
 
 
 def rolling_counts(df: DataFrame, h: History, cut_days: float | None = None) -> DataFrame:
@@ -158,9 +178,12 @@ def inclusive_count(df: DataFrame, h: History, days: int, name: str) -> DataFram
 def features(df: DataFrame, h: History | None = None, cut_days: float | None = None) -> DataFrame:
     """All behavioural features; one exchange by entity serves every step (with cut_days the rolling ones take their own)."""
     h = h or History()
-    df = rolling(df, h, cut_days=cut_days)
-    for step in (calendar, gaps, streaks, novelty, continuity, prior_rates):
-        df = step(df, h)
+    late: Late = [{}, {}]
+    timed, us = h.timed(df)
+    out = rolling(timed, h, cut_days=cut_days, us=us, late=late)
+    for step in (gaps, streaks, continuity, prior_rates, novelty):
+        out = step(out, h, us=us, late=late)
+    df = calendar(out, h).drop(us).withColumns(late[0]).withColumns(late[1])
     level = sum((F.col(c) != "unknown").cast("int") for c in ("country", "region", "city") if c in df.columns)
     aliases = {f"current_{k}_prior_{x}": F.col(f"current_{t}_prior_{x}") for k, t in (("ip", "ip_token"), ("device", "device_token"), ("country", "geo_token")) for x in ("count", "rate")}
     return df.withColumns({"geo_resolution_level": level} | aliases)
