@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from tracefold.names import every, fresh
+from tracefold.names import fresh
 from tracefold.operators.reference_index import MOST_BYTES, ReferenceIndex, unit
 from tracefold.operators.split import balanced_sample
+from tracefold.session import bound_batches
 from tracefold.storage import written
 
 
@@ -140,14 +141,18 @@ class RetrievalModel:
         self._held: tuple | None = None
 
     @classmethod
-    def fit(cls, df: DataFrame, dimension: int = 2048, most: int = 80_000, threshold: float = 0.5, by: str = "xxhash64", most_bytes: int = MOST_BYTES) -> RetrievalModel:
-        """At most `most` references of a kind, drawn by a hash of the id; attacks evenly by type."""
-        order, drawn = fresh(df, "_order"), F.xxhash64("id") if by == "xxhash64" else F.md5(F.col("id").cast("string"))
-        benign = df.where("label_binary = 0").withColumn(order, drawn).orderBy(order).limit(most).drop(order)
-        attack = balanced_sample(df.where("label_binary = 1").withColumn(order, drawn), "attack_type", most, order).drop(order)
-        chosen = written(benign.unionByName(attack).select("id", "endpoint_key", "label_binary", "attack_type", "bag"), "references")
-        vectors = written(hashed(chosen, "id", "bag", dimension, by), "vectors")
-        return cls(vectors, chosen.drop("bag"), dimension, threshold, by, most_bytes)
+    def fit(cls, df: DataFrame, dimension: int = 2048, most: int = 80_000, threshold: float = 0.5, by: str = "xxhash64", most_bytes: int = MOST_BYTES, bags: DataFrame | None = None) -> RetrievalModel:
+        """At most `most` references of a kind, drawn by a hash of the id; attacks evenly by type.
+
+        They are drawn by narrow rows; only the bags of those drawn are then looked up, in `bags` (id, bag) if given, else in df.
+        """
+        heads = df.select("id", "endpoint_key", "label_binary", "attack_type", (F.xxhash64("id") if by == "xxhash64" else F.md5(F.col("id").cast("string"))).alias("drawn"))
+        benign = heads.where("label_binary = 0").orderBy("drawn").limit(most)
+        attack = balanced_sample(heads.where("label_binary = 1"), "attack_type", most, "drawn")
+        chosen = written(benign.unionByName(attack).drop("drawn"), "references")
+        own = F.broadcast(chosen.select("id").distinct())  # twice `most` ids at most
+        vectors = written(hashed((df if bags is None else bags).select("id", "bag").join(own, "id", "left_semi"), "id", "bag", dimension, by), "vectors")
+        return cls(vectors, chosen, dimension, threshold, by, most_bytes)
 
     def _broadcast(self) -> tuple | None:
         """(benign, attack) references on every executor, or None if a part is too large; made once."""
@@ -156,8 +161,8 @@ class RetrievalModel:
             self._held = (None,) if None in parts else (self.refs.sparkSession.sparkContext.broadcast(parts),)
         return self._held[0]
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        """df with nearest_benign_similarity, y_score, y_pred, predicted_attack_type, attack_similarity; columns of these names are replaced.
+    def predict(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """df, or the columns of it to keep, with nearest_benign_similarity, y_score, y_pred, predicted_attack_type, attack_similarity; columns of these names are replaced.
 
         Benign references of the row's endpoint count, all if it has none; the types of the 15 nearest attacks vote. One pass over the rows, without a shuffle.
         """
@@ -165,15 +170,20 @@ class RetrievalModel:
         df = df.drop(*made)
         held = self._broadcast()
         if held is None:
-            return self._predict_by_joins(df)
+            return self._predict_by_joins(df).select(*(F.col(f"`{c}`") for c in keep or df.columns), *made)
+        bound_batches(df)
+        kept = [F.col(f"`{c}`") for c in keep or df.columns]
         dimension, threshold = self.dimension, self.threshold
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             benign, attack = held.value
             for batch in batches:
                 out: list[tuple] = []
-                for endpoint, tokens, given in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                    buckets, weights = unit(np.array(tokens or [], dtype=np.int64), np.array(given or [], dtype=np.float64), dimension)
+                ends = batch.column(2).offsets.to_numpy()
+                tokens, given = (batch.column(i).values.to_numpy(zero_copy_only=False) for i in (2, 3))
+                for row, endpoint in enumerate(batch.column(1).to_pylist()):
+                    own = slice(ends[row], ends[row + 1])
+                    buckets, weights = unit(tokens[own], given[own], dimension)
                     _, near, _ = benign.best(buckets, weights, 1, endpoint)
                     similar = float(near[0]) if len(near) else 0.0
                     risk = min(1.0, max(0.0, 1.0 - similar))
@@ -185,14 +195,14 @@ class RetrievalModel:
                 kinds = (pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.float64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], t) for i, t in enumerate(kinds))], ["row", *made])
 
-        tokens = F.filter("bag", lambda t: t["token"].isNotNull())
+        tokens = F.filter(F.coalesce("bag", F.array().cast(df.schema["bag"].dataType)), lambda t: t["token"].isNotNull())
         packed = df.select(
-            F.struct(*every(df)).alias("row"), F.col("endpoint_key").cast("string").alias("endpoint"),
+            F.struct(*kept).alias("row"), F.col("endpoint_key").cast("string").alias("endpoint"),
             F.transform(tokens, lambda t: bucket(t["token"], dimension, self.by)).alias("buckets"), F.transform(tokens, lambda t: t["weight"].cast("double")).alias("weights"),
         )
         schema = StructType([packed.schema["row"], *(StructField(n, t) for n, t in zip(made, (DoubleType(), DoubleType(), IntegerType(), StringType(), DoubleType()), strict=True))])
         scored = packed.mapInArrow(score, schema)
-        return scored.select(*(F.col("row").getField(c).alias(c) for c in df.columns), *made)
+        return scored.select(*(F.col("row").getField(c).alias(c) for c in keep or df.columns), *made)
 
     def _predict_by_joins(self, df: DataFrame) -> DataFrame:
         """The same for references that are too many for every task to hold: pairs that share a bucket."""

@@ -224,8 +224,8 @@ def retrieval_scores(spark, sf_dir):
     words = F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+"), lambda x: x != "")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "lang", "source").alias("endpoint_key"), "source", retrieval.weighted(words, 1).alias("bag"))
     labels = table(spark, sf_dir, "labels").where("toxic is not null").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label_binary"))
-    known = docs.join(labels, "id").withColumn("attack_type", F.col("source"))
-    scored = retrieval.RetrievalModel.fit(known, most=MOST_REFERENCES, threshold=0.3, by="md5").predict(docs)
+    known = docs.drop("bag").join(labels, "id").withColumn("attack_type", F.col("source"))
+    scored = retrieval.RetrievalModel.fit(known, most=MOST_REFERENCES, threshold=0.3, by="md5", bags=docs).predict(docs, keep=["id"])
     return scored.select("id", *((F.round(c, 6) + 0.0).alias(c) for c in ("nearest_benign_similarity", "y_score")), "y_pred", "predicted_attack_type", (F.round("attack_similarity", 6) + 0.0).alias("attack_similarity"))
 
 

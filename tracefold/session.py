@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", memory: str = "8g", **conf: str) -> SparkSession:
@@ -37,3 +37,12 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root.parent))
     sc.addPyFile(str(target))
     sc._tracefold_shipped = True
+
+
+def bound_batches(df: DataFrame, most_bytes: int = 1 << 23) -> None:
+    """Keeps the Arrow batches that a task of this session holds at once to a size, whatever the length of the rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    now = conf.get(name)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > most_bytes:
+        conf.set(name, f"{most_bytes}b")
