@@ -75,4 +75,4 @@ def test_columns_without_values_and_empty_tables(spark):
 def test_one_exchange_of_sketches(data):
     _, df = data
     plan = sketches.of_parts(df, COLUMNS, F.col("day"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("partial_kll_sketch_agg") >= len(COLUMNS)
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_kll_sketch_agg" in plan

@@ -126,7 +126,7 @@ def prior_rates(df: DataFrame, h: History, names: dict[str, str] | None = None,
     return step.end(out, more, drop=[rn])
 
 
-def rolling(df: DataFrame, h: History, counts: bool = True, columns: Sequence[str] | None = None, cut_days: float | None = None, us: str | None = None, late: Late | None = None) -> DataFrame:
+def rolling(df: DataFrame, h: History, counts: bool = True, columns: Sequence[str] | None = None, cut_days: float | None = None, us: str | None = None, late: Late | None = None, dealt: bool = False) -> DataFrame:
     """Over each range of days: counts and rates of events, successes (1) and failures (0); distinct values and entropy of columns.
 
     Linear in the events of an entity, with no list of a range (see `ranges`). cut_days: entities are cut into pieces of so many days, so one with a large
@@ -137,7 +137,7 @@ def rolling(df: DataFrame, h: History, counts: bool = True, columns: Sequence[st
     named = {{"context_token": "context_tokens"}.get(c, f"{c}s"): c for c in columns}
     totals = {"login_count": F.lit(1), "success_count": N.flag(ok == 1), "failure_count": N.flag(ok == 0)} if counts else {}
     spans = {f"_window{d}": round(d * DAY) for d in h.days}
-    out = over_ranges(step.df, h.entity, F.col(step.us), spans, totals, named, round(cut_days * DAY) if cut_days else None)
+    out = over_ranges(step.df, h.entity, F.col(step.us), spans, totals, named, round(cut_days * DAY) if cut_days else None, dealt)
     rates, rest = {}, {}
     for d in h.days:
         for k in ("login", "success", "failure") if counts else ():
@@ -175,12 +175,12 @@ def inclusive_count(df: DataFrame, h: History, days: int, name: str) -> DataFram
     return out.withColumn(name, F.col(before) + F.count(F.lit(1)).over(Window.partitionBy(h.entity, us))).drop(us, before)
 
 
-def features(df: DataFrame, h: History | None = None, cut_days: float | None = None) -> DataFrame:
-    """All behavioural features; one exchange by entity serves every step (with cut_days the rolling ones take their own)."""
+def features(df: DataFrame, h: History | None = None, cut_days: float | None = None, dealt: bool = False) -> DataFrame:
+    """All behavioural features; one exchange by entity serves every step (with cut_days the rolling ones take their own), none if df is `dealt` by it."""
     h = h or History()
     late: Late = [{}, {}]
     timed, us = h.timed(df)
-    out = rolling(timed, h, cut_days=cut_days, us=us, late=late)
+    out = rolling(timed, h, cut_days=cut_days, us=us, late=late, dealt=dealt)
     for step in (gaps, streaks, continuity, prior_rates, novelty):
         out = step(out, h, us=us, late=late)
     df = calendar(out, h).drop(us).withColumns(late[0]).withColumns(late[1])

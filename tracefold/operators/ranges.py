@@ -36,11 +36,11 @@ def entropy(n: Column, distinct: Column, whole: Column, fraction: Column) -> Col
     return F.when(n == 0, 0.0).when(distinct == 1, -F.log2(F.lit(1 + SMOOTHING))).otherwise(F.log2(n.cast("double")) - mean - distinct * F.lit(SMOOTHING) / F.log(F.lit(2.0)))
 
 
-def over_ranges(df: DataFrame, entity: str, micros: Column, spans: Mapping[str, int], totals: Mapping[str, Column], diverse: Mapping[str, str] | None = None, cut: int | None = None) -> DataFrame:
+def over_ranges(df: DataFrame, entity: str, micros: Column, spans: Mapping[str, int], totals: Mapping[str, Column], diverse: Mapping[str, str] | None = None, cut: int | None = None, dealt: bool = False) -> DataFrame:
     """df with the sums of `totals` and the values of `diverse` over each span before a row's time, rows of the same time left out.
 
     spans: microseconds by suffix. totals: what a row adds (a whole number), by prefix; the columns are prefix + suffix. diverse: a column by name;
-    the columns are unique_{name}{suffix} and entropy_{name}{suffix}, null values left out. cut: microseconds of a piece of time.
+    the columns are unique_{name}{suffix} and entropy_{name}{suffix}, null values left out. cut: microseconds of a piece of time. dealt: df is partitioned by the entity already, as a bucketed table is.
     Rows without a time are kept, count nowhere and see nothing. Columns of these names are replaced.
     """
     diverse, suffixes = dict(diverse or {}), list(spans)
@@ -49,8 +49,8 @@ def over_ranges(df: DataFrame, entity: str, micros: Column, spans: Mapping[str,
     at = lambda k, shift: F.struct(F.lit(k).alias("kind"), F.coalesce(micros + shift, F.lit(_EARLIEST)).alias("key"))
     arrival, expiries = at(0, 0), [at(i + 1, spans[s]) for i, s in enumerate(suffixes)]
     there = micros.isNotNull()
-    dealt = df if cut else df.repartition(F.col(f"`{entity}`"))  # the only exchange of what follows
-    events = dealt.select(
+    own = df if cut or dealt else df.repartition(F.col(f"`{entity}`"))  # the only exchange of what follows
+    events = own.select(
         F.col(f"`{entity}`").alias("e"),
         F.struct(*(F.col(f"`{c}`") for c in kept if c != entity), F.lit(0).alias("none")).alias("row"),
         *(F.when(there, v).otherwise(0).cast("long").alias(f"t{i}") for i, v in enumerate(totals.values())),

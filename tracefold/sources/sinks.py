@@ -14,10 +14,30 @@ from tracefold.operators.profiling import groups
 from tracefold.operators.split import split_stats
 
 
-def shards(df: DataFrame, path: str, sort: list[str] | None = None, mode: str = "overwrite") -> None:
-    """A folder per shard_id, each written by one task and sorted."""
-    dealt = df.repartition("shard_id")
-    (dealt.sortWithinPartitions("shard_id", *sort) if sort else dealt).write.mode(mode).partitionBy("shard_id").parquet(path)
+FILE_ROWS = 5_000_000
+
+
+def shards(df: DataFrame, path: str, sort: list[str] | None = None, mode: str = "overwrite", file_rows: int = FILE_ROWS) -> None:
+    """A folder per shard_id, with one sorted file, or several where a shard is large: partitions are rebalanced to the advisory size, so a hot shard is shared among tasks."""
+    dealt = df.hint("rebalance", "shard_id")
+    ordered = dealt.sortWithinPartitions("shard_id", *(sort or []))
+    ordered.write.mode(mode).option("maxRecordsPerFile", file_rows).partitionBy("shard_id").parquet(path)
+
+
+def normalized(df: DataFrame, path: str, sort: list[str] | None = None, mode: str = "overwrite", file_rows: int = FILE_ROWS) -> None:
+    """A normalised table: files of even size, whatever the input's splits were, compressed with zstd, each sorted so that ranges of the sort columns skip files' row groups."""
+    even = df.hint("rebalance")
+    ordered = even.sortWithinPartitions(*sort) if sort else even
+    ordered.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
+
+
+def bucketed(df: DataFrame, table: str, by: str, buckets: int, sort: list[str] | None = None, mode: str = "overwrite") -> None:
+    """A table of the catalogue dealt by a column once; what groups or ranks by it later, such as `history.features(..., dealt=True)`, needs no exchange.
+
+    All rows of a value are in one bucket, so `buckets` should be well above what the largest value fills.
+    """
+    dealt = df.repartition(buckets, by)
+    dealt.write.mode(mode).bucketBy(buckets, by).sortBy(*(sort or [by])).format("parquet").saveAsTable(table)
 
 
 def splits(df: DataFrame, path: str, mode: str = "overwrite", within: str | None = None) -> None:
