@@ -375,8 +375,8 @@ def _lit(p: str) -> str:
 
 @query("SELECT page_id, " + ", ".join(f"CASE WHEN regexp_matches(html, {_lit(p)}) THEN 1 ELSE 0 END AS has_{k}, CAST(len(regexp_extract_all(html, {_lit(p)})) AS INTEGER) AS n_{k}" for k, p in _patterns.items()) + " FROM pages")
 def attack_patterns(spark, sf_dir):
-    html = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", *(c for k, p in _patterns.items() for c in (T.contains(html, p).alias(f"has_{k}"), T.occurrences(html, p).cast("int").alias(f"n_{k}"))))
+    counts = table(spark, sf_dir, "pages").select("page_id", *(T.occurrences(F.col("html"), p).cast("int").alias(f"n_{k}") for k, p in _patterns.items()))
+    return counts.select("*", *((F.col(f"n_{k}") > 0).cast("int").alias(f"has_{k}") for k in _patterns))
 
 
 @query(
