@@ -540,11 +540,13 @@ def report_rollup(spark, sf_dir):
     return df.select(F.when(F.col("gl") == 1, "all").otherwise(F.col("lang")).alias("lang"), F.when(F.col("gs") == 1, "all").otherwise(F.col("source")).alias("source"), "rows", "mean_chars")
 
 
+ATTACKS = ("q=1' OR 1=1--", "file=../../etc/passwd", "q=%3Cscript%3Ealert(1)", "x=${jndi:ldap://a}", "t=;id", "n=a%0ab", "q=union select", "q=plain", "role=admin")
+
+
 def page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as access-log events; every third one carries an attack in its query."""
     u, n = F.col("url"), F.col("page_id") % 9
-    attacks = ("q=1' OR 1=1--", "file=../../etc/passwd", "q=%3Cscript%3Ealert(1)", "x=${jndi:ldap://a}", "t=;id", "n=a%0ab", "q=union select", "q=plain", "role=admin")
-    query = F.when(F.col("page_id") % 3 == 0, F.element_at(F.array(*map(F.lit, attacks)), (n + 1).cast("int"))).otherwise(T.url_query(u))
+    query = F.when(F.col("page_id") % 3 == 0, F.element_at(F.array(*map(F.lit, ATTACKS)), (n + 1).cast("int"))).otherwise(T.url_query(u))
     return table(spark, sf_dir, "pages").select(
         "page_id", F.concat(F.lit("2024-01-01T00:"), F.lpad((F.col("page_id") % 60).cast("string"), 2, "0"), F.lit(":00Z")).alias("event_timestamp"), F.lit("GET").alias("method"), T.url_path(u).alias("path"), T.url_path(u).alias("path_template"), query.alias("query"),
         F.concat(F.lit("10.0.0."), (F.col("page_id") % 7).cast("string")).alias("client_ip"), F.lit("agent").alias("user_agent"), F.lit("text/html").alias("content_type"), F.when(F.col("page_id") % 2 == 0, 200).otherwise(403).alias("status_code"), F.lit(True).alias("request_has_cookie"),
@@ -557,7 +559,16 @@ def alert_build(spark, sf_dir):
     return alerts.alerts(page_events(spark, sf_dir))
 
 
-@query()
+_URL_QUERY = "regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)"
+_unquoted = lambda x: f"trim(url_decode(url_decode(replace({x}, '+', ' '))))"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, unnest(list_filter(string_split({_URL_QUERY}, '&'), lambda x: x <> '')) AS s FROM pages),
+    q AS (SELECT page_id, lower({_unquoted("regexp_extract(s, '^([^=]*)', 1)")}) AS k, {_unquoted("regexp_extract(s, '^[^=]*=?(.*)$', 1)")} AS v FROM p),
+    j AS (SELECT page_id, '[' || string_agg('{{"k":"' || k || '","v":"' || v || '"}}', ',' ORDER BY k, v) || ']' AS pairs FROM q GROUP BY page_id)
+    SELECT page_id, coalesce(j.pairs, '[]') AS pairs FROM pages LEFT JOIN j USING (page_id)"""
+)
 def url_query_pairs(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.to_json(T.query_pairs(T.url_query(F.col("url")))).alias("pairs"))
 
@@ -568,12 +579,23 @@ def canonical_pattern_flags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", *(c.alias(k) for k, c in api.pattern_flags(F.concat_ws(" ", "url", "html"), "page").items()))
 
 
-@query()
+def _shapes_sql() -> str:
+    attacks = ", ".join("'" + x.replace("'", "''") + "'" for x in ATTACKS)
+    plain = {T.SQL: T.SQL.replace(r"(?<!\*)/\*", r"(?:^|[^*])/\*")}  # SQL's patterns don't look behind
+    cases = " ".join(f"WHEN regexp_matches(lower(v), {_lit(plain.get(p, p))}) THEN '{name}'" for name, p in T.SHAPES)
+    return f"""WITH q AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN ([{attacks}])[CAST(page_id % 9 AS INTEGER) + 1] ELSE {_URL_QUERY} END AS query FROM pages),
+    v AS (SELECT page_id, regexp_extract(query, '=(.*)$', 1) AS v FROM q)
+    SELECT page_id, CASE WHEN v = '' THEN 'empty' {cases} WHEN len(v) >= 32 THEN 'long' WHEN regexp_matches(v, '^[0-9]+$') THEN 'number' WHEN regexp_matches(v, '^[0-9a-fA-F-]{{16,}}$') THEN 'hex' ELSE 'plain' END AS shape FROM v"""
+
+
+@query(_shapes_sql())
 def value_shapes(spark, sf_dir):
     return page_events(spark, sf_dir).select("page_id", T.value_shape(F.regexp_extract("query", "=(.*)$", 1)).alias("shape"))
 
 
-@query()
+@query(
+    """SELECT doc_id, array_to_string(list_transform(list_slice(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]{1,40}|[0-9]+|[./\\\\$\\{}:;|&`<>()=''\"-]+'), 1, 32), lambda x: left(x, 48)), ' ') AS tokens FROM documents"""
+)
 def lexical_tokens(spark, sf_dir):
     """Operator F33 as it is applied to one value of a request: the first 32 tokens, of at most 48 characters."""
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.lexical_tokens(F.col("text")), " ").alias("tokens"))
