@@ -24,7 +24,10 @@ def finite(c: Column, default: float = 0.0) -> Column:
     return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), F.lit(default)).otherwise(c)
 
 
-def log1p(c: Column) -> Column:
+def log1p(c: Column | str) -> Column:
+    """Of a column or, for plans of hundreds of columns, of a name: one expression text instead of a call for each of its parts. So with the bins."""
+    if isinstance(c, str):
+        return F.expr(f"log1p(greatest(`{c}`, 0.0D))")
     return F.log1p(F.greatest(c, F.lit(0.0)))
 
 
@@ -42,8 +45,14 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
-def bin_left(c: Column, edges: Sequence[float]) -> Column:
+def _bin_text(c: str, edges: Sequence[float], op: str) -> Column:
+    return F.expr(" + ".join(f"cast({c} {op} {e if isinstance(e, int) else f'{e!r}D'} as int)" for e in edges))
+
+
+def bin_left(c: Column | str, edges: Sequence[float]) -> Column:
     """How many edges are at or below the value."""
+    if isinstance(c, str):
+        return _bin_text(f"`{c}`", edges, ">=")
     out = F.lit(0)
     for e in edges:
         out = out + (c >= F.lit(e)).cast("int")
@@ -58,19 +67,21 @@ def bin_right(c: Column, edges: Sequence[float]) -> Column:
     return out
 
 
-def count_bin(c: Column) -> Column:
+def count_bin(c: Column | str) -> Column:
     return bin_left(c, COUNT_EDGES)
 
 
-def gap_bin(c: Column) -> Column:
+def gap_bin(c: Column | str) -> Column:
     return bin_left(c, GAP_EDGES)
 
 
-def rate_bin(c: Column) -> Column:
+def rate_bin(c: Column | str) -> Column:
+    if isinstance(c, str):
+        return _bin_text(f"least(greatest(`{c}`, 0.0D), 1.0D)", RATE_EDGES, ">")
     return bin_right(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)), RATE_EDGES)
 
 
-def entropy_bin(c: Column) -> Column:
+def entropy_bin(c: Column | str) -> Column:
     return bin_left(c, ENTROPY_EDGES)
 
 

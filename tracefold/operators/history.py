@@ -86,7 +86,7 @@ def gaps(df: DataFrame, h: History, us: str | None = None, late: Late | None = N
         "failure": F.last(F.when(~ok, at), ignorenulls=True).over(past),
     }
     out = step.df.withColumns({"has_prior_login": (F.row_number().over(rows) > 1).cast("int")} | {f"seconds_since_prev_{k}": _seconds(at, c) for k, c in last.items()})
-    return step.end(out, {f"seconds_since_prev_{k}_{kind}": f(F.col(f"seconds_since_prev_{k}")) for k in last for kind, f in (("log", N.log1p), ("bin", N.gap_bin))})
+    return step.end(out, {f"seconds_since_prev_{k}_{kind}": f(f"seconds_since_prev_{k}") for k in last for kind, f in (("log", N.log1p), ("bin", N.gap_bin))})
 
 
 def streaks(df: DataFrame, h: History, us: str | None = None, late: Late | None = None) -> DataFrame:
@@ -98,7 +98,7 @@ def streaks(df: DataFrame, h: History, us: str | None = None, late: Late | None
     ok = F.coalesce(F.col(h.outcome) == 1, F.lit(False))
     since = lambda breaks: F.col(rn) - 1 - F.coalesce(F.last(F.when(breaks, F.col(rn)), ignorenulls=True).over(past), F.lit(0))
     out = timed.withColumns({"prior_success_streak": since(~ok), "prior_failure_streak": since(ok)})
-    return step.end(out, {f"{k}_{kind}": f(F.col(k)) for k in ("prior_success_streak", "prior_failure_streak") for kind, f in (("log", N.log1p), ("bin", N.count_bin))}, drop=[rn])
+    return step.end(out, {f"{k}_{kind}": f(k) for k in ("prior_success_streak", "prior_failure_streak") for kind, f in (("log", N.log1p), ("bin", N.count_bin))}, drop=[rn])
 
 
 def novelty(df: DataFrame, h: History, columns: Sequence[str] | None = None, us: str | None = None, late: Late | None = None) -> DataFrame:
@@ -122,7 +122,7 @@ def prior_rates(df: DataFrame, h: History, names: dict[str, str] | None = None,
     out = out.withColumns({f"{p}_rate": F.coalesce(N.ratio(F.col(f"{p}_count"), F.col(rn)), F.lit(0.0)) for p in names.values()})
     more = {}
     for p in names.values():
-        more |= {f"{p}_count_log": N.log1p(F.col(f"{p}_count")), f"{p}_count_bin": N.count_bin(F.col(f"{p}_count")), f"{p}_rate_bin": N.rate_bin(F.col(f"{p}_rate"))}
+        more |= {f"{p}_count_log": N.log1p(f"{p}_count"), f"{p}_count_bin": N.count_bin(f"{p}_count"), f"{p}_rate_bin": N.rate_bin(f"{p}_rate")}
     return step.end(out, more, drop=[rn])
 
 
@@ -141,13 +141,13 @@ def rolling(df: DataFrame, h: History, counts: bool = True, columns: Sequence[st
     rates, rest = {}, {}
     for d in h.days:
         for k in ("login", "success", "failure") if counts else ():
-            n = F.col(f"{k}_count_window{d}")
+            n = f"{k}_count_window{d}"
             rest |= {f"log_{k}_count_window{d}": N.log1p(n), f"{k}_count_bin_window{d}": N.count_bin(n)}
         for k in ("success", "failure") if counts else ():
-            rates[f"{k}_rate_window{d}"] = F.coalesce(N.ratio(F.col(f"{k}_count_window{d}"), F.col(f"login_count_window{d}")), F.lit(0.0))
-            rest[f"{k}_rate_bin_window{d}"] = N.rate_bin(F.col(f"{k}_rate_window{d}"))
+            rates[f"{k}_rate_window{d}"] = F.expr(f"coalesce(try_divide({k}_count_window{d}, login_count_window{d}), 0.0D)")
+            rest[f"{k}_rate_bin_window{d}"] = N.rate_bin(f"{k}_rate_window{d}")
         for name in named:
-            unique, entropy = F.col(f"unique_{name}_window{d}"), F.col(f"entropy_{name}_window{d}")
+            unique, entropy = f"unique_{name}_window{d}", f"entropy_{name}_window{d}"
             rest |= {f"log_unique_{name}_window{d}": N.log1p(unique), f"unique_{name}_bin_window{d}": N.count_bin(unique), f"entropy_{name}_bin_window{d}": N.entropy_bin(entropy)}
     return step.end(out, rates, rest)
 

@@ -14,6 +14,7 @@ summed alone, and a row for each piece carries what came before it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,16 +25,17 @@ _FRACTION = float(1 << 40)
 SMOOTHING = 1e-10  # fixed value: added to a share inside its logarithm
 
 
-def _terms(n: Column) -> tuple[Column, Column]:
+def _terms(n: str) -> tuple[str, str]:
     """n log2 n as whole number and 2^-40ths."""
-    g = F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    return F.floor(g), F.floor((g - F.floor(g)) * F.lit(_FRACTION) + 0.5)
+    g = f"(case when {n} > 1 then {n} * log2(cast({n} as double)) else 0.0D end)"
+    return f"floor({g})", f"floor(({g} - floor({g})) * {_FRACTION!r}D + 0.5D)"
 
 
-def entropy(n: Column, distinct: Column, whole: Column, fraction: Column) -> Column:
+def _entropy(n: str, distinct: str, whole: str, fraction: str) -> str:
     """Bits, with SMOOTHING inside the logarithm to its first order; 0 without values, just below 0 with one."""
-    mean = (whole + fraction / F.lit(_FRACTION)) / n
-    return F.when(n == 0, 0.0).when(distinct == 1, -F.log2(F.lit(1 + SMOOTHING))).otherwise(F.log2(n.cast("double")) - mean - distinct * F.lit(SMOOTHING) / F.log(F.lit(2.0)))
+    mean = f"({whole} + {fraction} / {_FRACTION!r}D) / {n}"
+    one, each = math.log2(1 + SMOOTHING), SMOOTHING / math.log(2)
+    return f"case when {n} = 0 then 0.0D when {distinct} = 1 then {-one!r}D else log2(cast({n} as double)) - {mean} - {distinct} * {each!r}D end"
 
 
 def over_ranges(df: DataFrame, entity: str, micros: Column, spans: Mapping[str, int], totals: Mapping[str, Column], diverse: Mapping[str, str] | None = None, cut: int | None = None, dealt: bool = False) -> DataFrame:
@@ -86,11 +88,11 @@ def over_ranges(df: DataFrame, entity: str, micros: Column, spans: Mapping[str,
         events = events.selectExpr("*", *(f"sum({k}) {so_far} + b{k} as {k.replace('x', 'n')}" for k in steps))
         changes = []
         for j in range(len(suffixes)):
-            x, n = F.col(f"x{i}_{j}"), F.col(f"n{i}_{j}")
-            (whole, part), (whole_was, part_was) = _terms(n), _terms(n - x)
-            changes += [F.expr(f"cast(n{i}_{j} > 0 as int) - cast(n{i}_{j} - x{i}_{j} > 0 as int) as u{i}_{j}"), (whole - whole_was).alias(f"w{i}_{j}"), (part - part_was).alias(f"p{i}_{j}")]
+            n, was = f"n{i}_{j}", f"(n{i}_{j} - x{i}_{j})"
+            (whole, part), (whole_was, part_was) = _terms(n), _terms(was)
+            changes += [f"cast({n} > 0 as int) - cast({was} > 0 as int) as u{i}_{j}", f"{whole} - {whole_was} as w{i}_{j}", f"{part} - {part_was} as p{i}_{j}"]
         columns += [*steps]
-        events = events.select(*columns, *changes)
+        events = events.selectExpr(*columns, *changes)
         columns += [f"{k}{i}_{j}" for j in range(len(suffixes)) for k in "uwp"]
 
     values = {f"s{i}_{j}": f"t{i} * {s}" for i in range(len(totals)) for j, s in enumerate(sign)}
@@ -107,6 +109,6 @@ def over_ranges(df: DataFrame, entity: str, micros: Column, spans: Mapping[str,
     out += [F.col(f"s{i}_{j}").alias(f"{t}{s}") for i, t in enumerate(totals) for j, s in enumerate(suffixes)]
     for i, d in enumerate(diverse):
         for j, s in enumerate(suffixes):
-            n, u, w, p = (F.col(f"{k}{i}_{j}") for k in "xuwp")
-            out += [u.cast("int").alias(f"unique_{d}{s}"), entropy(n, u, w, p).alias(f"entropy_{d}{s}")]
+            found = _entropy(*(f"{k}{i}_{j}" for k in "xuwp"))
+            out += [F.expr(f"cast(u{i}_{j} as int)").alias(f"unique_{d}{s}"), F.expr(found).alias(f"entropy_{d}{s}")]
     return rows.select(*out)

@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_BYTES = 1 << 28  # of WEIGHT_BYTES a weight; the bag of a request has 256 tokens at most, a model 80,000 references of a kind
-WEIGHT_BYTES = 16
+WEIGHT_BYTES = 24
 DIGITS = 12  # similarities that agree to these tie
 
 
 @dataclass
 class ReferenceIndex:
     key: np.ndarray  # bucket times the number of references, plus the reference's place; ascending
+    place: np.ndarray
     weight: np.ndarray
     largest: np.ndarray  # weight of each list
     endpoints: dict[str, tuple[int, int]]
@@ -52,7 +53,7 @@ class ReferenceIndex:
         names = sorted(types.unique(), key=lambda x: x.encode())
         kinds = types.map({x: i for i, x in enumerate(names)}).to_numpy(dtype=np.int32)
         turn = head["id"].rank(method="first").to_numpy(dtype=np.int64) if head["id"].dtype != object else np.argsort(np.argsort(head["id"].astype("string").str.encode("utf-8").to_numpy(), kind="stable"), kind="stable")
-        return cls(key[order], weight[order], largest, stretches, turn, kinds, list(names))
+        return cls(key[order], place[order].astype(np.int64), weight[order], largest, stretches, turn, kinds, list(names))
 
     def __len__(self) -> int:
         return len(self.kinds)
@@ -74,8 +75,9 @@ class ReferenceIndex:
                     break
             some = slice(t, t + step)
             n = last[some] - first[some]
-            at = np.arange(int(n.sum())) + np.repeat(first[some] - (np.cumsum(n) - n), n)
-            sums += np.bincount(self.key[at] - np.repeat(offset[some] + low, n), self.weight[at] * np.repeat(weights[some], n), minlength=len(sums))
+            lists = [slice(a, z) for a, z in zip(first[some].tolist(), last[some].tolist(), strict=True)]
+            at, own = np.concatenate([self.place[x] for x in lists]), np.concatenate([self.weight[x] for x in lists])
+            sums += np.bincount(at - low if low else at, own * np.repeat(weights[some], n), minlength=len(sums))
             read, t, step = read + len(at), t + step, 2 * step
         if found is None:
             found = np.flatnonzero(sums > 0)

@@ -8,7 +8,7 @@ Dense vectors, which would meet in every bucket, are rows (id, v) and multiplied
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -141,17 +141,19 @@ class RetrievalModel:
         self._held: tuple | None = None
 
     @classmethod
-    def fit(cls, df: DataFrame, dimension: int = 2048, most: int = 80_000, threshold: float = 0.5, by: str = "xxhash64", most_bytes: int = MOST_BYTES, bags: DataFrame | None = None) -> RetrievalModel:
+    def fit(cls, df: DataFrame, dimension: int = 2048, most: int = 80_000, threshold: float = 0.5, by: str = "xxhash64", most_bytes: int = MOST_BYTES, bags: Callable[[DataFrame], DataFrame] | None = None) -> RetrievalModel:
         """At most `most` references of a kind, drawn by a hash of the id; attacks evenly by type.
 
-        They are drawn by narrow rows; only the bags of those drawn are then looked up, in `bags` (id, bag) if given, else in df.
+        They are drawn by narrow rows; only the bags of those drawn are then taken, from df or by `bags`, which gets
+        their ids, a small table, and returns (id, bag), so that no other row's bag is made.
         """
         heads = df.select("id", "endpoint_key", "label_binary", "attack_type", (F.xxhash64("id") if by == "xxhash64" else F.md5(F.col("id").cast("string"))).alias("drawn"))
         benign = heads.where("label_binary = 0").orderBy("drawn").limit(most)
         attack = balanced_sample(heads.where("label_binary = 1"), "attack_type", most, "drawn")
         chosen = written(benign.unionByName(attack).drop("drawn"), "references")
         own = F.broadcast(chosen.select("id").distinct())  # twice `most` ids at most
-        vectors = written(hashed((df if bags is None else bags).select("id", "bag").join(own, "id", "left_semi"), "id", "bag", dimension, by), "vectors")
+        found = bags(own) if bags else df.select("id", "bag").join(own, "id", "left_semi")
+        vectors = written(hashed(found, "id", "bag", dimension, by), "vectors")
         return cls(vectors, chosen, dimension, threshold, by, most_bytes)
 
     def _broadcast(self) -> tuple | None:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.functions import text as T
-from tracefold.operators import across, columns, detection, flows, metrics, profiling, quantiles, retrieval, risk, split
+from tracefold.operators import across, columns, detection, flows, metrics, profiling, quantiles, retrieval, risk, sketches, split
 from tracefold.plans.catalogue import _split_sql, query, r6, table
+from tracefold.storage import written
 from tracefold.streaming import incidents
 
 
@@ -222,10 +223,12 @@ _BUCKET = "CAST(('0x' || left(md5(w), 8)) AS BIGINT) % 2048"
 def retrieval_scores(spark, sf_dir):
     """Every document against labelled ones, at most MOST_REFERENCES of a kind: toxic ones as attacks of a type, their language and source as endpoint."""
     words = F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+"), lambda x: x != "")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "lang", "source").alias("endpoint_key"), "source", retrieval.weighted(words, 1).alias("bag"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "lang", "source").alias("endpoint_key"), "source", "text")
+    with_bags = lambda df: df.withColumn("bag", retrieval.weighted(words, 1))
     labels = table(spark, sf_dir, "labels").where("toxic is not null").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label_binary"))
-    known = docs.drop("bag").join(labels, "id").withColumn("attack_type", F.col("source"))
-    scored = retrieval.RetrievalModel.fit(known, most=MOST_REFERENCES, threshold=0.3, by="md5", bags=docs).predict(docs, keep=["id"])
+    known = texts.drop("text").join(labels, "id").withColumn("attack_type", F.col("source"))
+    bags = lambda ids: with_bags(texts.join(ids, "id", "left_semi")).select("id", "bag")
+    scored = retrieval.RetrievalModel.fit(known, most=MOST_REFERENCES, threshold=0.3, by="md5", bags=bags).predict(with_bags(texts), keep=["id"])
     return scored.select("id", *((F.round(c, 6) + 0.0).alias(c) for c in ("nearest_benign_similarity", "y_score")), "y_pred", "predicted_attack_type", (F.round("attack_similarity", 6) + 0.0).alias("attack_similarity"))
 
 
@@ -288,3 +291,29 @@ def source_sessions(spark, sf_dir):
 def source_incidents(spark, sf_dir):
     found = incidents.incidents(_requests(spark, sf_dir), "12 hours", most=2)
     return found.select("client_ip", "kind", F.unix_micros("first_time").alias("first_us"), F.unix_micros("last_time").alias("last_us"), "events")
+
+
+_SKETCHED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST(count(*) AS BIGINT) AS total_rows, CAST(count({c}) AS BIGINT) AS non_null_count, min({c}) AS min, max({c}) AS max, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, 5 AS quantiles_in_bounds, true AS distinct_in_bounds FROM lineitem"
+        for c in _SKETCHED
+    )
+)
+def sketch_profile(spark, sf_dir):
+    """Sketches of each month of shipments, merged; their quantiles' ranks and distinct counts held against the exact ones."""
+    df = table(spark, sf_dir, "lineitem")
+    got = written(sketches.merged(sketches.of_parts(df, _SKETCHED, F.date_trunc("month", "l_shipdate"), "month")), "sketches")
+    values = quantiles.distinct_counts(quantiles.long_form(df, _SKETCHED))
+    shares = {f"p{round(100 * q)}": q for q in sketches.SHARES}
+    met = values.join(F.broadcast(got.select("column_name", "non_null_count", "unique_count", *shares)), "column_name")  # a row per column
+    ranks = met.groupBy("column_name").agg(
+        F.first("non_null_count").alias("n"), F.abs(F.first("unique_count") - F.count(F.lit(1))).alias("off"), F.count(F.lit(1)).alias("exact"),
+        *(F.sum(F.when(F.col("x") < F.col(p), F.col("c")).otherwise(0)).alias(f"{p}_low") for p in shares), *(F.sum(F.when(F.col("x") <= F.col(p), F.col("c")).otherwise(0)).alias(f"{p}_high") for p in shares),
+    )
+    e = sketches.rank_error()
+    inside = sum(((F.col(f"{p}_low") / F.col("n") <= q + e) & (F.col(f"{p}_high") / F.col("n") >= q - e)).cast("int") for p, q in shares.items())
+    ranks = ranks.select("column_name", inside.alias("quantiles_in_bounds"), (F.col("off") <= 0.024 * F.col("exact") + 1).alias("distinct_in_bounds"))
+    return got.select("column_name", "total_rows", "non_null_count", "min", "max", r6("mean"), r6("std")).join(ranks, "column_name")
