@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import numbers as N
 from tracefold.functions import text as T
-from tracefold.operators import alerts, api, flows, history, metrics, profiling, retrieval, split, tabular
+from tracefold.operators import alerts, api, descent, flows, history, metrics, profiling, retrieval, split, tabular
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -614,6 +614,16 @@ def logistic_baseline(spark, sf_dir):
     return metrics.confusion(tabular.score(model, df, ["quality", "score"]), "toxic", "y_score")
 
 
+@query()
+def logistic_early_stopping(spark, sf_dir):
+    """Scores of all labelled documents by the mini-batch model of the same columns, stopped on a fourth of them, and the pass that was kept."""
+    df = scored_labels(spark, sf_dir).withColumn("quality", F.col("quality").cast("double"))
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = descent.fit(df.where(fold != 3), df.where(fold == 3), ["quality", "score"], "toxic", most_passes=20)
+    scored = model.score(df.withColumn("split", F.when(fold == 3, "val").otherwise("train")))
+    return scored.select("doc_id", "split", F.col("toxic").cast("int").alias("toxic"), r6("y_score"), F.lit(model.best_pass).alias("best_pass"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -28,11 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tracefold-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df under the shared folder and reads it back with its own schema."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df under the shared folder, in a folder for each value of a column if one is named, and reads it back with its own schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
