@@ -358,6 +358,45 @@ def test_licenses(spark):
     assert (got[6].n_base, got[6].first_word, got[6].last_word) == (2, 0, 3) and got[7].n_base == 0 and got[8].base_labels == "gpl"
 
 
+def test_license_passages_stand_in_order(spark):
+    passages = sorted(licenses.PASSAGES)
+    texts = {n: f"Some words first. {p} and some after" for n, p in enumerate(passages)}
+    turned = {}  # every passage with its words in another order: pairs of words change places
+    for n, p in enumerate(passages):
+        w = p.split()
+        turned[100 + n] = " ".join(x for i in range(0, len(w), 4) for x in (*w[i + 2 : i + 4], *w[i : i + 2]))
+    names = {200 + n: f"it is {p.upper()}." for n, p in enumerate(sorted(licenses.NAMES))}
+    others = {
+        300: "This work is licensed under the GNU General Public License, version 2.",
+        301: "Licensed under CC BY 4.0",
+        302: "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        303: " ".join(["free of charge to any person"] * 2000),
+        304: passages[0] + " " + " ".join(f"w{i}" for i in range(50)) + " " + passages[0],
+    }
+    rows = [(k, v, "own") for k, v in (texts | turned | names | others).items()]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()}
+    for n, p in enumerate(passages):
+        label = licenses.PASSAGES[p]
+        assert label in got[n].labels.split(",") and got[n].score == 1.0
+        assert f"{label}:3-{2 + len(p.split())}" in got[n].spans.split(",")
+        assert (got[100 + n].labels, got[100 + n].spans) == ("", ""), turned[100 + n]
+    for n, p in enumerate(sorted(licenses.NAMES)):
+        assert licenses.NAMES[p] in got[200 + n].labels.split(",")
+    assert got[300].labels == "gpl,gpl-2.0" and got[301].labels == "cc-by" and got[302].labels == "apache-2.0" and got[303].labels == ""
+    label, size = licenses.PASSAGES[passages[0]], len(passages[0].split())
+    assert got[304].spans == f"{label}:0-{size - 1},{label}:{size + 50}-{2 * size + 49}"
+
+
+def test_licenses_count_only_words_in_order(spark):
+    """Two words moved behind the next two vote on diagonals near the others, but lie behind them."""
+    words = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer".split()
+    moved = [*words[:4], *words[6:8], *words[4:6], *words[8:]]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(moved))], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    in_text = sum(moved[i : i + 2] in [words[j : j + 2] for j in range(len(words) - 1)] for i in range(len(moved) - 1))
+    assert got[1].score == 1.0 and got[2].score < in_text / (len(words) - 1) and got[2].labels == "bsd"
+
+
 def test_empty_tables(spark):
     df = empty(spark)
     assert token_counts.count_tokens(df).count() == 0
