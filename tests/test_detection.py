@@ -168,6 +168,16 @@ def test_api_events_have_ids_and_are_kept_once(spark, tmp_path):
     (tmp_path / "one" / "odd.json").write_text('{"request": {}}')
     with pytest.raises(ValueError, match="expected a list"):
         readers.api_json(spark, str(tmp_path / "one"))
+    for n, content in enumerate(["", "  \n", "\ufeff {}", "null", ", [1]"]):
+        (tmp_path / f"bad{n}").mkdir()
+        (tmp_path / f"bad{n}" / "a.json").write_text(json.dumps([event("/x")]))
+        (tmp_path / f"bad{n}" / "b.json").write_text(content)
+        with pytest.raises(ValueError, match="every file, but 1" if not content else "expected a list in b.json"):
+            readers.api_json(spark, [str(tmp_path / "two"), str(tmp_path / f"bad{n}")])
+    (tmp_path / "marked").mkdir()
+    (tmp_path / "marked" / "a.json").write_text("\ufeff\n \t" + json.dumps([event("/x")]))
+    (tmp_path / "marked" / "_hidden").write_text("{}")
+    assert [r["request"]["url"] for r in readers.api_json(spark, str(tmp_path / "marked")).collect()] == ["/x"]
     df = api_views.combined_features(api.features(api.normalize(raw)))
     lists = api_views.feature_list()
     nested = {"path_percent_decoded", "body_percent_decoded", "body_multiline", "parse_status_ok"}

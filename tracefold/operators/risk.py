@@ -79,6 +79,7 @@ def train(train_rows: DataFrame, calibration: DataFrame, blocks: dict[str, Seque
 
 def diagnose(rows: dict[str, int], val: dict, test: dict, target_rate: float | None, train: dict | None = None, mode: str = "unsupervised_block_risk") -> dict:
     """Findings and advice from the reports of a training run, and whether data or training comes first."""
+    # The texts of findings and advice below, and the limits 100, 0.05 and 0.15 with their weights.
     found: list[tuple[str, str, str, int]] = []
     if mode != "unsupervised_block_risk":
         found.append((f"Target mode is `{mode}`, not the preferred unsupervised risk setup.", "Align training with block-risk scoring rather than current-outcome prediction.", "training", 2))

@@ -86,26 +86,25 @@ def https_csv(spark: SparkSession, folder_path: str, view: str = "flows") -> Dat
 
 def api_json(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Events of JSON arrays of {request, response}, with the file they come from and their index in it; other JSON is refused."""
-    for p in [path] if isinstance(path, str) else path:
-        _require_arrays(spark, p)
+    _require_arrays(spark, path)
     return numbered(spark.read.schema(f"request {HTTP}, response {REPLY}").json(path, multiLine=True))
 
 
-def _require_arrays(spark: SparkSession, path: str) -> None:
-    """Looks at the first characters of each file."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    for status in fs.globStatus(root) or []:
-        for file in fs.listStatus(status.getPath()):
-            if file.isFile() and not file.getPath().getName().startswith(("_", ".")):
-                stream = fs.open(file.getPath())
-                try:
-                    first = next((chr(x) for x in iter(stream.read, -1) if not chr(x).isspace() and x not in (0xEF, 0xBB, 0xBF)), "")
-                finally:
-                    stream.close()
-                if first != "[":
-                    raise ValueError(f"expected a list in {file.getPath().getName()}")
+def _require_arrays(spark: SparkSession, path: str | Sequence[str]) -> None:
+    """Raises for a file that is empty or starts with something else than [. The tasks look, whatever the number of files.
+
+    Files are cut at commas, so no task holds more than a piece; the first piece of a file's first split decides.
+    """
+    text = spark.read.text(path, lineSep=",")
+    pieces = text.select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    firsts = pieces.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("first"))
+    begins = F.regexp_replace("first", r"^[\uFEFF\s]+", "").startswith("[")
+    seen, wrong = firsts.agg(F.count(F.lit(1)), F.min(F.when(~begins, F.col("file_path")))).collect()[0]
+    if wrong:
+        raise ValueError(f"expected a list in {wrong.rsplit('/', 1)[-1]}")
+    empty = len(text._jdf.inputFiles()) - seen  # files listed of which no task reads a byte
+    if empty:
+        raise ValueError(f"expected a list in every file, but {empty} hold nothing")
 
 
 def archive_7z(spark: SparkSession, path: str) -> DataFrame:
