@@ -115,20 +115,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", covera
 
     text_key = ["row", "doc_id", "n_words"]
     template_key = [*text_key, "template", "label", "base", "pairs", "least"]
-    diagonals = votes.repartition("row").groupBy(*template_key, "diagonal").agg(F.collect_set("at").alias("at"))
+    diagonals = votes.repartition("row").groupBy(*template_key, "diagonal").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("at"))  # a bit for each position
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > SLACK).cast("int"), F.lit(0))
     merged = diagonals.withColumn("apart", apart).withColumn("span", F.sum("apart").over(order))
-    whole = F.col("base") & (F.size("at") == F.col("pairs"))
+    whole = F.col("base") & (F.bit_count("at") == F.col("pairs"))
     spans = merged.groupBy(*template_key, "span").agg(
         F.count_if(whole).alias("places"),
         F.min(F.when(whole, F.col("diagonal"))).alias("first"),
         F.max(F.when(whole, F.col("diagonal"))).alias("last"),
+        F.bit_or("at").alias("all"),
         F.collect_list(F.struct("diagonal", "at")).alias("lists"),
     )
-    pairs_of = lambda x: F.transform(x["at"], lambda a: F.struct((x["diagonal"] + a).alias("i"), (-a).alias("less")))
-    enough = F.size(F.array_distinct(F.flatten(F.col("lists.at")))) >= F.col("least")
-    spans = spans.withColumn("span", F.when(enough, _in_order(F.flatten(F.transform("lists", pairs_of))))).drop("lists")
+    places_of = F.sequence(F.lit(0), F.col("pairs") - 1)
+    voted = lambda x: F.filter(places_of, lambda a: F.call_function("shiftright", x["at"], a).bitwiseAND(1) == 1)
+    pairs_of = lambda x: F.transform(voted(x), lambda a: F.struct((x["diagonal"] + a).alias("i"), (-a).alias("less")))
+    enough = F.bit_count("all") >= F.col("least")
+    spans = spans.withColumn("span", F.when(enough, _in_order(F.flatten(F.transform("lists", pairs_of))))).drop("lists", "all")
     found = F.when(F.col("base"), F.col("places") > 0).otherwise(F.col("span.n") >= F.col("least"))
     covered = F.when(F.col("base"), F.lit(1.0)).otherwise(F.col("span.n") / F.col("pairs"))
     place = F.when(found & ~F.col("base"), F.struct(F.col("span.first").alias("first"), F.col("label"), (F.col("span.last") + 1).alias("last")))
