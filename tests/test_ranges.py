@@ -87,3 +87,12 @@ def test_flows_without_a_time_are_kept(spark):
     got = {r.id: r for r in flows.rolling(df, "who", "t", (1.0,)).collect()}
     assert {i: r.flow_count_1h for i, r in got.items()} == {1: 0, 2: 0, 3: 1}
     assert got[3].attack_rate_1h == 1.0 and got[2].attack_rate_1h == 0.0
+
+
+def test_tasks_follow_the_rows(spark, rows, monkeypatch):
+    """Small shuffles aren't merged into few tasks, whose memory would grow with the table."""
+    monkeypatch.setattr("tracefold.operators.ranges.ROWS_A_TASK", 20)
+    df = spark.createDataFrame(rows, "id long, who string, t long, v string, w long").withColumn("who", F.col("id").cast("string"))
+    got = over_ranges(df, "who", F.col("t"), {"_1": DAY}, {"n": F.lit(1)}, {"v": "v"})
+    assert got.rdd.getNumPartitions() == len(rows) / 20
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).collect()[0][0] < 60

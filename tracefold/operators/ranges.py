@@ -8,7 +8,8 @@ Distinct values and entropy come from the changed terms only: one running sum by
 came or went, and by how much n log2 n changed. With N values in a range the entropy is log2 N less the sum of n log2 n over N. That sum is kept as
 whole and fractional parts in integers, so what leaves takes out just what it brought.
 
-All is done within one partitioning by entity. An entity with a large share of all rows can be cut into pieces of time (`cut`): pieces are
+All is done within one partitioning by entity, into as many tasks as the rows ask for (ROWS_A_TASK): a row becomes several changes that are sorted a few times,
+so what a task holds is a large multiple of what it was sent, and sizes of shuffles say little about it. An entity with a large share of all rows can be cut into pieces of time (`cut`): pieces are
 summed alone, and a row for each piece carries what came before it.
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 _EARLIEST = -(1 << 62)
 _FRACTION = float(1 << 40)
+ROWS_A_TASK = 1 << 16  # on average; the rows of an entity stay together
 SMOOTHING = 1e-10  # fixed value: added to a share inside its logarithm
 
 
@@ -51,7 +53,8 @@ def over_ranges(df: DataFrame, entity: str, micros: Column, spans: Mapping[str,
     at = lambda k, shift: F.struct(F.lit(k).alias("kind"), F.coalesce(micros + shift, F.lit(_EARLIEST)).alias("key"))
     arrival, expiries = at(0, 0), [at(i + 1, spans[s]) for i, s in enumerate(suffixes)]
     there = micros.isNotNull()
-    own = df if cut or dealt else df.repartition(F.col(f"`{entity}`"))  # the only exchange of what follows
+    tasks = 0 if dealt and not cut else max(2, math.ceil(df.count() / ROWS_A_TASK))
+    own = df if cut or dealt else df.repartition(tasks, F.col(f"`{entity}`"))  # the only exchange of what follows
     events = own.select(
         F.col(f"`{entity}`").alias("e"),
         F.struct(*(F.col(f"`{c}`") for c in kept if c != entity), F.lit(0).alias("none")).alias("row"),
@@ -65,7 +68,7 @@ def over_ranges(df: DataFrame, entity: str, micros: Column, spans: Mapping[str,
     group = ["e"]
     if cut:
         group = ["e", "piece"]
-        events = events.withColumn("piece", F.floor(F.col("key") / F.lit(cut))).repartition(*group)
+        events = events.withColumn("piece", F.floor(F.col("key") / F.lit(cut))).repartition(tasks, *group)
 
     def carried(by: list[str], values: dict[str, str]) -> DataFrame:
         """Of each piece, the sums of all pieces before it."""
