@@ -372,3 +372,14 @@ def test_findings(spark):
     probes = spark.createDataFrame([("a", "attack", "XSS", 1, "XSS"), ("a", "benign", "Benign", 0, "Benign"), ("a", "attack", "XSS", 1, "RCE"), ("b", "attack", "XSS", 0, "Benign")], "goal string, label_expected string, attack_type_expected string, y_pred int, predicted_attack_type string")
     a, b = findings.probe_summary(probes, "goal").orderBy("goal").collect()
     assert (a.rows, a.binary_pass_rate, b.strict_pass_rate) == (3, 1.0, 0.0) and abs(a.strict_pass_rate - 2 / 3) < 1e-9
+
+
+def test_profile_reads_numbers_without_a_text(spark):
+    """Doubles and whole numbers aren't written out and read again; other types are, with the same result as their text."""
+    df = spark.sql("SELECT CAST(id * 0.1 AS DOUBLE) AS d, id * 3 AS n, CAST(id * 0.1 AS FLOAT) AS f, CAST(id AS STRING) AS s, CASE WHEN id = 1 THEN double('-0.0') WHEN id = 2 THEN double('inf') END AS odd FROM range(11)")
+    plain = spark.range(3).select("id", F.col("id").cast("double").alias("d"))
+    plans = [profiling.long_numbers(plain, [c])._jdf.queryExecution().analyzed().toString() for c in ("d", "id")]
+    assert not any("as string" in p for p in plans)
+    a, b = ({r["column_name"]: r.asDict() for r in profiling.profile(x, df.columns).collect()} for x in (df, df.select(*(F.col(c).cast("string") for c in df.columns))))
+    assert set(a) == set(df.columns) and str(sorted(a.items())) == str(sorted(b.items()))  # NaN too
+    assert a["n"]["p50"] == 15 and a["f"]["max"] == 1.0 and a["odd"]["total_rows"] == 11 and a["odd"]["non_null_count"] == 2
