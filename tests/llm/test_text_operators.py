@@ -281,6 +281,31 @@ def test_a_family_around_the_threshold(spark):
         assert 2 < len({c for _, _, c in want}) < 50
 
 
+def test_leaders_are_central_members(spark, monkeypatch):
+    """Most of a family differs too much from one another, but not from its few members with the fewest changes."""
+    random.seed(11)
+    base = [f"w{random.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for at in random.sample(range(150), 1 if i % 20 == 0 else random.randint(3, 5)):
+            own[at] = f"n{random.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    left, every = [], jaccard._all_pairs
+
+    def counted(*args):
+        got = every(*args)
+        left.append(got.count())
+        return got
+
+    monkeypatch.setattr(jaccard, "_all_pairs", counted)
+    monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", -1_000_000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, jaccard.near_duplicates(df, k=5, similarity=Fraction(4, 5)).collect()))
+    assert got == jaccard_by_hand(rows, 5, Fraction(4, 5))
+    assert left[0] < 800  # of 79,800
+
+
 def test_keys_that_stand_for_several_values_are_told_apart(spark):
     df = spark.createDataFrame([(1, 7, 1), (1, 7, 1), (1, 7, 2), (1, 8, 3), (0, 7, 9)], "n int, v long, second long")
     got = [r.v for r in jaccard._told_apart(df, "v", "second")(df).where("n > 0").orderBy("second").collect()]

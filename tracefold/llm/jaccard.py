@@ -9,7 +9,9 @@ out of nearly all prefixes. Any order gives the same links; this one keeps the p
 2. Groups meet at shared prefix shingles. In a round of leaders every group meets only LEADERS of each posting list
    and size band, and every member those of its group, which is linear; pairs that share enough of their prefixes are
    verified on whole sets. Links found contract to components. There is no such round if the pairs are few anyway (up to
-   PAIRS_PER_POSTING for each posting), and another one while the last has halved the pairs left.
+   PAIRS_PER_POSTING for each posting), else two at least, and another one while the last has taken a tenth of the pairs left.
+   Each leader is the most central of an eighth of its list, drawn by a hash: the one with most of its prefix in lists,
+   that is, with the fewest shingles of its own. A leader drawn by the hash alone may link with hardly any other of its family.
 3. The last round meets all groups of a list, unless all their members are of one component, expands the pairs of
    groups that share enough to members of different components, and verifies them. So no link between components is lost,
    and a group of near copies costs no square.
@@ -48,6 +50,8 @@ from tracefold.llm.components import components
 MOST_FREQUENT = 1_000_000
 MOST_ROUNDS = 4
 LEADERS = 3  # of each posting list in a round
+DRAWN = 8  # of so many candidates one is drawn, and the most central of the drawn leads
+LITTLE = 0.9  # a round that leaves more of the pairs is the last, from the second on
 PAIRS_PER_POSTING = 8
 STRETCH = 1 << 23  # characters within which a repeated shingle counts as frequent
 SHARED = 4
@@ -193,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         state = scratch(state, "state")
         spread = scratch(_spread(state), "spread")
         left = _pairs_left(lists, spread)
-        last = turn == MOST_ROUNDS or left <= few or left > before / 2
+        last = turn == MOST_ROUNDS or left <= few or turn > 1 and left > LITTLE * before
         before = left
         made = _all_pairs(lists, some, state, spread, num, den, labels is None) if last else _leader_pairs(lists, state, spread, num, den, turn)
         pairs = scratch(made.distinct(), "pairs")
@@ -255,20 +259,22 @@ def _near(x: list[str], y: list[str], total: str, num: int, den: int, slack: str
 def _leader_pairs(lists: DataFrame, state: DataFrame, spread: DataFrame, num: int, den: int, turn: int) -> DataFrame:
     """Pairs (a, b) of vertices of different components: members with their group's leader, groups with their lists' leader."""
     seeds = [LEADERS * turn + i for i in range(LEADERS)]
-    leaders = lambda key, row: F.array_distinct(F.array(*(F.min_by(row, F.xxhash64(key, F.lit(s))) for s in seeds)))
+    drawn = lambda s: F.xxhash64("v", F.lit(s))
+    leaders = lambda row: F.array_distinct(F.array(*(F.min_by(row, F.struct(F.pmod(drawn(s), F.lit(DRAWN)) > 0, -F.col("central"), drawn(s))) for s in seeds)))
+    central = lists.groupBy("group").agg((F.count(F.lit(1)) / F.first("n")).alias("central"))
     theirs = [f"{b}_a" for b in BITS]
     bits_a = [F.col(f"x.{b}").alias(t) for b, t in zip(BITS, theirs, strict=True)]
     open_groups = spread.where("lo <> hi").select("group")
     members = state.join(open_groups, "group", "left_semi")
-    first = members.groupBy("group").agg(leaders("v", F.struct("v", "component", *BITS)).alias("x")).select("group", F.explode("x").alias("x"))
+    first = members.withColumn("central", F.lit(0)).groupBy("group").agg(leaders(F.struct("v", "component", *BITS)).alias("x")).select("group", F.explode("x").alias("x"))
     first = first.select("group", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"), *bits_a)
     inside = members.join(first, "group").where(f"of_a <> component and {_near(BITS, theirs, '2 * n', num, den)}").select("a", F.col("v").alias("b"))
     stand = state.groupBy("group", "component").agg(F.min_by(F.struct("v", *BITS), "v").alias("x")).select("group", "component", "x.*")
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).cast("int").alias("band")
-    at = lists.join(stand, "group").select("shingle", band, "n", "v", "component", *BITS)
-    lead = at.groupBy("shingle", "band").agg(leaders("v", F.struct("v", "component", "n", *BITS)).alias("x"), F.count(F.lit(1)).alias("members")).where("members > 1").select("shingle", "band", F.explode("x").alias("x"))
+    at = lists.join(stand.join(central, "group"), "group").select("shingle", band, "n", "v", "component", "central", *BITS)
+    lead = at.groupBy("shingle", "band").agg(leaders(F.struct("v", "component", "n", *BITS)).alias("x"), F.count(F.lit(1)).alias("members")).where("members > 1").select("shingle", "band", F.explode("x").alias("x"))
     lead = lead.select("shingle", "band", F.col("x.v").alias("a"), F.col("x.component").alias("of_a"), F.col("x.n").alias("m"), *bits_a)
-    met = at.withColumnRenamed("v", "b").join(lead, ["shingle", "band"]).where(f"of_a <> component and {den} * least(n, m) >= {num} * greatest(n, m) and {_near(BITS, theirs, 'n + m', num, den)}")
+    met = at.drop("central").withColumnRenamed("v", "b").join(lead, ["shingle", "band"]).where(f"of_a <> component and {den} * least(n, m) >= {num} * greatest(n, m) and {_near(BITS, theirs, 'n + m', num, den)}")
     counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(_sharing(num, den))
     # of a vertex's leaders, at most a few for each of its lists, those that share most
     best = counted.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "a")), asc=False), 1, LEADERS).alias("x")).select("b", F.explode("x").alias("x"))
