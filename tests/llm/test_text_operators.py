@@ -320,6 +320,30 @@ def test_leaders_are_central_members(spark, monkeypatch):
     assert left[0] < 800  # of 79,800
 
 
+def test_few_pairs_left_need_no_second_round(spark, monkeypatch):
+    """Near copies of which hardly any two link: a second round of leaders would cost as much as the first and find nothing."""
+    random.seed(12)
+    base = [f"w{random.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(200):
+        own = list(base)
+        for at in random.sample(range(150), 1 if i % 50 == 0 else random.randint(3, 6)):
+            own[at] = f"n{random.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    rounds, lead = [], jaccard._leader_pairs
+
+    def counted(*args):
+        rounds.append(args[-1])
+        return lead(*args)
+
+    monkeypatch.setattr(jaccard, "_leader_pairs", counted)
+    monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", -1_000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, jaccard.near_duplicates(df, k=3, similarity=Fraction(9, 10)).collect()))
+    assert got == jaccard_by_hand(rows, 3, Fraction(9, 10))
+    assert rounds == [0]
+
+
 def test_keys_that_stand_for_several_values_are_told_apart(spark):
     df = spark.createDataFrame([(1, 7, 1), (1, 7, 1), (1, 7, 2), (1, 8, 3), (0, 7, 9)], "n int, v long, second long")
     got = [r.v for r in jaccard._told_apart(df, "v", "second")(df).where("n > 0").orderBy("second").collect()]

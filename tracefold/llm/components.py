@@ -27,8 +27,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Null ends and loops are left out; repeated links count once; no links give no rows.
     """
-    edges = scratch(links.where("a < b or b < a").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    labels = scratch(edges.select(F.col("a").alias("v")).union(edges.select(F.col("b").alias("v"))).distinct().withColumn("component", F.col("v")), "labels")
+    edges = scratch(links.where("a < b or b < a").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "links")
+    labels = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("component", F.col("v"))
     while not edges.isEmpty():
         hooks = edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p"))  # each vertex with a lesser neighbour
         roots = _shorten(scratch(hooks, "hooks"))

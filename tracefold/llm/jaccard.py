@@ -10,6 +10,7 @@ out of nearly all prefixes. Any order gives the same links; this one keeps the p
    and size band, and every member those of its group, which is linear; pairs that share enough of their prefixes are
    verified on whole sets. Links found contract to components. There is no such round if the pairs are few anyway (up to
    PAIRS_PER_POSTING for each posting), else two at least, and another one while the last has taken a tenth of the pairs left.
+   But no more once the pairs left are so few (PAIRS_OF_A_ROUND) that comparing them in the last join costs less than a round.
    Each leader is the most central of an eighth of its list, drawn by a hash: the one with most of its prefix in lists,
    that is, with the fewest shingles of its own. A leader drawn by the hash alone may link with hardly any other of its family.
 3. The last round meets all groups of a list, unless all their members are of one component, expands the pairs of
@@ -53,6 +54,7 @@ LEADERS = 3  # of each posting list in a round
 DRAWN = 8  # of so many candidates one is drawn, and the most central of the drawn leads
 LITTLE = 0.9  # a round that leaves more of the pairs is the last, from the second on
 PAIRS_PER_POSTING = 8
+PAIRS_OF_A_ROUND = 10_000_000  # a round is dozens of jobs, whatever it finds; so many pairs are seconds of one core in the join of lists
 STRETCH = 1 << 23  # characters within which a repeated shingle counts as frequent
 SHARED = 4
 BITMAP_BITS = 1 << 24
@@ -188,19 +190,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     earlier = [F.get("prefix", F.col("i") - 1 - k).alias(p) for k, p in enumerate(EARLIER)]
     postings = groups.select("group", "n", "prefix", F.posexplode("prefix").alias("i", "shingle")).select("group", "n", "i", "shingle", *earlier)
     met = F.count(F.lit(1)).over(Window.partitionBy("shingle"))
-    lists = scratch(postings.withColumn("met", met).where("met > 1").drop("met"), "lists")
+    lists = scratch(postings.withColumn("met", met).where("met > 1"), "lists")
+    n_postings, between = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("met") - 1) / 2), F.lit(0.0))).collect()[0]
     links = labels = None
-    few, before = PAIRS_PER_POSTING * lists.count() + 1_000_000, float("inf")
+    few, before = PAIRS_PER_POSTING * n_postings + 1_000_000, float("inf")
     for turn in range(MOST_ROUNDS + 1):
         state = vertices if labels is None else vertices.join(labels, "v", "left")
         state = state.select("v", "n", "group", *BITS, (F.col("v") if labels is None else F.coalesce("component", "v")).alias("component"))
         state = scratch(state, "state")
         spread = scratch(_spread(state), "spread")
-        left = _pairs_left(lists, spread)
-        last = turn == MOST_ROUNDS or left <= few or turn > 1 and left > LITTLE * before
+        left = _pairs_inside(spread) + (between if labels is None else _pairs_between(lists, spread))
+        last = turn == MOST_ROUNDS or left <= few + (turn and PAIRS_OF_A_ROUND) or turn > 1 and left > LITTLE * before
         before = left
         made = _all_pairs(lists, some, state, spread, num, den, labels is None) if last else _leader_pairs(lists, state, spread, num, den, turn)
-        pairs = scratch(made.distinct(), "pairs")
+        pairs = scratch(made, "pairs")
         dropped(state, spread)
         if last:
             dropped(lists)
@@ -235,13 +238,16 @@ def _spread(state: DataFrame) -> DataFrame:
     return spread.join(around, "group", "left").withColumn("radius", F.coalesce("radius", F.lit(0)).cast("int"))
 
 
-def _pairs_left(lists: DataFrame, spread: DataFrame) -> int:
-    """Pairs that the lists and groups hold of groups, and of members, not known to be of one component."""
+def _pairs_inside(spread: DataFrame) -> float:
+    """Pairs of members that groups hold, where not all are known to be of one component."""
+    return spread.where("lo <> hi").agg(F.sum(F.col("members") * F.col("members") / 2.0)).collect()[0][0] or 0
+
+
+def _pairs_between(lists: DataFrame, spread: DataFrame) -> float:
+    """Pairs of groups that the lists hold, not known to be of one component. While each vertex is its own, all pairs are."""
     at = lists.join(spread, "group").groupBy("shingle", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("one")).agg(F.count(F.lit(1)).alias("c"))
     per = at.groupBy("shingle").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("one").isNotNull(), F.col("c") * F.col("c")).otherwise(F.col("c"))).alias("same"))
-    between = per.agg(F.sum((F.col("c") * F.col("c") - F.col("same")) / 2)).collect()[0][0] or 0
-    inside = spread.where("lo <> hi").agg(F.sum(F.col("members") * F.col("members") / 2.0)).collect()[0][0] or 0
-    return between + inside
+    return per.agg(F.sum((F.col("c") * F.col("c") - F.col("same")) / 2)).collect()[0][0] or 0
 
 
 def _sharing(num: int, den: int) -> str:
@@ -257,7 +263,7 @@ def _near(x: list[str], y: list[str], total: str, num: int, den: int, slack: str
 
 
 def _leader_pairs(lists: DataFrame, state: DataFrame, spread: DataFrame, num: int, den: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of vertices of different components: members with their group's leader, groups with their lists' leader."""
+    """Pairs (a, b) of vertices of different components: members with their group's leader, groups with their lists' leader. A few stand twice."""
     seeds = [LEADERS * turn + i for i in range(LEADERS)]
     drawn = lambda s: F.xxhash64("v", F.lit(s))
     leaders = lambda row: F.array_distinct(F.array(*(F.min_by(row, F.struct(F.pmod(drawn(s), F.lit(DRAWN)) > 0, -F.col("central"), drawn(s))) for s in seeds)))
@@ -307,7 +313,7 @@ def _group_pairs(lists: DataFrame, found: DataFrame, spread: DataFrame, num: int
 
 
 def _all_pairs(lists: DataFrame, found: DataFrame, state: DataFrame, spread: DataFrame, num: int, den: int, all_apart: bool) -> DataFrame:
-    """All pairs (a, b) of vertices of different components that share enough prefix shingles."""
+    """All pairs (a, b) of vertices of different components that share enough prefix shingles, each once, as a vertex is of one group."""
     theirs = [f"{b}_a" for b in BITS]
     members = state.select("group", "v", "component", "n", *BITS)
     open_groups = spread.where("lo <> hi").select("group")
